@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import packing, simhash
 from tessera.llm.common import table
 
 
@@ -17,8 +17,16 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash_near_duplicates": op10_simhash_near_duplicates}
+    return {
+        "op7_pack_sequences": op7_pack_sequences,
+        "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
