@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, simhash
-from tessera.llm.common import table
+from tessera.llm import packing, quality, simhash, toxicity
+from tessera.llm.common import id_hash, table
 
 
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,29 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: The labelled categories in the order of the chain; the last one decides.
+TOXIC_CHAIN = ["low_quality", "toxic"]
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    own = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.score(docs, toxicity.train(docs, own, TOXIC_CHAIN))
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdict of the classifier chain for every document."""
+    scored = toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.drop("text")
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from rows whose id hash mod 3 is not 1."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, where=id_hash() % 3 != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (id_hash() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -24,6 +47,8 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_chain": op1_toxicity_chain,
+        "op8_quality_trees": op8_quality_trees,
         "op7_pack_sequences": op7_pack_sequences,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     }
