@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, simhash, toxicity
+from tessera.llm import mixing, packing, quality, simhash, toxicity
 from tessera.llm.common import id_hash, table
 
 
@@ -32,6 +32,11 @@ def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of all sources takes."""
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from rows whose id hash mod 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
@@ -48,6 +53,7 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_chain": op1_toxicity_chain,
+        "op2_mix_sources": op2_mix_sources,
         "op8_quality_trees": op8_quality_trees,
         "op7_pack_sequences": op7_pack_sequences,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
