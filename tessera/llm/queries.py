@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, simhash, toxicity
+from tessera.llm import fingerprint, mixing, neighbours, packing, quality, simhash, toxicity
 from tessera.llm.common import id_hash, table
 
 
@@ -37,6 +37,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from rows whose id hash mod 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
@@ -45,6 +50,11 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_hash() % 3 == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
+    return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -54,8 +64,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_chain": op1_toxicity_chain,
         "op2_mix_sources": op2_mix_sources,
+        "op3_fingerprints": op3_fingerprints,
         "op8_quality_trees": op8_quality_trees,
         "op7_pack_sequences": op7_pack_sequences,
+        "op9_nearest_vectors": op9_nearest_vectors,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     }
 
