@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprint, mixing, neighbours, packing, quality, simhash, toxicity
+from tessera.llm import chat, fingerprint, licences, mixing, neighbours, packing, quality, simhash, toxicity
 from tessera.llm.common import id_hash, table
 
 
@@ -42,6 +42,22 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one that holds the template's own marks."""
+    marks = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.format_conversations(rows))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory of the tree source/lang/id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    found = licences.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from rows whose id hash mod 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
@@ -65,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_chain": op1_toxicity_chain,
         "op2_mix_sources": op2_mix_sources,
         "op3_fingerprints": op3_fingerprints,
+        "op4_chat_format": op4_chat_format,
+        "op5_licence_scan": op5_licence_scan,
         "op8_quality_trees": op8_quality_trees,
         "op7_pack_sequences": op7_pack_sequences,
         "op9_nearest_vectors": op9_nearest_vectors,
@@ -72,5 +90,89 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP4_SQL = """
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+    lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    length(text) + length(text) - length(replace(text, chr(92), ''))
+      + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '<s>', ''))) // 3
+      + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(text) - length(replace(text, '[INST]', ''))) // 6
+      + (length(text) - length(replace(text, '[/SYS]', ''))) // 6 + (length(text) - length(replace(text, '[SYS]', ''))) // 5
+      + (length(text) - length(replace(text, '[/ROLE]', ''))) // 7 + (length(text) - length(replace(text, '[ROLE]', ''))) // 6
+      + (length(text) - length(replace(text, '[TEXT]', ''))) // 6 AS escaped,
+    CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 24 + length(role) END AS marks
+  FROM rows_
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(escaped + marks)::BIGINT AS formatted_chars,
+  bool_and((before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS valid
+FROM marked GROUP BY conv_id
+"""
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
+OP5_SQL = f"""
+WITH docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT doc_id, path, length(text) AS size,
+    unnest(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{licences.WORDS_OF_LICENCES}'))) AS line
+  FROM docs
+),
+units AS (SELECT DISTINCT line FROM lines),
+templates(licence, text) AS (VALUES {_TEMPLATE_ROWS}),
+a AS (
+  SELECT line, term, count(*) AS tf
+  FROM (SELECT line, unnest(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM units) WHERE term <> '' GROUP BY ALL
+),
+b AS (
+  SELECT licence, term, count(*) AS tf
+  FROM (SELECT licence, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM templates) WHERE term <> '' GROUP BY ALL
+),
+idf AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM units) + {len(licences.TEMPLATES)}) / (1 + count(*))) + 1 AS idf
+  FROM (SELECT term FROM a UNION ALL SELECT term FROM b) GROUP BY term
+),
+aw AS (SELECT line, term, tf * idf AS w FROM a JOIN idf USING (term)),
+bw AS (SELECT licence, term, tf * idf AS w FROM b JOIN idf USING (term)),
+al AS (SELECT line, sqrt(sum(w * w)) AS n FROM aw GROUP BY line),
+bl AS (SELECT licence, sqrt(sum(w * w)) AS n FROM bw GROUP BY licence),
+scored AS (
+  SELECT d.line, d.licence, round(d.dot / (al.n * bl.n), 6) AS cosine
+  FROM (SELECT line, licence, sum(aw.w * bw.w) AS dot FROM aw JOIN bw USING (term) GROUP BY line, licence) d
+  JOIN al USING (line) JOIN bl USING (licence)
+),
+found AS (
+  SELECT line, licence, cosine FROM scored WHERE cosine >= {licences.LIKE}
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1
+),
+own AS (
+  SELECT doc_id, path, licence, cosine, said >= {licences.MOSTLY} * size AS is_file
+  FROM (
+    SELECT doc_id, path, size, licence, cosine, sum(length(line)) OVER (PARTITION BY doc_id) AS said,
+      row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS k
+    FROM lines JOIN found USING (line)
+  ) WHERE k = 1
+),
+licensed AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence, cosine FROM own WHERE is_file
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1
+),
+inherited AS (
+  SELECT doc_id, dir, licence, cosine FROM docs JOIN licensed ON starts_with(path, dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) = 1
+)
+SELECT d.doc_id, d.path, coalesce(o.licence, i.licence) AS licence, coalesce(o.cosine, i.cosine) AS cosine,
+  CASE WHEN o.licence IS NOT NULL THEN 'statement' WHEN i.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.licence IS NULL THEN i.dir END AS directory
+FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN inherited i USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": OP4_SQL, "op5_licence_scan": OP5_SQL}
