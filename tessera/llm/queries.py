@@ -121,7 +121,7 @@ OP5_SQL = f"""
 WITH docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
 lines AS (
   SELECT doc_id, path, length(text) AS size,
-    unnest(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{licences.WORDS_OF_LICENCES}'))) AS line
+    unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licences.WORDS_OF_LICENCES}'))) AS line
   FROM docs
 ),
 units AS (SELECT DISTINCT line FROM lines),
