@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprint, licences, mixing, neighbours, packing, quality, simhash, toxicity
+from tessera.llm import chat, fingerprint, language, licences, mixing, neighbours, packing, quality, simhash, toxicity
 from tessera.llm.common import id_hash, table
 
 
@@ -58,6 +58,13 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("file_id", "doc_id")
 
 
+def op6_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learned from rows whose id hash mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = language.train(docs.where(id_hash() % 7 != 2))
+    return language.score(docs, model, (id_hash() % 7 == 2).alias("held_out"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from rows whose id hash mod 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op4_chat_format": op4_chat_format,
         "op5_licence_scan": op5_licence_scan,
+        "op6_language_scores": op6_language_scores,
         "op8_quality_trees": op8_quality_trees,
         "op7_pack_sequences": op7_pack_sequences,
         "op9_nearest_vectors": op9_nearest_vectors,
