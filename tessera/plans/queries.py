@@ -591,3 +591,60 @@ SELECT o_custkey, count(*) AS reads, CASE WHEN count(*) >= 3 THEN bool_and(same)
 def convergence(spark, d):
     o = A.table(spark, d, "orders").withColumn("_at", F.struct("o_orderdate", "o_orderkey"))
     return experiments.converged(o, ["o_custkey"], "_at", "o_orderstatus")
+
+
+# Streams
+
+
+def _stream_folder(spark):
+    """Where a stream keeps its checkpoint and output: the shared folder of the cluster, if it names one."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, d):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind, text_ = F.col("event_type"), lambda c: c.cast("string")
+    return e.where("event_type <> 'error'").select(
+        text_(F.col("user_id")).alias("session_id"), text_(F.col("event_id")).alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"),
+        kind.isin("click", "signup").alias("is_action"), text_(F.col("user_id")).alias("target"), F.concat(F.lit("f"), text_(k % 3)).alias("frame"), F.concat(F.lit("/k/"), text_(k % 10)).alias("path"),
+        F.when(kind.isin("signup", "purchase"), "POST").otherwise("GET").alias("method"), F.when(kind == "signup", "submit").otherwise("click").alias("kind"),
+        (F.col("event_id") % 2 == 0).alias("trusted"), (F.col("event_id") % 3 == 0).alias("gesture"),
+    )
+
+
+@query(f"WITH {_LINK} SELECT session_id, action_event_id, network_event_id, status, round(raw, 4) AS score, round(d * 1000, 3) AS delta_ms FROM link")
+def stream_correlation(spark, d):
+    from tessera.streaming.matcher import match_stream
+
+    where = _stream_folder(spark)
+    found = match_stream(_event_stream(spark, d), TIMING)
+    sink = found.writeStream.format("parquet").option("path", f"{where}/links").option("checkpointLocation", f"{where}/checkpoint").outputMode("append")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{where}/links")
+
+
+@query(f"""{_EP}, s AS (SELECT session_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started_at FROM ob GROUP BY 1), f AS (
+  SELECT DISTINCT 'chg.' || sha256(concat_ws('|', '1', {_RULE}, kind, path, method, delta)) AS change_id, session_id, started_at FROM ef JOIN s USING (session_id) WHERE state = 'NOVEL')
+SELECT change_id, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS occurrences FROM f GROUP BY 1""")
+def stream_checkpoint_rerun(spark, d):
+    """Findings delivered in two batches, the second one twice: the history is as after one delivery."""
+    from tessera.streaming.changes import ChangeHistory
+
+    ob, contract = _contract(spark, d)
+    started = ob.groupBy("session_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"))
+    facts = detect.endpoint_facts(ob.where("NOT known"), contract).join(ob.select("event_id", "session_id"), "event_id").join(started, "session_id").where("state IN ('NOVEL', 'CONFLICT')")
+    ids = detect.findings(facts).select("change_id", "kind", "path", "method", "delta")
+    seen = facts.join(ids, ["kind", "path", "method", "delta"]).select("change_id", "session_id", "started_at", F.sha2("session_id", 256).alias("evidence_sha256"))
+    early = F.col("started_at") < "2024-01-01T06:00:00"
+    history = ChangeHistory(spark, _stream_folder(spark))
+    history.apply(seen.where(early), 0)
+    history.apply(seen.where(~early), 1)
+    history.apply(seen.where(~early), 1)
+    history.apply(seen, 2)  # sessions that are done already
+    return history.latest(2)
