@@ -157,11 +157,9 @@ MONEY_UNITS = {"тыс": 3, "млн": 6, "млрд": 9}
 
 def money(text: Column, units: dict[str, int] = MONEY_UNITS) -> Column:
     """Whole amount of a text such as "819.94 млн p."; null unless it is a canonical, whole amount."""
-    pattern = f"^([0-9][0-9 ]*(?:\\.[0-9]+)?) *({'|'.join(units)})?\\.? *(?:p|р)\\.?$"
-    number = F.expr("NULL").cast("decimal(38,6)")
-    found = F.regexp_extract(text, pattern, 1)
+    pattern = f"^([0-9]+(?: [0-9]+)*(?:\\.[0-9]+)?) ({'|'.join(units)}) p\\.$"
+    found, unit = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     number = F.when(found != "", F.replace(found, F.lit(" "), F.lit("")).try_cast("decimal(20,6)"))
-    unit = F.regexp_extract(text, pattern, 2)
     scale = F.lit(1).cast("long")
     for name, power in units.items():
         scale = F.when(unit == name, F.lit(10**power).cast("long")).otherwise(scale)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, normalise, pages, text
-from tessera.operators import census, correlate, current, detect, experiments, integrity, market, paths, provenance, search, sessions
+from tessera.operators import census, correlate, current, detect, experiments, integrity, knowledge, market, market_pages, paths, provenance, search, sessions
 from tessera.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +61,7 @@ def state_fingerprint(spark, d):
 
 @query(r"""
 WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || '.5 млн p.' WHEN 1 THEN (p_size * 1000) || ' p.' WHEN 2 THEN '+' || p_size || '.25%' WHEN 3 THEN p_size || '.1234567 тыс p.' ELSE '0' || p_size END AS text FROM part)
-SELECT p_partkey, text, CASE p_partkey % 5 WHEN 0 THEN split_part(text, '.', 1)::BIGINT * 1000000 + 500000 WHEN 1 THEN split_part(text, ' ', 1)::BIGINT END AS amount,
+SELECT p_partkey, text, CASE p_partkey % 5 WHEN 0 THEN split_part(text, '.', 1)::BIGINT * 1000000 + 500000 END AS amount,
   CASE WHEN p_partkey % 5 = 2 THEN replace(replace(text, '%', ''), '+', '')::DOUBLE END AS percent, NULL::BIGINT AS id FROM t
 """)
 def money_parse(spark, d):
@@ -551,6 +551,67 @@ def merge_records(spark, d):
     return merged.withColumn("evidence", F.array_join(F.transform(F.array_sort("evidence"), lambda x: x.cast("string")), ","))
 
 
+@query("""
+WITH a AS (SELECT p_partkey AS ref, 1 AS position, p_name AS alias FROM part UNION ALL SELECT p_partkey, 2, upper(p_name) FROM part UNION ALL SELECT p_partkey, 3, p_brand FROM part)
+SELECT ref, lower(alias) AS norm, alias FROM a QUALIFY row_number() OVER (PARTITION BY ref, lower(alias) ORDER BY position, alias) = 1
+""")
+def knowledge_aliases(spark, d):
+    p = A.table(spark, d, "part")
+    every = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("position"), c.alias("alias")) for k, c in enumerate((F.col("p_name"), F.upper("p_name"), F.col("p_brand")))])).alias("a")
+    return knowledge.aliases(p.select(F.col("p_partkey").alias("ref"), every).select("ref", "a.*"))
+
+
+@query("""
+WITH f AS (SELECT l_partkey AS ref, l_suppkey::VARCHAR AS evidence_ref, min(l_orderkey) AS position FROM lineitem GROUP BY ALL)
+SELECT ref, row_number() OVER (PARTITION BY ref ORDER BY position, evidence_ref) - 1 AS ordinal, evidence_ref FROM f
+""")
+def knowledge_evidence(spark, d):
+    li = A.table(spark, d, "lineitem")
+    return knowledge.evidence(li.select(F.col("l_partkey").alias("ref"), F.col("l_orderkey").alias("position"), F.col("l_suppkey").cast("string").alias("evidence_ref")))
+
+
+@query("""
+SELECT p_partkey AS ref, coalesce(array_to_string(list_sort(list_distinct(list('s' || l_suppkey % 9) FILTER (l_suppkey IS NOT NULL))), ','), '') AS categories FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_linenumber <= 2 GROUP BY 1
+""")
+def knowledge_enrichment(spark, d):
+    li = A.table(spark, d, "lineitem").where("l_linenumber <= 2").join(A.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    named = li.select(F.col("l_partkey").alias("ref"), F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")).alias("category"))
+    rich = knowledge.enrich(A.table(spark, d, "part").select(F.col("p_partkey").alias("ref")), named, "ref")
+    return rich.select("ref", F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"""{_EP}, f AS (
+  SELECT DISTINCT session_id, 'chg.' || sha256(concat_ws('|', '1', {_RULE}, kind, path, method, delta)) AS change_id, kind, method, path, {_RULE} AS rule FROM ef WHERE state = 'NOVEL'),
+b AS (SELECT session_id, '"findings":[' || string_agg('{{"change_id":"' || change_id || '","kind":"' || kind || '","method":"' || method || '","path":"' || path || '","rule":"' || rule || '"}}', ',' ORDER BY change_id) || '],"profile":"p1","session_id":"' || session_id || '"}}' AS t FROM f GROUP BY 1)
+SELECT session_id, 'promotion.' || sha256('{{' || t) AS bundle_id, sha256('{{"bundle_id":"promotion.' || sha256('{{' || t) || '",' || t) AS payload_sha256 FROM b""")
+def promotion_bundles(spark, d):
+    ob, contract = _contract(spark, d)
+    facts = detect.endpoint_facts(ob.where("NOT known"), contract).where("state = 'NOVEL'").join(ob.select("event_id", "session_id"), "event_id")
+    ids = detect.findings(facts).select("change_id", "rule", "kind", "path", "method", "delta")
+    return knowledge.bundles(facts.join(ids, ["kind", "path", "method", "delta"]), "p1").select("session_id", "bundle_id", "payload_sha256")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+w AS (SELECT page_id, lag(line) OVER x AS city, line, lead(line) OVER x AS level FROM l WINDOW x AS (PARTITION BY page_id ORDER BY pos))
+SELECT page_id, count(*) AS bad_rows FROM w WHERE regexp_matches(line, '^(.+) \(([0-9]+)\)$') AND (coalesce(trim(city), '') = '' OR TRY_CAST(trim(level) AS INTEGER) IS NULL) GROUP BY 1
+""")
+def roster_problems(spark, d):
+    return market_pages.roster(A.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))[1]
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'k' WHEN 1 THEN 'a,k' WHEN 2 THEN 'x,y' END AS keys FROM events
+""")
+def body_keys(spark, d):
+    from tessera.sources.frames import body_keys as keys
+
+    e, n = A.table(spark, d, "events"), F.col("event_id") % 4
+    body = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("["), "props", F.lit(',{"a":1,"token":2}]'))).when(n == 2, F.lit("x=1&y=2&x=3&session_id=4")).otherwise(F.lit("plain"))
+    kind = F.when(n < 2, F.lit("application/json")).when(n == 2, F.lit("application/x-www-form-urlencoded")).otherwise(F.lit("text/plain"))
+    return e.select("event_id", F.array_join(keys(body, kind), ",").alias("keys"))
+
+
 # Experiments
 
 _SLICES = """b AS (SELECT l_partkey AS product_id, sum(l_quantity::BIGINT)::BIGINT AS volume, count(*) AS lines FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),

@@ -227,3 +227,65 @@ def test_sources(spark, tmp_path):
     assert evidence.verified_artifacts(artifacts.select("ref"), artifacts).count() == 1
     with pytest.raises(Exception, match="artifact is missing"):
         evidence.verified_artifacts(spark.createDataFrame([("sha256:0",)], "ref string"), artifacts).count()
+
+
+def page(*rows):
+    return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+
+def test_market_pages(spark):
+    from tessera.operators import market_pages as M
+
+    link = '<a href="/analitics/retailmarket/?city=3&amp;retailgroup=7">{}</a>'
+    city = page([link.format("<img>"), link.format("Food"), "819.94 млн p.", "x", "+79.5%", "13.73%", "173%", '<img title="c">', '<span title="Уровень цен:  67.74%"></span>'], ["total"])
+    bad = city.replace("819.94 млн p.", "much")
+    rows, problems = M.city_groups(spark.createDataFrame([(1, 3, city), (2, 3, bad), (3, 4, city)], "page_id long, city_id long, html string"))
+    assert [tuple(r) for r in rows.collect()] == [(1, 3, 7, "Food", 819940000, 79.5, 13.73, 173.0, 67.74)]
+    assert sorted(r.page_id for r in problems.collect()) == [2, 3]
+    prices = page(['<a href="/city/?id=5">Town</a><div id="basketPrice[0]">12.5</div><div id="basketQuality[0]">1.5</div>', "", "", "", ""])
+    rows, problems = M.group_cities(spark.createDataFrame([(1, 9, prices)], "page_id long, group_id long, html string"))
+    assert [tuple(r) for r in rows.collect()] == [(1, 9, 5, "Town", 12.5, 1.5)] and problems.count() == 0
+    vendors = page(["<h3>Tools</h3>"], ['<a href="/analitics/vendors/?product=4">a</a>'], ["<h3>Food</h3>"], ['<a href="/analitics/vendors/?product=6">b</a>', '<a href="/analitics/vendors/?product=7">c</a>'])
+    rows, _ = M.vendor_products(spark.createDataFrame([(1, vendors)], "page_id long, html string"))
+    assert sorted((r.product_id, r.group_name) for r in rows.collect()) == [(4, "Tools"), (6, "Food"), (7, "Food")]
+    cells = ['<a href="?product=8">i</a>', '<a href="?product=8">n</a>', "", "1 200 / 300", "", "15 pcs", "1.25 q", "", "", '<input name="price[8]" value="40">', "2.5", "50", "7", "", '<input name="purchaseQuantity[8]" value="3"><input name="vendorPrice[8]" value="">']
+    rows, problems = M.goods(spark.createDataFrame([(1, 2, page(cells)), (2, 2, page(cells, cells))], "page_id long, unit_id long, html string"))
+    assert [tuple(r)[2:] for r in rows.collect()] == [(8, 1200, 300, 15, 1.25, 40, 2.5, 50, 7, 3, 0)] and [r.page_id for r in problems.collect()] == [2]
+    text_ = "Head\nParis\nShop One (12)\n3\nRome\nShop Two (13)\n4"
+    rows, problems = M.roster(spark.createDataFrame([(1, text_), (2, text_.replace("\n4", "\nx"))], "page_id long, text string"))
+    assert [(r.unit_id, r.city, r.level) for r in rows.orderBy("unit_id").collect()] == [("12", "Paris", 3), ("13", "Rome", 4)] and problems.count() == 1
+
+
+def test_frames_and_cursor(spark):
+    from tessera.functions import cursor
+    from tessera.sources import frames
+
+    sent = lambda i, url, **k: json.dumps({"method": "Network.requestWillBeSent", "params": {"requestId": i, "request": {"url": url, "method": "post", "headers": {"Content-Type": "application/json", "Cookie": "c", "X-Ok": "1"}, "postData": '{"b":1,"password":2}'}, "timestamp": 1.5, **k}})
+    rows = [(0, sent("r1", "https://x.test/a?q=1&token=2", hasUserGesture=True)), (1, sent("r2", "https://tracker.test/")), (2, sent("r1", "https://x.test/b")), (3, json.dumps({"method": "Network.responseReceived", "params": {"requestId": "r1", "response": {"status": 200}}})), (4, json.dumps({"method": "Page.x", "params": {}}))]
+    got = frames.network_events(spark.createDataFrame([("s", *r) for r in rows], "session_id string, sequence long, frame string"), "x.test").orderBy("sequence").collect()
+    assert [(r.sequence, r.event_type, r.redirect_index, r.method, r.url_path) for r in got] == [(0, "http.request", 0, "POST", "/a"), (2, "http.request", 1, "POST", "/b"), (3, "http.response", 1, None, None)]
+    assert got[0].headers == {"Content-Type": "application/json", "X-Ok": "1"} and got[0].body_keys == ["b"] and [p.key for p in got[0].query] == ["q"] and got[0].has_user_gesture and got[2].body_keys is None
+    token = cursor.encode("sessions", "all", "g" * 64, ("a", "b"))
+    assert cursor.decode(token, "sessions", "all") == ("g" * 64, ("a", "b"))
+    for bad in (token[:-2] + "AA", token.replace("tscur1.", "x"), token + "="):
+        with pytest.raises(ValueError):
+            cursor.decode(bad, "sessions", "all")
+    with pytest.raises(ValueError):
+        cursor.decode(token, "changes", "all")
+
+
+def test_knowledge(spark):
+    from tessera.operators import knowledge as K
+
+    got = K.aliases(spark.createDataFrame([("r", 1, "Straße"), ("r", 2, "STRASSE"), ("r", 3, " x  y "), ("r", 4, "")], "ref string, position int, alias string"))
+    assert sorted((r.norm, r.alias) for r in got.collect()) == [("strasse", "Straße"), ("x y", " x  y ")]
+    base = spark.createDataFrame([("a",), ("b",)], "ref string")
+    rich = K.enrich(base, spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x")], "ref string, category string"), "ref")
+    assert {r.ref: r.categories for r in rich.collect()} == {"a": ["x", "y"], "b": []}
+    with pytest.raises(Exception, match="unknown key"):
+        K.enrich(base, spark.createDataFrame([("z", "y")], "ref string, category string"), "ref").count()
+    found = spark.createDataFrame([("s", "c2", "R", "k", "/p", "GET"), ("s", "c1", "R", "k", "/p", "GET")], "session_id string, change_id string, rule string, kind string, path string, method string")
+    one = K.bundles(found, "p").first()
+    doc = json.loads(one.payload)
+    assert [f["change_id"] for f in doc["findings"]] == ["c1", "c2"] and doc["bundle_id"] == one.bundle_id
+    assert K.bundles(found.orderBy("change_id"), "p").first() == one
