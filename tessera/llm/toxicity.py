@@ -27,7 +27,11 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 el
 #: Bytes of the word stems that are features beside whole words: rare and new forms share them.
 STEMS = (4, 5, 6, 7)
 #: Bound on the labelled documents that the chain is fitted on; their word hashes reach the driver.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 6_000
+
+
+#: Documents whose words a task holds at once.
+SLICE = 500
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -43,37 +47,42 @@ class Bags:
     def __init__(self, bags: list[np.ndarray]):
         self.n = len(bags)
         self.words = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(self.n), [len(b) for b in bags]) if bags else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(b) for b in bags]) if bags else np.zeros(0, np.int32)
+
+    def numbered(self, vocabulary: np.ndarray) -> Bags:
+        """The words that the sorted ``vocabulary`` has, as positions in it."""
+        out = Bags([])
+        out.n = self.n
+        if len(vocabulary) and len(self.words):
+            at = np.minimum(np.searchsorted(vocabulary, self.words), len(vocabulary) - 1)
+            hit = vocabulary[at] == self.words
+            out.words, out.doc = at[hit].astype(np.int32), self.doc[hit]
+        else:
+            out.words = np.zeros(0, np.int32)
+        return out
 
     def take(self, mask: np.ndarray) -> Bags:
+        """The documents that ``mask`` names, counted anew."""
         out = Bags([])
         keep = mask[self.doc]
         out.n, out.words = int(mask.sum()), self.words[keep]
-        out.doc = (np.cumsum(mask) - 1)[self.doc[keep]]
+        out.doc = (np.cumsum(mask) - 1).astype(np.int32)[self.doc[keep]]
         return out
 
-    def columns(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, position in the sorted ``chosen``) of the words that were chosen."""
-        if not len(chosen) or not len(self.words):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(chosen, self.words), len(chosen) - 1)
-        hit = chosen[at] == self.words
-        return self.doc[hit], at[hit]
-
 
 @dataclass
 class Link:
     """One model of the chain: weights of its words, of the probabilities before it, and its intercept."""
 
     category: str
-    words: np.ndarray  # sorted hashes
+    words: np.ndarray  # sorted hashes; while fitting, numbers of words
     weights: np.ndarray
     chained: np.ndarray
     intercept: float
 
     def probability(self, bags: Bags, before: np.ndarray) -> np.ndarray:
-        i, j = bags.columns(self.words)
-        margin = np.bincount(i, self.weights[j], bags.n) + before @ self.chained + self.intercept
+        own = bags.numbered(self.words)
+        margin = np.bincount(own.doc, self.weights[own.words], bags.n) + before @ self.chained + self.intercept
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
@@ -88,20 +97,20 @@ class Chain:
         return out
 
 
-def _fit_link(category: str, bags: Bags, before: np.ndarray, y: np.ndarray, *, vocabulary: int, least: int, l2: float, steps: int) -> Link:
-    """A logistic model of the words that tell the classes apart best, by accelerated gradient descent."""
+def _fit_link(category: str, bags: Bags, seen: int, before: np.ndarray, y: np.ndarray, *, vocabulary: int, least: int, l2: float, steps: int) -> Link:
+    """A logistic model of the words, numbered below ``seen``, that tell the classes apart best, by accelerated
+    gradient descent. The link's words are numbers."""
     n = bags.n
     rate = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
-    seen, at = np.unique(bags.words, return_inverse=True)
-    ones = np.bincount(at, y[bags.doc], len(seen))
-    all_ = np.bincount(at, minlength=len(seen))
+    ones = np.bincount(bags.words, y[bags.doc], seen)
+    all_ = np.bincount(bags.words, minlength=seen)
     p = (ones + 0.5) / (max(1.0, y.sum()) + 1)
     q = (all_ - ones + 0.5) / (max(1.0, n - y.sum()) + 1)
     strength = np.where(all_ >= least, np.abs(np.log(p / q)) * np.sqrt(np.minimum(1, p + q)), -1)
-    order = np.lexsort((seen, -strength))[:vocabulary]
-    chosen = np.sort(seen[order[strength[order] > 0]])
-    i, j = bags.columns(chosen)
-    v = len(chosen)
+    order = np.lexsort((np.arange(seen), -strength))[:vocabulary]
+    chosen = np.sort(order[strength[order] > 0])
+    own = bags.numbered(chosen)
+    i, j, v = own.doc, own.words, len(chosen)
     w = np.zeros(v + before.shape[1] + 1)
     w[-1] = np.log(rate / (1 - rate))
     look, momentum = w.copy(), 1.0
@@ -123,17 +132,22 @@ def _fit_link(category: str, bags: Bags, before: np.ndarray, y: np.ndarray, *, v
 def fit_chain(bags: Bags, targets: dict[str, np.ndarray], *, folds: np.ndarray, vocabulary: int = 500, least: int = 4, l2: float = 2e-5, steps: int = 300) -> Chain:
     """Fit the categories in the order of ``targets``; ``folds`` names each document's fold."""
     options = {"vocabulary": vocabulary, "least": least, "l2": l2, "steps": steps}
+    hashes, counts = np.unique(bags.words, return_counts=True)
+    hashes = hashes[counts >= least]
+    bags = bags.numbered(hashes)
     before, links = np.zeros((bags.n, 0)), []
     for k, (category, y) in enumerate(targets.items()):
-        links.append(_fit_link(category, bags, before, y, **options))
+        links.append(_fit_link(category, bags, len(hashes), before, y, **options))
         if k + 1 == len(targets):
             break
         out = np.zeros(bags.n)
         for f in np.unique(folds):
             own, rest = folds == f, folds != f
-            link = _fit_link(category, bags.take(rest), before[rest], y[rest], **options)
+            link = _fit_link(category, bags.take(rest), len(hashes), before[rest], y[rest], **options)
             out[own] = link.probability(bags.take(own), before[own])
         before = np.column_stack([before, out])
+    for link in links:
+        link.words = hashes[link.words]
     return Chain(links)
 
 
@@ -146,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, where: C
 
     sample = labelled_sample(docs, labels, categories, where=where, limit=limit).dropDuplicates(["doc_id"])
     rows = sample.select("doc_id", *categories, bag("text").alias("bag")).toPandas().sort_values("doc_id")
-    bags = Bags([np.frombuffer(b, np.uint64) for b in rows["bag"]])
+    bags = Bags([np.frombuffer(b, np.uint64) for b in rows.pop("bag")])
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in rows["doc_id"]], np.int64)
     return fit_chain(bags, {c: rows[c].to_numpy(float) for c in categories}, folds=fold, **options)
 
@@ -160,7 +174,7 @@ def score(docs: DataFrame, chain: Chain, *, threshold: float = 0.4) -> DataFrame
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def predict(texts: pa.Array) -> pa.Array:
-        p = chain.probabilities(Bags([words_of(t) for t in utf8(texts)]))
+        p = np.concatenate([np.zeros((0, len(names))), *(chain.probabilities(Bags([words_of(t) for t in utf8(texts.slice(k, SLICE))])) for k in range(0, len(texts), SLICE))])
         return pa.FixedSizeListArray.from_arrays(pa.array(p.ravel(), pa.float64()), len(names)).cast(pa.list_(pa.float64()))
 
     scored = docs.withColumn("_p", predict(F.col("text").cast("string")))
