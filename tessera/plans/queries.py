@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, normalise, pages, text
-from tessera.operators import census, correlate, current, detect, experiments, integrity, knowledge, market, market_pages, paths, provenance, search, sessions
+from tessera.operators import census, consistency, correlate, current, detect, experiments, integrity, knowledge, market, market_pages, paths, provenance, search, sessions
 from tessera.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,6 +287,44 @@ def redact_json(spark, d):
     return A.table(spark, d, "events").select("event_id", text.redact_json(nested).alias("body"))
 
 
+@query("SELECT event_type, quantile_disc(v, 0.0) AS p0, max(v) FILTER (k = ceil((n - 1) * 0.5) + 1) AS p50, max(v) FILTER (k = ceil((n - 1) * 0.95) + 1) AS p95 FROM (SELECT event_type, value AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY value)) GROUP BY 1")
+def percentiles(spark, d):
+    return consistency.nearest_rank(A.table(spark, d, "events"), ["event_type"], "value", {"p0": 0.0, "p50": 0.5, "p95": 0.95})
+
+
+@query("SELECT path_pattern, 'status' AS facet, 1 AS n FROM (SELECT 'x' AS path_pattern) WHERE false")
+def census_conservation(spark, d):
+    """Endpoints whose status counts do not add up: none, as both come from the same requests."""
+    app = _app(spark, d)
+    total = census.endpoint_census(app, F.col("path_pattern"), F.array().cast("array<string>"))
+    counts = census.value_counts(app, "path_pattern", ["status", "capture"])
+    return consistency.census_conservation(total, counts, "path_pattern").select("path_pattern", "facet", F.lit(1).alias("n"))
+
+
+@query(f"""WITH {A.OBSERVATIONS}, a AS (SELECT DISTINCT path, method FROM ob WHERE known), b AS (SELECT DISTINCT path, method FROM ob WHERE n % 50 = 0)
+SELECT path, method, 'left' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT path, method, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def contract_consistency(spark, d):
+    ob = A.observations(spark, d)
+    return consistency.both_ways(ob.where("known"), ob.where("n % 50 = 0"), ["path", "method"])
+
+
+@query("""
+SELECT event_id::VARCHAR AS session_id, CASE event_type WHEN 'signup' THEN 'submit' ELSE 'click' END AS action_kind, event_id % 2 = 0 AS is_trusted, '/p/' || event_id % 10 AS page_path, CASE WHEN event_id % 3 = 0 THEN 'POST' END AS form_method,
+  CASE WHEN event_id % 4 <> 0 THEN 'name' END AS element_name FROM events WHERE event_type IN ('click', 'signup')
+""")
+def action_events(spark, d):
+    from tessera.functions.actions import action_events as read
+
+    n, text_ = F.col("event_id"), lambda c: c.cast("string")
+    kind = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "click", "click").otherwise("hover")
+    payload = F.to_json(F.struct(
+        F.lit(1).alias("schema"), kind.alias("kind"), (n % 2 == 0).alias("isTrusted"), F.concat(F.lit("/p/"), text_(n % 10), F.lit("?q=1")).alias("pagePath"),
+        F.struct(F.when(n % 4 != 0, F.lit(" name ")).otherwise(F.lit("csrfName")).alias("name")).alias("element"), F.struct(F.when(n % 3 == 0, F.lit("post")).otherwise(F.lit("p1")).alias("method")).alias("form"),
+    ))
+    rows = A.table(spark, d, "events").select(text_(n).alias("session_id"), F.lit(0).alias("sequence"), payload.alias("payload"))
+    return read(rows).select("session_id", "action_kind", "is_trusted", "page_path", "form_method", "element_name")
+
+
 # Changes
 
 
@@ -570,6 +608,25 @@ def knowledge_evidence(spark, d):
     return knowledge.evidence(li.select(F.col("l_partkey").alias("ref"), F.col("l_orderkey").alias("position"), F.col("l_suppkey").cast("string").alias("evidence_ref")))
 
 
+@query("""
+WITH f AS (SELECT l_partkey AS ref, l_suppkey::VARCHAR AS evidence_ref, min(l_orderkey) AS position FROM lineitem GROUP BY ALL), o AS (SELECT ref, evidence_ref, row_number() OVER (PARTITION BY ref ORDER BY position, evidence_ref) AS k FROM f)
+SELECT ref, string_agg(evidence_ref, ',' ORDER BY k) AS evidence FROM o WHERE k <= 8 GROUP BY 1
+""")
+def evidence_top(spark, d):
+    return consistency.top_evidence(knowledge_evidence(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query("""
+SELECT 'order-' || o_orderkey AS source_id, count(*) AS size, 'har' AS kind FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1 UNION ALL SELECT 'part-' || p_partkey, p_size::BIGINT, 'web' FROM part
+""")
+def provenance_registry(spark, d):
+    from tessera.sources.registry import source_catalog
+
+    o = A.table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey").distinct()
+    web = A.table(spark, d, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("source_id"), F.col("p_size").cast("long").alias("size"))
+    return source_catalog(har=o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("source_id"), F.lit(1).cast("long").alias("size")), web=web)
+
+
 @query("""
 SELECT p_partkey AS ref, coalesce(array_to_string(list_sort(list_distinct(list('s' || l_suppkey % 9) FILTER (l_suppkey IS NOT NULL))), ','), '') AS categories FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_linenumber <= 2 GROUP BY 1
 """)
