@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,16 @@ def utf8(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column without decoding them; null texts are empty."""
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
     return [b or b"" for b in texts.cast(kind).to_pylist()]
+
+
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of ``texts`` (no nulls) in a row, A-Z in lower case, and the number of each text's words.
+
+    Arrow splits and numbers the words, so no Python object is made for a word that comes again.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, of = lists.flatten(), pc.list_parent_indices(lists)
+    if len(flat) and (blank := pc.equal(flat, "")).true_count:  # white space at an end gives an empty word
+        keep = pc.invert(blank)
+        flat, of = flat.filter(keep), of.filter(keep)
+    return flat.dictionary_encode(), np.bincount(of.to_numpy(), minlength=len(texts))

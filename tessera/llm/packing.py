@@ -11,30 +11,32 @@ laid into windows whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import unicodedata
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import utf8
+from tessera.llm.common import split_words
 
 WINDOW = 4096
 #: Padding tokens that a cut inside a document is worth: at a sentence's end, at any other word's end.
 SENTENCE_PENALTY, WORD_PENALTY = 8, 96
 #: Without a sentence's end a cut is possible at the first word's end after so many tokens.
 WORD_STEP = 128
-#: Tokens of one run of the dynamic programme; cached words and chunks of a worker.
-RUN_TOKENS, CACHE = 1 << 20, 400_000
+#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 150 MB.
+RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 200_000, 600_000
 
 #: Fixed values of the tokenizer word_bpe_49k: its split pattern, its special tokens, its word-end suffix.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 WORD_END = "</w>"
 
 SCHEMA = (
@@ -43,6 +45,29 @@ SCHEMA = (
 )
 
 
+class _Known:
+    """Numbered keys and the ids that each stands for, in one growing array."""
+
+    def __init__(self):
+        self.code: dict = {}
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
+        first = len(self.ids) + np.cumsum(size) - size
+        self.code.update(zip(keys, range(len(self.code), len(self.code) + len(keys))))
+        self.ids, self.first, self.size = (np.concatenate(x) for x in ((self.ids, ids), (self.first, first), (self.size, size)))
+
+    def codes(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``codes`` in a row, and the position after each code's."""
+        size = self.size[codes]
+        after = np.cumsum(size)
+        total = int(after[-1]) if len(after) else 0
+        return self.ids[np.repeat(self.first[codes] - (after - size), size) + np.arange(total)], after
+
+
 class WordTokenizer:
     """Token ids of whole texts, from a cache of white-space chunks and one of the words inside them.
 
@@ -50,89 +75,78 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str | None = None):
-        import unicodedata
-
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.core = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.nfc, self.split = unicodedata.normalize, regex.compile(PATTERN).findall
+        self.split = regex.compile(f"{PATTERN}| ").findall
         self.ends = np.zeros(self.core.get_vocab_size(), bool)
         for token, i in self.core.get_vocab().items():
             self.ends[i] = token.endswith(WORD_END)
-        self.words: dict[str, np.ndarray] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.chunks: dict[bytes, int] = {}
-        self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.stop = np.zeros(0, bool)
+        self.words, self.chunks, self.stop = _Known(), _Known(), np.zeros(0, bool)
 
     def _learn_words(self, new: list[str]) -> None:
-        if not new:
-            return
-        if len(self.words) > CACHE:
-            self.words.clear()
         ids = np.array(self.core.encode(" ".join(new), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(new):  # a word that the tokenizer splits in another way
-            for w in new:
-                self.words[w] = np.array(self.core.encode(w, add_special_tokens=False).ids, np.uint32)
-            return
-        self.words.update(zip(new, np.split(ids, ends[:-1])))
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.chunks) > CACHE:
-            raise MemoryError  # the caller starts over with an empty cache
-        parts = [self.split(self.nfc("NFC", c.decode()).lower() if not c.isascii() else c.decode()) for c in new]
-        need = {w for p in parts for w in p}
-        if len(self.words) > CACHE:
-            self.words.clear()
-        self._learn_words([w for w in need if w not in self.words])
-        words = self.words
-        ids = [words[w] for p in parts for w in p]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        per = np.fromiter(map(len, parts), np.int64, len(parts))
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per)])]
-        base, at = len(self.pool), len(self.chunks)
-        self.pool = np.concatenate([self.pool, *ids]) if ids else self.pool
-        self.first = np.concatenate([self.first, base + bounds[:-1]])
-        self.size = np.concatenate([self.size, np.diff(bounds)])
-        self.stop = np.concatenate([self.stop, [c.rstrip(b"\"')]").endswith((b".", b"!", b"?")) for c in new]])
-        self.chunks.update(zip(new, range(at, at + len(new))))
-
-    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) != len(new):  # words that the tokenizer splits in another way
+            each = [self.core.encode(w, add_special_tokens=False).ids for w in new]
+            ids = np.array([i for e in each for i in e], np.uint32)
+            after = np.cumsum([len(e) for e in each])
+        self.words.add(new, ids, np.diff(after, prepend=0))
+
+    def _learn(self, new: list[str]) -> None:
+        # All chunks are normalised and split at once; the spaces between them mark where each ends. The
+        # tokenizer lower-cases character by character, so a final sigma is no exception.
+        text = unicodedata.normalize("NFC", " ".join(new)).replace("\u03a3", "\u03c3").lower()
+        flat = self.split(text)
+        marks = np.flatnonzero(np.fromiter(map(" ".__eq__, flat), bool, len(flat)))
+        last = np.append(marks, len(flat)) - np.arange(len(marks) + 1)  # words up to each chunk's end
+        flat = [w for w in flat if w != " "]
+        local = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        fresh = [w for w in local if w not in self.words.code]
+        if len(self.words.code) + len(fresh) > WORDS:
+            self.words, fresh = _Known(), list(local)
+        if fresh:
+            self._learn_words(fresh)
+        codes = self.words.codes(list(local))[np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))]
+        ids, after = self.words.gather(codes)
+        ends = np.concatenate([[0], after])[last]
+        self.chunks.add(new, ids, np.diff(ends, prepend=0))
+        self.stop = np.concatenate([self.stop, [c.rstrip("\"')]").endswith((".", "!", "?")) for c in new]])
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: its ids, and the positions after each chunk with whether a sentence ends there."""
-        plain = [b"" if any(s in t for s in SPECIAL) else t.lower() for t in texts]
-        flat = [t.split() for t in plain]
-        chunks = list(itertools.chain.from_iterable(flat))
-        known = self.chunks
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        special = pc.or_(*(pc.match_substring(texts, m) for m in SPECIAL)).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(special, "", texts) if special.any() else texts
+        chunks, sizes = split_words(plain)
+        local = chunks.dictionary.to_pylist()
+        new = [c for c in local if c not in self.chunks.code]
+        if len(self.chunks.code) + len(new) > CHUNKS and self.chunks.code:
+            self.chunks, self.stop, new = _Known(), np.zeros(0, bool), local
         if new:
-            if len(known) + len(new) > CACHE and known:
-                self._reset()
-                known, new = self.chunks, list(dict.fromkeys(chunks))
             self._learn(new)
-        codes = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[codes]
-        after = np.cumsum(size)
-        total = int(after[-1]) if len(after) else 0
-        ids = self.pool[np.repeat(self.first[codes] - (after - size), size) + np.arange(total)]
+        codes = self.chunks.codes(local)[chunks.indices.to_numpy()]
+        ids, after = self.chunks.gather(codes)
         stops = self.stop[codes]
         out, chunk, token = [], 0, 0
-        for text, own in zip(texts, flat):
-            if not own and any(s in text for s in SPECIAL):
-                whole = np.array(self.core.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        for k, n in enumerate(sizes.tolist()):
+            if special[k]:
+                whole = np.array(self.core.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
                 at = np.flatnonzero(self.ends[whole]) + 1
                 out.append((whole, at, np.zeros(len(at), bool)))
                 continue
-            n = len(own)
             last = int(after[chunk + n - 1]) if n else token
             out.append((ids[token:last], after[chunk : chunk + n] - token, stops[chunk : chunk + n]))
             chunk, token = chunk + n, last
         return out
 
 
+@functools.cache
+def tokenizer(path: str | None) -> WordTokenizer:
+    """The tokenizer of this Python worker; what it knows stays for the worker's next tasks."""
+    return WordTokenizer(path)
+
+
 def cuts_of(length: int, after: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions inside a document where a window may end, ascending, and their penalties.
 
@@ -152,34 +166,41 @@ def cuts_of(length: int, after: np.ndarray, stops: np.ndarray) -> tuple[np.ndarr
     return at, np.where(stop, SENTENCE_PENALTY, WORD_PENALTY)
 
 
-def best_cuts(at: list[int], penalty: list[float], window: int = WINDOW) -> list[int]:
+def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
     """Window ends chosen among the positions ``at`` (ascending, above 0) at the least total cost.
 
     The last window end is the cheapest one that leaves less than a window behind it. A gap wider than a
     window is filled with cuts at its multiples first, so a way through always exists.
     """
-    pos, pen = [0], [0.0]
-    for p, c in zip(at, penalty):
-        while p - pos[-1] > window:
-            pos.append(pos[-1] + window)
-            pen.append(float(window))
-        pos.append(p)
-        pen.append(c)
-    end = pos[-1]
-    cost, before = [0.0] * len(pos), [0] * len(pos)
-    queue = deque([0])
-    for j in range(1, len(pos)):
-        p = pos[j]
-        while pos[queue[0]] < p - window:
-            queue.popleft()
-        i = queue[0]
+    where = np.concatenate([[0], np.asarray(at, np.int64)])
+    extra = [np.arange(where[k] + window, where[k + 1], window) for k in np.flatnonzero(np.diff(where) > window)]
+    if extra:
+        more = np.concatenate(extra)
+        where, pen = np.concatenate([where, more]), np.concatenate([[0.0], penalty, np.full(len(more), float(window))])
+        order = np.argsort(where, kind="stable")
+        where, pen = where[order], pen[order]
+    else:
+        pen = np.concatenate([[0.0], penalty])
+    # reach[i]: cost of the best way to cut i plus its position; a window from i to j adds window - (pos[j] - pos[i]).
+    pos, fixed, n = where.tolist(), (pen + window).tolist(), len(where)
+    reach, before = [0.0] * n, [0] * n
+    queue, head = [0] * n, 0
+    tail = 1
+    for j in range(1, n):
+        low = pos[j] - window
+        while pos[queue[head]] < low:
+            head += 1
+        i = queue[head]
         before[j] = i
-        value = cost[j] = cost[i] + pos[i] + window - p + pen[j]
-        value += p
-        while queue and cost[queue[-1]] + pos[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
-    j = min((k for k in range(len(pos)) if end - pos[k] < window), key=lambda k: (cost[k] - pos[k] * 1e-9, -k))
+        value = reach[j] = reach[i] + fixed[j]
+        while tail > head and reach[queue[tail - 1]] >= value:
+            tail -= 1
+        queue[tail] = j
+        tail += 1
+    end = pos[-1]
+    cost = np.array(reach) - where
+    open_ = np.flatnonzero(where > end - window)
+    j = int(open_[np.lexsort((-where[open_], cost[open_]))[0]])
     out = []
     while j:
         out.append(pos[j])
@@ -210,8 +231,7 @@ class _Run:
             base += len(ids)
             at.append([base])
             pen.append([0])
-        positions = np.concatenate(at).tolist()
-        ends = best_cuts(positions, np.concatenate(pen).tolist(), self.window)
+        ends = best_cuts(np.concatenate(at), np.concatenate(pen), self.window)
         if last:
             done = ends[-1] if ends else 0
             rest = self.total - done
@@ -252,7 +272,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 2,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = tokenizer(tokenizer_path)
         stream = _Run(TaskContext.get().partitionId() << 32, window)
         kinds = pa.schema([pa.field(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
@@ -263,7 +283,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 2,
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 some = batch.slice(k, 1000)
-                for doc_id, (ids, after, stops) in zip(some.column(0).to_pylist(), words.encode(utf8(some.column(1)))):
+                for doc_id, (ids, after, stops) in zip(some.column(0).to_pylist(), words.encode(pc.fill_null(some.column(1), ""))):
                     ids = np.concatenate([ids, tail])
                     stream.add(doc_id, len(ids), 0, ids, *cuts_of(len(ids), after, stops))
                     if stream.total >= RUN_TOKENS and (found := stream.flush(False)):
