@@ -28,9 +28,9 @@ from tessera.llm.common import split_words
 
 WINDOW = 4096
 #: Padding tokens that a cut inside a document is worth: at a sentence's end, at any other word's end.
-SENTENCE_PENALTY, WORD_PENALTY = 8, 96
+SENTENCE_PENALTY, WORD_PENALTY = 4, 32
 #: Without a sentence's end a cut is possible at the first word's end after so many tokens.
-WORD_STEP = 128
+WORD_STEP = 32
 #: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 150 MB.
 RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 200_000, 600_000
 
