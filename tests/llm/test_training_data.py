@@ -352,14 +352,66 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.search(df.where("vec_id < 3"), F.col("vec_id") == 0, k=10).count() == 2
 
 
-def test_pipeline(spark, small):
+def test_pipeline_equals_brute_force(spark, small):
+    """Every stage on its own input against plain Python, and run() against the stages one by one."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import TOXIC_CHAIN
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    left = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, left, small)
-        assert out.columns == docs.columns, name
-        left = spark.createDataFrame(out.collect(), docs.schema)
-    pieces = corpus_pipeline.run(spark, small).toPandas()
-    assert 0 < pieces.doc_id.nunique() < docs.count() and set(pieces.doc_id) == {r.doc_id for r in left.select("doc_id").distinct().collect()}
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "quality", "near_duplicates", "mixing", "packing"]
+
+    def rows(df):
+        assert df.columns == docs.columns
+        return [tuple(r) for r in df.collect()]
+
+    def again(kept):
+        return spark.createDataFrame(kept, docs.schema)
+
+    before = rows(docs)
+    chain = toxicity.train(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), TOXIC_CHAIN)
+    told = chain.probabilities(toxicity.Bags([toxicity.words_of(r[1].encode()) for r in before]))[:, -1] >= 0.4
+    clean = rows(stages["toxicity"](spark, docs, small))
+    assert sorted(clean) == sorted(r for r, t in zip(before, told) if not t) and len(clean) < len(before)
+
+    model = quality.train(again(clean), labels)
+    good = rows(stages["quality"](spark, again(clean), small))
+    assert sorted(good) == sorted(r for r in clean if model.predict(np.array([quality.statistics(r[1].encode())]))[0] >= 0.5)
+
+    prints = [slow_simhash(r[1]) for r in good]
+    root = list(range(len(good)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(good)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4 and find(i) != find(j):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(good):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    single = rows(stages["near_duplicates"](spark, again(good), small))
+    assert sorted(r[0] for r in single) == sorted(least.values())
+
+    mixed = rows(stages["mixing"](spark, again(single), small))
+    taken = {r.doc_id: (r.taken, r["size"]) for r in mixing.mix(again(single)).collect()}
+    times = collections.Counter(r[0] for r in mixed)
+    assert all(t // n <= times[i] <= -(-t // n) and times[i] <= 3 for i, (t, n) in taken.items() if n)
+    assert set(mixed) <= set(single)
+
+    core = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r[0]: core.encode(r[1], add_special_tokens=False).ids + [2] for r in single}
+    pieces = stages["packing"](spark, again(mixed), small).collect()
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+    assert sum(p.length for p in pieces) == sum(len(ids[r[0]]) for r in mixed)
+
+    whole = corpus_pipeline.run(spark, small).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in whole} == {i: n * len(ids[i]) for i, n in times.items()}
