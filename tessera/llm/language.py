@@ -13,18 +13,18 @@ add-one smoothed over the words of the corpus and one unknown.
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import trie
-from tessera.llm.common import new_shared_path, utf8
+from tessera.llm.common import new_shared_path, split_words
 
 #: Stands for the end of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -126,17 +126,14 @@ class Text:
         return out
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, the number of each word of all texts, words of each text."""
-    lists = [t.lower().split() for t in texts]
-    seen: dict[bytes, int] = {}
-    number = seen.setdefault
-    codes = np.array([number(w, len(seen)) for w in itertools.chain.from_iterable(lists)], np.int64)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64)
-    return hashes, codes, np.array([len(x) for x in lists], np.int64)
+    words, sizes = split_words(texts)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    return hashes, words.indices.to_numpy().astype(np.int64), sizes
 
 
-def read(model: Model, texts: list[bytes]) -> Text:
+def read(model: Model, texts: pa.Array) -> Text:
     hashes, codes, sizes = _words(texts)
     ids, counts = model.lookup(np.append(hashes, np.uint64(END)))
     ends = np.cumsum(sizes + 1) - 1
@@ -156,23 +153,24 @@ def nodes_of(model: Model, text: Text, upto: int) -> Iterator[tuple[np.ndarray,
         context = text.before(node, -1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[list[pa.RecordBatch], pa.Array]]:
     """Slices of the input of about RUN_TOKENS tokens."""
     held: list[pa.RecordBatch] = []
-    texts: list[bytes] = []
     size = 0
+
+    def texts() -> pa.Array:
+        return pc.fill_null(pa.concat_arrays([b.column(column) for b in held]), "")
+
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             some = batch.slice(k, 500)
-            more = utf8(some.column(column))
             held.append(some)
-            texts += more
-            size += sum(map(len, more))
+            size += pc.sum(pc.binary_length(some.column(column))).as_py() or 0
             if size > 6 * RUN_TOKENS:
-                yield held, texts
-                held, texts, size = [], [], 0
+                yield held, texts()
+                held, size = [], 0
     if held:
-        yield held, texts
+        yield held, texts()
 
 
 def _emit(keys: np.ndarray, counts: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -289,6 +287,11 @@ def train(docs: DataFrame, *, order: int = 3, least: int = LEAST, shard_tokens:
 
 def _build_level(texts: DataFrame, model: Model, level: int, start: np.ndarray, least: int) -> list:
     words = model.words
+    last = words if level == 2 else int(model.levels[-1].node[-1]) - 1  # the last context there is
+
+    def range_of(shard: int) -> tuple[int, int]:
+        """First and last context of a shard."""
+        return int(start[shard] // words), int((start[shard + 1] - 1) // words) if shard + 1 < len(start) else last
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in _runs(batches):
@@ -307,8 +310,7 @@ def _build_level(texts: DataFrame, model: Model, level: int, start: np.ndarray,
         shard = key[0].as_py()
         keys, counts = trie.merge_counts(rows.column("blob").to_pylist())
         keys = keys.astype(np.int64)
-        low = int(start[shard] // words)
-        high = int((start[shard + 1] - 1) // words) if shard + 1 < len(start) else int(keys[-1] // words)
+        low, high = range_of(shard)
         arrays = trie.build_shard(keys, counts, _counts_of(model, level - 1, low, high + 1), low, words, least)
         trie.write_arrays(f"{model.uri}/level{level}-{shard}", arrays)
         own = arrays["count"].astype(np.int64)
@@ -329,20 +331,13 @@ def _build_level(texts: DataFrame, model: Model, level: int, start: np.ndarray,
     split = np.array(sorted(shares), np.int64)
     ranges = Level(start, start // words, np.concatenate([[0], np.cumsum(sizes)]), split, np.array([shares[c] for c in split.tolist()]))
     model.levels.append(ranges)
-    _fill_gaps(model, level, start, set(used), reports[-1].last_context)
+    for shard in set(range(len(start))) - set(used):  # no n-gram fell into these, but they can be asked for
+        low, high = range_of(shard)
+        none = np.zeros(0, np.int64)
+        trie.write_arrays(f"{model.uri}/level{level}-{shard}", trie.build_shard(none, none, np.ones(high - low + 1), low, words, least))
     return reports
 
 
-def _fill_gaps(model: Model, level: int, start: np.ndarray, used: set[int], last: int) -> None:
-    """Files for shards that no n-gram fell into, so that every range of keys can be asked for."""
-    for shard in range(len(start)):
-        if shard not in used:
-            high = int((start[shard + 1] - 1) // model.words) if shard + 1 < len(start) else max(last, int(start[shard] // model.words))
-            n = high - int(start[shard] // model.words) + 1
-            none = np.zeros(0, np.int64)
-            trie.write_arrays(f"{model.uri}/level{level}-{shard}", trie.build_shard(none, none, np.ones(n), 0, model.words, 1))
-
-
 def _counts_of(model: Model, level: int, low: int, high: int) -> np.ndarray:
     """Counts of the nodes ``low`` .. ``high`` of a level; the one after all words is a text's start."""
     nodes = model.word_node if level == 1 else model.levels[level - 2].node
