@@ -20,7 +20,7 @@ from tessera.llm.common import WORD, cut
 BLOCK, SHARD_SLOTS, MOST = 64, 8192, 3
 ROUNDS = 12
 #: Documents that share one stretch of a source's stream when their places are summed up.
-STRETCH = 5000
+STRETCH = 1000
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -65,7 +65,9 @@ def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Co
 def _numbers(rows: DataFrame, count: Column, name: str, step: int = 4096) -> DataFrame:
     """Each row once for every number below ``count``; the work of a large count is dealt out."""
     parts = F.ceil(count / step).cast("long")
-    dealt = rows.where(count > 0).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).repartition("_part", *rows.columns)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes would become one task
+    parted = rows.where(count > 0).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = parted.repartition(tasks, "_part", *rows.columns)
     first = F.col("_part") * step
     return dealt.withColumn(name, F.explode(F.sequence(first, F.least(first + step, count) - 1))).drop("_part")
 
