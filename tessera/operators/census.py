@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import materialise
+
 PART_SIZE = 60
 
 
@@ -78,20 +80,12 @@ def partition_manifest(rows: DataFrame, order: list[str], *, size: int = PART_SI
 def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with row, their number from 1 in ``order``, for any number of rows.
 
-    The order is cut at quantiles of its first column, each stretch is counted, and rows are numbered in
-    their stretch from the count of the stretches before. Rows with the same first value share a stretch.
+    The sort deals rows out by ranges; the sorted table is kept once, so that counting its partitions and
+    numbering the rows in them see the same ones. Only the counts, one row a partition, are gathered.
     """
-    key = F.col(order[0])
-    kind = dict(rows.dtypes)[order[0]]
-    n = max(1, rows.rdd.getNumPartitions())
-    if kind in ("bigint", "int", "double", "float", "smallint", "tinyint") and n > 1:
-        cuts = sorted(set(rows.approxQuantile(order[0], [k / n for k in range(1, n)], 0.1 / n)))
-        stretch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key)) if cuts else F.lit(0)
-        placed = rows.withColumn("_stretch", F.when(key.isNull(), F.lit(-1)).otherwise(stretch))
-    else:
-        placed = rows.withColumn("_stretch", F.lit(0))
-    sizes = placed.groupBy("_stretch").agg(F.count("*").alias("_n"))  # one row a stretch
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_stretch").orderBy(*order))
-    joined = placed.withColumn("_w", within).join(sizes.select("_stretch", before.alias("_before")), "_stretch")
-    return joined.withColumn("row", F.col("_before") + F.col("_w")).drop("_stretch", "_w", "_before")
+    kept = materialise(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = kept.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return joined.withColumn("row", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")

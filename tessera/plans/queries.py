@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import canonical, normalise, pages, text
 from tessera.operators import census, consistency, correlate, current, detect, experiments, integrity, knowledge, market, market_pages, paths, provenance, search, sessions
 from tessera.plans import adapters as A
+from tessera.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -714,15 +715,6 @@ def convergence(spark, d):
 # Streams
 
 
-def _stream_folder(spark):
-    """Where a stream keeps its checkpoint and output: the shared folder of the cluster, if it names one."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark, d):
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
@@ -740,7 +732,7 @@ def _event_stream(spark, d):
 def stream_correlation(spark, d):
     from tessera.streaming.matcher import match_stream
 
-    where = _stream_folder(spark)
+    where = new_folder(spark, "stream")
     found = match_stream(_event_stream(spark, d), TIMING)
     sink = found.writeStream.format("parquet").option("path", f"{where}/links").option("checkpointLocation", f"{where}/checkpoint").outputMode("append")
     sink.trigger(availableNow=True).start().awaitTermination()
@@ -760,7 +752,7 @@ def stream_checkpoint_rerun(spark, d):
     ids = detect.findings(facts).select("change_id", "kind", "path", "method", "delta")
     seen = facts.join(ids, ["kind", "path", "method", "delta"]).select("change_id", "session_id", "started_at", F.sha2("session_id", 256).alias("evidence_sha256"))
     early = F.col("started_at") < "2024-01-01T06:00:00"
-    history = ChangeHistory(spark, _stream_folder(spark))
+    history = ChangeHistory(spark, new_folder(spark, "stream"))
     history.apply(seen.where(early), 0)
     history.apply(seen.where(~early), 1)
     history.apply(seen.where(~early), 1)
