@@ -442,6 +442,52 @@ def redirect_chain(spark, d):
     return detect.redirect_chain(e).select("event_id", "path", "redirected_from", "hops")
 
 
+@query(f"""WITH {A.OBSERVATIONS} SELECT CASE WHEN path LIKE '/signup/%' THEN '/signup/{{id}}' ELSE path END AS path, method, array_to_string(list_sort(query_keys), ',') AS query_keys, array_to_string(list_sort(body_keys), ',') AS body_keys, count(*) AS posts
+FROM ob WHERE method = 'POST' GROUP BY ALL""")
+def operation_signatures(spark, d):
+    from tessera.operators import contract
+
+    ob = A.observations(spark, d).where("method = 'POST'")
+    found = contract.operation_signatures(ob, spark.createDataFrame([("/signup/{id}",)], "pattern string"))
+    return found.withColumn("query_keys", F.array_join("query_keys", ",")).withColumn("body_keys", F.array_join("body_keys", ","))
+
+
+@query(f"""WITH {A.OBSERVATIONS}, e AS (SELECT path, list_sort(list(DISTINCT method)) AS methods, list_sort(list_distinct(flatten(list(query_keys)))) AS keys, list_sort(list(DISTINCT session_id || '#seq-' || sequence)) AS ev FROM ob WHERE known GROUP BY 1)
+SELECT 'endpoint:' || path AS ref, 'endpoint' AS kind, path AS title, array_to_string(methods, ' ') || chr(10) || 'query: ' || array_to_string(keys, ' ') AS body, array_to_string(ev, ',') AS evidence FROM e""")
+def knowledge_endpoints(spark, d):
+    from tessera.operators import projectors
+
+    ob = A.observations(spark, d).where("known")
+    ref = F.concat("session_id", F.lit("#seq-"), F.col("sequence").cast("string"))
+    rows = ob.groupBy(F.col("path").alias("path_pattern")).agg(
+        F.array_sort(F.collect_set("method")).alias("methods"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("query_keys")))).alias("query_keys"), F.array_sort(F.collect_set(ref)).alias("evidence")
+    )
+    return projectors.endpoint_records(rows).select("ref", "kind", "title", "body", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 3 THEN 'incompatible' WHEN l_linenumber = 5 OR l_partkey = 0 THEN 'out of range' END AS problem, CASE WHEN l_linenumber NOT IN (3, 5) AND l_partkey > 0 THEN l_quantity::BIGINT END AS sales FROM lineitem
+""")
+def artifact_parse(spark, d):
+    from tessera.functions import artifacts
+
+    n, one = F.col("l_linenumber"), F.lit(1).cast("long")
+    row = F.struct(
+        one.alias("city_price"), F.lit(1.5).alias("city_quality"), one.alias("our_price"), F.col("l_partkey").alias("product_numeric_id"), F.when(n == 5, F.lit(-1)).otherwise(F.lit(1)).cast("long").alias("profit"), one.alias("revenue"),
+        F.col("l_quantity").cast("long").alias("sales_volume"), one.alias("stock_qty"), F.lit(0.5).alias("stock_quality"), one.alias("supply_cost"), one.alias("supply_qty"),
+    )
+    text_ = F.to_json(F.struct(F.array(row).alias("rows"), F.when(n == 3, "v0").otherwise("unit-economics/v1").alias("schema"), F.col("l_suppkey").cast("string").alias("unit_id")))
+    read = A.table(spark, d, "lineitem").withColumn("a", artifacts.unit_economics(text_))
+    return read.select("l_orderkey", "l_linenumber", "l_partkey", "a.problem", F.try_element_at("a.page.rows", F.lit(1))["sales_volume"].alias("sales"))
+
+
+@query()
+def link_inventory(spark, d):
+    from tessera.functions import probes
+
+    return probes.link_inventory(A.table(spark, d, "pages").select("page_id", "html"))
+
+
 # Current state
 
 
