@@ -163,7 +163,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), block: int = B
         placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
         .withColumn("_from", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
         .withColumn("_to", F.least(end - F.col("block") * block, F.lit(block)))
-        .join(taken, ["source_no", "block"], "left")
+        .join(taken.hint("merge"), ["source_no", "block"], "left")  # its size can't be told from the few rows it comes from
     )
     of_block = (F.col("_to") - F.col("_from")) * F.col("times") + F.greatest(
         F.least(F.col("_to"), F.coalesce("part", F.lit(0))) - F.col("_from"), F.lit(0)
