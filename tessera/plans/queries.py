@@ -151,7 +151,7 @@ def keyset_page(spark, d):
     return sessions.keyset_page(o, ["o_custkey", "o_orderkey"], limit=50, after=(10, 50))
 
 
-@query(f"WITH {A.EVENTS} SELECT session_id, count(*) AS events, min(sequence) AS first, max(sequence) AS last, count(DISTINCT sequence) AS \"distinct\", min(sequence) = 0 AND max(sequence) = count(*) - 1 AND count(DISTINCT sequence) = count(*) AS contiguous FROM ev WHERE k < 99 GROUP BY 1")
+@query(f"WITH {A.EVENTS} SELECT session_id, count(*) AS events, min(sequence)::INTEGER AS first, max(sequence)::INTEGER AS last, count(DISTINCT sequence) AS \"distinct\", min(sequence) = 0 AND max(sequence) = count(*) - 1 AND count(DISTINCT sequence) = count(*) AS contiguous FROM ev WHERE k < 99 GROUP BY 1")
 def sequence_contiguity(spark, d):
     return integrity.sequence_gaps(A.events(spark, d).where("k < 99"))
 
@@ -204,7 +204,7 @@ def asset_census(spark, d):
     return e.groupBy("path").agg(F.count("*").alias("count"), F.countDistinct("capture").alias("captures"))
 
 
-@query(f"WITH {A.ENTRIES} SELECT capture, entry, path, example FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY entry) AS example FROM app) WHERE example <= 5")
+@query(f"WITH {A.ENTRIES} SELECT capture, entry, path, example::INTEGER AS example FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY entry) AS example FROM app) WHERE example <= 5")
 def first_examples(spark, d):
     return census.first_examples(_app(spark, d), "capture", ["entry"]).select("capture", "entry", "path", "example")
 
@@ -569,7 +569,7 @@ p AS (SELECT ref, len(w) AS length, unnest(w) AS term FROM w), t AS (SELECT ref,
 q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term FROM benchmark),
 n AS (SELECT query_id, count(*) AS needed FROM q GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
 h AS (SELECT query_id, ref, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS got FROM q JOIN t USING (term) JOIN df USING (term), s GROUP BY ALL)
-SELECT query_id, rank, ref, score FROM (SELECT query_id, ref, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM h JOIN n USING (query_id) WHERE got = needed) WHERE rank <= 10
+SELECT query_id, rank::INTEGER AS rank, ref, score FROM (SELECT query_id, ref, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM h JOIN n USING (query_id) WHERE got = needed) WHERE rank <= 10
 """)
 def search_bm25(spark, d):
     asked = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
@@ -579,7 +579,7 @@ def search_bm25(spark, d):
 _EXACT = """q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'part:' || (o_orderkey % 500) WHEN 1 THEN (SELECT min(p_name) FROM part) ELSE 'Brand#' || (o_orderkey % 60) END AS text FROM orders WHERE o_orderkey <= 3000),
 k AS (SELECT 'part:' || p_partkey AS ref, p_name, p_brand FROM part WHERE p_partkey <= 500),
 h AS (SELECT query_id, ref, min(tier) AS tier FROM (SELECT query_id, ref, 1 AS tier FROM q JOIN k ON text = ref UNION ALL SELECT query_id, ref, 2 FROM q JOIN k ON lower(text) = lower(p_brand) UNION ALL SELECT query_id, ref, 3 FROM q JOIN k ON lower(text) = lower(p_name)) GROUP BY ALL),
-hit AS (SELECT query_id, rank, ref, tier FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, ref) AS rank FROM h) WHERE rank <= 5)"""
+hit AS (SELECT query_id, rank::INTEGER AS rank, ref, tier FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, ref) AS rank FROM h) WHERE rank <= 5)"""
 
 
 def _exact(spark, d):
@@ -648,7 +648,7 @@ def knowledge_aliases(spark, d):
 
 @query("""
 WITH f AS (SELECT l_partkey AS ref, l_suppkey::VARCHAR AS evidence_ref, min(l_orderkey) AS position FROM lineitem GROUP BY ALL)
-SELECT ref, row_number() OVER (PARTITION BY ref ORDER BY position, evidence_ref) - 1 AS ordinal, evidence_ref FROM f
+SELECT ref, (row_number() OVER (PARTITION BY ref ORDER BY position, evidence_ref) - 1)::INTEGER AS ordinal, evidence_ref FROM f
 """)
 def knowledge_evidence(spark, d):
     li = A.table(spark, d, "lineitem")
