@@ -21,7 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import trie
 from tessera.llm.common import new_shared_path, split_words
