@@ -11,7 +11,6 @@ get their class back through their fingerprint.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -136,12 +135,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, see
     """
     marked = cut(fingerprints(docs, shingle=shingle, seed=seed))  # 16 bytes a document
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(distinct.select("fp"), distance=distance))
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(least, "root").select("fp", "component_id")
+    # Nodes begin with the least doc_id of their fingerprint, so a component's least node names its least doc_id
+    # and nothing has to be gathered by component.
+    none = F.lit((1 << 63) - 1)
+    node = distinct.select("fp", F.struct(F.coalesce("least", none).alias("id"), F.col("fp").alias("of")).alias("node"))
+    a, b = (node.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab")
+    pairs = links(distinct.select("fp"), distance=distance).join(a, "a").join(b, "b")
+    roots = connected(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    found = roots.select(F.col("node.of").alias("fp"), F.nullif(F.col("root.id"), none).alias("root"), F.lit(True).alias("_in"))
+    classes = distinct.join(found, "fp", "left").select("fp", F.when(F.col("_in"), F.col("root")).otherwise(F.col("least")).alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
