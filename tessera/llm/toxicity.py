@@ -27,7 +27,7 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 el
 #: Bytes of the word stems that are features beside whole words: rare and new forms share them.
 STEMS = (4, 5, 6, 7)
 #: Bound on the labelled documents that the chain is fitted on; their word hashes reach the driver.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 5_000
 
 
 #: Documents whose words a task holds at once.
