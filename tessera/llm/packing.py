@@ -31,8 +31,8 @@ WINDOW = 4096
 SENTENCE_PENALTY, WORD_PENALTY = 4, 32
 #: Without a sentence's end a cut is possible at the first word's end after so many tokens.
 WORD_STEP = 32
-#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 150 MB.
-RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 200_000, 600_000
+#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 170 MB.
+RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 300_000, 600_000
 
 #: Fixed values of the tokenizer word_bpe_49k: its split pattern, its special tokens, its word-end suffix.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
