@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, see
     pairs = links(distinct.select("fp"), distance=distance).join(a, "a").join(b, "b")
     roots = connected(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     found = roots.select(F.col("node.of").alias("fp"), F.nullif(F.col("root.id"), none).alias("root"), F.lit(True).alias("_in"))
-    classes = distinct.join(found, "fp", "left").select("fp", F.when(F.col("_in"), F.col("root")).otherwise(F.col("least")).alias("component_id"))
+    # Kept, so that the last join has exchanges of its own and Spark can split a fingerprint with many copies.
+    classes = cut(distinct.join(found, "fp", "left").select("fp", F.when(F.col("_in"), F.col("root")).otherwise(F.col("least")).alias("component_id")))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
