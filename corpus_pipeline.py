@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, quality, simhash
+from tessera.llm import minhash, mixing, packing, quality
 from tessera.llm.common import new_shared_path, table
 from tessera.llm.queries import toxicity_scores
 
@@ -30,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: texts whose five-word shingles are at least 0.8 similar."""
+    return minhash.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,143 @@
+"""Near copies by the similarity of their word shingles: MinHash bands find pairs, exact Jaccard decides.
+
+Texts are sets of five-word shingles. BANDS keys of ROWS minima each make two texts of similarity s meet
+with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, more above it. What meets is compared exactly.
+
+Texts with equal sets are one class and never form pairs. The classes of a bucket are compared with its
+least class first; two that are both near it are connected through it, so only pairs with a class that is
+not near it are still compared one by one. The components are those of all pairs of every bucket.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import cut, utf8
+from tessera.llm.simhash import connected, keep_least
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 20, 5
+#: Shingles whose minima are taken at once.
+STEP = 4096
+_rng = np.random.default_rng(42)
+_FLIP = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle, one without words none."""
+    words = text.lower().split()  # on bytes: A-Z only, ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = ends[min(shingle, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j]) for i, j in zip(starts[:n].tolist(), last.tolist())], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit key a band; none of an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), STEP):
+        np.minimum(least, ((hashes[at : at + STEP, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets; 1 if both are empty."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(id, text_key, set_key, n, bands) of every row: digests of its text and of its set of shingles, the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, sizes, found = [], [], []
+            for text in utf8(b.column(2)):
+                hashes = shingles(text)
+                sets.append(xxhash.xxh128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                found.append(bands(hashes))
+            arrays = [b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_key", "set_key", "n", "bands"])
+
+    return _keyed(docs).mapInArrow(run, "id long, text_key binary, set_key binary, n long, bands array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+
+
+def _near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b), distinct classes, whose texts are at least ``least`` similar."""
+
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        known = lru_cache(256)(shingles)
+        return pa.array([similarity(known(i), known(j)) >= least for i, j in zip(utf8(x), utf8(y))], pa.bool_())
+
+    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(near("text_a", "text_b")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` (doc_id, text and any other columns).
+
+    Rows are linked if their shingle sets are at least ``least`` similar. component_id is the least doc_id
+    that can be reached over links, the document's own included. Null and empty texts are one component.
+    Rows that repeat a doc_id stay rows of their own. A row without doc_id gets the least id of its
+    component, null if there is none. An empty table gives an empty result.
+    """
+    none = F.lit((1 << 63) - 1)
+    marked = cut(_marked(docs))  # some 200 bytes a document
+    # A class is named by its least doc_id and that row's text; the size of its set is the same in all of its rows.
+    own = F.struct(F.coalesce("id", none).alias("id"), F.col("text_key").alias("text_key"), "n")
+    classes = cut(marked.groupBy("set_key").agg(F.min(own).alias("node"), F.first("bands").alias("bands")))
+    member = classes.select("node", F.explode("bands").alias("bucket"))
+    leads = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    members = cut(member.join(leads, "bucket").where("node <> lead"))
+    wanted = members.select("node").union(members.select(F.col("lead").alias("node"))).distinct()
+    same = ["_id", "text_key"]
+    of = wanted.select("node", F.col("node.id").alias("_id"), F.col("node.text_key").alias("text_key"))
+    rows = _keyed(docs).withColumn("_id", F.coalesce("id", none)).drop("id")
+    texts = cut(rows.join(of, same).groupBy("node").agg(F.first("text").alias("text")))
+
+    a, b = F.col("a.n"), F.col("b.n")
+    could = F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9  # similarity can't exceed the ratio of the sizes
+    first = members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    near_lead = cut(_near(first.where(could), texts, least))
+    apart = members.join(near_lead.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti")
+    x, y = apart.select("bucket", F.col("node").alias("x")), members.select("bucket", F.col("node").alias("y"))
+    second = x.join(y, "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(could).distinct()
+    near = near_lead.union(_near(second, texts, least))
+
+    roots = connected(near)
+    found = roots.select("node", F.nullif(F.col("root.id"), none).alias("root"), F.lit(True).alias("_in"))
+    component = F.when(F.col("_in"), F.col("root")).otherwise(F.nullif(F.col("node.id"), none))
+    # Kept, so that the last join has exchanges of its own and Spark can split a class with many copies.
+    named = cut(classes.select("set_key", "node").join(found, "node", "left").select("set_key", component.alias("component_id")))
+    return marked.select(F.col("id").alias("doc_id"), "set_key").join(named, "set_key").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each component left, the one with the least doc_id; see simhash.keep_least."""
+    return keep_least(docs, near_duplicates(docs, **options))
+
+
+__all__ = ["bands", "near_duplicates", "one_of_each", "shingles", "similarity"]

@@ -153,7 +153,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id count as one document. Rows without doc_id can't be named: all stay.
     """
-    found = near_duplicates(docs, **options)
+    return keep_least(docs, near_duplicates(docs, **options))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the document named by component_id left of each component in ``found`` (doc_id, component_id)."""
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti")
     own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
@@ -164,4 +168,4 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-__all__ = ["connected", "fingerprints", "hex64", "links", "near_duplicates", "one_of_each", "simhash"]
+__all__ = ["connected", "fingerprints", "hex64", "keep_least", "links", "near_duplicates", "one_of_each", "simhash"]

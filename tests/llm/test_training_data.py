@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprint, language, licences, mixing, neighbours, packing, quality, simhash, toxicity, trie
+from tessera.llm import chat, fingerprint, language, licences, minhash, mixing, neighbours, packing, quality, simhash, toxicity, trie
 
 DOCS = "doc_id long, text string, source string, key string"
 
@@ -93,6 +93,43 @@ def test_one_of_each(spark, odd):
     assert None in ids and 1 in ids and 8 not in ids and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
 
 
+def test_near_copies_by_similarity(spark, odd, none):
+    """Planted pairs from 0.8 to 0.95, and near misses, against exact similarity of all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        text = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        edited = list(text)
+        for at in rng.sample(range(400), 1 + k % 16):  # each changed word takes five shingles
+            edited[at] = "changed"
+        rows += [(100 + 2 * k, " ".join(text)), (101 + 2 * k, " ".join(edited))]
+    hub = [f"h{k}" for k in range(400)]
+    rows += [(400 + k, " ".join(hub[: 40 * k] + ["x"] + hub[40 * k + 4 :])) for k in range(10)]  # a chain of near copies around a bucket's least
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text")).repartition(3)
+    every = df.collect()
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (r.text or "").encode().lower().split()) else set() for r in every]
+    group = list(range(len(every)))
+    like = {(i, j): len(s & t) / len(s | t) if s | t else 1 for i, s in enumerate(sets) for j, t in enumerate(sets[:i])}
+    assert sum(0.8 <= v < 0.95 for v in like.values()) >= 20
+    for _ in range(len(every)):
+        before = list(group)
+        for (i, j), v in like.items():
+            if v >= 0.8:
+                group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    want = collections.Counter()
+    for i, r in enumerate(every):
+        want[r.doc_id, min((every[j].doc_id for j in range(len(every)) if group[j] == group[i] and every[j].doc_id is not None), default=None)] += 1
+    got = collections.Counter(tuple(r) for r in minhash.near_duplicates(df).collect())
+    assert got == want
+    import corpus_pipeline
+
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()]
+    assert collections.Counter(i for i in kept if i is not None) == collections.Counter({c for d, c in want if d is not None})
+    assert minhash.near_duplicates(none).count() == 0
+
+
 # Packing
 
 
