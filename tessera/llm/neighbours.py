@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tessera.llm.common import cut
+
 #: Bounds of the sample that lists are fitted on, in rows and bytes; of the lists; of the rows that give
 #: each query its first threshold; of the queries whose true neighbours are found.
 SAMPLE_ROWS, SAMPLE_BYTES, LISTS, FIRST_ROWS, MEASURED = 20_000, 32 << 20, 4096, 4096, 64
@@ -81,16 +83,20 @@ def build(rows: DataFrame, d: int, count: int, longest: float, *, seed: int = 0)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(limit).toArrow()
     x = _matrix(sample.column("v").combine_chunks(), d)
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d + 1, d + 1)))[0]
-    n = min(FIRST_ROWS, len(x))
-    index = Index(longest, rotation, np.zeros((0, d + 1)), sample.column("id").to_numpy()[:n], x[:n])
+    ids = sample.column("id").to_numpy()
+    one = np.sort(np.unique(ids, return_index=True)[1])[:FIRST_ROWS]  # one row an id, or the k-th best would not be k ids
+    index = Index(longest, rotation, np.zeros((0, d + 1)), ids[one], x[one])
     k = int(np.clip(round(count**0.5), 1, min(LISTS, len(x))))
     index.centres = _kmeans(index.rotated(x), k, 8, seed)
     return index
 
 
 def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best of each query: higher score, then smaller id."""
-    order = np.lexsort((ids, -score, query))
+    """Positions of the ``k`` best ids of each query, each id with its best score: higher score, then smaller id."""
+    order = np.lexsort((-score, ids, query))
+    again = (query[order][1:] == query[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+    order = order[np.concatenate([[True], ~again])] if len(order) else order
+    order = order[np.lexsort((ids[order], -score[order], query[order]))]
     q = query[order]
     first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
@@ -108,10 +114,11 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
     alive = query_ids[:, None] != ids[None, :]
     done = min(BLOCK, dims)
     part = (z[:, :done] ** 2).sum(1)[:, None] + (y[:, :done] ** 2).sum(1)[None, :] - 2 * z[:, :done] @ y[:, :done].T
-    # The nearest so far are compared in full at once: their k-th score can only raise the threshold.
-    if len(ids) > k:
-        look = np.where(alive, part, np.inf)
-        near = np.argpartition(look, k - 1, axis=1)[:, :k]
+    # The nearest so far, one row an id, are compared in full at once: their k-th score can only raise the threshold.
+    one = np.unique(ids, return_index=True)[1]
+    if len(one) > k:
+        look = np.where(alive, part, np.inf)[:, one]
+        near = one[np.argpartition(look, k - 1, axis=1)[:, :k]]
         exact = np.einsum("ijk,ik->ij", x[near], q)
         exact[~np.take_along_axis(alive, near, 1)] = -np.inf
         threshold = np.maximum(threshold, exact.min(1))
@@ -191,7 +198,7 @@ def _of_first(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
 
 def _measure(rows: DataFrame, queries: DataFrame, index: Index, d: int, k: int, recall: float) -> int:
     """Lists to probe so that the sampled queries find ``recall`` of their true neighbours."""
-    some = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(MEASURED).toArrow()
+    some = queries.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(MEASURED).toArrow()
     if not some.num_rows:
         return 1
     q, own = _matrix(some.column("v").combine_chunks(), d), some.column("id").to_numpy()
@@ -209,6 +216,7 @@ def _measure(rows: DataFrame, queries: DataFrame, index: Index, d: int, k: int,
 
     true = rows.select("id", "v", "list").mapInArrow(run, "i long, id long, score double, list int")
     best = Window.partitionBy("i").orderBy(F.desc("score"), "id")
+    true = true.groupBy("i", "id").agg(F.max(F.struct("score", "list")).alias("b")).select("i", "id", "b.*")
     found = true.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("i", "list").toPandas()
     if found.empty:
         return 1
@@ -230,7 +238,8 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, recall: float =
     """
     spark = vectors.sparkSession
     named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("_query"))
-    good = named.where(F.col("id").isNotNull() & usable(F.col("v")))
+    usable_rows = named.where(F.col("id").isNotNull() & usable(F.col("v")))
+    good = cut(usable_rows.groupBy("id", "v").agg(F.max("_query").alias("_query")))  # rows that are repeated, once
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     kinds = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("s"))
     most = kinds.orderBy(F.desc("n"), "d").first()

@@ -389,6 +389,29 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.search(df.where("vec_id < 3"), F.col("vec_id") == 0, k=10).count() == 2
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.01])
+def test_neighbours_of_repeated_ids(spark, monkeypatch, spread):
+    """Every id 25 times, with equal vectors and with different ones: still k ids a query."""
+    monkeypatch.setattr(neighbours, "PART", 512)
+    monkeypatch.setattr(neighbours, "FIRST_ROWS", 100)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 12))
+    many = (x[:, None, :] + spread * rng.standard_normal((300, 25, 12))).astype(np.float32)
+    rows = [(k, v.tolist()) for k in range(300) for v in many[k]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    # All lists that the measured queries need, so that only thresholds and caps can lose a neighbour.
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0, k=10, recall=1.0).collect()
+    assert collections.Counter(r.query_id for r in got) == {q: 10 for q in range(0, 300, 20)}
+    hits, y = 0, many.astype(float)
+    for q in range(0, 300, 20):
+        score = np.einsum("kvd,wd->kvw", y, y[q]).max(axis=(1, 2))
+        score[q] = -np.inf
+        own = {r.vec_id for r in got if r.query_id == q}
+        assert len(own) == 10
+        hits += len(own & set(np.argsort(-score)[:10].tolist()))
+    assert hits / 150 >= 0.95
+
+
 def test_pipeline_equals_brute_force(spark, small):
     """Every stage on its own input against plain Python, and run() against the stages one by one."""
     import corpus_pipeline
