@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,16 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [b or b"" for b in texts.cast(kind).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices with at most ``most`` bytes of text in ``column`` each, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    k = 0
+    while k < batch.num_rows:
+        end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + most, "right")))
+        yield batch.slice(k, end - k)
+        k = end
+
+
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words of ``texts`` (no nulls) in a row, A-Z in lower case, and the number of each text's words.
 

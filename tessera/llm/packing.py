@@ -1,12 +1,13 @@
 """Order-preserving packing of tokenised documents into fixed windows.
 
 Each task reads its documents as one stream of token ids and chooses where the windows end. A window
-may end at a document's end for free, at a sentence's end for a small penalty and, where neither is
-near, at a word's end for a larger one; padding costs one per token. The least total cost is found by
-dynamic programming over the possible cuts: the best predecessor of a cut is the minimum of
-``cost + position`` over the cuts at most one window back, which a monotone queue gives in constant
-time. What follows the last cut of a run goes on into the next run; at the end of a task the rest is
-laid into windows whose lengths are powers of two, which need no padding.
+may end at a document's end for free and at a sentence's end for a small penalty; only in stretches
+too long for a sentence may it end at a word's end, for a larger one, and only where a word is longer
+than a window inside it.
+Padding costs one per token. The least total cost is found by dynamic programming over the possible
+cuts: the best predecessor of a cut is the minimum of ``cost + position`` over the cuts at most one
+window back, which a monotone queue gives in constant time. What follows the last cut of a run goes on
+into the next run; at the end of a task the rest is one padded window.
 """
 
 from __future__ import annotations
@@ -24,15 +25,20 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import split_words
+from tessera.llm.common import slices, split_words
 
 WINDOW = 4096
 #: Padding tokens that a cut inside a document is worth: at a sentence's end, at any other word's end.
 SENTENCE_PENALTY, WORD_PENALTY = 4, 32
-#: Without a sentence's end a cut is possible at the first word's end after so many tokens.
-WORD_STEP = 32
-#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 170 MB.
-RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 300_000, 600_000
+#: A longer stretch without a sentence's end is no sentence: there, windows may end at word ends too, at the
+#: first one of every WORD_STEP tokens.
+SENTENCE_MOST, WORD_STEP = 512, 32
+#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 100 MB.
+RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 400_000, 500_000
+#: Bytes of text that are tokenised at once (or one longer text).
+SLICE_BYTES = 8 << 20
+#: A word with which a sentence ends: a full stop, and after it no letter or digit.
+SENTENCE_END = r"[.!?][^\pL\pN]*$"
 
 #: Fixed values of the tokenizer word_bpe_49k: its split pattern, its special tokens, its word-end suffix.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -46,19 +52,24 @@ SCHEMA = (
 
 
 class _Known:
-    """Numbered keys and the ids that each stands for, in one growing array."""
+    """Keys numbered by their place in one Arrow array, and the ids that each stands for in one growing array."""
 
-    def __init__(self):
-        self.code: dict = {}
-        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, most: int):
+        self.most, self.keys = most, pa.array([], pa.large_string())
+        self.ids, self.first, self.size, self.hits = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
 
-    def add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
-        first = len(self.ids) + np.cumsum(size) - size
-        self.code.update(zip(keys, range(len(self.code), len(self.code) + len(keys))))
-        self.ids, self.first, self.size = (np.concatenate(x) for x in ((self.ids, ids), (self.first, first), (self.size, size)))
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """The number of each key, -1 for those not known."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy().astype(np.int64)
 
-    def codes(self, keys: list) -> np.ndarray:
-        return np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))
+    def add(self, keys: pa.Array, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of new ``keys``, whose ``ids`` come in a row, ``size`` for each key."""
+        first = len(self.ids) + np.cumsum(size) - size
+        codes = len(self.keys) + np.arange(len(keys))
+        self.keys = pa.concat_arrays([self.keys, keys])
+        more = ((self.ids, ids), (self.first, first), (self.size, size), (self.hits, np.zeros(len(keys), np.int64)))
+        self.ids, self.first, self.size, self.hits = (np.concatenate(x) for x in more)
+        return codes
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``codes`` in a row, and the position after each code's."""
@@ -67,6 +78,16 @@ class _Known:
         total = int(after[-1]) if len(after) else 0
         return self.ids[np.repeat(self.first[codes] - (after - size), size) + np.arange(total)], after
 
+    def trim(self) -> np.ndarray | None:
+        """If there are more than ``most`` keys, keep the half of that which is used most; the numbers they had."""
+        if len(self.keys) <= self.most:
+            return None
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
+        self.ids, after = self.gather(kept)
+        self.keys, self.size, self.hits = self.keys.take(pa.array(kept)), self.size[kept], self.hits[kept] // 2
+        self.first = after - self.size
+        return kept
+
 
 class WordTokenizer:
     """Token ids of whole texts, from a cache of white-space chunks and one of the words inside them.
@@ -84,50 +105,52 @@ class WordTokenizer:
         self.ends = np.zeros(self.core.get_vocab_size(), bool)
         for token, i in self.core.get_vocab().items():
             self.ends[i] = token.endswith(WORD_END)
-        self.words, self.chunks, self.stop = _Known(), _Known(), np.zeros(0, bool)
+        self.words, self.chunks, self.stop = _Known(WORDS), _Known(CHUNKS), np.zeros(0, bool)
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn_words(self, fresh: pa.Array) -> np.ndarray:
         # The batch form leaves offsets out, which takes half the time.
+        new = fresh.to_pylist()
         ids = np.array(self.core.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
         after = np.flatnonzero(self.ends[ids]) + 1
         if len(after) != len(new):  # words that the tokenizer splits in another way
             each = [self.core.encode(w, add_special_tokens=False).ids for w in new]
             ids = np.array([i for e in each for i in e], np.uint32)
             after = np.cumsum([len(e) for e in each])
-        self.words.add(new, ids, np.diff(after, prepend=0))
+        return self.words.add(fresh, ids, np.diff(after, prepend=0))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> np.ndarray:
         # All chunks are normalised and split at once; the spaces between them mark where each ends. The
         # tokenizer lower-cases character by character, so a final sigma is no exception.
-        text = unicodedata.normalize("NFC", " ".join(new)).replace("\u03a3", "\u03c3").lower()
-        flat = self.split(text)
-        marks = np.flatnonzero(np.fromiter(map(" ".__eq__, flat), bool, len(flat)))
+        text = unicodedata.normalize("NFC", " ".join(new.to_pylist())).replace("\u03a3", "\u03c3").lower()
+        flat = pa.array(self.split(text), pa.large_string())
+        space = pc.equal(flat, " ").to_numpy(zero_copy_only=False)
+        marks = np.flatnonzero(space)
         last = np.append(marks, len(flat)) - np.arange(len(marks) + 1)  # words up to each chunk's end
-        flat = [w for w in flat if w != " "]
-        local = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-        fresh = [w for w in local if w not in self.words.code]
-        if len(self.words.code) + len(fresh) > WORDS:
-            self.words, fresh = _Known(), list(local)
-        if fresh:
-            self._learn_words(fresh)
-        codes = self.words.codes(list(local))[np.fromiter(map(local.__getitem__, flat), np.int64, len(flat))]
+        words = flat.filter(pa.array(~space)).dictionary_encode()
+        codes = self.words.find(words.dictionary)
+        if (missing := codes < 0).any():
+            codes[missing] = self._learn_words(words.dictionary.filter(pa.array(missing)))
+        codes = codes[words.indices.to_numpy()]
+        self.words.hits += np.bincount(codes, minlength=len(self.words.keys))
         ids, after = self.words.gather(codes)
         ends = np.concatenate([[0], after])[last]
-        self.chunks.add(new, ids, np.diff(ends, prepend=0))
-        self.stop = np.concatenate([self.stop, [c.rstrip("\"')]").endswith((".", "!", "?")) for c in new]])
+        self.stop = np.concatenate([self.stop, pc.match_substring_regex(new, SENTENCE_END).to_numpy(zero_copy_only=False)])
+        return self.chunks.add(new, ids, np.diff(ends, prepend=0))
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: its ids, and the positions after each chunk with whether a sentence ends there."""
+        self.words.trim()
+        if (kept := self.chunks.trim()) is not None:
+            self.stop = self.stop[kept]
         special = pc.or_(*(pc.match_substring(texts, m) for m in SPECIAL)).to_numpy(zero_copy_only=False)
         plain = pc.if_else(special, "", texts) if special.any() else texts
         chunks, sizes = split_words(plain)
-        local = chunks.dictionary.to_pylist()
-        new = [c for c in local if c not in self.chunks.code]
-        if len(self.chunks.code) + len(new) > CHUNKS and self.chunks.code:
-            self.chunks, self.stop, new = _Known(), np.zeros(0, bool), local
-        if new:
-            self._learn(new)
-        codes = self.chunks.codes(local)[chunks.indices.to_numpy()]
+        local = chunks.dictionary.cast(pa.large_string())
+        codes = self.chunks.find(local)
+        if (missing := codes < 0).any():
+            codes[missing] = self._learn(local.filter(pa.array(missing)))
+        codes = codes[chunks.indices.to_numpy()]
+        self.chunks.hits += np.bincount(codes, minlength=len(self.chunks.keys))
         ids, after = self.chunks.gather(codes)
         stops = self.stop[codes]
         out, chunk, token = [], 0, 0
@@ -149,23 +172,29 @@ def tokenizer(path: str | None) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def cuts_of(length: int, after: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cuts_of(length: int, after: np.ndarray, stops: np.ndarray, most: int = SENTENCE_MOST) -> tuple[np.ndarray, np.ndarray]:
     """Positions inside a document where a window may end, ascending, and their penalties.
 
-    ``after``: word ends in tokens; ``stops``: whether a sentence ends there. The document's own end is
-    not among them.
+    ``after``: word ends in tokens; ``stops``: whether a sentence ends there. Only where more than ``most``
+    tokens lie between two sentence ends (or the document's ends) may it end at word ends too, one in
+    every WORD_STEP tokens. The document's own end is not among them.
     """
-    inside = (after > 0) & (after < length)
-    at, stop = after[inside], stops[inside]
-    step = at // WORD_STEP
-    keep = stop.copy()
-    if len(at):
-        keep |= np.concatenate([[step[0] > 0], step[1:] != step[:-1]])
-    at, stop = at[keep], stop[keep]
+    at = after[stops & (after > 0) & (after < length)]
     if len(at) > 1:  # chunks without tokens repeat a position
-        fresh = np.concatenate([at[1:] != at[:-1], [True]])
-        at, stop = at[fresh], stop[fresh]
-    return at, np.where(stop, SENTENCE_PENALTY, WORD_PENALTY)
+        at = at[np.concatenate([at[1:] != at[:-1], [True]])]
+    edges = np.concatenate([[0], at, [length]])
+    wide = np.flatnonzero(np.diff(edges) > most)
+    if not len(wide):
+        return at, np.full(len(at), float(SENTENCE_PENALTY))
+    words = [at]
+    for k in wide.tolist():
+        inside = after[(after > edges[k]) & (after < edges[k + 1])]
+        step = inside // WORD_STEP
+        words.append(inside[np.flatnonzero(np.diff(step, prepend=-1))])
+    pen = np.concatenate([np.full(len(w), float(WORD_PENALTY if n else SENTENCE_PENALTY)) for n, w in enumerate(words)])
+    every = np.concatenate(words)
+    order = np.argsort(every, kind="stable")
+    return every[order], pen[order]
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -234,13 +263,8 @@ class _Run:
             at.append([base])
             pen.append([0])
         ends = best_cuts(np.concatenate(at), np.concatenate(pen), self.window)
-        if last:
-            done = ends[-1] if ends else 0
-            rest = self.total - done
-            while rest:
-                done += 1 << (rest.bit_length() - 1)
-                ends.append(done)
-                rest = self.total - done
+        if last and (not ends or ends[-1] < self.total):
+            ends.append(self.total)
         return self._lay(ends)
 
     def _lay(self, ends: list[int]) -> list[tuple]:
@@ -269,8 +293,11 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 2,
 
     Returns per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     sequence_tokens, the ids in its window. A document is its ids and then ``end_id``; a null or empty
-    text is ``end_id`` alone. Repeated rows are packed as often as they come. Documents keep their order
-    within a partition of the input; no text is moved between tasks. An empty table gives no rows.
+    text is ``end_id`` alone; a text of any length is packed whole, and is tokenised on its own if it is
+    longer than SLICE_BYTES. Repeated rows, and rows that share a doc_id, are packed as often as they come;
+    a null doc_id stays null. Of equally cheap cuts the earliest predecessor counts. Other columns are
+    not read. Documents keep their order within a partition of the input; no text is moved between tasks.
+    An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,11 +310,10 @@ def pack(docs: DataFrame, *, tokenizer_path: str | None = None, end_id: int = 2,
 
         tail = np.array([end_id], np.uint32)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+            for some in slices(batch, 1, SLICE_BYTES):
                 for doc_id, (ids, after, stops) in zip(some.column(0).to_pylist(), words.encode(pc.fill_null(some.column(1), ""))):
                     ids = np.concatenate([ids, tail])
-                    stream.add(doc_id, len(ids), 0, ids, *cuts_of(len(ids), after, stops))
+                    stream.add(doc_id, len(ids), 0, ids, *cuts_of(len(ids), after, stops, min(SENTENCE_MOST, window)))
                     if stream.total >= RUN_TOKENS and (found := stream.flush(False)):
                         yield rows(found)
         if found := stream.flush(True):
