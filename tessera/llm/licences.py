@@ -1,102 +1,118 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Candidate statements are the lines of a text with a licence word. Distinct statements become sparse
-vectors of their words, weighted by how rare a word is among all statements and templates, and are
-compared with each template by joining words. A text that is mostly statement is a licence file and
-speaks for its directory; files without a statement take the licence of the nearest directory above
-them that has one, by an equality join of directory paths. DataFrame operations only.
+A file that mentions licensing is cut into units: its whole text, its header (the comment lines it begins
+with), its paragraphs and its lines that mention licensing. Distinct units become sparse vectors of their
+words, weighted by how rare a word is among all units and templates, and are compared with each template
+by joining words. A file whose whole text is like a template, or that is named like a licence file and
+holds a statement, speaks for its directory; files without a statement take the licence of the nearest
+directory above them that has one, by an equality join of directory paths. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Template statements by licence name. The usual wording of short licence notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-#: A line with one of these may state a licence.
-WORDS_OF_LICENCES = "(?i)licen[cs]e|copyright|spdx|redistribution|creative commons|\\bcc by"
-#: Least cosine of a statement that names a licence, least share of a licence file that its statements make up.
-LIKE, MOSTLY = 0.7, 0.5
+from tessera.llm.common import cut
+from tessera.llm.licence_texts import TEMPLATES
+
+#: A text that states a licence holds one of these in lower case, as every template does.
+ANCHORS = ("licens", "licenc", "copyright", "spdx", "redistribut", "permission", "public domain", "creative commons", "cc by")
+#: A line of a header: blank, or a comment in one of the usual notations.
+HEADER_LINE = r"^\s*($|#|//|/\*|\*|--|;|%|<!--)"
+#: Between two paragraphs; between two words; names of licence files.
+PARAGRAPH, BETWEEN, FILE_NAME = "\\n[ \\t\\r]*\\n", "[^\\p{L}\\p{N}]+", "(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
+#: Least cosine of a unit that names a licence.
+LIKE = 0.7
+
+
+def _mentions(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(a)) for a in ANCHORS])
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), BETWEEN), lambda t: t != "")
+
 
+def _vectors(named: DataFrame, *key: str) -> DataFrame:
+    return named.select(*key, F.explode(_terms(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
-def _vectors(named: DataFrame, key: str) -> DataFrame:
-    return named.select(key, F.explode(_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
+def units(files: DataFrame) -> DataFrame:
+    """(file_id, path, whole, text) of the units of ``files`` (file_id, path, text) that mention licensing."""
+    text = F.col("text")
+    lines = F.split(text, "\n")
+    first = F.array_position(F.transform(lines, lambda x: ~x.rlike(HEADER_LINE)), True).cast("int")
+    header = F.array_join(F.slice(lines, F.lit(1), F.when(first > 0, first - 1).otherwise(F.size(lines))), "\n")
+    parts = F.filter(F.array_union(F.array(header), F.array_union(F.split(text, PARAGRAPH), lines)), lambda x: _mentions(x))
+    both = F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("text"))), F.transform(parts, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text"))))
+    return files.where(_mentions(text)).select("file_id", "path", F.explode(both).alias("u")).select("file_id", "path", "u.whole", "u.text")
 
-def match_statements(lines: DataFrame, *, like: float = LIKE) -> DataFrame:
-    """(line, licence, cosine) of the distinct ``lines`` whose best template is at least ``like`` alike."""
-    spark = lines.sparkSession
-    known = spark.createDataFrame(list(TEMPLATES.items()), "licence string, text string")
-    a = _vectors(lines.select("line", F.col("line").alias("text")), "line")
-    b = _vectors(known, "licence")
+
+def match(texts: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, like: float = LIKE) -> DataFrame:
+    """(key, licence, cosine) of those of ``texts`` (key, text; distinct) whose best template is at least ``like`` alike."""
+    spark = texts.sparkSession
+    known = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, licence string, text string")
+    a = cut(_vectors(texts, "key"))  # read three times
+    b = _vectors(known, "template", "licence")
     df = a.select("term").union(b.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = lines.count() + len(TEMPLATES)
+    n = a.select("key").distinct().count() + len(templates)
     rare = df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     a, b = (v.join(rare, "term").withColumn("w", F.col("tf") * F.col("idf")) for v in (a, b))
     length = lambda v, key: v.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{key}_length"))
-    dot = a.select("line", "term", "w").join(b.select("licence", "term", F.col("w").alias("v")), "term")
-    dots = dot.groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    both = dots.join(length(a, "line"), "line").join(length(b, "licence"), "licence")
-    cosine = F.round(F.col("dot") / (F.col("line_length") * F.col("licence_length")), 6)
-    scored = both.select("line", "licence", cosine.alias("cosine")).where(F.col("cosine") >= like)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    dot = a.select("key", "term", "w").join(b.select("template", "licence", "term", F.col("w").alias("v")), "term")
+    dots = dot.groupBy("key", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    both = dots.join(length(a, "key"), "key").join(length(b, "template"), "template")
+    cosine = F.round(F.col("dot") / (F.col("key_length") * F.col("template_length")), 6)
+    scored = both.select("key", "licence", cosine.alias("cosine")).where(F.col("cosine") >= like)
+    return scored.groupBy("key").agg(_best()).select("key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+
+
+def _best() -> Column:
+    """The most alike of a group, ties by name."""
+    return F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")
 
 
 def directory(path: Column) -> Column:
-    """The part of a path before its last slash; null at the top."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", ""))
+    """The part of a path before its last slash, empty at the top."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
-def scan(files: DataFrame, *, like: float = LIKE, mostly: float = MOSTLY) -> DataFrame:
+def scan(files: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, like: float = LIKE) -> DataFrame:
     """(file_id, path, licence, cosine, origin, directory) of every row of ``files`` (file_id, path, text).
 
-    origin: "statement" for the text's own licence (the most alike statement, ties by name), "inherited"
-    for that of the nearest directory with a licence file, whose path is given, or "none". A null text is
-    empty; a null path has no directories. In a directory with several licence files the most alike
-    counts, ties by name. Repeated rows each give a row; those with
-    the same id and path share the most alike statement of their texts. An empty table gives no rows.
+    origin: "statement" for the text's own licence (its most alike unit, ties by name), "inherited" for
+    that of the nearest directory with a licence file, whose path is given, or "none". The top of all
+    paths is the directory "". A null or empty text states nothing; a text of any length is compared
+    whole. A null path has no directory. In a directory with several licence files the most alike counts,
+    ties by name. Repeated rows each give a row; those with the same id and path share the most alike
+    statement of their texts. Other columns are not read. An empty table gives no rows.
     """
     some = files.select("file_id", "path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    stated = some.withColumn("lines", F.when(F.col("text").rlike(WORDS_OF_LICENCES), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORDS_OF_LICENCES))))
-    slim = stated.select("file_id", "path", F.length("text").alias("size"), "lines")
-    with_lines = slim.where(F.size("lines") > 0)
-    each = with_lines.select("file_id", "path", "size", F.explode("lines").alias("line"))
-    found = match_statements(each.select("line").distinct(), like=like)
-    own = (
-        each.join(found, "line")
-        .groupBy("file_id", "path", "size")
-        .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.sum(F.length("line")).alias("said"))
-        .select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), (F.col("said") >= mostly * F.col("size")).alias("is_file"))
-    )
+    each = cut(units(some).withColumn("key", F.unhex(F.md5("text"))))  # only of files that mention licensing
+    found = match(each.groupBy("key").agg(F.first("text").alias("text")), templates, like=like)
+    speaks = F.max(F.col("whole")) | F.coalesce(F.first("path").rlike(FILE_NAME), F.lit(False))
+    own = cut(
+        each.select("file_id", "path", "whole", "key").join(found, "key").groupBy("file_id", "path").agg(_best(), speaks.alias("is_file"))
+        .select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "is_file")
+    )
     speaking = own.where("is_file").select(directory(F.col("path")).alias("dir"), "licence", "cosine").where("dir IS NOT NULL")
-    licensed = speaking.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")).select("dir", "b")
+    licensed = speaking.groupBy("dir").agg(_best())
     # Every directory of the table and those above it, once.
-    dirs = slim.select(directory(F.col("path")).alias("of")).distinct().where("of IS NOT NULL")
+    dirs = files.select(directory(F.col("path")).alias("of")).distinct().where("of IS NOT NULL")
     parts = F.split("of", "/")
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir"))))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))
     nearest = (
-        dirs.select("of", above.alias("a")).select("of", "a.*").join(licensed, "dir").groupBy("of").agg(F.max_by(F.struct("dir", "b"), "depth").alias("n"))
+        dirs.select("of", F.explode(above).alias("a")).select("of", "a.*").join(licensed, "dir").groupBy("of").agg(F.max_by(F.struct("dir", "b"), "depth").alias("n"))
         .select("of", F.col("n.dir").alias("directory"), F.col("n.b.licence").alias("its"), (-F.col("n.b.c")).alias("its_cosine"))
     )
-    all_ = slim.drop("lines", "size").withColumn("of", directory(F.col("path")))
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")
-    own = own.groupBy(F.col("file_id").alias("_id"), F.col("path").alias("_path")).agg(best).select("_id", "_path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
-    joined = all_.join(own, F.col("file_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").join(nearest, "of", "left")
+    all_ = files.select("file_id", "path", directory(F.col("path")).alias("of"))
+    mine = own.select(F.col("file_id").alias("_id"), F.col("path").alias("_path"), "licence", "cosine")
+    joined = all_.join(mine, F.col("file_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").join(nearest, "of", "left")
     has, gets = F.col("licence").isNotNull(), F.col("its").isNotNull()
     return joined.select(
         "file_id",

@@ -52,7 +52,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, its own or that of the nearest directory of the tree source/lang/id."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", "doc_id")])
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     found = licences.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
     return found.withColumnRenamed("file_id", "doc_id")
@@ -124,47 +124,62 @@ FROM marked GROUP BY conv_id
 """
 
 
-_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licences.TEMPLATES.items())
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(licences.TEMPLATES))
+_ANCHORED = " OR ".join(f"contains(lower({{0}}), {_quoted(a)})" for a in licences.ANCHORS)
 OP5_SQL = f"""
-WITH docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
-lines AS (
-  SELECT doc_id, path, length(text) AS size,
-    unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licences.WORDS_OF_LICENCES}'))) AS line
-  FROM docs
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(doc_id::VARCHAR, '') AS path, coalesce(text, '') AS text FROM documents
+),
+split_ AS (
+  SELECT doc_id, path, text, string_split(text, chr(10)) AS lines, string_split_regex(text, '{licences.PARAGRAPH}') AS paragraphs
+  FROM docs WHERE {_ANCHORED.format("text")}
+),
+headed AS (
+  SELECT *, list_position(list_transform(lines, lambda x: NOT regexp_matches(x, {_quoted(licences.HEADER_LINE)})), true) AS k FROM split_
+),
+parts AS (
+  SELECT doc_id, path, true AS whole, text AS unit FROM split_
+  UNION ALL SELECT doc_id, path, false, unit FROM (
+    SELECT DISTINCT doc_id, path, unnest(list_concat([array_to_string(CASE WHEN k > 0 THEN lines[1:k - 1] ELSE lines END, chr(10))], paragraphs, lines)) AS unit FROM headed
+  ) WHERE {_ANCHORED.format("unit")}
 ),
-units AS (SELECT DISTINCT line FROM lines),
-templates(licence, text) AS (VALUES {_TEMPLATE_ROWS}),
+units AS (SELECT DISTINCT unit FROM parts),
+templates(template, licence, text) AS (VALUES {_TEMPLATE_ROWS}),
 a AS (
-  SELECT line, term, count(*) AS tf
-  FROM (SELECT line, unnest(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM units) WHERE term <> '' GROUP BY ALL
+  SELECT unit, term, count(*) AS tf
+  FROM (SELECT unit, unnest(regexp_split_to_array(lower(unit), '{licences.BETWEEN}')) AS term FROM units) WHERE term <> '' GROUP BY ALL
 ),
 b AS (
-  SELECT licence, term, count(*) AS tf
-  FROM (SELECT licence, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM templates) WHERE term <> '' GROUP BY ALL
+  SELECT template, licence, term, count(*) AS tf
+  FROM (SELECT template, licence, unnest(regexp_split_to_array(lower(text), '{licences.BETWEEN}')) AS term FROM templates) WHERE term <> '' GROUP BY ALL
 ),
 idf AS (
   SELECT term, ln((1.0 + (SELECT count(*) FROM units) + {len(licences.TEMPLATES)}) / (1 + count(*))) + 1 AS idf
   FROM (SELECT term FROM a UNION ALL SELECT term FROM b) GROUP BY term
 ),
-aw AS (SELECT line, term, tf * idf AS w FROM a JOIN idf USING (term)),
-bw AS (SELECT licence, term, tf * idf AS w FROM b JOIN idf USING (term)),
-al AS (SELECT line, sqrt(sum(w * w)) AS n FROM aw GROUP BY line),
-bl AS (SELECT licence, sqrt(sum(w * w)) AS n FROM bw GROUP BY licence),
+aw AS (SELECT unit, term, tf * idf AS w FROM a JOIN idf USING (term)),
+bw AS (SELECT template, licence, term, tf * idf AS w FROM b JOIN idf USING (term)),
+al AS (SELECT unit, sqrt(sum(w * w)) AS n FROM aw GROUP BY unit),
+bl AS (SELECT template, sqrt(sum(w * w)) AS n FROM bw GROUP BY template),
 scored AS (
-  SELECT d.line, d.licence, round(d.dot / (al.n * bl.n), 6) AS cosine
-  FROM (SELECT line, licence, sum(aw.w * bw.w) AS dot FROM aw JOIN bw USING (term) GROUP BY line, licence) d
-  JOIN al USING (line) JOIN bl USING (licence)
+  SELECT d.unit, d.licence, round(d.dot / (al.n * bl.n), 6) AS cosine
+  FROM (SELECT unit, template, licence, sum(aw.w * bw.w) AS dot FROM aw JOIN bw USING (term) GROUP BY unit, template, licence) d
+  JOIN al USING (unit) JOIN bl USING (template)
 ),
 found AS (
-  SELECT line, licence, cosine FROM scored WHERE cosine >= {licences.LIKE}
-  QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1
+  SELECT unit, licence, cosine FROM scored WHERE cosine >= {licences.LIKE}
+  QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, licence) = 1
 ),
 own AS (
-  SELECT doc_id, path, licence, cosine, said >= {licences.MOSTLY} * size AS is_file
+  SELECT doc_id, path, licence, cosine, speaks OR regexp_matches(path, '{licences.FILE_NAME}') AS is_file
   FROM (
-    SELECT doc_id, path, size, licence, cosine, sum(length(line)) OVER (PARTITION BY doc_id) AS said,
+    SELECT doc_id, path, licence, cosine, bool_or(whole) OVER (PARTITION BY doc_id) AS speaks,
       row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS k
-    FROM lines JOIN found USING (line)
+    FROM parts JOIN found USING (unit)
   ) WHERE k = 1
 ),
 licensed AS (
@@ -172,7 +187,7 @@ licensed AS (
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1
 ),
 inherited AS (
-  SELECT doc_id, dir, licence, cosine FROM docs JOIN licensed ON starts_with(path, dir || '/')
+  SELECT doc_id, dir, licence, cosine FROM docs JOIN licensed ON dir = '' OR starts_with(path, dir || '/')
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) = 1
 )
 SELECT d.doc_id, d.path, coalesce(o.licence, i.licence) AS licence, coalesce(o.cosine, i.cosine) AS cosine,

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, fingerprint, language, licences, minhash, mixing, neighbours, packing, quality, simhash, toxicity, trie
+from tessera.llm.common import slices
 
 DOCS = "doc_id long, text string, source string, key string"
 
@@ -175,12 +176,31 @@ def test_best_cuts_cost_the_least():
         assert abs(cost(ends) - min(c for p, c in reach.items() if p > at[-1] - 16)) < 1e-9
 
 
+def test_windows_end_at_sentence_ends():
+    """Word ends are possible cuts only where no sentence can be so long."""
+    after, stops = np.arange(1, 3001), np.zeros(3000, bool)
+    stops[[99, 299, 1999, 2999]] = True
+    at, pen = packing.cuts_of(3001, after, stops)
+    assert {100, 300, 2000, 3000} <= set(at.tolist()) and (np.diff(at) > 0).all()
+    assert {int(x) for x, y in zip(at, pen) if y == packing.SENTENCE_PENALTY} == {100, 300, 2000, 3000}
+    others = [int(x) for x, y in zip(at, pen) if y == packing.WORD_PENALTY]
+    assert others and all(300 < x < 2000 or 2000 < x < 3000 for x in others) and max(np.diff([300, *others])) <= packing.WORD_STEP * 2
+    assert [x.tolist() for x in packing.cuts_of(5, np.array([0, 2, 2, 4, 5]), np.array([True] * 5))] == [[2, 4], [4.0, 4.0]]
+    assert len(packing.cuts_of(1, np.zeros(0, int), np.zeros(0, bool))[0]) == 0
+
+
+def test_slices_are_bounded_by_bytes():
+    batch = pa.record_batch({"id": pa.array(range(6)), "text": pa.array(["a" * 5, None, "b" * 50, "", "c" * 6, "d" * 6])})
+    assert [s.column(0).to_pylist() for s in slices(batch, 1, 12)] == [[0, 1], [2], [3, 4, 5]]
+    assert sum(s.num_rows for s in slices(batch, 1, 1)) == 6 and list(slices(batch.slice(0, 0), 1, 9)) == []
+
+
 def test_tokenizer_cache_can_start_over(monkeypatch):
     monkeypatch.setattr(packing, "CHUNKS", 40)
     monkeypatch.setattr(packing, "WORDS", 60)
     t = packing.WordTokenizer()
     rng = random.Random(4)
-    for _ in range(5):
+    for _ in range(12):
         texts = [f"{words(rng, 30, 90)} Naïve, co-op's 3rd" for _ in range(4)]
         got = [x[0].tolist() for x in t.encode(pa.array(texts))]
         assert got == [t.core.encode(x, add_special_tokens=False).ids for x in texts]
@@ -280,14 +300,100 @@ def test_chat_reads_back(spark):
 # Licences
 
 
-def test_licences(spark):
-    mit, apache = licences.TEMPLATES["MIT"], licences.TEMPLATES["Apache-2.0"]
-    files = [(1, "a/b/LICENSE", mit), (2, "a/b/c/x.py", "code\nno notice"), (3, "a/b/c/y.py", f"# {apache}\n" + "code " * 200), (4, "z/x.py", "code"), (5, None, None), (6, "top", mit), (4, "z/x.py", "code"), (7, "a/b/c/d/e", "")]
-    got = [(r.file_id, r.licence, r.origin, r.directory) for r in licences.scan(spark.createDataFrame(files, "file_id long, path string, text string")).orderBy("file_id").collect()]
-    assert got == [(1, "MIT", "statement", None), (2, "MIT", "inherited", "a/b"), (3, "Apache-2.0", "statement", None), (4, None, "none", None), (4, None, "none", None), (5, None, "none", None), (6, "MIT", "statement", None), (7, "MIT", "inherited", "a/b")]
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2019 Jane Roe and the crew
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL2_HEADER = """/*
+ * A driver for something.
+ *
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License version 2 as
+ * published by the Free Software Foundation.
+ */
+int main(void) { return 0; }
+"""
+APACHE_START = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+"""
+FILES = "file_id long, path string, text string, licence string, _id string, key int"
+
+
+def test_licences_of_real_files(spark):
+    """Whole files, headers and tags as they stand in repositories, and what lies beside and below them."""
+    filler = "int x = 0; // counts things\n" * 50
+    files = [(1, "mit/LICENSE.txt", MIT_FILE), (2, "mit/src/deep/a.c", filler), (3, "spdx/a.py", "# SPDX-License-Identifier: MIT\n" + filler), (4, "spdx/b.py", "x"),
+             (5, "gpl/m.c", GPL2_HEADER + filler), (6, "apache/LICENSE", APACHE_START), (7, "apache/a.py", "x = 1"), (8, "apache/own.c", GPL2_HEADER), (9, "none/a.md", "Ask for permission to copy the museum's key."),
+             (10, "mit/vendored/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n" + "The terms go on. " * 2000),
+             (11, "mit/vendored/x.c", "y")]
+    got = {r.file_id: (r.licence, r.origin, r.directory) for r in licences.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert got[1] == ("MIT", "statement", None) and got[2] == ("MIT", "inherited", "mit")
+    assert got[3] == ("MIT", "statement", None) and got[4] == (None, "none", None)
+    assert got[5] == ("GPL-2.0-only", "statement", None) and got[8] == ("GPL-2.0-only", "statement", None)
+    assert got[6] == ("Apache-2.0", "statement", None) and got[7] == ("Apache-2.0", "inherited", "apache")
+    assert got[9] == (None, "none", None)
+    assert got[10][0] == "GPL-3.0-or-later" and got[11] == ("GPL-3.0-or-later", "inherited", "mit/vendored")
+
+
+def test_licences_odd_cases(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    files = [(1, "a/b/LICENSE", mit), (2, "a/b/c/x.py", "code\nno notice"), (3, "a/b/c/y.py", f"# {apache}\n" + "code " * 200), (4, "z/x.py", "code"), (5, None, None), (6, None, mit),
+             (4, "z/x.py", "code"), (7, "a/b/c/d/e", ""), (None, "a/b/c/n", "word " * 300_000), (8, "t/LICENSE", mit), (9, "t/COPYING", apache), (10, "t/x", "x"), (3, "a/b/c/y.py", "code")]
+    rows = [(*f, "taken", "taken", 7) for f in files]
+    got = sorted(((r.file_id, r.licence, r.origin, r.directory) for r in licences.scan(spark.createDataFrame(rows, FILES)).collect()), key=str)
+    want = [(1, "MIT", "statement", None), (2, "MIT", "inherited", "a/b"), (3, "Apache-2.0", "statement", None), (3, "Apache-2.0", "statement", None), (4, None, "none", None), (4, None, "none", None), (5, None, "none", None),
+            (6, "MIT", "statement", None), (7, "MIT", "inherited", "a/b"), (None, "MIT", "inherited", "a/b"), (8, "MIT", "statement", None), (9, "Apache-2.0", "statement", None), (10, "Apache-2.0", "inherited", "t")]
+    assert got == sorted(want, key=str)  # two licence files of cosine 1 in t: the first name counts
+    top = spark.createDataFrame([(1, "LICENSE", mit), (2, "deep/er/x", "x")], "file_id long, path string, text string")
+    assert {r.file_id: (r.licence, r.directory) for r in licences.scan(top).collect()} == {1: ("MIT", None), 2: ("MIT", "")}
     assert licences.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_every_template_is_a_candidate_and_finds_itself(spark):
+    assert all(any(a in text.lower() for a in licences.ANCHORS) for _, text in licences.TEMPLATES)
+    rows = [(str(k), text) for k, (_, text) in enumerate(licences.TEMPLATES)]
+    got = {int(r.key): (r.licence, r.cosine) for r in licences.match(spark.createDataFrame(rows, "key string, text string")).collect()}
+    assert len(got) == len(rows) and all(got[k] == (name, 1.0) for k, (name, _) in enumerate(licences.TEMPLATES))
+
+
+@pytest.mark.parametrize("name", ["op4_chat_format", "op5_licence_scan"])
+def test_queries_equal_their_sql(spark, small, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from tessera.llm import queries
+
+    db = duckdb.connect()
+    for f in glob.glob(f"{small}/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    found = db.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    want = collections.Counter(tuple(r) for r in found.fetchall())
+    df = queries.queries()[name](spark, small)
+    assert sorted(columns) == sorted(df.columns)
+    assert collections.Counter(tuple(r) for r in df.select(*columns).collect()) == want
+
+
 # Language model
 
 
