@@ -1,12 +1,13 @@
 """Mixing of sources to target weights by blocks of words, in DataFrame operations only.
 
 Every source is one long stream of words, cut into blocks of a fixed number of words (its last block is
-what remains). The targets of all sources share the words of the corpus; each target is met by passes
-over the source: whole passes take every block once, the last, partial pass takes as many blocks as are
-still needed and the first words of one more. Output shards draw how many slots of each source they
-hold; the draw is multinomial given the totals, so totals stay exact. The slots of a source are numbered
-across shards, and a pseudorandom permutation of its block numbers (swap-or-not rounds over a hash)
-says which block fills each slot. Blocks are joined to slots by their number.
+what remains). The targets of all sources share the words of the corpus. The mix is a number of output
+shards with a fixed number of slots each; every shard draws how many of its slots each source fills, by
+its share of the target: the whole part of what is expected surely, the rest by a multinomial draw
+(residual sampling), so totals stay near their targets at every size. A source's slots are numbered
+across shards; each run through its blocks is one pass, and a pseudorandom permutation of its block
+numbers (swap-or-not rounds over a hash) says which block fills each slot of a pass. Slots past the last
+pass that is allowed stay empty. Blocks are joined to slots by their number.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from tessera.llm.common import WORD, cut
 BLOCK, SHARD_SLOTS, MOST = 64, 8192, 3
 ROUNDS = 12
 #: Documents that share one stretch of a source's stream when their places are summed up.
-STRETCH = 1000
+STRETCH = 250
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -73,88 +74,77 @@ def _numbers(rows: DataFrame, count: Column, name: str, step: int = 4096) -> Dat
 
 
 def plan(sources: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """The passes over each source: blocks, whole passes, slots, and the words of a last, cut block."""
-    words = F.round("target").cast("long")
+    """(source_no, source_size, blocks, wanted): the blocks of each source with words, and the slots that meet its target."""
     size = F.col("source_size")
-    return (
-        sources.withColumn("_words", F.least(words, size * MOST))
-        .where("source_size > 0")
-        .select(
-            "source_no",
-            (size - size % block).cast("long").alias("whole_words"),
-            F.floor(size / block).alias("whole"),  # blocks of full length
-            F.ceil(size / block).alias("blocks"),
-            F.floor(F.col("_words") / size).alias("passes"),
-            (F.col("_words") % size).alias("rest"),
-        )
-        .withColumn("rest_whole", F.floor(F.col("rest") / block))
-        .withColumn("rest_words", F.col("rest") % block)
-        .withColumn("slots", F.col("passes") * F.col("blocks") + F.col("rest_whole") + (F.col("rest_words") > 0).cast("long"))
-        .drop("whole_words", "rest")
-    )
+    blocks = F.ceil(size / block)
+    return sources.where("source_size > 0").select("source_no", "source_size", blocks.alias("blocks"), (F.col("target") * blocks / size).alias("wanted"))
 
 
-def draw(plans: DataFrame, *, shards: int, seed: int = 0) -> DataFrame:
-    """(source_no, shard, slots, first): the slots of a source that each output shard draws.
+def draw(plans: DataFrame, *, shard_slots: int = SHARD_SLOTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """(source_no, source_size, blocks, shard, slots, first): the slots of each output shard that a source fills.
 
-    Every slot falls into a shard by a hash, so a source's counts over shards are multinomial and add up
-    to its total; ``first`` numbers its slots across shards.
+    A shard of n slots expects n times a source's share of all slots. The whole part is given; the slots
+    that are left are thrown, each into the source whose stretch of the fractions its hash falls in.
+    ``first`` numbers a source's slots across shards; none is numbered past ``most`` passes.
     """
-    thrown = _numbers(plans.select("source_no", F.col("slots").alias("total")), F.col("total"), "slot")
-    shard = F.pmod(F.xxhash64(F.lit(seed), "source_no", "slot"), F.lit(shards)).cast("int")
-    counts = thrown.groupBy("source_no", shard.alias("shard")).agg(F.count("*").alias("slots"))
+    all_ = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a source
+    total = F.sum("wanted").over(all_)
+    shared = plans.withColumn("_all", F.round(total).cast("long")).withColumn("_share", F.col("wanted") / total)
+    shards = F.ceil(F.col("_all") / shard_slots).cast("long")
+    each = _numbers(shared, shards, "shard").withColumn("_n", F.least(F.lit(shard_slots), F.col("_all") - F.col("shard") * shard_slots))
+    expected = each.withColumn("_sure", F.floor(F.col("_n") * F.col("_share"))).withColumn("_part", F.col("_n") * F.col("_share") - F.col("_sure"))
+    here = Window.partitionBy("shard").orderBy("source_no")
+    whole = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut_up = (
+        expected.withColumn("_to", F.sum("_part").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("_from", F.coalesce(F.lag("_to").over(here), F.lit(0.0)))
+        .withColumn("_sum", F.sum("_part").over(whole))
+        .withColumn("_left", F.col("_n") - F.sum("_sure").over(whole))
+        .withColumn("_last", F.col("source_no") == F.max("source_no").over(whole))
+    )
+    thrown = F.when(F.col("_left") > 0, F.sequence(F.lit(1).cast("long"), F.col("_left"))).otherwise(F.array().cast("array<long>"))
+    point = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), k), F.lit(1 << 52)) / float(1 << 52) * F.col("_sum")
+    hits = F.size(F.filter(thrown, lambda k: (point(k) >= F.col("_from")) & ((point(k) < F.col("_to")) | F.col("_last"))))
+    counts = cut_up.select("source_no", "source_size", "blocks", "shard", (F.col("_sure") + hits).alias("slots"))
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    first = counts.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    return first.withColumn("slots", F.greatest(F.least("slots", F.col("blocks") * most - F.col("first")), F.lit(0))).where("slots > 0")
 
 
-def fill(draws: DataFrame, plans: DataFrame, *, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """(shard, source_no, slot, block, words): the block that fills each slot, and the words taken of it."""
-    own = draws.join(plans.drop("slots"), "source_no")
-    slots = _numbers(own, F.col("slots"), "_k").withColumn("slot", F.col("first") + F.col("_k"))
+def fill(draws: DataFrame, *, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """(shard, source_no, slot, block, words): the block that fills each slot, and the words it holds."""
+    slots = _numbers(draws, F.col("slots"), "_k").withColumn("slot", F.col("first") + F.col("_k"))
     turn, j = F.floor(F.col("slot") / F.col("blocks")), F.col("slot") % F.col("blocks")
-    drawn = permuted(j, F.greatest(F.col("whole"), F.lit(1)), F.lit(seed), F.col("source_no"), turn)
-    last = (turn == F.col("passes")) & (j == F.col("rest_whole"))
-    return slots.select(
-        "shard", "source_no", "slot",
-        F.when(j < F.col("whole"), drawn).otherwise(F.col("whole")).alias("block"),
-        F.when(last, F.col("rest_words")).otherwise(F.lit(block)).alias("words"),
-    )
+    filled = slots.withColumn("block", permuted(j, F.col("blocks"), F.lit(seed), F.col("source_no"), turn))
+    words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    return filled.select("shard", "source_no", "slot", "block", words.alias("words"))
 
 
 def lay_out(sized: DataFrame) -> DataFrame:
     """``sized`` (doc_id, size, source_no, ..) with ``start``, each document's place in its source's stream.
 
-    Documents lie in stretches by a hash of doc_id and in its order within one; places are summed up
-    over stretches first, so no task has to see a whole source.
+    Documents lie in stretches by a hash of doc_id and text and in the order of doc_id within one; places
+    are summed up over stretches first, so no task has to see a whole source.
     """
     stretches = max(1, sized.count() // STRETCH)
-    placed = sized.withColumn("_stretch", F.pmod(F.xxhash64("doc_id"), F.lit(stretches)))
+    placed = sized.withColumn("_stretch", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(stretches)))
     totals = placed.groupBy("source_no", "_stretch").agg(F.sum("size").alias("_sum"))
     over = Window.partitionBy("source_no").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source_no", "_stretch", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("source_no", "_stretch").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_no", "_stretch").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     started = placed.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return started.join(offsets, ["source_no", "_stretch"]).withColumn("start", F.col("_offset") + F.col("_within")).drop("_stretch", "_offset", "_within")
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+def _parts(docs: DataFrame, weights: tuple[int, ...], block: int) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets, and the piece of each document in each block of its source.
 
-    size counts words (null text: 0); target is the words that the document's source gives to the mix,
-    taken those the mix takes of this document, repeats counted, at most 3 times its size. Rows that
-    repeat a doc_id are documents of their own; a null source is a source. An empty table, or one without
-    any word, gives targets and words of 0.
+    Pieces are rows (doc_id, source, size, source_size, target, source_no, tie, start, block, _from, _to);
+    a document without words has one without block.
     """
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select("doc_id", "source", words.alias("size")))
+    sized = cut(docs.select("doc_id", "source", words.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie")))
     sources = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights))
-    plans = plan(sources, block=block)
-    total = plans.agg(F.sum("slots")).first()[0] or 0
-    draws = draw(plans, shards=-(-total // shard_slots) or 1, seed=seed)
-    full = F.sum((F.col("words") == block).cast("long"))
-    taken = fill(draws, plans, block=block, seed=seed).groupBy("source_no", "block").agg(
-        full.alias("times"), F.max(F.when(F.col("words") < block, F.col("words"))).alias("part")
-    )
     known = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = lay_out(known)
     end = F.col("start") + F.col("size")
@@ -163,11 +153,24 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), block: int = B
         placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
         .withColumn("_from", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
         .withColumn("_to", F.least(end - F.col("block") * block, F.lit(block)))
-        .join(taken.hint("merge"), ["source_no", "block"], "left")  # its size can't be told from the few rows it comes from
-    )
-    of_block = (F.col("_to") - F.col("_from")) * F.col("times") + F.greatest(
-        F.least(F.col("_to"), F.coalesce("part", F.lit(0))) - F.col("_from"), F.lit(0)
     )
+    return sources, parts
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+
+    size counts words (null or empty text: 0); target is the words that the document's source should give
+    to the mix, taken those the mix takes of this document, repeats counted, at most 3 times its size. A
+    text of any length is counted whole. Rows that repeat a doc_id, with the same text or another, are
+    documents of their own; a null source is a source. Other columns are not read. An empty table gives no
+    rows, one without any word targets and words of 0. The same rows in any order give the same result.
+    """
+    sources, parts = _parts(docs, weights, block)
+    filled = fill(draw(plan(sources, block=block), shard_slots=shard_slots, seed=seed), block=block, seed=seed)
+    times = filled.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    parts = parts.join(times.hint("merge"), ["source_no", "block"], "left")  # its size can't be told from the few rows it comes from
+    of_block = (F.col("_to") - F.col("_from")) * F.col("times")
     keys = ["doc_id", "source", "size", "source_size", "target", "source_no", "start"]
     # Documents without words share a place: what sets them apart is dropped, and each counts.
     summed = parts.groupBy(*keys).agg(F.coalesce(F.sum(of_block), F.lit(0)).cast("long").alias("taken"), F.count(F.when(F.col("size") == 0, 1)).alias("_empty"))
@@ -175,14 +178,29 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), block: int = B
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def spans(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """The mix itself: (shard, slot, source, block, place, doc_id, first_word, words), in any order.
+
+    A slot of a shard holds the words of its block in the order of ``place``: ``words`` words of the
+    document from its ``first_word`` on. Summed up by document these are the ``taken`` of mix.
+    """
+    sources, parts = _parts(docs, weights, block)
+    filled = fill(draw(plan(sources, block=block), shard_slots=shard_slots, seed=seed), block=block, seed=seed).drop("words")
+    joined = parts.where("size > 0").join(filled.hint("merge"), ["source_no", "block"])
+    first = F.col("block") * block + F.col("_from") - F.col("start")
+    return joined.select("shard", "slot", "source", "block", F.col("_from").alias("place"), "doc_id", first.alias("first_word"), (F.col("_to") - F.col("_from")).alias("words"))
+
+
 def mixed_documents(docs: DataFrame, *, seed: int = 0, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its words are taken, at most 3 times.
 
     A share of a document that is left over rounds up or down by a hash of its doc_id, in proportion, so
-    a source keeps its words within the spread of that draw. All columns stay as they are.
+    a source keeps its words within the spread of that draw. Rows that share a doc_id share its mean;
+    documents without words are not taken. All columns stay as they are, whatever their names.
     """
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
     found = mix(docs, seed=seed, **options).where("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
-    times = found.select(F.col("doc_id").alias("_id"), F.floor(F.col("_t") / F.col("_s") + chance).cast("int").alias("_times")).where("_times > 0")
-    repeated = docs.join(times, docs.doc_id.eqNullSafe(times._id))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = found.select(F.col("doc_id").alias("id"), F.floor(F.col("_t") / F.col("_s") + chance).cast("int").alias("times")).where("times > 0")
+    rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").rlike(WORD).alias("has_words"))
+    repeated = rows.where("has_words").join(times, F.col("own_id").eqNullSafe(F.col("id")))
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

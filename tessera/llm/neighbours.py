@@ -24,11 +24,13 @@ from pyspark.sql import Window
 
 from tessera.llm.common import cut
 
-#: Bounds of the sample that lists are fitted on, in rows and bytes; of the lists; of the rows that give
-#: each query its first threshold; of the queries whose true neighbours are found.
-SAMPLE_ROWS, SAMPLE_BYTES, LISTS, FIRST_ROWS, MEASURED = 20_000, 32 << 20, 4096, 4096, 64
-#: Vectors of a list, and queries, that one task compares at most.
-PART = 2048
+#: Bounds of the sample that lists are fitted on, in rows (or so many a list) and bytes; of the lists; of the
+#: rows that give each query its first threshold; of the queries whose true neighbours are found.
+SAMPLE_ROWS, ROWS_A_LIST, SAMPLE_BYTES, LISTS, FIRST_ROWS, MEASURED = 20_000, 4, 128 << 20, 65_536, 4096, 64
+#: Numbers of a matrix of distances that is held at once.
+HELD = 8 << 20
+#: Vectors of a list, and queries, that one task compares at most; queries that it compares at once.
+PART, QUERIES = 2048, 256
 #: Components in a column block, and how sure the test is (as a multiple of the deviation).
 BLOCK, SURE = 16, 2.1
 
@@ -48,6 +50,10 @@ class Index:
 
     def nearest_lists(self, y: np.ndarray, k: int) -> np.ndarray:
         """The ``k`` lists nearest to each rotated row, nearest first."""
+        step = max(1, HELD // len(self.centres))
+        return np.concatenate([self._nearest(y[at : at + step], k) for at in range(0, max(1, len(y)), step)])
+
+    def _nearest(self, y: np.ndarray, k: int) -> np.ndarray:
         d = (self.centres**2).sum(1) - 2 * y @ self.centres.T
         if k == 1:
             return d.argmin(1)[:, None]
@@ -68,8 +74,9 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)]
+    step = max(1, HELD // k)
     for _ in range(rounds):
-        own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        own = np.concatenate([((centres**2).sum(1) - 2 * x[at : at + step] @ centres.T).argmin(1) for at in range(0, len(x), step)])
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -78,16 +85,19 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def build(rows: DataFrame, d: int, count: int, longest: float, *, seed: int = 0) -> Index:
-    """Fit the lists on at most SAMPLE_ROWS rows (id, v), the first by a hash of their id."""
-    limit = int(max(256, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * d))))
+    """Fit about as many lists as the root of ``count``, on a sample of the rows (id, v), the first by a hash of their id.
+
+    The sample has SAMPLE_ROWS rows, more only if there are so many lists, and SAMPLE_BYTES bytes at most.
+    """
+    wanted = int(np.clip(round(count**0.5), 1, LISTS))
+    limit = int(max(256, min(max(SAMPLE_ROWS, ROWS_A_LIST * wanted), SAMPLE_BYTES // (8 * d))))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(limit).toArrow()
     x = _matrix(sample.column("v").combine_chunks(), d)
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d + 1, d + 1)))[0]
     ids = sample.column("id").to_numpy()
     one = np.sort(np.unique(ids, return_index=True)[1])[:FIRST_ROWS]  # one row an id, or the k-th best would not be k ids
     index = Index(longest, rotation, np.zeros((0, d + 1)), ids[one], x[one])
-    k = int(np.clip(round(count**0.5), 1, min(LISTS, len(x))))
-    index.centres = _kmeans(index.rotated(x), k, 8, seed)
+    index.centres = _kmeans(index.rotated(x), min(wanted, len(x)), 8, seed)
     return index
 
 
@@ -231,42 +241,43 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, recall: float =
 
     ``vectors`` has vec_id, embedding and any other columns. Candidates are all rows but those with the
     query's own id; nearer is the larger inner product, ties go to the smaller vec_id. Rows without id,
-    and vectors that are null, zero, or hold null or non-finite components take no part, nor do those
-    of another length than most vectors have. Rows that repeat a vec_id count once, with the best
-    of their scores. A query with fewer than ``k`` candidates gets all of them. An empty table gives no
-    rows.
+    and vectors that are null, empty, zero, or hold null or non-finite components take no part. An inner
+    product needs vectors of one length, so the vectors of each length are searched among themselves.
+    Rows that repeat a vec_id count once, with the best of their scores. A query with fewer than ``k``
+    candidates gets all of them. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     named = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("_query"))
     usable_rows = named.where(F.col("id").isNotNull() & usable(F.col("v")))
     good = cut(usable_rows.groupBy("id", "v").agg(F.max("_query").alias("_query")))  # rows that are repeated, once
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    kinds = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("s"))
-    most = kinds.orderBy(F.desc("n"), "d").first()
-    if most is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, count, longest = most["d"], most["n"], float(most["s"]) ** 0.5
-    good = good.where(F.size("v") == d)
+    kinds = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("s"), F.bool_or("_query").alias("asked")).where("asked")
+    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for kind in kinds.orderBy(F.desc("n"), "d").collect():  # a row a length
+        own = good.where(F.size("v") == kind["d"])
+        found = found.union(_search_one_length(own, kind["d"], kind["n"], float(kind["s"]) ** 0.5, k, recall, seed))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_one_length(good: DataFrame, d: int, count: int, longest: float, k: int, recall: float, seed: int) -> DataFrame:
+    """(query_id, vec_id, score) of what is found among ``good`` (id, v, _query), ``count`` vectors of ``d`` components."""
     asked = good.where(F.col("_query"))
     index = build(good, d, count, longest, seed=seed)
-    listed = _assign(good, index, d)
+    listed = cut(_assign(good, index, d))
     index.probes = _measure(listed, asked, index, d, k, recall)
-    probing = _probing(asked, index, d, k)
+    probing = cut(_probing(asked, index, d, k))
 
     # Long lists and lists that many queries probe are cut into parts; every part meets every part.
-    def parts(df: DataFrame) -> Column:
-        n = dict(df.groupBy("list").count().collect())  # no more than there are lists
-        return F.array(*[F.lit(-(-n.get(c, 0) // PART) or 1) for c in range(len(index.centres))])
+    many = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    parts = F.broadcast(many(listed, "rows_in").join(many(probing, "queries_in"), "list"))  # no more rows than LISTS
 
-    rows_in, queries_in = parts(listed), parts(probing)
+    def dealt(df: DataFrame, own: str, others: str, id_: str, mine: str, theirs: str) -> DataFrame:
+        spread = df.join(parts, "list").withColumn(mine, F.pmod(F.xxhash64(id_, F.lit(seed)), F.col(own)).cast("int"))
+        return spread.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("rows_in", "queries_in")
 
-    def dealt(df: DataFrame, own: Column, others: Column, id_: str, mine: str, theirs: str) -> DataFrame:
-        at = F.col("list") + 1
-        spread = df.withColumn(mine, F.pmod(F.xxhash64(id_, F.lit(seed)), F.element_at(own, at)).cast("int"))
-        return spread.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.element_at(others, at) - 1)))
-
-    rows = dealt(listed, rows_in, queries_in, "id", "rows", "queries")
-    wanted = dealt(probing, queries_in, rows_in, "query_id", "queries", "rows")
+    rows = dealt(listed, "rows_in", "queries_in", "id", "rows", "queries")
+    wanted = dealt(probing, "queries_in", "rows_in", "query_id", "queries", "rows")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -274,11 +285,12 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, recall: float =
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         ids, own = left.column("id").to_numpy(), right.column("query_id").to_numpy()
         x, q = _matrix(left.column("v").combine_chunks(), d), _matrix(right.column("q").combine_chunks(), d)
-        i, j, score = scan(index, ids, x, own, q, right.column("threshold").to_numpy(), k)
-        return pa.table([pa.array(own[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(score)], names=names)
+        limit, out, step = right.column("threshold").to_numpy(), [], max(1, QUERIES // -(-d // 64))
+        for at in range(0, len(q), step):  # so that what is alive after a block stays small
+            i, j, score = scan(index, ids, x, own[at : at + step], q[at : at + step], limit[at : at + step], k)
+            out.append((own[at : at + step][i], ids[j], score))
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=names)
 
     keys = ["list", "rows", "queries"]
     found = rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.union(_of_first(asked, index, d, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.union(_of_first(asked, index, d, k))

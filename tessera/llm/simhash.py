@@ -1,4 +1,4 @@
-"""SimHash near-duplicates found through deletion-variant signatures.
+"""Near-duplicates found through deletion-variant signatures: by fingerprint bits, or by shared shingles.
 
 A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four bits
 have a segment in which they differ in at most one, so indexing each segment once per position with
@@ -7,10 +7,21 @@ are verified on all 64 bits inside the join, and each pair is emitted by one key
 
 Copies never form pairs: fingerprints are made distinct before the variants are built, and documents
 get their class back through their fingerprint.
+
+near_copies and one_of_each find texts by the similarity of their word shingles. At a similarity of 0.8
+the bits of SimHash differ so often (15 in 100) that no few segments differ by one bit only, so there the
+signature is made of minima of shingle hashes instead, of which texts of similarity s share each with
+probability s. The rest is alike: segments of SYMBOLS minima, of which one may differ; a key for each
+position with that minimum left out; texts that meet under an equal key; and exact verification of their
+shingles. With SEGMENTS_OF_MINIMA segments two texts of similarity 0.8 meet with probability 0.9994,
+more alike ones more often.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -148,24 +159,148 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, see
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component left: the one with the least doc_id.
+SHINGLE, SIMILARITY = 5, 0.8
+SEGMENTS_OF_MINIMA, SYMBOLS = 7, 6
+#: Shingles whose minima are taken at once.
+STEP = 4096
+_rng = np.random.default_rng(42)
+_FLIP, _TIMES, _MARK = (_rng.integers(0, 1 << 64, SEGMENTS_OF_MINIMA * SYMBOLS, dtype=np.uint64) for _ in range(3))
+_TIMES |= np.uint64(1)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle, one without words none."""
+    words = text.lower().split()  # on bytes: A-Z only, ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = ends[min(shingle, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j]) for i, j in zip(starts[:n].tolist(), last.tolist())], np.uint64))
+
+
+def variants(hashes: np.ndarray) -> list[int]:
+    """Signed 64-bit keys, one for each minimum of each segment left out; none of an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_FLIP), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), STEP):
+        np.minimum(least, ((hashes[at : at + STEP, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
+    mixed = ((least ^ (least >> np.uint64(29))) * _TIMES).reshape(SEGMENTS_OF_MINIMA, SYMBOLS)
+    rest = mixed.sum(axis=1, keepdims=True) - mixed  # of a segment without one of its minima
+    keys = (rest.ravel() ^ _MARK) * _TIMES
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets; 1 if both are empty."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
 
-    Rows that repeat a doc_id count as one document. Rows without doc_id can't be named: all stay.
+def _marked(docs: DataFrame) -> DataFrame:
+    """(id, text_key, set_key, n, keys) of every row: digests of its text and of its set of shingles, the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, sizes, found = [], [], []
+            for text in utf8(b.column(2)):
+                hashes = shingles(text)
+                sets.append(xxhash.xxh128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                found.append(variants(hashes))
+            arrays = [b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_key", "set_key", "n", "keys"])
+
+    return _keyed(docs).mapInArrow(run, "id long, text_key binary, set_key binary, n long, keys array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+
+
+def _near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b), distinct classes, whose texts are at least ``least`` similar."""
+
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        known = lru_cache(256)(shingles)
+        return pa.array([similarity(known(i), known(j)) >= least for i, j in zip(utf8(x), utf8(y))], pa.bool_())
+
+    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(near("text_a", "text_b")).select("a", "b")
+
+
+def _near_classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Every row as (id, text_key, set_key), and the root (id, text_key, n) of each set_key's component."""
+    none = F.lit((1 << 63) - 1)
+    marked = cut(_marked(docs))  # some 400 bytes a document
+    # A class is named by its least doc_id and that row's text; the size of its set is the same in all of its rows.
+    own = F.struct(F.coalesce("id", none).alias("id"), F.col("text_key").alias("text_key"), "n")
+    classes = cut(marked.groupBy("set_key").agg(F.min(own).alias("node"), F.first("keys").alias("keys")))
+    member = classes.select("node", F.explode("keys").alias("bucket"))
+    leads = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    members = cut(member.join(leads, "bucket").where("node <> lead"))
+    wanted = members.select("node").union(members.select(F.col("lead").alias("node"))).distinct()
+    same = ["_id", "text_key"]
+    of = wanted.select("node", F.col("node.id").alias("_id"), F.col("node.text_key").alias("text_key"))
+    rows = _keyed(docs).withColumn("_id", F.coalesce("id", none)).drop("id")
+    texts = cut(rows.join(of, same).groupBy("node").agg(F.first("text").alias("text")))
+
+    # The classes of a bucket are compared with its least class first; two that are both near it are connected
+    # through it, so only pairs with a class that is not near it are still compared one by one.
+    a, b = F.col("a.n"), F.col("b.n")
+    could = F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9  # similarity can't exceed the ratio of the sizes
+    first = members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    near_lead = cut(_near(first.where(could), texts, least))
+    apart = members.join(near_lead.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti")
+    x, y = apart.select("bucket", F.col("node").alias("x")), members.select("bucket", F.col("node").alias("y"))
+    second = x.join(y, "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(could).distinct()
+    near = near_lead.union(_near(second, texts, least))
+
+    # Kept, so that the joins with it have exchanges of their own and Spark can split a class with many copies.
+    named = cut(classes.select("set_key", "node").join(connected(near), "node", "left").select("set_key", F.coalesce("root", "node").alias("root")))
+    return marked.select("id", "text_key", "set_key"), named
+
+
+def near_copies(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` (doc_id, text and any other columns).
+
+    Rows are linked if their sets of SHINGLE-word shingles are at least ``least`` similar; a shorter text is
+    one shingle. component_id is the least doc_id that can be reached over links, the document's own
+    included. Null, empty and blank texts are one component. Rows that repeat a doc_id stay rows of their
+    own. A row without doc_id gets the least id of its component, null if there is none. An empty table
+    gives an empty result.
     """
-    return keep_least(docs, near_duplicates(docs, **options))
+    marked, named = _near_classes(docs, least)
+    component = F.nullif(F.col("root.id"), F.lit((1 << 63) - 1)).alias("component_id")
+    return marked.join(named, "set_key").select(F.col("id").alias("doc_id"), component)
+
 
+def one_of_each(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each component of near_copies left, all of its columns as they are.
 
-def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the document named by component_id left of each component in ``found`` (doc_id, component_id)."""
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_row", own).dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    The row with the least doc_id stays (rows without one come last), of several texts under that doc_id
+    the one with the least digest, of rows equal in both any one. So a doc_id that stands with texts of
+    two components stays with both.
+    """
+    marked, named = _near_classes(docs, least)
+    times = marked.join(named, "set_key").where((F.coalesce("id", F.lit((1 << 63) - 1)) == F.col("root.id")) & (F.col("text_key") == F.col("root.text_key")))
+    stay = cut(times.groupBy(F.col("id").alias("_stay_id"), F.col("text_key").alias("_stay_text")).agg(F.count("*").alias("_stay_n")))
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    once, often = stay.where("_stay_n = 1"), stay.where("_stay_n > 1")
+    of = lambda some: F.col("doc_id").cast("long").eqNullSafe(some["_stay_id"]) & (key == some["_stay_text"])
+    single = docs.join(once, of(once), "left_semi")
+    several = docs.join(often, of(often)).dropDuplicates(["_stay_id", "_stay_text"]).select(*[docs[c] for c in docs.columns])
+    return single.unionByName(several)
 
 
 def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-__all__ = ["connected", "fingerprints", "hex64", "keep_least", "links", "near_duplicates", "one_of_each", "simhash"]
+__all__ = ["connected", "fingerprints", "hex64", "links", "near_copies", "near_duplicates", "one_of_each", "shingles", "similarity", "simhash", "variants"]
