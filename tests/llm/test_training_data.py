@@ -268,8 +268,8 @@ def test_mix_takes_what_the_shards_drew(spark, odd, shard_slots):
     assert got == want
     # The mixed shards hold the same words.
     spans = mixing.spans(odd, block=4, shard_slots=shard_slots).collect()
-    size = {(r.doc_id, r.source): max(q["size"] for q in odd_sizes(odd) if q["doc_id"] == r.doc_id) for r in spans}
-    assert all(0 <= r.first_word and r.first_word + r.words <= size[r.doc_id, r.source] for r in spans)
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in odd.orderBy(F.length("text")).collect()}
+    assert all(0 <= r.first_word and r.first_word + r.words <= size[r.doc_id] for r in spans)
     by_doc = collections.Counter()
     for r in spans:
         by_doc[r.doc_id] += r.words
@@ -284,10 +284,6 @@ def test_mix_takes_what_the_shards_drew(spark, odd, shard_slots):
     assert all(sorted(f)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(f), sorted(f)[1:])) for f in filled.values()) and len(slots) == sum(counts.values())
 
 
-def odd_sizes(df):
-    return [{"doc_id": r.doc_id, "size": len((r.text or "").encode().split())} for r in df.collect()]
-
-
 def test_another_draw_takes_other_words(spark, odd):
     a, b = ({(r.doc_id, r.taken) for r in mixing.mix(odd, block=4, shard_slots=n).collect()} for n in (50, 8192))
     assert a != b
