@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import canonical, cursor
 from tessera.functions.text import search_text
-from tessera.operators import consistency, current, detect, knowledge, search, sessions
+from tessera.operators import consistency, current, detect, knowledge, search, sessions, snapshot
 from tessera.sources.parts import publish
 
 #: Most rows of a page. Fixed value.
@@ -46,16 +46,26 @@ class Workspace:
         verified, orphans = current.split_by_roster(state, roster, unit)
         tables = {"units": roster, "products": verified, "orphans": orphans, "surfaces": current.surface_coverage(roster, surfaces, unit)}
         publish(tables, self.root, generation)
-        made = self.table(generation, "products")
-        meta = canonical.rows_fingerprint(made, *keys).select("fingerprint", F.lit("ready").alias("status"), F.col("rows"))
+        meta = self._fingerprint(generation).select("fingerprint", F.lit("ready").alias("status"), F.col("rows"))
         publish({"meta": meta}, self.root, generation)
 
+    def _fingerprint(self, generation: str) -> DataFrame:
+        """One row (rows, fingerprint) over every column of every row of the current state's tables."""
+        parts = []
+        for name in ("units", "products", "orphans", "surfaces"):
+            df = self.table(generation, name)
+            flat = df.select([F.col(c).cast("string").alias(c) for c in sorted(df.columns)])
+            parts.append(canonical.rows_fingerprint(flat, *flat.columns).select(F.lit(name).alias("name"), "rows", "fingerprint"))
+        every = reduce(DataFrame.unionByName, parts)  # a row a table
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "fingerprint"))), lambda x: F.concat(x["name"], F.lit(":"), x["fingerprint"])), "-")
+        return every.agg(F.max(F.when(F.col("name") == "products", F.col("rows"))).alias("rows"), F.sha2(text, 256).alias("fingerprint"))
+
     def current_status(self, generation: str) -> DataFrame:
         return self.table(generation, "meta")
 
-    def verify(self, generation: str, keys: list[str]) -> bool:
-        """Whether the products still have the fingerprint that was published with them."""
-        now = canonical.rows_fingerprint(self.table(generation, "products"), *keys).first()["fingerprint"]
+    def verify(self, generation: str) -> bool:
+        """Whether all values of all tables are still those that were published."""
+        now = self._fingerprint(generation).first()["fingerprint"]
         return now == self.table(generation, "meta").first()["fingerprint"]
 
     def mark_stale(self, generation: str, following: str, reason: str) -> None:
@@ -64,9 +74,11 @@ class Workspace:
 
     def plan(self, generation: str, *, weeks: int = current.WEEKS, limit: int = 100) -> dict[str, DataFrame]:
         """Rows of units whose surface is ready, best margin first, and the units that were left out."""
+        if not 1 <= limit <= MOST:
+            raise ValueError(f"limit must be 1 to {MOST}")
         surfaces = self.table(generation, "surfaces")
         ready = self.table(generation, "products").join(surfaces.where("status = 'ready'").select("unit_id"), "unit_id", "left_semi")
-        return {"rows": current.top_plan(ready, limit=min(limit, MOST), weeks=weeks), "excluded": surfaces.where("status <> 'ready'").orderBy("unit_id").limit(min(limit, MOST))}
+        return {"rows": current.top_plan(ready, limit=limit, weeks=weeks), "excluded": surfaces.where("status <> 'ready'").orderBy("unit_id").limit(limit)}
 
     # Pages
 
@@ -82,10 +94,12 @@ class Workspace:
             of, key = cursor.decode(after, name, scope)
             if of != generation:
                 raise ValueError("cursor is of another generation")
-            start = tuple(k if kinds[c] == "string" else int(k) for c, k in zip(keys, key))
-        found = sessions.keyset_page(rows.where(where) if where else rows, keys, limit=limit, after=start).collect()  # a page
-        more = bool(found) and found[-1]["has_more"]
-        return found, cursor.encode(name, scope, generation, tuple(str(found[-1][c]) for c in keys)) if more else None
+            start = tuple(F.lit(k).cast(kinds[c]) for c, k in zip(keys, key))
+        page = sessions.keyset_page(rows.where(where) if where else rows, keys, limit=limit, after=start)
+        # Spark writes the keys as text and reads them again, so that any type comes back as it was.
+        found = page.select(F.struct("*").alias("row"), F.array(*[F.col(c).cast("string") for c in keys]).alias("key")).collect()  # a page
+        more = bool(found) and found[-1]["row"]["has_more"]
+        return [r["row"] for r in found], cursor.encode(name, scope, generation, tuple(found[-1]["key"])) if more else None
 
     # Knowledge
 
@@ -94,9 +108,21 @@ class Workspace:
         named = knowledge.aliases(aliases)
         words = named.groupBy("ref").agg(F.array_join(F.collect_list("alias"), " ").alias("words"))
         full = records.join(words, "ref", "left").select("ref", F.concat_ws(" ", "title", "words", "body").alias("text"))
-        tables = {"records": records.withColumn("norm", search_text("title")), "aliases": named, "evidence": knowledge.evidence(evidence), "texts": full}
+        tables = {
+            "records": records.withColumn("norm", search_text("title")), "aliases": named, "evidence": knowledge.evidence(evidence), "texts": full,
+            "postings": search.postings(full), "lengths": search.lengths(full),
+        }
         publish(tables, self.root, generation)
 
+    def index_problems(self, generation: str) -> DataFrame:
+        """Postings that are not those of the texts, and texts that are not those of the records; none in a sound index."""
+        texts = self.table(generation, "texts")
+        words = self.table(generation, "aliases").groupBy("ref").agg(F.array_join(F.collect_list("alias"), " ").alias("words"))
+        again = self.table(generation, "records").join(words, "ref", "left").select("ref", F.concat_ws(" ", "title", "words", "body").alias("text"))
+        of_words = lambda df: df.select("ref", F.array_sort(F.split("text", " ")).alias("words"))  # noqa: E731  aliases in any order
+        one = snapshot.mirror_problems(search.postings(texts), self.table(generation, "postings")).select("ref", "side", F.lit("postings").alias("table"))
+        return one.unionByName(snapshot.mirror_problems(of_words(again), of_words(texts)).select("ref", "side", F.lit("texts").alias("table")))
+
     def search(self, generation: str, queries: DataFrame, *, kinds: tuple[str, ...] = (), limit: int = 10) -> DataFrame:
         """(query_id, rank, ref, tier): equal ref, alias, title, then BM25, each record in its best tier.
 
@@ -107,7 +133,8 @@ class Workspace:
         asked = queries.withColumn("norm", search_text("text"))
         named = self.table(generation, "aliases").select("ref", "norm").join(kept.select("ref"), "ref", "left_semi")
         exact = search.exact_tiers(asked, kept.select("ref"), named, kept, limit=limit).select("query_id", "ref", "tier", F.lit(0.0).alias("score"))
-        ranked = search.bm25(queries, self.table(generation, "texts").join(kept.select("ref"), "ref", "left_semi"), limit=2 * limit)
+        own = lambda name: self.table(generation, name).join(kept.select("ref"), "ref", "left_semi")
+        ranked = search.rank_postings(queries, own("postings"), own("lengths"), limit=2 * limit)
         every = exact.unionByName(ranked.select("query_id", "ref", F.lit(4).alias("tier"), "score"))
         best = every.groupBy("query_id", "ref").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("b"))
         from pyspark.sql import Window

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.normalise import DROP_FIELDS, key_set
+from tessera.functions.text import is_json
 
 _PAYLOAD = """schema int, kind string, isTrusted boolean, wallTimeMs double, performanceTimeMs double, pagePath string,
   element struct<tag: string, type: string, name: string, role: string, selector: string>, form struct<method: string, actionPath: string, fieldNames: array<string>>"""
@@ -25,9 +26,22 @@ def origin_path(value: Column) -> Column:
     return F.when(text.rlike("^/(?!/)"), F.substring(F.regexp_replace(text, "[?#].*$", ""), 1, 1024))
 
 
+def rejected_actions(payloads: DataFrame) -> DataFrame:
+    """(session_id, sequence, problem) of the payloads that give no action event: none goes without a trace."""
+    p = F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE"})
+    problem = (
+        F.when(F.col("payload").isNull(), F.lit("no payload"))
+        .when(F.octet_length("payload") > LARGEST, F.lit("too large"))
+        .when(~is_json(F.col("payload")), F.lit("no JSON"))
+        .when(~F.coalesce(p["schema"] == 1, F.lit(False)), F.lit("other schema"))
+        .when(~F.coalesce(p["kind"].isin(*KINDS), F.lit(False)), F.lit("other kind"))
+    )
+    return payloads.select("session_id", "sequence", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def action_events(payloads: DataFrame) -> DataFrame:
-    """Action events of payloads (session_id, sequence, payload); what is no action of schema 1 is left out."""
-    read = payloads.where(F.octet_length("payload") <= LARGEST).withColumn("p", F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE"}))
+    """Action events of payloads (session_id, sequence, payload); what is no action of schema 1 is left to rejected_actions."""
+    read = payloads.where((F.octet_length("payload") <= LARGEST) & is_json(F.col("payload"))).withColumn("p", F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE"}))
     known = read.where((F.col("p.schema") == 1) & F.col("p.kind").isin(*KINDS))
     name = bounded(F.col("p.element.name"), 128)
     method = F.upper(bounded(F.col("p.form.method"), 16))

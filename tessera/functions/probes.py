@@ -10,12 +10,14 @@ from tessera.functions.pages import page_links
 from tessera.functions.tables import table_rows
 
 
-def link_inventory(pages: DataFrame, *, limit: int = 200) -> DataFrame:
-    """(page_id, pattern, n) of the origin-relative links of each page, the ``limit`` most frequent."""
+def link_inventory(pages: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """(page_id, pattern, n) of the origin-relative links of each page, the ``limit`` most frequent if one is given."""
     from pyspark.sql import Window
 
     each = pages.select("page_id", F.explode(page_links("html")).alias("href")).where(F.col("href").rlike("^/(?!/)"))
     counts = each.groupBy("page_id", route(F.col("href")).alias("pattern")).agg(F.count("*").alias("n"))
+    if limit is None:
+        return counts
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "pattern"))
     return counts.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k")
 

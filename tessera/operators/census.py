@@ -61,8 +61,8 @@ def route_census(tokens: DataFrame) -> DataFrame:
 
 
 def form_dedup(forms: DataFrame) -> DataFrame:
-    """(method, action, fields, observed, first_seen) of distinct forms from rows (method, action, fields, page)."""
-    return forms.groupBy("method", "action", "fields").agg(F.countDistinct("page").alias("observed"), F.min("page").alias("first_seen"))
+    """(form_id, method, action, fields, observed, first_seen) of distinct forms from rows (form_id, method, action, fields, page)."""
+    return forms.groupBy("form_id", "method", "action", "fields").agg(F.countDistinct("page").alias("observed"), F.min("page").alias("first_seen"))
 
 
 def partition_manifest(rows: DataFrame, order: list[str], *, size: int = PART_SIZE) -> DataFrame:

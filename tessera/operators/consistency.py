@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.census import number_rows
+
 
 def census_conservation(census: DataFrame, counts: DataFrame, group: str) -> DataFrame:
     """Groups whose value counts (group, facet, value, n) do not add up to their count in ``census``, per facet."""
@@ -27,11 +29,17 @@ def actions_without_operation(actions: DataFrame, operations: DataFrame) -> Data
 
 
 def nearest_rank(rows: DataFrame, group: list[str], value: str, percentiles: dict[str, float]) -> DataFrame:
-    """Upper nearest-rank percentiles of each group: the value at rank ceil((n - 1) * p) + 1, never interpolated."""
-    w = Window.partitionBy(*group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("_k") == F.ceil((F.col("_n") - 1) * p) + 1, F.col(value)))
-    return ranked.groupBy(*group).agg(*[at(p).alias(name) for name, p in percentiles.items()])
+    """Upper nearest-rank percentiles of each group: the value at rank ceil((n - 1) * p) + 1, never interpolated.
+
+    Rows are sorted and numbered by ranges, so that a large group is no task of its own; a group's ranks
+    follow from the number of its first row.
+    """
+    numbered = number_rows(rows.where(F.col(value).isNotNull()).select(*group, value), [*group, value])
+    extent = numbered.groupBy(*group).agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    wanted = extent.select(*group, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.col("_first") + F.ceil((F.col("_n") - 1) * p)).cast("long").alias("row")) for name, p in percentiles.items()])).alias("w"))
+    keyed = wanted.select(*[F.col(c).alias(f"_{c}") for c in group], "w.name", F.col("w.row").alias("row"))
+    found = numbered.join(keyed, "row")  # a row for each group and percentile
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in percentiles])
 
 
 def mark_stale(meta: DataFrame, reason: str) -> DataFrame:

@@ -24,6 +24,13 @@ def operation_signatures(rows: DataFrame, templates: DataFrame) -> DataFrame:
     return named.groupBy("path", "method", "query_keys", "body_keys").agg(F.count("*").alias("posts"))
 
 
+def posts_disagree(signatures: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, method, posts, declared_posts) of operations whose number of posts is not the declared one (path, method, posts)."""
+    found = signatures.groupBy("path", "method").agg(F.sum("posts").alias("posts"))
+    told = declared.groupBy("path", "method").agg(F.sum("posts").alias("declared_posts"))
+    return found.join(told, ["path", "method"], "full_outer").where(~F.col("posts").eqNullSafe(F.col("declared_posts")))
+
+
 def form_signatures(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """Distinct (path, method, fields) of forms with normalised names."""
     return resolve(rows, templates).select("path", method(F.col("method")).alias("method"), key_set(F.col("fields")).alias("fields")).distinct()

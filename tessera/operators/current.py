@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import rows_fingerprint
+
 WEEKS, MARKUP = 3, 1.05
 
 
@@ -35,6 +37,13 @@ def resolve_catalog(observed: DataFrame, catalog: DataFrame, key: str, name: str
     return joined.select(key, F.when(F.col("n_names") == 1, F.col("_name")).alias(name), F.coalesce("n_names", F.lit(0)).cast("long").alias("n_names"), how.alias("resolution"))
 
 
+def catalog_fingerprint(catalog: DataFrame, key: str, name: str, version: int = 1) -> DataFrame:
+    """One row (rows, fingerprint) of what the catalogue resolves: each id's only name, or that it is ambiguous."""
+    names = catalog.groupBy(key).agg(F.countDistinct(name).alias("n"), F.min(name).alias("one"))
+    meaning = names.select(F.col(key).cast("string").alias("id"), F.when(F.col("n") == 1, F.col("one").cast("string")).alias("name"), (F.col("n") > 1).cast("string").alias("ambiguous"), F.lit(str(version)).alias("version"))
+    return rows_fingerprint(meaning, "id", "name", "ambiguous", "version")
+
+
 def plan(rows: DataFrame, *, weeks: int = WEEKS) -> DataFrame:
     """``rows`` with target, order_qty, reference, recommended and flags.
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import normalise as N
 from tessera.functions import pages, recognise, wiki
+from tessera.functions.text import is_json
 from tessera.operators import census
 
-#: Quoted routes in page and script text, with or without the site's origin. ``%s`` is the site.
+#: Quoted routes in page and script text, with or without the site's origin. ``%s`` is the site. A fixed value:
+#: which tokens count decides the census.
 ROUTE_TOKEN = r"""["']((?:(?:https?:)?//%s)?/[^"'\s<>()\\]*)["']"""
 SCANNED = ("application/javascript", "text/html", "text/javascript")
 
@@ -53,7 +55,7 @@ def routes(entries: DataFrame, site: str) -> DataFrame:
 
 def forms(entries: DataFrame, site: str) -> DataFrame:
     found = entries.where(recognise.page_candidate()).select(F.concat("capture", F.lit("#entry-"), F.col("entry").cast("string")).alias("page"), F.explode(pages.page_forms(F.col("body").cast("string"))).alias("f"))
-    return census.form_dedup(found.select("page", "f.method", "f.action", "f.fields"))
+    return census.form_dedup(found.select("page", "f.form_id", "f.method", "f.action", "f.fields"))
 
 
 def page_texts(entries: DataFrame, site: str) -> DataFrame:
@@ -65,7 +67,7 @@ def json_responses(entries: DataFrame, site: str) -> DataFrame:
     """Bodies of JSON responses; a body that is no JSON stays as text, and ``is_json`` says which it is."""
     body = F.col("body").cast("string")
     own = entries.where(recognise.json_candidate())
-    return own.select("capture", "entry", "path", "query", F.col("response_text_sha256").alias("sha256"), body.alias("data"), F.try_parse_json(body).isNotNull().alias("is_json"))
+    return own.select("capture", "entry", "path", "query", F.col("response_text_sha256").alias("sha256"), body.alias("data"), is_json(body).alias("is_json"))
 
 
 def wiki_topics(entries: DataFrame, site: str, order: tuple[str, ...] = ()) -> DataFrame:
@@ -82,7 +84,7 @@ BUILDERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
 
 
 def build(name: str, entries: DataFrame, site: str) -> DataFrame:
-    """The dataset ``name`` of ``entries`` (as ``sources.har.read_har`` gives them, with raw_query) of a site."""
+    """The dataset ``name`` of ``entries`` (as ``sources.har.read_har`` gives them) of a site."""
     if name not in BUILDERS:
         raise ValueError(f"no dataset {name}; there are {', '.join(BUILDERS)}")
     return BUILDERS[name](entries, site)

@@ -28,6 +28,11 @@ def delta_summary(rows: DataFrame, product: str) -> DataFrame:
     )
 
 
+def untouched_changes(rows: DataFrame, product: str, tracked) -> DataFrame:
+    """One row: changed rows of ``rows`` (of deltas) of other products than the ``tracked`` one."""
+    return rows.agg(F.count_if(F.col("changed") & (F.col(product) != F.lit(tracked))).alias("untouched_changed_rows"))
+
+
 def direction(delta: Column) -> Column:
     return F.when(delta > 0, F.lit("increase")).when(delta < 0, F.lit("decrease")).when(delta == 0, F.lit("unchanged")).otherwise(F.lit("unknown"))
 

@@ -36,19 +36,45 @@ def enrich(rows: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     return kept.drop("_stray").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
 
 
+#: Most bytes of a bundle.
+MOST_BYTES = 16 << 20
+
+
 def bundles(found: DataFrame, profile: str) -> DataFrame:
     """(session_id, bundle_id, payload, payload_sha256): the findings of each session as one canonical document.
 
     ``found``: session_id, change_id, rule, kind, path, method. The id is a digest of the document
-    without it, so the same findings give the same bundle.
+    without it, so the same findings give the same bundle. One of more than MOST_BYTES fails the job.
     """
     one = F.to_json(F.struct("change_id", "kind", "method", "path", "rule"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
     listed = found.select("session_id", "change_id", one.alias("doc")).distinct().groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("change_id", "doc"))).alias("f"))
     texts = F.array_join(F.transform("f", lambda x: x["doc"]), ",")
-    open_ = lambda id_: F.concat(F.lit("{"), id_, F.lit('"findings":['), texts, F.lit(f'],"profile":"{profile}","session_id":"'), "session_id", F.lit('"}'))
+    open_ = lambda id_: F.concat(F.lit("{"), id_, F.lit('"findings":['), texts, F.lit('],"profile":'), quoted(F.lit(profile)), F.lit(',"session_id":'), quoted(F.col("session_id")), F.lit("}"))
     named = listed.withColumn("bundle_id", F.concat(F.lit("promotion."), F.sha2(open_(F.lit("")), 256)))
     payload = open_(F.concat(F.lit('"bundle_id":"'), "bundle_id", F.lit('",')))
-    return named.withColumn("payload", payload).select("session_id", "bundle_id", "payload", F.sha2("payload", 256).alias("payload_sha256"))
+    small = F.when(F.octet_length("payload") <= MOST_BYTES, F.lit(True)).otherwise(F.raise_error(F.lit("bundle is too large")).cast("boolean"))
+    return named.withColumn("payload", payload).where(small).select("session_id", "bundle_id", "payload", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def materialise(outbox: DataFrame, path: str) -> int:
+    """Append the bundles of ``outbox`` (session_id, bundle_id, payload, payload_sha256) that ``path`` lacks; their number.
+
+    A bundle that is there with other bytes fails the call before anything is written.
+    """
+    spark = outbox.sparkSession
+    schema = "session_id string, bundle_id string, payload string, payload_sha256 string"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    written = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+    both = outbox.select("bundle_id", "payload_sha256").unionByName(written.select("bundle_id", "payload_sha256"))
+    if not both.groupBy("bundle_id").agg(F.countDistinct("payload_sha256").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a bundle is written already with other bytes")
+    fresh = outbox.select("session_id", "bundle_id", "payload", "payload_sha256").dropDuplicates(["bundle_id"]).join(written.select("bundle_id"), "bundle_id", "left_anti")
+    n = fresh.count()
+    if n:
+        fresh.select("session_id", "bundle_id", "payload", "payload_sha256").write.mode("append").parquet(path)
+    return n
 
 
 def pending(outbox: DataFrame, written: DataFrame) -> DataFrame:

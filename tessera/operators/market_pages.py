@@ -71,11 +71,16 @@ def group_cities(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _sound(typed, good, ["city_id"])
 
 
+def carry_forward(rows: DataFrame, group: list[str], order: list[str], heading: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the last ``heading`` that was not null in the group, this row's own included."""
+    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.last(heading, ignorenulls=True).over(before))
+
+
 def vendor_products(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Products of the vendors page under the heading before them, which is carried forward over rows."""
     rows = _rows(pages)
-    order = Window.partitionBy("page_id", "table").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grouped = rows.withColumn("group_name", F.last("heading", ignorenulls=True).over(order))
+    grouped = carry_forward(rows, ["page_id", "table"], ["row"], "heading", "group_name")
     links = F.filter(F.flatten(F.transform("cells", lambda c: c["hrefs"])), lambda h: h.startswith("/analitics/vendors/"))
     typed = grouped.where(F.col("heading").isNull()).select("page_id", "group_name", F.explode(links).alias("href")).select("page_id", "group_name", canonical_id(F.regexp_extract("href", VENDOR_LINK, 1)).alias("product_id"))
     return _sound(typed, F.col("product_id").isNotNull() & (F.col("group_name") != ""), ["product_id"])

@@ -28,7 +28,7 @@ def match(paths: DataFrame, known: DataFrame) -> DataFrame:
     first = lambda c: F.element_at(F.split(c, "/"), 2)
     keyed = templates(known).withColumn("head", F.when(F.size(F.split("pattern", "/")) > 1, F.when(~first("pattern").rlike(PLACEHOLDER), first("pattern"))))
     own = distinct.withColumn("head", F.explode(F.array(F.when(F.size(F.split("path", "/")) > 1, first("path")), F.lit(None).cast("string"))))
-    met = own.join(keyed.hint("shuffle_hash"), (own.segments == keyed.segments) & own["head"].eqNullSafe(keyed["head"]))
+    met = own.join(keyed, (own.segments == keyed.segments) & own["head"].eqNullSafe(keyed["head"]))
     hits = met.where((F.col("path") == F.col("pattern")) | F.expr("path RLIKE regex")).select("path", "pattern", (F.col("path") == F.col("pattern")).alias("exact"), "literals").distinct()
     rank = F.rank().over(Window.partitionBy("path").orderBy(F.desc("exact"), F.desc("literals")))
     best = hits.withColumn("_r", rank).where("_r = 1").groupBy("path").agg(F.min("pattern").alias("pattern"), F.count("*").alias("n"), F.bool_or("exact").alias("exact"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.canonical import versioned_ref
@@ -58,6 +58,34 @@ def action_records(rows: DataFrame) -> DataFrame:
     return _record(rows, F.concat(F.lit("action:"), "action_id"), "action", F.col("title"), [F.concat_ws(" ", "method", "path"), F.array_join("fields", " ")], F.array("action_id"), F.col("evidence"))
 
 
+def entity_records(rows: DataFrame) -> DataFrame:
+    """Of entities (entity_id, name, names, attributes as a map of lists, evidence)."""
+    return _record(rows, F.concat(F.lit("entity:"), "entity_id"), "entity", F.col("name"), [F.array_join(attribute_terms(F.col("attributes")), " ")], F.col("names"), F.col("evidence"))
+
+
+def attribute_terms(attributes: Column) -> Column:
+    """Distinct words of a map of lists: each name, in order, and its values; nulls and blanks are left out."""
+    pairs = F.array_sort(F.map_entries(attributes), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
+    every = F.flatten(F.transform(pairs, lambda p: F.concat(F.array(p["key"]), F.coalesce(p["value"], F.array().cast("array<string>")))))
+    return F.array_distinct(F.filter(F.transform(every, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != "")))
+
+
+def session_endpoint_records(rows: DataFrame) -> DataFrame:
+    """Of endpoints seen in a session (source_id, path_pattern, count, methods as a map of counts, query_keys, mime_types, evidence).
+
+    The counts of the methods have to add up to count, and a path stands once a source; else the job fails.
+    """
+    total = F.aggregate(F.map_values("methods"), F.lit(0).cast("long"), lambda s, n: s + n)
+    n = F.count("*").over(Window.partitionBy("source_id", "path_pattern"))
+    fine = (total == F.col("count")) & (F.col("count") > 0) & (F.col("_n") == 1)
+    checked = rows.withColumn("_n", n).where(F.when(F.coalesce(fine, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("session endpoint is not sound")).cast("boolean"))).drop("_n")
+    methods = F.array_join(F.array_sort(F.transform(F.map_keys("methods"), lambda m: F.upper(m))), " ")
+    return _record(
+        checked, F.concat(F.lit("session-endpoint:"), "source_id", F.lit(":"), "path_pattern"), "session-endpoint", F.col("path_pattern"),
+        [methods, F.array_join(F.array_sort("query_keys"), " "), F.array_join(F.array_sort("mime_types"), " ")], None, F.col("evidence"),
+    )
+
+
 def union_records(*parts: DataFrame) -> DataFrame:
     """All records; a ref that two of them have fails the job."""
     every = parts[0].select(*_SHAPE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import canonical, normalise, pages, text
 from tessera.operators import census, consistency, correlate, current, detect, experiments, integrity, knowledge, market, market_pages, paths, provenance, search, sessions
 from tessera.plans import adapters as A
-from tessera.sources.shared import new_folder
+from tessera.sources.shared import materialise, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,13 +41,20 @@ def market_latest(spark, d):
     return market.latest_per_key(rows, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def market_append(spark, d):
+    """The log of finished orders, and all orders after it: what it holds already comes once."""
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return market.append(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.drop("o_orderstatus"), ["o_orderkey"])
+
+
 @query("""
-SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, o_custkey FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders) WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)
+WITH r AS (SELECT o_custkey, o_orderkey, '{"o_orderpriority":' || to_json(o_orderpriority)::VARCHAR || ',"o_orderstatus":' || to_json(o_orderstatus)::VARCHAR || '}' AS t FROM orders)
+SELECT o_custkey, count(*) AS rows, sha256('[' || string_agg(t, ',' ORDER BY o_orderkey) || ']') AS fingerprint FROM r GROUP BY 1
 """)
-def market_append(spark, d):
-    o = A.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return market.append(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), ["o_orderkey"])
+def market_page_fingerprints(spark, d):
+    rows = A.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    return market.page_fingerprints(rows, ["o_custkey"], "o_orderkey")
 
 
 @query("""
@@ -60,33 +67,26 @@ def state_fingerprint(spark, d):
     return canonical.rows_fingerprint(o, "k", "s")
 
 
-@query(r"""
-WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || '.5 млн p.' WHEN 1 THEN (p_size * 1000) || ' p.' WHEN 2 THEN '+' || p_size || '.25%' WHEN 3 THEN p_size || '.1234567 тыс p.' ELSE '0' || p_size END AS text FROM part)
-SELECT p_partkey, text, CASE p_partkey % 5 WHEN 0 THEN split_part(text, '.', 1)::BIGINT * 1000000 + 500000 END AS amount,
-  CASE WHEN p_partkey % 5 = 2 THEN replace(replace(text, '%', ''), '+', '')::DOUBLE END AS percent, NULL::BIGINT AS id FROM t
+@query("""
+WITH t AS (SELECT p_partkey, p_retailprice, p_partkey % 4 AS kind, p_retailprice::DECIMAL(20,6) * CASE p_partkey % 4 WHEN 0 THEN 1000000000 WHEN 1 THEN 1000 ELSE 1000000 END AS amount FROM part)
+SELECT p_partkey, CASE WHEN kind < 3 AND amount = floor(amount) THEN amount::BIGINT END AS amount, CASE WHEN kind = 3 THEN p_retailprice END AS percent FROM t
 """)
 def money_parse(spark, d):
+    """Prices as the pages write them, in thousands, millions, billions or per cent, read back."""
     p = A.table(spark, d, "part")
-    size = F.col("p_size").cast("string")
-    kind = F.col("p_partkey") % 5
-    shown = (
-        F.when(kind == 0, F.concat(size, F.lit(".5 млн p."))).when(kind == 1, F.concat((F.col("p_size") * 1000).cast("string"), F.lit(" p.")))
-        .when(kind == 2, F.concat(F.lit("+"), size, F.lit(".25%"))).when(kind == 3, F.concat(size, F.lit(".1234567 тыс p."))).otherwise(F.concat(F.lit("0"), size))
-    )
-    t = p.select("p_partkey", shown.alias("text"))
-    c = F.col("text")
-    return t.select("p_partkey", "text", normalise.money(c).alias("amount"), normalise.percent(c).alias("percent"), normalise.canonical_id(c).alias("id"))
+    shown, kind = F.col("p_retailprice").cast("string"), F.col("p_partkey") % 4
+    text_ = F.when(kind == 0, F.concat(shown, F.lit(" млрд p."))).when(kind == 1, F.concat(shown, F.lit(" тыс p."))).when(kind == 2, F.concat(shown, F.lit(" млн p."))).otherwise(F.concat(F.lit("+"), shown, F.lit("%")))
+    return p.select("p_partkey", normalise.money(text_).alias("amount"), normalise.percent(text_).alias("percent"))
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_partkey % 7 = 0 THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS heading FROM lineitem
+SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_returnflag = 'R' THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) AS heading FROM lineitem
 """)
 def carry_forward_group(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    heading = F.last(F.when(F.col("l_partkey") % 7 == 0, F.col("l_partkey")), ignorenulls=True).over(w)
-    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", heading.alias("heading"))
+    """Each line item under the last returned part of its supplier."""
+    li = A.table(spark, d, "lineitem").withColumn("_returned", F.when(F.col("l_returnflag") == "R", F.col("l_partkey")))
+    rows = market_pages.carry_forward(li, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "_returned", "heading")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "heading")
 
 
 # Sessions
@@ -112,9 +112,10 @@ def _links(spark, d):
 
 
 def _summaries(spark, d):
-    e = A.events(spark, d)
+    e = materialise(A.events(spark, d))  # read by the counts, the links and the actions without one
+    links = materialise(correlate.correlate(e.where("source = 'dom.action'"), e.where("event_type = 'http.request'"), TIMING))
     warnings = e.groupBy("session_id").agg(F.count_if((F.col("raw_type") == "error") & (F.col("k") < 10)).alias("warning_count"))
-    return sessions.summaries(e, _links(spark, d), warnings)
+    return sessions.summaries(e, links, warnings)
 
 
 @query(f"WITH {_LINK} SELECT session_id, action_event_id, network_event_id, status, round(raw, 4) AS score, round(d * 1000, 3) AS delta_ms FROM link")
@@ -151,9 +152,10 @@ def keyset_page(spark, d):
     return sessions.keyset_page(o, ["o_custkey", "o_orderkey"], limit=50, after=(10, 50))
 
 
-@query(f"WITH {A.EVENTS} SELECT session_id, count(*) AS events, min(sequence)::INTEGER AS first, max(sequence)::INTEGER AS last, count(DISTINCT sequence) AS \"distinct\", min(sequence) = 0 AND max(sequence) = count(*) - 1 AND count(DISTINCT sequence) = count(*) AS contiguous FROM ev WHERE k < 99 GROUP BY 1")
+@query("SELECT l_orderkey AS session_id, count(*) AS events, min(l_linenumber - 1) AS first, max(l_linenumber - 1) AS last, count(DISTINCT l_linenumber) AS \"distinct\", min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1")
 def sequence_contiguity(spark, d):
-    return integrity.sequence_gaps(A.events(spark, d).where("k < 99"))
+    """Whether the lines of each order are numbered without gaps and repeats."""
+    return integrity.sequence_gaps(A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") - 1).alias("sequence")))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -162,12 +164,13 @@ def duplicate_ids(spark, d):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10), r AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 12)
+WITH l AS (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O'), r AS (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_linestatus <> 'O')
 SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)
 """)
 def dataset_diff(spark, d):
     li = A.table(spark, d, "lineitem")
-    return integrity.multiset_difference(li.where("l_quantity > 10").select("l_orderkey", "l_linenumber"), li.where("l_quantity < 12").select("l_orderkey", "l_linenumber"))
+    side = lambda c: li.where(c).select("l_partkey", "l_linenumber")
+    return integrity.multiset_difference(side("l_linestatus = 'O'"), side("l_linestatus <> 'O'"))
 
 
 # Captured requests
@@ -198,10 +201,12 @@ def endpoint_value_counts(spark, d):
     return census.counts_as_text(census.value_counts(_app(spark, d), "path_pattern", ["status", "capture"]), "path_pattern")
 
 
-@query(f"WITH {A.ENTRIES} SELECT path, count(*) AS count, count(DISTINCT capture) AS captures FROM en WHERE regexp_matches(path, '\\.html$') GROUP BY path")
+@query(f"WITH {A.ENTRIES} SELECT path, count(*) AS count, array_to_string(list_sort(list(DISTINCT capture)), ',') AS captures, 'text/html' AS mime_types FROM en WHERE first_party AND NOT EXISTS (SELECT 1 FROM app WHERE app.path = en.path) GROUP BY path")
 def asset_census(spark, d):
-    e = A.entries(spark, d).where(normalise.is_static(F.col("path"), F.col("resource_type")))
-    return e.groupBy("path").agg(F.count("*").alias("count"), F.countDistinct("capture").alias("captures"))
+    from tessera.operators import datasets
+
+    found = datasets.assets(A.entries(spark, d), "example.org")
+    return found.withColumn("captures", F.array_join("captures", ",")).withColumn("mime_types", F.array_join("mime_types", ","))
 
 
 @query(f"WITH {A.ENTRIES} SELECT capture, entry, path, example::INTEGER AS example FROM (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY entry) AS example FROM app) WHERE example <= 5")
@@ -209,27 +214,51 @@ def first_examples(spark, d):
     return census.first_examples(_app(spark, d), "capture", ["entry"]).select("capture", "entry", "path", "example")
 
 
-@query(f"""WITH {A.ENTRIES}, t AS (
-  SELECT capture, entry, path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS token FROM en UNION ALL
-  SELECT capture, entry, unnest(regexp_extract_all(html, 'href="(/[^"''<>\\s]+)"', 1)) FROM en),
-u AS (SELECT DISTINCT capture, entry, token, regexp_replace(regexp_replace(split_part(token, '?', 1), '/[0-9]+', '/{{id}}', 'g') || CASE WHEN contains(token, '?') THEN '?' || substr(token, length(split_part(token, '?', 1)) + 2) ELSE '' END, '=[0-9]+', '={{number}}', 'g') AS pattern FROM t)
-SELECT pattern, count(*) AS count, count(DISTINCT capture) AS captures, count(DISTINCT (capture, entry)) AS entries FROM u GROUP BY pattern""")
+def _route_sql(token: str) -> str:
+    """The normalised route of a token with path and query, in SQL."""
+    path = f"split_part({token}, '?', 1)"
+    segments = f"string_split({path}, '/')"
+    named = f"CASE WHEN {segments}[i - 1] = 'topic' THEN '{{topic}}' WHEN {segments}[i - 1] = 'id' AND i = len({segments}) AND starts_with({path}, '/user/splash/') THEN '{{splash_id}}' ELSE '{{id}}' END"
+    of_path = f"array_to_string(list_transform({segments}, lambda s, i: CASE WHEN s <> '' AND i > 1 AND {segments}[i - 1] IN ('id', 'r', 'style', 'topic') THEN {named} ELSE s END), '/')"
+    key, value = "split_part(p, '=', 1)", "CASE WHEN contains(p, '=') THEN substr(p, length(split_part(p, '=', 1)) + 2) ELSE '' END"
+    number = f"regexp_matches({value}, '^[0-9]+$')"
+    of_id = f"CASE WHEN starts_with({path}, '/city/map/') THEN '{{ID}}' WHEN {number} THEN '{{id}}' ELSE '{{value}}' END"
+    of_number = f"CASE WHEN {key} = 'product' THEN '{{product_id}}' WHEN {key} IN ('replace', 'vendor') THEN '{{vendor_id}}' ELSE '{{number}}' END"
+    told = f"CASE WHEN {key} = 'topic' THEN '{{value}}' WHEN {key} = 'id' THEN {of_id} WHEN {number} THEN {of_number} ELSE {value} END"
+    of_query = f"array_to_string(list_transform(list_filter(string_split(substr({token}, length({path}) + 2), '&'), lambda p: p <> ''), lambda p: {key} || '=' || {told}), '&')"
+    return f"{of_path} || CASE WHEN contains({token}, '?') THEN '?' || {of_query} ELSE '' END"
+
+
+_SITE = "example.org"
+_TOKENS = r"""["']((?:(?:https?:)?//example\.org)?/[^"'\s<>()\\]*)["']""".replace("'", "''")
+_ROUTES = f"""{A.ENTRIES}, t AS (
+  SELECT capture, entry, path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS token FROM en WHERE first_party
+  UNION ALL SELECT capture, entry, rtrim(regexp_replace(q, '^(?:https?:)?//{_SITE}', ''), '.,;:!') FROM (SELECT capture, entry, unnest(regexp_extract_all(html, '{_TOKENS}', 1)) AS q FROM en WHERE first_party)),
+u AS (SELECT DISTINCT capture, entry, token, {_route_sql("token")} AS pattern FROM t WHERE token = '/' OR (length(token) >= 2 AND starts_with(token, '/') AND NOT starts_with(token, '//') AND NOT contains(token, '{{')))"""
+
+
+def _site_entries(spark, d):
+    return A.entries(spark, d).where("first_party").withColumn("raw_query", F.col("query")).withColumn("body", F.col("html").cast("binary"))
+
+
+@query(f"WITH {_ROUTES} SELECT pattern, count(*) AS count, count(DISTINCT capture) AS captures, count(DISTINCT (capture, entry)) AS entries FROM u GROUP BY pattern")
 def route_census(spark, d):
-    e = A.entries(spark, d)
-    own = F.concat("path", F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise(F.lit("")))
-    hrefs = F.regexp_extract_all("html", F.lit(r"href=\"(/[^\"'<>\s]+)\""), F.lit(1))
-    tokens = e.select("capture", "entry", F.explode(F.concat(F.array(own), hrefs)).alias("token"))
-    numbered = F.concat(
-        F.regexp_replace(F.substring_index("token", "?", 1), "/[0-9]+", "/{id}"),
-        F.when(F.instr("token", "?") > 0, F.substring(F.col("token"), F.length(F.substring_index("token", "?", 1)) + 1, F.length("token"))).otherwise(F.lit("")),
-    )
-    return census.route_census(tokens.withColumn("pattern", F.regexp_replace(numbered, "=[0-9]+", "={number}")))
+    from tessera.operators import datasets
+
+    return datasets.routes(_site_entries(spark, d), _SITE)
+
+
+@query(f"WITH {_ROUTES} SELECT capture, entry, token, pattern FROM u")
+def route_tokens(spark, d):
+    from tessera.operators import datasets
+
+    return datasets.route_tokens(_site_entries(spark, d), _SITE)
 
 
 @query()
 def form_signatures(spark, d):
     p = A.table(spark, d, "pages").select(F.col("page_id").alias("page"), F.explode(pages.page_forms("html")).alias("f"))
-    return census.form_dedup(p.select("page", "f.method", "f.action", F.array_join("f.fields", ",").alias("fields")))
+    return census.form_dedup(p.select("page", "f.form_id", "f.method", "f.action", F.to_json("f.fields").alias("fields")))
 
 
 @query()
@@ -247,26 +276,26 @@ def partition_manifest(spark, d):
     return census.partition_manifest(A.table(spark, d, "orders"), ["o_orderkey"])
 
 
-@query("""
-WITH n AS (SELECT event_id, ['field[' || event_id % 5 || ']', ' k' || event_id % 3 || ' ', '1' || event_id % 4, 'accessToken', CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'Session_id' END, 'a'] AS names FROM events)
-SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(['field[n]', 'k' || event_id % 3, '{numeric-key}', 'a'], lambda x: x IS NOT NULL))), ',') AS keys FROM n
+_DROP = "(?i)" + "|".join(normalise.DROP_FIELDS)
+
+
+@query(rf"""
+WITH n AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{_DROP}')) AS names FROM documents),
+k AS (SELECT doc_id, list_sort(list_distinct(list_transform(names, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{{numeric-key}}' ELSE regexp_replace(x, '\[[0-9]+\]', '[n]', 'g') END))) AS keys FROM n)
+SELECT doc_id, len(keys)::INTEGER AS n_keys, sha256(array_to_string(keys, ',')) AS keys_sha256 FROM k
 """)
 def key_set_normalise(spark, d):
-    n = F.col("event_id")
-    text_ = lambda p, c, s="": F.concat(F.lit(p), c.cast("string"), F.lit(s))
-    names = F.array(text_("field[", n % 5, "]"), text_(" k", n % 3, " "), text_("1", n % 4), F.lit("accessToken"), F.when(n % 2 == 0, F.lit("a")).otherwise(F.lit("Session_id")), F.lit("a"))
-    return A.table(spark, d, "events").select("event_id", F.array_join(normalise.key_set(names), ",").alias("keys"))
+    keys = normalise.key_set(F.split(F.coalesce("text", F.lit("")), " "))
+    return A.table(spark, d, "documents").select("doc_id", F.size(keys).alias("n_keys"), F.sha2(F.array_join(keys, ","), 256).alias("keys_sha256"))
 
 
-@query("""
-WITH t AS (SELECT event_id, '/user/splash/id/' || event_id || CASE WHEN event_id % 2 = 0 THEN '/style/' || event_id % 7 ELSE '' END AS a, '/shop/id/' || event_id || '?id=' || event_id || '&product=' || event_id % 9 || '&mode=x' AS b FROM events)
-SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/user/splash/id/{splash_id}/style/{style_id}' ELSE '/user/splash/id/{splash_id}' END AS endpoint, '/shop/id/{id}?id={id}&product={product_id}&mode=x' AS route FROM t
-""")
+_URL = r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS token FROM pages)"""
+
+
+@query(f"{_URL} SELECT page_id, {_route_sql('token')} AS route, CASE WHEN regexp_matches(split_part(token, '?', 1), '^/wikihelp/topic/.+$') THEN '/wikihelp/topic/{{topic}}' ELSE split_part(token, '?', 1) END AS endpoint FROM u")
 def route_normalise(spark, d):
-    n = F.col("event_id").cast("string")
-    a = F.concat(F.lit("/user/splash/id/"), n, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/style/"), (F.col("event_id") % 7).cast("string"))).otherwise(F.lit("")))
-    b = F.concat(F.lit("/shop/id/"), n, F.lit("?id="), n, F.lit("&product="), (F.col("event_id") % 9).cast("string"), F.lit("&mode=x"))
-    return A.table(spark, d, "events").select("event_id", normalise.endpoint_pattern(a).alias("endpoint"), normalise.route(b).alias("route"))
+    token = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    return A.table(spark, d, "pages").select("page_id", normalise.route(token).alias("route"), normalise.endpoint_pattern(F.substring_index(token, "?", 1)).alias("endpoint"))
 
 
 @query(r"""
@@ -293,13 +322,14 @@ def percentiles(spark, d):
     return consistency.nearest_rank(A.table(spark, d, "events"), ["event_type"], "value", {"p0": 0.0, "p50": 0.5, "p95": 0.95})
 
 
-@query("SELECT path_pattern, 'status' AS facet, 1 AS n FROM (SELECT 'x' AS path_pattern) WHERE false")
+@query(f"""WITH {A.ENTRIES}, n AS (SELECT path_pattern, count(*) AS count, count(*) FILTER (status = 200) AS good FROM app GROUP BY 1)
+SELECT path_pattern, facet, count, good AS total FROM n, (SELECT unnest(['status', 'capture']) AS facet) WHERE good > 0 AND good <> count""")
 def census_conservation(spark, d):
-    """Endpoints whose status counts do not add up: none, as both come from the same requests."""
+    """Endpoints whose requests are not all accounted for by the successful ones, per facet."""
     app = _app(spark, d)
     total = census.endpoint_census(app, F.col("path_pattern"), F.array().cast("array<string>"))
-    counts = census.value_counts(app, "path_pattern", ["status", "capture"])
-    return consistency.census_conservation(total, counts, "path_pattern").select("path_pattern", "facet", F.lit(1).alias("n"))
+    counts = census.value_counts(app.where("status = 200"), "path_pattern", ["status", "capture"])
+    return consistency.census_conservation(total, counts, "path_pattern").select("path_pattern", "facet", "count", "total")
 
 
 @query(f"""WITH {A.OBSERVATIONS}, a AS (SELECT DISTINCT path, method FROM ob WHERE known), b AS (SELECT DISTINCT path, method FROM ob WHERE n % 50 = 0)
@@ -350,7 +380,7 @@ def _endpoint_facts(spark, d):
     return detect.endpoint_facts(ob.where("NOT known"), contract)
 
 
-@query(f"{_EP} SELECT event_id, path, method, kind, state, delta FROM ef")
+@query(f"{_EP} SELECT session_id, event_id, path, method, kind, state, delta FROM ef")
 def endpoint_facts(spark, d):
     return _endpoint_facts(spark, d)
 
@@ -360,25 +390,36 @@ def fact_counts(spark, d):
     return _endpoint_facts(spark, d).groupBy("state", "kind").agg(F.count("*").alias("n"))
 
 
+_CHANGE = "'chg.' || sha256('{" + ",".join(f'"{c}":\' || to_json({c})::VARCHAR || \'' for c in ("delta", "kind", "method", "path", "rule")) + ',"version":"1"}\')'
 _RULE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.RULES.items()) + " END"
 
 
-@query(f"""{_EP} SELECT 'chg.' || sha256(concat_ws('|', '1', rule, kind, path, method, delta)) AS change_id, rule, kind, path, method, delta, array_to_string(list_sort(list(DISTINCT event_id)), ',') AS evidence
-FROM (SELECT *, {_RULE} AS rule FROM ef WHERE state = 'NOVEL') GROUP BY rule, kind, path, method, delta""")
+_NOVEL = f"{_EP}, nv AS (SELECT *, {_CHANGE} AS change_id FROM (SELECT *, {_RULE} AS rule FROM ef WHERE state = 'NOVEL'))"
+_STARTED = "s AS (SELECT session_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started_at FROM ob GROUP BY 1)"
+
+
+@query(f"""{_NOVEL} SELECT change_id, rule, kind, path, method, delta, count(DISTINCT event_id) AS n_evidence, array_to_string(list_sort(list(DISTINCT event_id))[1:100], ',') AS evidence
+FROM nv GROUP BY change_id, rule, kind, path, method, delta""")
 def findings(spark, d):
     return detect.findings(_endpoint_facts(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query(f"""{_EP}, s AS (SELECT session_id, min(ts) AS started FROM ob GROUP BY 1), f AS (
-  SELECT DISTINCT 'chg.' || sha256(concat_ws('|', '1', {_RULE}, kind, path, method, delta)) AS change_id, session_id, strftime(started, '%Y-%m-%dT%H:%M:%S') AS started_at FROM ef JOIN s USING (session_id) WHERE state = 'NOVEL')
-SELECT change_id, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS occurrences, arg_min(session_id, (started_at, session_id)) AS first_session, arg_max(session_id, (started_at, session_id)) AS last_session FROM f GROUP BY 1""")
-def change_rollup(spark, d):
+@query(f"{_NOVEL} SELECT DISTINCT change_id, rule, kind, path, method, delta, event_id FROM nv")
+def finding_evidence(spark, d):
+    return detect.finding_evidence(_endpoint_facts(spark, d))
+
+
+def _found(spark, d):
+    """Promotable facts of all sessions with change_id, session_id and its start: the facts carry their session."""
     ob, contract = _contract(spark, d)
     started = ob.groupBy("session_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"))
-    facts = detect.endpoint_facts(ob.where("NOT known"), contract).join(ob.select("event_id", "session_id"), "event_id").join(started, "session_id")
-    ids = detect.findings(facts).select("change_id", "rule", "kind", "path", "method", "delta")
-    seen = facts.where("state IN ('NOVEL', 'CONFLICT')").join(ids, ["kind", "path", "method", "delta"]).select("change_id", "session_id", "started_at")
-    return detect.change_rollup(seen)
+    return detect.promotable(detect.endpoint_facts(ob.where("NOT known"), contract)).join(started, "session_id")
+
+
+@query(f"""{_NOVEL}, {_STARTED}, f AS (SELECT DISTINCT change_id, session_id, started_at FROM nv JOIN s USING (session_id))
+SELECT change_id, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS occurrences, arg_min(session_id, (started_at, session_id)) AS first_session, arg_max(session_id, (started_at, session_id)) AS last_session FROM f GROUP BY 1""")
+def change_rollup(spark, d):
+    return detect.change_rollup(_found(spark, d))
 
 
 @query(f"""WITH {A.OBSERVATIONS}, s AS (SELECT DISTINCT path, method, query_keys AS sq, body_keys AS sb FROM ob WHERE known AND method = 'POST' AND body_keys IS NOT NULL),
@@ -396,7 +437,7 @@ UNION ALL SELECT event_id, path, method, 'operation.new_signature', 'NOVEL', ''
 def operation_facts(spark, d):
     ob = A.observations(spark, d)
     known = ob.where("known AND method = 'POST' AND body_keys IS NOT NULL")
-    return detect.operation_facts(ob.where("NOT known"), known)
+    return detect.operation_facts(ob.where("NOT known").drop("session_id"), known)
 
 
 @query(f"""WITH {A.OBSERVATIONS}, s AS (SELECT DISTINCT path, method, fields AS sf FROM ob WHERE known),
@@ -408,7 +449,7 @@ SELECT event_id, path, method, CASE WHEN NOT has THEN 'form.signature_new' WHEN
   CASE WHEN has AND within THEN 'KNOWN' ELSE 'NOVEL' END AS state, CASE WHEN has AND NOT within AND deltas = 1 THEN delta ELSE '' END AS delta FROM p""")
 def form_facts(spark, d):
     ob = A.observations(spark, d)
-    return detect.form_facts(ob.where("NOT known"), ob.where("known"))
+    return detect.form_facts(ob.where("NOT known").drop("session_id"), ob.where("known"))
 
 
 @query(f"""WITH {_LINK}, f AS (SELECT DISTINCT path, method FROM link JOIN (SELECT event_id, n FROM ev) e ON e.event_id = network_event_id WHERE n % 5 = 0),
@@ -419,27 +460,39 @@ UNION ALL SELECT event_id, path, method, 'action_http.path_conflict', 'CONFLICT'
 UNION ALL SELECT event_id, path, method, 'relation.known', 'KNOWN', '' FROM r WHERE status <> 'temporal-only' AND NOT (method = 'POST' AND NOT known) AND action_path = path""")
 def relation_facts(spark, d):
     e = A.events(spark, d)
-    side = lambda p: e.select(F.col("event_id").alias(f"{p}_id"), F.col("path").alias(f"{p}_path"), F.col("method").alias(f"{p}_method"), F.col("n").alias(f"{p}_n"))
-    linked = _links(spark, d).join(side("r"), F.col("network_event_id") == F.col("r_id")).join(side("a"), F.col("action_event_id") == F.col("a_id"))
-    rows = linked.select(F.col("r_id").alias("event_id"), "status", F.col("r_path").alias("path"), F.col("r_method").alias("method"), F.col("a_path").alias("action_path"), "r_n")
-    return detect.relation_facts(rows.drop("r_n"), rows.where("r_n % 5 = 0"))
+    linked = detect.linked_requests(_links(spark, d), e, e).where("problem IS NULL").drop("problem", "session_id")
+    return detect.relation_facts(linked, linked.where("CAST(event_id AS BIGINT) % 5 = 0"))
 
 
 @query("""
-WITH r AS (SELECT o_custkey AS s, o_orderkey AS request_id FROM orders), p AS (SELECT l_orderkey AS request_id, min(l_linenumber) AS sequence, count(*) AS n, arg_min(l_partkey, (l_linenumber, l_partkey)) AS ev FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
-SELECT request_id::VARCHAR AS request_id, CASE WHEN n IS NOT NULL THEN ev END AS response_event_id, CASE WHEN n > 1 THEN 'duplicate' WHEN sequence <= 1 THEN 'before_request' END AS problem FROM r LEFT JOIN p USING (request_id)
+WITH r AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'F' THEN 'POST' ELSE 'GET' END AS method FROM orders),
+p AS (SELECT l_orderkey AS request_id, min(l_linenumber) AS sequence, count(*) AS n, arg_min(l_partkey, (l_linenumber, l_partkey)) AS ev, arg_min(CASE WHEN l_linestatus = 'F' THEN 'POST' ELSE 'GET' END, (l_linenumber, l_partkey)) AS method FROM lineitem GROUP BY 1)
+SELECT request_id::VARCHAR AS request_id, ev AS response_event_id, CASE WHEN n > 1 THEN 'duplicate' WHEN sequence <= 1 THEN 'before_request' WHEN n IS NOT NULL AND p.method <> r.method THEN 'disagrees' END AS problem FROM r LEFT JOIN p USING (request_id)
 """)
 def response_attach(spark, d):
-    o = A.table(spark, d, "orders").select(F.lit("s").alias("session_id"), F.col("o_orderkey").cast("string").alias("request_id"), F.lit(0).alias("redirect_index"), F.lit(1).alias("sequence"))
-    li = A.table(spark, d, "lineitem").where("l_quantity > 25")
-    r = li.select(F.lit("s").alias("session_id"), F.col("l_orderkey").cast("string").alias("request_id"), F.lit(0).alias("redirect_index"), F.col("l_linenumber").alias("sequence"), F.col("l_partkey").alias("event_id"), F.lit(200).alias("status"))
+    """Orders as requests, their line items as responses."""
+    how = lambda c: F.when(F.col(c) == "F", "POST").otherwise("GET").alias("method")
+    o = A.table(spark, d, "orders").select(F.lit("s").alias("session_id"), F.col("o_orderkey").cast("string").alias("request_id"), F.lit(0).alias("redirect_index"), F.lit(1).alias("sequence"), how("o_orderstatus"))
+    r = A.table(spark, d, "lineitem").select(F.lit("s").alias("session_id"), F.col("l_orderkey").cast("string").alias("request_id"), F.lit(0).alias("redirect_index"), F.col("l_linenumber").alias("sequence"), F.col("l_partkey").alias("event_id"), F.lit(200).alias("status"), how("l_linestatus"))
     return detect.attach_responses(o, r).select("request_id", "response_event_id", "problem")
 
 
-@query(f"WITH {A.EVENTS} SELECT event_id, path, lag(path) OVER w AS redirected_from, count(*) OVER (PARTITION BY session_id, k) AS hops FROM ev WINDOW w AS (PARTITION BY session_id, k ORDER BY sequence)")
+@query("SELECT l_orderkey AS request_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def unasked_responses(spark, d):
+    """Line items of orders that are not finished: responses to requests that no one has made."""
+    key = lambda c: [F.lit("s").alias("session_id"), F.col(c).alias("request_id"), F.lit(0).alias("redirect_index")]
+    asked = A.table(spark, d, "orders").where("o_orderstatus = 'F'").select(*key("o_orderkey"))
+    return detect.unasked_responses(asked, A.table(spark, d, "lineitem").select(*key("l_orderkey"), "l_linenumber")).select("request_id", "l_linenumber")
+
+
+@query(f"""WITH {A.EVENTS}, h AS (SELECT *, CASE WHEN n % 4 <> 0 THEN 300 + (n % 8)::INTEGER END AS sent, lag(path) OVER w AS before FROM ev WINDOW w AS (PARTITION BY session_id, k ORDER BY sequence))
+SELECT event_id, path, before AS redirected_from, count(*) OVER (PARTITION BY session_id, k) AS hops, lead(sent) OVER (PARTITION BY session_id, k ORDER BY sequence) AS hop_status,
+  CASE WHEN before IS NULL AND sent IS NOT NULL THEN 'no hop before' WHEN before IS NOT NULL AND sent IS NULL THEN 'no status' END AS problem FROM h""")
 def redirect_chain(spark, d):
+    n = F.col("n")
     e = A.events(spark, d).withColumn("request_id", F.col("k").cast("string")).withColumn("redirect_index", F.col("sequence"))
-    return detect.redirect_chain(e).select("event_id", "path", "redirected_from", "hops")
+    sent = e.withColumn("redirect_status", F.when(n % 4 != 0, (F.lit(300) + n % 8).cast("int")))
+    return detect.redirect_chain(sent).select("event_id", "path", "redirected_from", "hops", "hop_status", "problem")
 
 
 @query(f"""WITH {A.OBSERVATIONS} SELECT CASE WHEN path LIKE '/signup/%' THEN '/signup/{{id}}' ELSE path END AS path, method, array_to_string(list_sort(query_keys), ',') AS query_keys, array_to_string(list_sort(body_keys), ',') AS body_keys, count(*) AS posts
@@ -476,18 +529,12 @@ def artifact_parse(spark, d):
         one.alias("city_price"), F.lit(1.5).alias("city_quality"), one.alias("our_price"), F.col("l_partkey").alias("product_numeric_id"), F.when(n == 5, F.lit(-1)).otherwise(F.lit(1)).cast("long").alias("profit"), one.alias("revenue"),
         F.col("l_quantity").cast("long").alias("sales_volume"), one.alias("stock_qty"), F.lit(0.5).alias("stock_quality"), one.alias("supply_cost"), one.alias("supply_qty"),
     )
-    text_ = F.to_json(F.struct(F.array(row).alias("rows"), F.when(n == 3, "v0").otherwise("unit-economics/v1").alias("schema"), F.col("l_suppkey").cast("string").alias("unit_id")))
+    made = lambda schema: artifacts.unit_economics_text(F.col("l_suppkey"), F.array(row), schema)
+    text_ = F.when(n == 3, made("unit-economics/v0")).otherwise(made(artifacts.SCHEMA))
     read = A.table(spark, d, "lineitem").withColumn("a", artifacts.unit_economics(text_))
     return read.select("l_orderkey", "l_linenumber", "l_partkey", "a.problem", F.try_element_at("a.page.rows", F.lit(1))["sales_volume"].alias("sales"))
 
 
-@query()
-def link_inventory(spark, d):
-    from tessera.functions import probes
-
-    return probes.link_inventory(A.table(spark, d, "pages").select("page_id", "html"))
-
-
 # Current state
 
 
@@ -509,11 +556,11 @@ def orphan_unit_products(spark, d):
     return current.split_by_roster(_state(spark, d), _roster(spark, d), "unit_id")[1].select("unit_id", "product_id", "sales_volume", "stock_qty")
 
 
-_SURFACES = """sf AS (SELECT l_suppkey AS unit_id, max(l_shipdate) AS observed_at, CASE WHEN count(*) % 3 = 0 THEN 'stale' ELSE 'ready' END AS status FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1)"""
+_SURFACES = """sf AS (SELECT l_suppkey AS unit_id, max(l_shipdate) AS observed_at, CASE WHEN count(*) % 3 = 0 THEN 'stale' ELSE 'ready' END AS status FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
 
 
 def _surfaces(spark, d):
-    li = A.table(spark, d, "lineitem").where("l_suppkey % 5 <> 0")
+    li = A.table(spark, d, "lineitem").where("l_returnflag = 'R'")  # a surface is seen when something comes back
     return li.groupBy(F.col("l_suppkey").alias("unit_id")).agg(F.max("l_shipdate").alias("observed_at"), F.when(F.count("*") % 3 == 0, "stale").otherwise("ready").alias("status"))
 
 
@@ -522,15 +569,25 @@ def surface_coverage(spark, d):
     return current.surface_coverage(_roster(spark, d), _surfaces(spark, d), "unit_id")
 
 
-@query("""
-WITH c AS (SELECT p_size AS id, count(DISTINCT p_brand) AS n, min(p_brand) AS b FROM part WHERE p_size % 2 = 0 AND p_partkey % 40 = p_size % 3 GROUP BY 1)
-SELECT l_linenumber * 2 + l_suppkey % 50 AS id, CASE WHEN any_value(n) = 1 THEN any_value(b) END AS p_brand, coalesce(any_value(n), 0) AS n_names, CASE WHEN any_value(n) IS NULL THEN 'unknown' WHEN any_value(n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution
-FROM lineitem LEFT JOIN c ON c.id = l_linenumber * 2 + l_suppkey % 50 GROUP BY 1
-""")
+_CATALOG = "c AS (SELECT CASE WHEN p_size % 2 = 0 THEN p_partkey ELSE p_partkey // 2 END AS id, p_name FROM part), cn AS (SELECT id, count(DISTINCT p_name) AS n, min(p_name) AS b FROM c GROUP BY 1)"
+
+
+def _catalog(spark, d):
+    key = F.when(F.col("p_size") % 2 == 0, F.col("p_partkey")).otherwise(F.floor(F.col("p_partkey") / 2)).cast("long")
+    return A.table(spark, d, "part").select(key.alias("id"), "p_name")
+
+
+@query(f"""WITH {_CATALOG}
+SELECT DISTINCT l_partkey AS id, CASE WHEN n = 1 THEN b END AS p_name, coalesce(n, 0) AS n_names, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution FROM lineitem LEFT JOIN cn ON id = l_partkey""")
 def catalog_resolution(spark, d):
-    seen = A.table(spark, d, "lineitem").select((F.col("l_linenumber") * 2 + F.col("l_suppkey") % 50).alias("id"))
-    catalog = A.table(spark, d, "part").where("p_size % 2 = 0 AND p_partkey % 40 = p_size % 3").select(F.col("p_size").cast("long").alias("id"), "p_brand")
-    return current.resolve_catalog(seen, catalog, "id", "p_brand")
+    return current.resolve_catalog(A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), _catalog(spark, d), "id", "p_name")
+
+
+@query(f"""WITH {_CATALOG}, h AS (SELECT sha256('{{"ambiguous":"' || (n > 1)::VARCHAR || '","id":"' || id || '","name":' || CASE WHEN n = 1 THEN to_json(b)::VARCHAR ELSE 'null' END || ',"version":"1"}}') AS x FROM cn),
+s AS (SELECT count(*) AS rows, sum(('0x' || x[1:8])::BIGINT) AS s0, sum(('0x' || x[9:16])::BIGINT) AS s1, sum(('0x' || x[17:24])::BIGINT) AS s2, sum(('0x' || x[25:32])::BIGINT) AS s3 FROM h)
+SELECT rows, sha256(concat_ws('-', rows, s0, s1, s2, s3)) AS fingerprint FROM s""")
+def catalog_fingerprint(spark, d):
+    return current.catalog_fingerprint(_catalog(spark, d), "id", "p_name")
 
 
 _PLAN = f"""WITH {A.UNIT_PRODUCTS}, {_SURFACES}, r AS (SELECT l.* FROM latest l JOIN sf USING (unit_id) WHERE status = 'ready' AND unit_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)),
@@ -563,33 +620,36 @@ def plan_top(spark, d):
 # Knowledge
 
 
-@query("""
-WITH w AS (SELECT doc_id AS ref, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '\\p{Mn}', '', 'g'), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id AS ref, coalesce({_WORDS}, []) AS w FROM documents),
 p AS (SELECT ref, len(w) AS length, unnest(w) AS term FROM w), t AS (SELECT ref, term, length, count(*) AS tf FROM p GROUP BY ALL),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark),
 n AS (SELECT query_id, count(*) AS needed FROM q GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
-h AS (SELECT query_id, ref, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS got FROM q JOIN t USING (term) JOIN df USING (term), s GROUP BY ALL)
+h AS (SELECT query_id, ref, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS got FROM q JOIN t USING (term) JOIN df USING (term), s GROUP BY ALL)
 SELECT query_id, rank::INTEGER AS rank, ref, score FROM (SELECT query_id, ref, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM h JOIN n USING (query_id) WHERE got = needed) WHERE rank <= 10
 """)
 def search_bm25(spark, d):
-    asked = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
-    return search.bm25(asked, A.table(spark, d, "documents").select(F.col("doc_id").alias("ref"), "text"))
+    """The documents that hold all words of each benchmark text, in any order."""
+    return search.bm25(A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), A.table(spark, d, "documents").select(F.col("doc_id").alias("ref"), "text"))
 
 
-_EXACT = """q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'part:' || (o_orderkey % 500) WHEN 1 THEN (SELECT min(p_name) FROM part) ELSE 'Brand#' || (o_orderkey % 60) END AS text FROM orders WHERE o_orderkey <= 3000),
-k AS (SELECT 'part:' || p_partkey AS ref, p_name, p_brand FROM part WHERE p_partkey <= 500),
+_EXACT = """q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'part:' || (o_custkey * 2) WHEN 1 THEN coalesce(p_name, '') ELSE 'Brand#' || (o_orderkey % 60) END AS text, 'part:' || o_custkey AS expected FROM orders LEFT JOIN part ON p_partkey = o_custkey),
+k AS (SELECT 'part:' || p_partkey AS ref, p_name, p_brand FROM part),
 h AS (SELECT query_id, ref, min(tier) AS tier FROM (SELECT query_id, ref, 1 AS tier FROM q JOIN k ON text = ref UNION ALL SELECT query_id, ref, 2 FROM q JOIN k ON lower(text) = lower(p_brand) UNION ALL SELECT query_id, ref, 3 FROM q JOIN k ON lower(text) = lower(p_name)) GROUP BY ALL),
 hit AS (SELECT query_id, rank::INTEGER AS rank, ref, tier FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, ref) AS rank FROM h) WHERE rank <= 5)"""
 
 
 def _exact(spark, d):
+    """Every order asks for a part: by its ref, by its customer's part's title, or by a brand."""
     part = A.table(spark, d, "part")
-    name = part.agg(F.min("p_name").alias("_name"))
     n = F.col("o_orderkey")
-    asked = A.table(spark, d, "orders").where("o_orderkey <= 3000").crossJoin(F.broadcast(name))  # one row
-    wanted = F.when(n % 3 == 0, F.concat(F.lit("part:"), (n % 500).cast("string"))).when(n % 3 == 1, F.col("_name")).otherwise(F.concat(F.lit("Brand#"), (n % 60).cast("string")))
-    q = asked.select(n.alias("query_id"), wanted.alias("text")).withColumn("norm", text.search_text("text"))
-    known = part.where("p_partkey <= 500").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("ref"), text.search_text("p_name").alias("title"), text.search_text("p_brand").alias("alias"))
+    asked = A.table(spark, d, "orders").join(part.select(F.col("p_partkey").alias("o_custkey"), "p_name"), "o_custkey", "left")
+    wanted = F.when(n % 3 == 0, F.concat(F.lit("part:"), (F.col("o_custkey") * 2).cast("string"))).when(n % 3 == 1, F.coalesce("p_name", F.lit(""))).otherwise(F.concat(F.lit("Brand#"), (n % 60).cast("string")))
+    q = asked.select(n.alias("query_id"), wanted.alias("text"), F.concat(F.lit("part:"), F.col("o_custkey").cast("string")).alias("expected")).withColumn("norm", text.search_text("text"))
+    known = part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("ref"), text.search_text("p_name").alias("title"), text.search_text("p_brand").alias("alias"))
     return q, search.exact_tiers(q, known.select("ref"), known.select("ref", F.col("alias").alias("norm")), known.select("ref", F.col("title").alias("norm")), limit=5)
 
 
@@ -598,17 +658,19 @@ def search_exact(spark, d):
     return _exact(spark, d)[1]
 
 
-@query(f"""WITH {_EXACT}, o AS (SELECT q.query_id, CASE query_id % 3 WHEN 0 THEN 'ref' WHEN 1 THEN 'title' ELSE 'alias' END AS category, query_id % 7 = 0 AS negative, min(rank) FILTER (ref = 'part:' || (query_id % 500)) AS rank, count(ref) AS hits FROM q LEFT JOIN hit USING (query_id) GROUP BY ALL),
-b AS (SELECT category, negative, rank, hits FROM o UNION ALL SELECT 'all', negative, rank, hits FROM o)
+@query(f"""WITH {_EXACT}, o AS (SELECT q.query_id, CASE query_id % 3 WHEN 0 THEN 'ref' WHEN 1 THEN 'title' ELSE 'alias' END AS category, query_id % 7 = 0 AS negative, min(rank) FILTER (ref = expected) AS rank, count(ref) AS hits, coalesce(bool_or(ref = expected AND tier < 3), false) AS evidence_ok FROM q LEFT JOIN hit USING (query_id) GROUP BY ALL),
+b AS (SELECT category, negative, rank, hits, evidence_ok FROM o UNION ALL SELECT 'all', negative, rank, hits, evidence_ok FROM o)
 SELECT category, count(*) FILTER (NOT negative) AS positives, count(*) FILTER (negative) AS negatives, round(avg((coalesce(rank, 99) <= 1)::INTEGER) FILTER (NOT negative), 6) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INTEGER) FILTER (NOT negative), 6) AS recall_5,
-  round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0.0 END) FILTER (NOT negative), 6) AS mrr, round(avg((hits = 0)::INTEGER) FILTER (negative), 6) AS no_match FROM b GROUP BY category""")
+  round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0.0 END) FILTER (NOT negative), 6) AS mrr, round(avg((hits = 0)::INTEGER) FILTER (negative), 6) AS no_match,
+  round(avg(evidence_ok::INTEGER) FILTER (NOT negative), 6) AS evidence_correct FROM b GROUP BY category""")
 def retrieval_metrics(spark, d):
     q, hits = _exact(spark, d)
-    expected = F.concat(F.lit("part:"), (F.col("query_id") % 500).cast("string"))
-    of = hits.groupBy("query_id").agg(F.min(F.when(F.col("ref") == expected, F.col("rank"))).alias("rank"), F.count("*").alias("hits"))
+    met = hits.join(q.select("query_id", "expected"), "query_id")
+    own = F.col("ref") == F.col("expected")
+    of = met.groupBy("query_id").agg(F.min(F.when(own, F.col("rank"))).alias("rank"), F.count("*").alias("hits"), F.bool_or(own & (F.col("tier") < 3)).alias("evidence_ok"))
     n = F.col("query_id")
     category = F.when(n % 3 == 0, F.lit("ref")).when(n % 3 == 1, F.lit("title")).otherwise(F.lit("alias"))
-    rows = q.select("query_id").join(of, "query_id", "left").select(category.alias("category"), (n % 7 == 0).alias("negative"), "rank", F.coalesce("hits", F.lit(0)).alias("hits"))
+    rows = q.select("query_id").join(of, "query_id", "left").select(category.alias("category"), (n % 7 == 0).alias("negative"), "rank", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("evidence_ok", F.lit(False)).alias("evidence_ok"))
     return search.retrieval_metrics(rows)
 
 
@@ -626,13 +688,13 @@ def trace_evidence(spark, d):
 
 
 @query("""
-WITH l AS (SELECT l_partkey AS ref, list(DISTINCT l_suppkey) AS e FROM lineitem WHERE l_quantity < 20 GROUP BY 1), r AS (SELECT l_partkey AS ref, list(DISTINCT l_suppkey) AS e FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+WITH l AS (SELECT l_partkey AS ref, list(DISTINCT l_suppkey) AS e FROM lineitem WHERE l_quantity < 25 GROUP BY 1), r AS (SELECT l_partkey AS ref, list(DISTINCT l_suppkey) AS e FROM lineitem WHERE l_quantity >= 25 GROUP BY 1)
 SELECT coalesce(l.ref, r.ref) AS ref, array_to_string(list_sort(list_distinct(list_concat(coalesce(l.e, []), coalesce(r.e, [])))), ',') AS evidence, CASE WHEN l.ref IS NULL THEN 'right' WHEN r.ref IS NULL THEN 'left' ELSE 'both' END AS origin FROM l FULL JOIN r ON l.ref = r.ref
 """)
 def merge_records(spark, d):
     li = A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("ref"), "l_suppkey", "l_quantity")
     side = lambda c: li.where(c).groupBy("ref").agg(F.collect_set("l_suppkey").alias("evidence"))
-    merged = provenance.merge_records(side("l_quantity < 20"), side("l_quantity > 40"), "ref", "evidence")
+    merged = provenance.merge_records(side("l_quantity < 25"), side("l_quantity >= 25"), "ref", "evidence")
     return merged.withColumn("evidence", F.array_join(F.transform(F.array_sort("evidence"), lambda x: x.cast("string")), ","))
 
 
@@ -664,44 +726,31 @@ def evidence_top(spark, d):
 
 
 @query("""
-SELECT 'order-' || o_orderkey AS source_id, count(*) AS size, 'har' AS kind FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1 UNION ALL SELECT 'part-' || p_partkey, p_size::BIGINT, 'web' FROM part
+SELECT 'order-' || o_orderkey AS source_id, count(*) AS size, 'har' AS kind FROM (SELECT DISTINCT o_orderkey FROM orders) GROUP BY 1 UNION ALL SELECT 'part-' || p_partkey, p_size::BIGINT, 'web' FROM part
 """)
 def provenance_registry(spark, d):
     from tessera.sources.registry import source_catalog
 
-    o = A.table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey").distinct()
+    o = A.table(spark, d, "orders").select("o_orderkey").distinct()
     web = A.table(spark, d, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("source_id"), F.col("p_size").cast("long").alias("size"))
     return source_catalog(har=o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("source_id"), F.lit(1).cast("long").alias("size")), web=web)
 
 
 @query("""
-SELECT p_partkey AS ref, coalesce(array_to_string(list_sort(list_distinct(list('s' || l_suppkey % 9) FILTER (l_suppkey IS NOT NULL))), ','), '') AS categories FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_linenumber <= 2 GROUP BY 1
+SELECT p_partkey AS ref, coalesce(array_to_string(list_sort(list_distinct(list('s' || l_suppkey % 9) FILTER (l_suppkey IS NOT NULL))), ','), '') AS categories FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1
 """)
 def knowledge_enrichment(spark, d):
-    li = A.table(spark, d, "lineitem").where("l_linenumber <= 2").join(A.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    li = A.table(spark, d, "lineitem").join(A.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     named = li.select(F.col("l_partkey").alias("ref"), F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")).alias("category"))
     rich = knowledge.enrich(A.table(spark, d, "part").select(F.col("p_partkey").alias("ref")), named, "ref")
     return rich.select("ref", F.array_join("categories", ",").alias("categories"))
 
 
-@query(f"""{_EP}, f AS (
-  SELECT DISTINCT session_id, 'chg.' || sha256(concat_ws('|', '1', {_RULE}, kind, path, method, delta)) AS change_id, kind, method, path, {_RULE} AS rule FROM ef WHERE state = 'NOVEL'),
-b AS (SELECT session_id, '"findings":[' || string_agg('{{"change_id":"' || change_id || '","kind":"' || kind || '","method":"' || method || '","path":"' || path || '","rule":"' || rule || '"}}', ',' ORDER BY change_id) || '],"profile":"p1","session_id":"' || session_id || '"}}' AS t FROM f GROUP BY 1)
+@query(f"""{_NOVEL}, f AS (SELECT DISTINCT session_id, change_id, kind, method, path, rule FROM nv),
+b AS (SELECT session_id, '"findings":[' || string_agg('{{"change_id":"' || change_id || '","kind":"' || kind || '","method":"' || method || '","path":"' || path || '","rule":"' || rule || '"}}', ',' ORDER BY change_id) || '],"profile":"p\\"1","session_id":"' || session_id || '"}}' AS t FROM f GROUP BY 1)
 SELECT session_id, 'promotion.' || sha256('{{' || t) AS bundle_id, sha256('{{"bundle_id":"promotion.' || sha256('{{' || t) || '",' || t) AS payload_sha256 FROM b""")
 def promotion_bundles(spark, d):
-    ob, contract = _contract(spark, d)
-    facts = detect.endpoint_facts(ob.where("NOT known"), contract).where("state = 'NOVEL'").join(ob.select("event_id", "session_id"), "event_id")
-    ids = detect.findings(facts).select("change_id", "rule", "kind", "path", "method", "delta")
-    return knowledge.bundles(facts.join(ids, ["kind", "path", "method", "delta"]), "p1").select("session_id", "bundle_id", "payload_sha256")
-
-
-@query(r"""
-WITH l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-w AS (SELECT page_id, lag(line) OVER x AS city, line, lead(line) OVER x AS level FROM l WINDOW x AS (PARTITION BY page_id ORDER BY pos))
-SELECT page_id, count(*) AS bad_rows FROM w WHERE regexp_matches(line, '^(.+) \(([0-9]+)\)$') AND (coalesce(trim(city), '') = '' OR TRY_CAST(trim(level) AS INTEGER) IS NULL) GROUP BY 1
-""")
-def roster_problems(spark, d):
-    return market_pages.roster(A.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))[1]
+    return knowledge.bundles(_found(spark, d), 'p"1').select("session_id", "bundle_id", "payload_sha256")
 
 
 @query("""
@@ -718,16 +767,20 @@ def body_keys(spark, d):
 
 # Experiments
 
-_SLICES = """b AS (SELECT l_partkey AS product_id, sum(l_quantity::BIGINT)::BIGINT AS volume, count(*) AS lines FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
-a AS (SELECT l_partkey AS product_id, sum(l_quantity::BIGINT)::BIGINT AS volume, count(*) AS lines FROM lineitem WHERE l_linenumber > 3 GROUP BY 1),
+_SLICES = """b AS (SELECT l_partkey AS product_id, coalesce(sum(l_quantity::BIGINT) FILTER (l_linenumber <= 3), 0)::BIGINT AS volume, count(*) FILTER (l_linenumber <= 3) AS lines FROM lineitem GROUP BY 1),
+a AS (SELECT l_partkey AS product_id, coalesce(sum(l_quantity::BIGINT) FILTER (l_linenumber > 3), 0)::BIGINT AS volume, count(*) FILTER (l_linenumber > 3) AS lines FROM lineitem GROUP BY 1),
 r AS (SELECT product_id, unnest(['volume', 'lines']) AS field, unnest([b.volume, b.lines])::DOUBLE AS before, unnest([a.volume, a.lines])::DOUBLE AS after FROM a JOIN b USING (product_id))"""
 
 
 def _deltas(spark, d):
     li = A.table(spark, d, "lineitem")
-    side = lambda c: li.where(c).groupBy(F.col("l_partkey").alias("product_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("volume"), F.count("*").alias("lines"))
-    b, a = side("l_linenumber <= 3"), side("l_linenumber > 3")
-    return experiments.deltas(b.join(a, "product_id", "left_semi"), a.join(b, "product_id", "left_semi"), ["product_id"], ["volume", "lines"])
+    side = lambda c: li.groupBy(F.col("l_partkey").alias("product_id")).agg(F.coalesce(F.sum(F.when(F.expr(c), F.col("l_quantity").cast("long"))), F.lit(0)).alias("volume"), F.count_if(F.expr(c)).alias("lines"))
+    return experiments.deltas(side("l_linenumber <= 3"), side("l_linenumber > 3"), ["product_id"], ["volume", "lines"])
+
+
+@query(f"WITH {_SLICES} SELECT count(*) FILTER (before <> after AND product_id <> 1) AS untouched_changed_rows FROM r")
+def untouched_changes(spark, d):
+    return experiments.untouched_changes(_deltas(spark, d), "product_id", 1)
 
 
 @query(f"WITH {_SLICES} SELECT product_id, field, before, after, after - before AS delta, before <> after AS changed FROM r")
@@ -763,7 +816,7 @@ def convergence(spark, d):
 
 def _event_stream(spark, d):
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("int")
     kind, text_ = F.col("event_type"), lambda c: c.cast("string")
     return e.where("event_type <> 'error'").select(
@@ -785,22 +838,17 @@ def stream_correlation(spark, d):
     return spark.read.schema(found.schema).parquet(f"{where}/links")
 
 
-@query(f"""{_EP}, s AS (SELECT session_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started_at FROM ob GROUP BY 1), f AS (
-  SELECT DISTINCT 'chg.' || sha256(concat_ws('|', '1', {_RULE}, kind, path, method, delta)) AS change_id, session_id, started_at FROM ef JOIN s USING (session_id) WHERE state = 'NOVEL')
+@query(f"""{_NOVEL}, {_STARTED}, f AS (SELECT DISTINCT change_id, session_id, started_at FROM nv JOIN s USING (session_id))
 SELECT change_id, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS occurrences FROM f GROUP BY 1""")
 def stream_checkpoint_rerun(spark, d):
     """Findings delivered in two batches, the second one twice: the history is as after one delivery."""
     from tessera.streaming.changes import ChangeHistory
 
-    ob, contract = _contract(spark, d)
-    started = ob.groupBy("session_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"))
-    facts = detect.endpoint_facts(ob.where("NOT known"), contract).join(ob.select("event_id", "session_id"), "event_id").join(started, "session_id").where("state IN ('NOVEL', 'CONFLICT')")
-    ids = detect.findings(facts).select("change_id", "kind", "path", "method", "delta")
-    seen = facts.join(ids, ["kind", "path", "method", "delta"]).select("change_id", "session_id", "started_at", F.sha2("session_id", 256).alias("evidence_sha256"))
+    seen = _found(spark, d).select("change_id", "session_id", "started_at", F.sha2("session_id", 256).alias("evidence_sha256"))
     early = F.col("started_at") < "2024-01-01T06:00:00"
     history = ChangeHistory(spark, new_folder(spark, "stream"))
     history.apply(seen.where(early), 0)
     history.apply(seen.where(~early), 1)
     history.apply(seen.where(~early), 1)
     history.apply(seen, 2)  # sessions that are done already
-    return history.latest(2)
+    return history.latest(2).drop("profile")

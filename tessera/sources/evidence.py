@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.integrity import require
+from tessera.operators.integrity import repeated, require, sequence_gaps
 
 EVENTS = """schema_version string, event_id string, session_id string, sequence bigint, observed_at string, monotonic_time double,
   source_monotonic_time double, source string, event_type string, confidence string, target_id string, frame_id string, request_id string,
@@ -25,10 +25,29 @@ def read_events(spark: SparkSession, *paths: str) -> DataFrame:
     return require(rows, VALID, "not a valid event")
 
 
-def read_manifests(spark: SparkSession, *paths: str, finalised: bool = False) -> DataFrame:
-    """Manifests in the order of start and id; only completed and cancelled sessions if ``finalised``."""
+def verified_events(spark: SparkSession, *paths: str, expected: DataFrame | None = None) -> DataFrame:
+    """All events of the files after a look at the whole: sequences without gaps, each event_id once.
+
+    ``expected``: (path, sha256) of the files, which have to be exactly these with exactly these bytes.
+    """
+    if expected is not None:
+        found = snapshot_identity(spark, *paths).select("path", "sha256")
+        odd = found.exceptAll(expected.select("path", "sha256")).unionByName(expected.select("path", "sha256").exceptAll(found)).limit(5).collect()
+        if odd:
+            raise ValueError(f"files are not those expected: {sorted({r.path for r in odd})}")
+    rows = read_events(spark, *paths)
+    if not (gaps := sequence_gaps(rows).where("NOT contiguous").limit(5)).isEmpty():
+        raise ValueError(f"sequences have gaps: {[r.session_id for r in gaps.collect()]}")
+    if not repeated(rows, "event_id").isEmpty():
+        raise ValueError("an event_id stands more than once")
+    return rows
+
+
+def read_manifests(spark: SparkSession, *paths: str, finalised: bool = False, selected: list[str] | None = None) -> DataFrame:
+    """Manifests in replay order; only completed and cancelled sessions if ``finalised``, only those ``selected``."""
     rows = spark.read.schema(MANIFEST).option("mode", "FAILFAST").option("multiLine", True).json(list(paths))
-    return rows.where(F.col("status").isin("completed", "cancelled")) if finalised else rows
+    rows = rows.where(F.col("status").isin("completed", "cancelled")) if finalised else rows
+    return (rows if selected is None else rows.where(F.col("session_id").isin(*selected))).orderBy(*replay_order())
 
 
 def replay_order() -> list[Column]:

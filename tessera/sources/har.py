@@ -22,7 +22,7 @@ def started_at(value):
 
 
 def read_har(spark: SparkSession, *paths: str, hosts: tuple[str, ...] = ()) -> DataFrame:
-    """(capture, entry, started_at, method, url, path, query, status, mime_type, resource_type, response_size,
+    """(capture, entry, started_at, method, url, path, query, raw_query, status, mime_type, resource_type, response_size,
     response_text_sha256, body, first_party) of all entries of the captures, in the order of each file.
 
     The digest is over the text as it stands in the capture, encoded or not; the size falls back to the
@@ -36,7 +36,8 @@ def read_har(spark: SparkSession, *paths: str, hosts: tuple[str, ...] = ()) -> D
     body = F.when(content["encoding"] == "base64", F.unbase64(text)).otherwise(text.cast("binary"))
     return rows.select(
         "capture", "entry", started_at(F.col("e.startedDateTime")).alias("started_at"), F.upper("e.request.method").alias("method"), url.alias("url"), N.url_path(url).alias("path"),
-        F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["key"], p["value"]))).alias("query"), F.col("e.response.status").alias("status"),
+        F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["key"], p["value"]))).alias("query"), N.url_query(url).alias("raw_query"),
+        F.col("e.response.status").alias("status"),
         N.content_type(content["mimeType"]).alias("mime_type"), F.coalesce("e._resourceType", F.lit("")).alias("resource_type"),
         F.coalesce(content["size"], F.octet_length(text).cast("long"), F.lit(0)).alias("response_size"), F.sha2(text, 256).alias("response_text_sha256"),
         body.alias("body"), N.first_party(N.url_host(url), *hosts).alias("first_party"),

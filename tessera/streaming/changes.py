@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.operators.detect import apply_session
+from tessera.operators.detect import apply_session, evidence_conflicts, with_profile
 
-_STATE = "change_id string, first_seen string, last_seen string, occurrences bigint"
-_DONE = "session_id string, evidence_sha256 string"
+_STATE = "profile string, change_id string, first_seen string, last_seen string, occurrences bigint"
+_DONE = "profile string, session_id string, evidence_sha256 string"
 
 
 class ChangeHistory:
     """State in versioned folders under ``root``; a version is complete before its number is used.
 
     ``apply`` is the function of foreachBatch: a batch has change_id, session_id, started_at and
-    evidence_sha256. A batch delivered again finds its version there and changes nothing.
+    evidence_sha256, and profile if there is more than one. A batch delivered again finds its version there
+    and changes nothing. A session that comes back with other evidence fails the batch.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -35,10 +37,15 @@ class ChangeHistory:
         if self._has(batch_id):
             return
         state, processed = self._read(batch_id - 1)
-        sessions = batch.select("session_id", "evidence_sha256").distinct()
+        batch = with_profile(batch)
+        sessions = batch.select("profile", "session_id", "evidence_sha256").distinct()
+        if conflicts := evidence_conflicts(processed, sessions).limit(5).collect():
+            raise ValueError(f"evidence of sessions differs from what was processed: {[r.session_id for r in conflicts]}")
         changed, done = apply_session(state, processed, batch, sessions)
-        changed.write.mode("overwrite").parquet(f"{self.root}/version={batch_id}/changes")
-        done.write.mode("overwrite").parquet(f"{self.root}/version={batch_id}/processed")
+        changed.select("profile", "change_id", "first_seen", "last_seen", "occurrences").write.mode("overwrite").parquet(f"{self.root}/version={batch_id}/changes")
+        done.select("profile", "session_id", "evidence_sha256").write.mode("overwrite").parquet(f"{self.root}/version={batch_id}/processed")
 
-    def latest(self, version: int) -> DataFrame:
-        return self._read(version)[0]
+    def latest(self, version: int, profile: str | None = None) -> DataFrame:
+        """The changes of a version in the order of their ids, of one profile if it is named."""
+        rows = self._read(version)[0]
+        return (rows if profile is None else rows.where(F.col("profile") == profile)).orderBy("profile", "change_id")

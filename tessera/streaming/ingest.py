@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def read_event_files(spark: SparkSession, path: str, schema: str, *, files: int = 64, kind: str = "json") -> DataFrame:
+    """A stream of the event files under ``path``; a batch takes ``files`` of them at most, so a backlog is worked off in steps."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
+
+
 def append_events(events: DataFrame, path: str, checkpoint: str, *, late: str = "10 minutes", available_now: bool = True) -> StreamingQuery:
     """Write a stream of events (event_id, observed_at, ..) as JSON by day; a repeated event_id within ``late`` is dropped."""
     timed = events.withColumn("_at", F.to_timestamp("observed_at")).withWatermark("_at", late)

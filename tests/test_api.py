@@ -14,7 +14,12 @@ def test_current_state(spark, small, tmp_path):
     rows = A.unit_products(spark, small)
     for g in ("1", "2"):
         w.rebuild_current(g, rows if g == "1" else rows.repartition(7), roster, surfaces, keys=A.STATE_KEYS, order=A.STATE_ORDER)
-    assert w.current_status("1").first() == w.current_status("2").first() and w.verify("1", A.STATE_KEYS)
+    assert w.current_status("1").first() == w.current_status("2").first() and w.verify("1")
+    changed = w.table("1", "products").withColumn("our_price", F.lit(0.0))
+    for name in ("units", "orphans", "surfaces", "meta"):
+        w.table("1", name).write.parquet(f"{tmp_path}/generation=9/{name}")
+    changed.write.parquet(f"{tmp_path}/generation=9/products")
+    assert not w.verify("9")  # every value counts, not only the keys
     w.mark_stale("1", "3", "parser")
     assert w.current_status("3").first().status == "stale"
     plan = w.plan("1", limit=5)
@@ -28,6 +33,13 @@ def test_current_state(spark, small, tmp_path):
     assert seen == sorted(seen) and len(seen) == w.table("1", "products").where("unit_id < 6").count()
     with pytest.raises(ValueError):
         w.page("1", "products", A.STATE_KEYS, limit=0)
+    with pytest.raises(ValueError):
+        w.plan("1", limit=5000)
+    for keys in (["our_price", "unit_id", "product_id"], ["observed_at", "o1", "o2"]):  # keys of other types
+        first, after = w.page("1", "products", keys, limit=3)
+        second, _ = w.page("1", "products", keys, limit=3, after=after)
+        both = [tuple(r[k] for k in keys) for r in [*first, *second]]
+        assert len(both) == 6 and both == sorted(both) == [tuple(r) for r in w.table("1", "products").select(*keys).orderBy(*keys).limit(6).collect()]
 
 
 def test_knowledge(spark, tmp_path):

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.queries import QUERIES, SQL
+from tessera.plans.catalogue import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")

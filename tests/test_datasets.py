@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import actions, normalise as N, recognise, wiki
+from tessera.functions import actions, recognise, wiki
 from tessera.operators import consistency, datasets
 from tessera.sources import har, registry
 from tessera.streaming import ingest
@@ -26,7 +26,7 @@ def captured(spark, tmp_path_factory):
             entry("https://x.test/wikihelp/topic/Start", "text/html", HELP), entry("https://y.test/", "text/html", PAGE), entry("https://x.test/gone", "text/html", PAGE, status=404)]
     (folder / "a.har").write_text(json.dumps({"log": {"entries": rows}}))
     (folder / "b.har").write_text(json.dumps({"log": {"entries": rows[4:5]}}))
-    return har.read_har(spark, str(folder / "a.har"), str(folder / "b.har"), hosts=("x.test",)).withColumn("raw_query", N.url_query(F.col("url"))).cache()
+    return har.read_har(spark, str(folder / "a.har"), str(folder / "b.har"), hosts=("x.test",)).cache()
 
 
 def test_every_dataset(captured):
@@ -37,7 +37,7 @@ def test_every_dataset(captured):
     assert [r.path for r in got["assets"].collect()] == ["/css/a.css"]
     patterns = {r.pattern: r["count"] for r in got["routes"].collect()}
     assert patterns["/shop/id/{id}"] == 2 and patterns["/shop?id={id}"] == 1 and patterns["/wikihelp/topic/{topic}"] >= 2
-    assert [(r.method, r.action, r.fields, r.observed) for r in got["forms"].collect()] == [("POST", "/go", ["q"], 1)]
+    assert [(r.method, r.action, [tuple(f) for f in r.fields], r.observed) for r in got["forms"].collect()] == [("POST", "/go", [("q", None, None)], 1)]
     assert [(r.entry, r.title) for r in got["pages"].collect()] == [(0, "T")]
     assert sorted((r.path, r.is_json) for r in got["json-responses"].collect()) == [("/api", True), ("/bad", False)]
     topics = got["wiki-topics"].collect()
@@ -68,6 +68,9 @@ def test_actions(spark):
     rows = [(0, json.dumps(good)), (1, "no json"), (2, json.dumps(good | {"schema": 2})), (3, json.dumps(good | {"kind": "hover"})), (4, json.dumps(good | {"form": {"method": "po st", "actionPath": "/go?x"}}))]
     got = actions.action_events(spark.createDataFrame([("s", *r) for r in rows], "session_id string, sequence long, payload string")).orderBy("sequence").collect()
     assert [r.sequence for r in got] == [0, 4]
+    odd = [*rows, (5, "x" * 40_000), (6, json.dumps(good) + "}"), (7, None)]
+    told = actions.rejected_actions(spark.createDataFrame([("s", *r) for r in odd], "session_id string, sequence long, payload string")).orderBy("sequence").collect()
+    assert [(r.sequence, r.problem) for r in told] == [(1, "no JSON"), (2, "other schema"), (3, "other kind"), (5, "too large"), (6, "no JSON"), (7, "no payload")]
     assert (got[0].page_path, got[0].element_tag, got[0].element_name, got[0].element_role, got[0].form_action_path, got[0].form_method, got[0].form_field_names, got[0].source_monotonic_time) == ("/p", "form", None, None, None, "POST", ["a", "b[n]"], 1.5)
     assert (got[1].form_action_path, got[1].form_method, got[1].form_field_names) == ("/go", None, None)
 

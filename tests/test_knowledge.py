@@ -43,12 +43,18 @@ def test_contract(spark):
 
 def test_artifacts(spark):
     row = {"city_price": 1, "city_quality": 1.0, "our_price": 2, "product_numeric_id": 3, "profit": 4, "revenue": 5, "sales_volume": 6, "stock_qty": 7, "stock_quality": 0.5, "supply_cost": 8, "supply_qty": 9}
-    page = {"rows": [row], "schema": "unit-economics/v1", "unit_id": "7"}
+    page = {"contract_version": 1, "coverage": "observed", "rows": [row], "schema": "unit-economics/v1", "unit_id": "7"}
     dump = lambda p: json.dumps(p, sort_keys=True, separators=(",", ":"))
-    texts = [dump(page), json.dumps(page), dump(page | {"x": 1}), dump(page | {"schema": "v0"}), dump(page | {"rows": [row, row]}), dump(page | {"rows": [row | {"profit": -1}]}), "no"]
+    texts = [dump(page), json.dumps(page), dump(page | {"x": 1}), dump(page | {"schema": "unit-economics/v0"}), dump(page | {"rows": [row, row]}), dump(page | {"rows": [row | {"profit": -1}]}), "no", dump(page | {"schema": "other"}), dump(page | {"contract_version": 2})]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(artifacts.unit_economics(F.col("t")).alias("a")).select("a.*")
-    assert [r.problem for r in df.collect()] == [None, "not canonical", "not canonical", "incompatible", "repeated product", "out of range", "not canonical"]
+    assert [r.problem for r in df.collect()] == [None, "not canonical", "not canonical", "incompatible", "repeated product", "out of range", "not canonical", "not canonical", "incompatible"]
     assert df.first().page.rows[0].revenue == 5
+    again = spark.createDataFrame([(dump(page),)], "t string").select(artifacts.unit_economics(F.col("t"))["page"].alias("p")).select(artifacts.unit_economics_text(F.col("p.unit_id"), F.col("p.rows")))
+    assert again.first()[0] == dump(page)
+    company = {"media_type": "text/html", "sanitizer_version": 2, "schema_version": "1.0", "text": "a\nb", "title": None}
+    told = [dump(company), json.dumps(company), dump(company | {"sanitizer_version": 1}), dump(company | {"x": 1}), dump(company | {"media_type": "text/plain"}), "[]", None]
+    got = spark.createDataFrame([(t,) for t in told], "t string").select(artifacts.company_page(F.col("t")).alias("a")).select("a.*").collect()
+    assert [r.problem for r in got] == [None, "not canonical", "incompatible", "not canonical", "other media type", "not canonical", "not canonical"] and got[0].text == "a\nb"
 
 
 def test_probes(spark):

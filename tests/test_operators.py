@@ -81,6 +81,11 @@ def test_market_latest_and_append(spark):
     for n in (1, 4):
         assert {tuple(r) for r in market.latest_per_key(rows.repartition(n), ["key"], ["at", "id"]).select("key", "at", "id", "n").collect()} == want
     assert market.append(rows, rows, ["id"]).count() == 4
+    fresh = spark.createDataFrame([("n", 9, "e"), ("n", 9, "e"), ("k", 1, "a")], rows.schema)
+    assert market.append(rows, fresh, ["id"]).count() == 5
+    for clash in ([("other", 1, "a")], [("n", 9, "e"), ("n", 8, "e")]):  # against the log, and among the new
+        with pytest.raises(Exception, match="conflicts"):
+            market.append(rows, spark.createDataFrame(clash, rows.schema), ["id"]).count()
     assert market.latest_per_key(rows.limit(0), ["key"], ["at", "id"]).count() == 0
 
 
@@ -111,8 +116,8 @@ def test_pages_and_text(spark):
     html = '<html><title>T &amp; x</title><body><script>no()</script><p>One <b>two</b></p><div hidden>gone</div><form method=post action="/go"><input name=a><select name=b></select></form><a href="/l">L</a></body></html>'
     df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
     rows = df.select(pages.page_text("html"), pages.visible_text("html"), pages.page_forms("html"), pages.page_links("html")).collect()
-    assert rows[0][0].title == "T & x" and "One two" in rows[0][0].text and "gone" in rows[0][0].text and "no()" not in rows[0][0].text
-    assert "gone" not in rows[0][1] and rows[0][2][0].fields == ["a", "b"] and rows[0][2][0].method == "POST" and rows[0][3] == ["/l"]
+    assert rows[0][0].title == "T & x" and rows[0][0].text == "One\ntwo\ngone\nL" and rows[0][1] == "One\ntwo\nL"
+    assert [tuple(f) for f in rows[0][2][0].fields] == [("a", None, None), ("b", "select", None)] and rows[0][2][0].method == "POST" and rows[0][3] == ["/l"]
     assert rows[1][0].text == "" and rows[2][2] == []
     redacted = spark.createDataFrame([('{"a":1,"Token":2,"l":[{"cookie":1,"v":"é"}]}',), ("no json",), (None,)], "j string").select(text.redact_json(F.col("j")), text.search_text(F.lit("  Straße  ﬁ ")))
     assert [r[0] for r in redacted.collect()] == ['{"a":1,"l":[{"v":"é"}]}', None, None] and redacted.first()[1] == "strasse fi"
@@ -145,7 +150,11 @@ def test_history_takes_a_session_once(spark):
     new = spark.createDataFrame([("c1", "s2", "t2"), ("c1", "s2", "t2"), ("c2", "s2", "t2"), ("c1", "s1", "t1")], "change_id string, session_id string, started_at string")
     sessions_ = spark.createDataFrame([("s2", "h2"), ("s1", "h")], "session_id string, evidence_sha256 string")
     changed, processed = detect.apply_session(state, done, new, sessions_)
-    assert sorted(map(tuple, changed.collect())) == [("c1", "t1", "t2", 2), ("c2", "t2", "t2", 1)] and processed.count() == 2
+    assert sorted(map(tuple, changed.collect())) == [("default", "c1", "t1", "t2", 2), ("default", "c2", "t2", "t2", 1)] and processed.count() == 2
+    other, _ = detect.apply_session(changed, processed, new.withColumn("profile", F.lit("p2")), sessions_.withColumn("profile", F.lit("p2")))
+    assert other.where("profile = 'p2'").count() == 2  # a profile has a history of its own
+    assert detect.existing_changes(changed, new.withColumn("profile", F.lit("p2"))).count() == 0 and detect.existing_changes(changed, new).count() == 2
+    assert [r.session_id for r in detect.evidence_conflicts(processed, sessions_.where("session_id = 's2'").withColumn("evidence_sha256", F.lit("x"))).collect()] == ["s2"]
     again, _ = detect.apply_session(changed, processed, new, sessions_)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, changed.collect()))
 
@@ -189,6 +198,9 @@ def test_search(spark):
     asked = spark.createDataFrame([(1, "Alpha beta"), (2, "nothing here"), (3, "beta")], "query_id long, text string")
     got = [(r.query_id, r.rank, r.ref) for r in search.bm25(asked, records).orderBy("query_id", "rank").collect()]
     assert got[0] == (1, 1, 1) and {g[2] for g in got if g[0] == 3} == {1, 3} and not [g for g in got if g[0] == 2]
+    marked = spark.createDataFrame([(1, "Café Ångström"), (2, "tea")], "ref long, text string")
+    asked = spark.createDataFrame([(1, "cafe"), (2, "ANGSTROM café"), (3, "Téa")], "query_id long, text string")
+    assert {(r.query_id, r.ref) for r in search.bm25(asked, marked).collect()} == {(1, 1), (2, 1), (3, 2)}
 
 
 def test_census_numbers(spark):
