@@ -40,6 +40,12 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def free_of(df: DataFrame, *names: str) -> None:
+    """Raise ValueError if ``df`` has a column of one of the ``names``, in any case, that are to be added."""
+    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns are there already: {', '.join(sorted(taken))}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; it survives lost executors."""
     shared_folder(df.sparkSession)

@@ -13,7 +13,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], *, w
     """(doc_id, text, targets) of at most ``limit`` labelled documents, the first by a hash of their id.
 
     A doc_id that is labelled more than once counts with the rounded mean of its labels; one that
-    ``docs`` repeats counts once. Rows without doc_id or without one of the labels are not used. Only
+    ``docs`` repeats counts once, with the least of its texts. Rows without doc_id or without one of the labels are not used. Only
     the ids in the sample are sent to the tasks that read ``docs``, so their size is bounded.
     """
     own = labels if where is None else labels.where(where)
@@ -25,4 +25,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: list[str], *, w
         .limit(limit)
     )
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return found
+    return found.groupBy("doc_id", *targets).agg(F.min("text").alias("text"))

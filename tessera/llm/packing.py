@@ -33,10 +33,10 @@ SENTENCE_PENALTY, WORD_PENALTY = 4, 32
 #: A longer stretch without a sentence's end is no sentence: there, windows may end at word ends too, at the
 #: first one of every WORD_STEP tokens.
 SENTENCE_MOST, WORD_STEP = 512, 32
-#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 100 MB.
-RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 400_000, 500_000
+#: Tokens of one run of the dynamic programme; chunks and words that a worker keeps, about 80 MB.
+RUN_TOKENS, CHUNKS, WORDS = 1 << 20, 300_000, 400_000
 #: Bytes of text that are tokenised at once (or one longer text).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: A word with which a sentence ends: a full stop, and after it no letter or digit.
 SENTENCE_END = r"[.!?][^\pL\pN]*$"
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import utf8
+from tessera.llm.common import free_of, utf8
 from tessera.llm.labels import MAX_LABELLED, labelled_sample
 
 STATISTICS = (
@@ -128,22 +128,28 @@ def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, li
     def stats(texts: pa.Array) -> pa.Array:
         return pa.array([statistics(t) for t in utf8(texts)], pa.list_(pa.float64()))
 
-    sample = labelled_sample(docs, labels, ["quality"], where=where, limit=limit).dropDuplicates(["doc_id"])
+    sample = labelled_sample(docs, labels, ["quality"], where=where, limit=limit)
     rows = sample.select("doc_id", "quality", stats("text").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(STATISTICS))
     return fit(x, rows["quality"].to_numpy(float), **options)
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` with score and predicted: 1 for good documents (score 0.5 and above), else 0.
-
-    A null text counts as empty; every row keeps its columns and gets its own score.
-    """
+def good(text: Column, model: Trees) -> Column:
+    """The score of a text from 0 to 1; a null text counts as empty, a text of any length is read whole."""
 
     @F.arrow_udf("double")
     def predict(texts: pa.Array) -> pa.Array:
         x = np.array([statistics(t) for t in utf8(texts)], float).reshape(-1, len(STATISTICS))
         return pa.array(model.predict(x), pa.float64())
 
-    scored = docs.withColumn("score", predict(F.col("text").cast("string")))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return predict(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Trees) -> DataFrame:
+    """``docs`` with score and predicted: 1 for good documents (score 0.5 and above), else 0.
+
+    A null text counts as empty; every row, repeated ones too, keeps its columns and gets its own score.
+    An empty table stays empty. ``docs`` must not have these two columns yet.
+    """
+    free_of(docs, "score", "predicted")
+    return docs.withColumn("score", good(F.col("text"), model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

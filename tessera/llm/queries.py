@@ -21,15 +21,15 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC_CHAIN = ["low_quality", "toxic"]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     own = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return toxicity.score(docs, toxicity.train(docs, own, TOXIC_CHAIN))
+    return toxicity.train(docs, own, TOXIC_CHAIN)
 
 
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities and verdict of the classifier chain for every document."""
-    scored = toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored.drop("text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity_chain(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, utf8
+from tessera.operators.census import number_rows
 
 #: (lowest bit, width) of the three segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -251,22 +252,49 @@ def _near_classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     rows = _keyed(docs).withColumn("_id", F.coalesce("id", none)).drop("id")
     texts = cut(rows.join(of, same).groupBy("node").agg(F.first("text").alias("text")))
 
-    # The classes of a bucket are compared with its least class first; two that are both near it are connected
-    # through it, so only pairs with a class that is not near it are still compared one by one.
-    a, b = F.col("a.n"), F.col("b.n")
-    could = F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9  # similarity can't exceed the ratio of the sizes
-    first = members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    near_lead = cut(_near(first.where(could), texts, least))
-    apart = members.join(near_lead.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti")
-    x, y = apart.select("bucket", F.col("node").alias("x")), members.select("bucket", F.col("node").alias("y"))
-    second = x.join(y, "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(could).distinct()
-    near = near_lead.union(_near(second, texts, least))
-
     # Kept, so that the joins with it have exchanges of their own and Spark can split a class with many copies.
-    named = cut(classes.select("set_key", "node").join(connected(near), "node", "left").select("set_key", F.coalesce("root", "node").alias("root")))
+    roots = _connected_in_buckets(members, texts, least)
+    named = cut(classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root")))
     return marked.select("id", "text_key", "set_key"), named
 
 
+def _connected_in_buckets(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the components that near pairs in buckets make; ``members``: bucket, lead (its least class), node.
+
+    The classes of a bucket are compared with its lead first. Then only buckets that hold more than one
+    component have anything left to say, and only its pairs across components: they are compared with the
+    classes that follow them in the bucket, at growing distances, until the bucket is one component or all
+    of its pairs have been looked at. So a large group of near copies costs a few comparisons a class, and
+    no link between two components is lost. Members are numbered through all buckets, and pairs meet by
+    their numbers, so that a large bucket is no key of a join.
+    """
+    a, b = F.col("a.n"), F.col("b.n")
+    could = F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9  # similarity can't exceed the ratio of the sizes
+    tried = cut(members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().where(could))
+    near = cut(_near(tried, texts, least))
+    every = members.select("bucket", "node").union(members.select("bucket", F.col("lead").alias("node"))).distinct()
+    rows, low, high = None, 1, 4
+    while True:
+        roots = connected(near)
+        labelled = (every if rows is None else rows).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        extent = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q").where(F.col("n") > low).select("bucket")
+        left = cut(labelled.join(extent, "bucket", "left_semi"))
+        if left.isEmpty():
+            return roots
+        if rows is None:
+            numbered = number_rows(left.select("bucket", "node"), ["bucket", "node"])
+            rows = cut(numbered.join(numbered.groupBy("bucket").agg(F.max("row").alias("last")), "bucket"))
+            left = rows.join(left.select("bucket", "node", "part"), ["bucket", "node"])
+        ahead = F.sequence(F.col("row") + low, F.least(F.col("row") + (high - 1), F.col("last")))
+        x = left.where(F.col("row") + low <= F.col("last")).select(F.col("node").alias("x"), F.col("part").alias("x_part"), F.explode(ahead).alias("row"))
+        y = left.select("row", F.col("node").alias("y"), F.col("part").alias("y_part"))
+        pairs = x.join(y, "row").where("x_part <> y_part").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(could).distinct()
+        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(fresh)
+        near = near.union(cut(_near(fresh, texts, least)))
+        low, high = high, 4 * high
+
+
 def near_copies(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row of ``docs`` (doc_id, text and any other columns).
 

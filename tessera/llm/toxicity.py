@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import utf8
+from tessera.llm.common import free_of, slices, utf8
 from tessera.llm.labels import labelled_sample
 
 #: Lower case for A-Z, the other ASCII characters that aren't letters become spaces, bytes of other letters stay.
@@ -30,8 +30,8 @@ STEMS = (4, 5, 6, 7)
 MAX_LABELLED = 5_000
 
 
-#: Documents whose words a task holds at once.
-SLICE = 500
+#: Bytes of text whose words a task holds at once (or one longer text).
+SLICE_BYTES = 2 << 20
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -88,7 +88,10 @@ class Link:
 
 @dataclass
 class Chain:
+    """``threshold``: above which probability of the last category a document belongs to it."""
+
     links: list[Link]
+    threshold: float = 0.5
 
     def probabilities(self, bags: Bags) -> np.ndarray:
         out = np.zeros((bags.n, 0))
@@ -129,17 +132,32 @@ def _fit_link(category: str, bags: Bags, seen: int, before: np.ndarray, y: np.nd
     return Link(category, chosen, w[:v], w[v:-1], float(w[-1]))
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut through probabilities ``p`` with the best F1 for ``y``, in the middle of the widest best gap; 0.5 without both classes."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    below = np.append(p[order][1:], 0.0)
+    gap = np.where(np.isclose(f1, f1[p[order] > below].max(initial=0)), p[order] - below, -1)
+    k = int(gap.argmax())
+    return float((p[order][k] + below[k]) / 2)
+
+
 def fit_chain(bags: Bags, targets: dict[str, np.ndarray], *, folds: np.ndarray, vocabulary: int = 500, least: int = 4, l2: float = 2e-5, steps: int = 300) -> Chain:
-    """Fit the categories in the order of ``targets``; ``folds`` names each document's fold."""
+    """Fit the categories in the order of ``targets``; ``folds`` names each document's fold.
+
+    ``vocabulary``: words of a link, those that tell its classes apart best; ``least``: documents that have
+    to hold a word. The threshold is chosen on the out-of-fold probabilities of the last category.
+    """
     options = {"vocabulary": vocabulary, "least": least, "l2": l2, "steps": steps}
     hashes, counts = np.unique(bags.words, return_counts=True)
     hashes = hashes[counts >= least]
     bags = bags.numbered(hashes)
     before, links = np.zeros((bags.n, 0)), []
-    for k, (category, y) in enumerate(targets.items()):
+    for category, y in targets.items():
         links.append(_fit_link(category, bags, len(hashes), before, y, **options))
-        if k + 1 == len(targets):
-            break
         out = np.zeros(bags.n)
         for f in np.unique(folds):
             own, rest = folds == f, folds != f
@@ -148,7 +166,7 @@ def fit_chain(bags: Bags, targets: dict[str, np.ndarray], *, folds: np.ndarray,
         before = np.column_stack([before, out])
     for link in links:
         link.words = hashes[link.words]
-    return Chain(links)
+    return Chain(links, best_threshold(before[:, -1], y) if links else 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, where: Column | None = None, limit: int = MAX_LABELLED, folds: int = 3, **options) -> Chain:
@@ -158,25 +176,35 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, where: C
     def bag(texts: pa.Array) -> pa.Array:
         return pa.array([words_of(t).tobytes() for t in utf8(texts)], pa.binary())
 
-    sample = labelled_sample(docs, labels, categories, where=where, limit=limit).dropDuplicates(["doc_id"])
+    sample = labelled_sample(docs, labels, categories, where=where, limit=limit)
     rows = sample.select("doc_id", *categories, bag("text").alias("bag")).toPandas().sort_values("doc_id")
     bags = Bags([np.frombuffer(b, np.uint64) for b in rows.pop("bag")])
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in rows["doc_id"]], np.int64)
     return fit_chain(bags, {c: rows[c].to_numpy(float) for c in categories}, folds=fold, **options)
 
 
-def score(docs: DataFrame, chain: Chain, *, threshold: float = 0.4) -> DataFrame:
-    """``docs`` with a probability p_<category> for each category and toxic_predicted for the last one.
-
-    A null text counts as empty; every row keeps its columns and gets its own scores.
-    """
-    names = [f"p_{link.category}" for link in chain.links]
+def probabilities(text: Column, chain: Chain) -> Column:
+    """Array of the probabilities of all categories; a null text counts as empty, a text of any length is read whole."""
+    n = len(chain.links)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def predict(texts: pa.Array) -> pa.Array:
-        p = np.concatenate([np.zeros((0, len(names))), *(chain.probabilities(Bags([words_of(t) for t in utf8(texts.slice(k, SLICE))])) for k in range(0, len(texts), SLICE))])
-        return pa.FixedSizeListArray.from_arrays(pa.array(p.ravel(), pa.float64()), len(names)).cast(pa.list_(pa.float64()))
+        some = slices(pa.record_batch({"text": texts}), 0, SLICE_BYTES)
+        p = np.concatenate([np.zeros((0, n)), *(chain.probabilities(Bags([words_of(t) for t in utf8(s.column(0))])) for s in some)])
+        return pa.FixedSizeListArray.from_arrays(pa.array(p.ravel(), pa.float64()), n).cast(pa.list_(pa.float64()))
+
+    return predict(text.cast("string"))
 
-    scored = docs.withColumn("_p", predict(F.col("text").cast("string")))
-    scored = scored.withColumns({n: F.col("_p")[k] for k, n in enumerate(names)}).drop("_p")
-    return scored.withColumn("toxic_predicted", (F.col(names[-1]) >= threshold).cast("int"))
+
+def score(docs: DataFrame, chain: Chain, *, threshold: float | None = None) -> DataFrame:
+    """``docs`` with a probability p_<category> for each category and toxic_predicted for the last one.
+
+    A null text counts as empty; every row, repeated ones too, keeps its columns and gets its own scores.
+    An empty table stays empty. ``docs`` must not have these columns yet. ``threshold``: the chain's own,
+    if none is given.
+    """
+    names = [f"p_{link.category}" for link in chain.links]
+    free_of(docs, *names, "toxic_predicted")
+    at = chain.threshold if threshold is None else threshold
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), probabilities(F.col("text"), chain).alias("p"))
+    return row.select("row.*", *[F.col("p")[k].alias(n) for k, n in enumerate(names)], (F.col("p")[len(names) - 1] > at).cast("int").alias("toxic_predicted"))
