@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality, simhash
+from tessera.llm import mixing, packing, quality, simhash, toxicity
 from tessera.llm.common import new_shared_path, table
-from tessera.llm.queries import toxicity_scores
+from tessera.llm.queries import toxicity_chain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,8 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Every row is judged by its whole text, of any length; rows with equal texts are judged alike, null and
     empty texts as a text without words.
     """
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("toxic_predicted = 0").select(*docs.columns)
+    chain = toxicity_chain(docs, table(spark, sf_dir, "labels"))
+    return docs.where(F.element_at(toxicity.probabilities(F.col("text"), chain), -1) <= chain.threshold)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row is judged by its whole text; rows with equal texts are judged alike, null and empty texts by
     statistics that are all zero.
     """
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.good(F.col("text"), model) >= 0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
