@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ MAX_LABELLED = 5_000
 
 #: Bytes of text whose words a task holds at once (or one longer text).
 SLICE_BYTES = 2 << 20
+#: Words that are looked up at once.
+STEP = 1 << 18
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -49,14 +52,26 @@ class Bags:
         self.words = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(b) for b in bags]) if bags else np.zeros(0, np.int32)
 
+    @classmethod
+    def of(cls, words: np.ndarray, sizes: np.ndarray) -> Bags:
+        """``words`` of all documents in a row, as many of each as ``sizes`` says."""
+        out = cls([])
+        out.n, out.words, out.doc = len(sizes), words, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return out
+
     def numbered(self, vocabulary: np.ndarray) -> Bags:
         """The words that the sorted ``vocabulary`` has, as positions in it."""
         out = Bags([])
         out.n = self.n
         if len(vocabulary) and len(self.words):
-            at = np.minimum(np.searchsorted(vocabulary, self.words), len(vocabulary) - 1)
-            hit = vocabulary[at] == self.words
-            out.words, out.doc = at[hit].astype(np.int32), self.doc[hit]
+            places, docs = [], []
+            for k in range(0, len(self.words), STEP):
+                own = self.words[k : k + STEP]
+                at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+                hit = vocabulary[at] == own
+                places.append(at[hit].astype(np.int32))
+                docs.append(self.doc[k : k + STEP][hit])
+            out.words, out.doc = np.concatenate(places), np.concatenate(docs)
         else:
             out.words = np.zeros(0, np.int32)
         return out
@@ -177,10 +192,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, where: C
         return pa.array([words_of(t).tobytes() for t in utf8(texts)], pa.binary())
 
     sample = labelled_sample(docs, labels, categories, where=where, limit=limit)
-    rows = sample.select("doc_id", *categories, bag("text").alias("bag")).toPandas().sort_values("doc_id")
-    bags = Bags([np.frombuffer(b, np.uint64) for b in rows.pop("bag")])
-    fold = np.array([zlib.crc32(str(i).encode()) % folds for i in rows["doc_id"]], np.int64)
-    return fit_chain(bags, {c: rows[c].to_numpy(float) for c in categories}, folds=fold, **options)
+    rows = sample.select("doc_id", *categories, bag("text").alias("bag")).toArrow()
+    rows = rows.take(pc.sort_indices(rows.column("doc_id")))
+    fold = np.array([zlib.crc32(str(i).encode()) % folds for i in rows.column("doc_id").to_pylist()], np.int64)
+    y = {c: rows.column(c).to_numpy().astype(float) for c in categories}
+    # The hashes stay where Arrow has put them: no object a document, no second copy.
+    held = rows.column("bag").combine_chunks().cast(pa.large_binary())
+    places = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, 8 * held.offset) if len(held) else np.zeros(1, np.int64)
+    words = np.frombuffer(held.buffers()[2], np.uint8)[places[0] : places[-1]].view(np.uint64) if places[-1] > places[0] else np.zeros(0, np.uint64)
+    return fit_chain(Bags.of(words, np.diff(places) // 8), y, folds=fold, **options)
 
 
 def probabilities(text: Column, chain: Chain) -> Column:
