@@ -276,7 +276,7 @@ def _connected_in_buckets(members: DataFrame, signs: DataFrame, texts: DataFrame
 
     Every class is compared with the least lead of its buckets first. Then only buckets that hold more than one
     component have anything left to say, and only its pairs across components: they are compared with the
-    classes that follow them in the bucket, at growing distances, until the bucket is one component or all
+    classes around them in the bucket, at growing distances, until the bucket is one component or all
     of its pairs have been looked at. So a large group of near copies costs a few comparisons a class, and
     no link between two components is lost. Members are numbered through all buckets, and pairs meet by
     their numbers, so that a large bucket is no key of a join.
@@ -290,16 +290,19 @@ def _connected_in_buckets(members: DataFrame, signs: DataFrame, texts: DataFrame
     while True:
         roots = connected(near)
         labelled = (every if rows is None else rows).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        extent = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q").where(F.col("n") > low).select("bucket")
-        left = cut(labelled.join(extent, "bucket", "left_semi"))
+        extent = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q").where(F.col("n") > low).select("bucket", "p")
+        left = cut(labelled.join(extent, "bucket"))
         if left.isEmpty():
             return roots
         if rows is None:
             numbered = number_rows(left.select("bucket", "node"), ["bucket", "node"])
-            rows = cut(numbered.join(numbered.groupBy("bucket").agg(F.max("row").alias("last")), "bucket").join(signs, "node"))
-            left = cut(rows.join(left.select("bucket", "node", "part"), ["bucket", "node"]))
-        ahead = F.sequence(F.col("row") + low, F.least(F.col("row") + (high - 1), F.col("last")))
-        x = left.where(F.col("row") + low <= F.col("last")).select(F.col("node").alias("x"), F.col("part").alias("x_part"), F.col("sign").alias("x_sign"), F.explode(ahead).alias("row"))
+            rows = cut(numbered.join(numbered.groupBy("bucket").agg(F.min("row").alias("first"), F.max("row").alias("last")), "bucket").join(signs, "node"))
+            left = cut(rows.join(left.select("bucket", "node", "part", "p"), ["bucket", "node"]))
+        # Two members of the bucket's first component have nothing to say to each other: the others look both ways.
+        row, none = F.col("row"), F.array().cast("array<bigint>")
+        ahead = F.when(row + low <= F.col("last"), F.sequence(row + low, F.least(row + (high - 1), F.col("last")))).otherwise(none)
+        behind = F.when(row - low >= F.col("first"), F.sequence(F.greatest(row - (high - 1), F.col("first")), row - low)).otherwise(none)
+        x = left.where("part <> p").select(F.col("node").alias("x"), F.col("part").alias("x_part"), F.col("sign").alias("x_sign"), F.explode(F.concat(ahead, behind)).alias("row"))
         y = left.select("row", F.col("node").alias("y"), F.col("part").alias("y_part"), F.col("sign").alias("y_sign"))
         pairs = x.join(y, "row").where((F.col("x_part") != F.col("y_part")) & enough_alike(F.col("x_sign"), F.col("y_sign"), least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(could).distinct()
         fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
