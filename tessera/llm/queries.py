@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprint, language, licences, mixing, neighbours, packing, quality, simhash, toxicity
+from tessera.llm import chat, fingerprint, language, licences, mixing, neighbours, packing, prefix_trie, quality, simhash, toxicity
 from tessera.llm.common import id_hash, table
 
 
@@ -83,6 +83,12 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt to begin like the first of its hundred."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.nodes(prefix_trie.spliced(prefix_trie.ordered(rows)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_chain": op1_toxicity_chain,
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pack_sequences": op7_pack_sequences,
         "op9_nearest_vectors": op9_nearest_vectors,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
@@ -197,5 +204,49 @@ FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN inherited i USING (doc_id)
 """
 
 
+# crc32 of decimal ids byte by byte; a path is the digests of its turns in a row, 32 characters each.
+OP11_SQL = """
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8
+), ids AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc(conv_id, k, v) AS (
+  SELECT conv_id, 0, 4294967295 FROM ids
+  UNION ALL
+  SELECT conv_id, k + 1, xor(v >> 8, t[xor(v & 255, ascii(substr(conv_id::VARCHAR, k + 1, 1))) + 1]) FROM crc, crc_table WHERE k < length(conv_id::VARCHAR)
+), heads AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(v, 4294967295) % 6 AS h FROM crc JOIN ids USING (conv_id) WHERE k = length(conv_id::VARCHAR)
+), turns AS (
+  SELECT conv_id, md5(concat_ws(chr(10), length(role)::VARCHAR, role, text)) AS turn, length(text) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY t NULLS FIRST, role, text) - 1 AS position
+  FROM (SELECT conv_id, turn AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+  SELECT conv_id, position, turn, chars FROM turns JOIN heads USING (conv_id) WHERE conv_id = base
+  UNION ALL
+  SELECT h.conv_id, t.position, turn, chars FROM heads h JOIN turns t ON t.conv_id = h.base AND t.position < h.h WHERE h.conv_id <> h.base
+  UNION ALL
+  SELECT h.conv_id, t.position - h.h + least(h.h, coalesce(b.n, 0)), turn, chars
+  FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.position >= h.h LEFT JOIN heads b ON b.conv_id = h.base WHERE h.conv_id <> h.base
+), paths AS (
+  SELECT conv_id, position + 1 AS depth, turn, chars, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY position) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, NULL, 0, '' FROM heads
+), tree AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(turn) AS turn, any_value(chars) AS chars FROM paths GROUP BY path, depth
+), childless AS (SELECT path FROM tree WHERE path NOT IN (SELECT left(path, length(path) - 32) FROM tree WHERE depth > 0)
+), below AS (
+  SELECT p.path, sum((t.n_convs - 1) * t.chars) AS saved_tokens, count(c.path) AS n_leaves
+  FROM tree t JOIN paths p ON p.conv_id = t.conv_id AND p.depth <= t.depth LEFT JOIN childless c ON c.path = t.path GROUP BY p.path
+), ends AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, path FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path
+), children AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY 1)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256, t.turn
+FROM tree t JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN children USING (path)
+LEFT JOIN tree p ON t.depth > 0 AND p.path = left(t.path, length(t.path) - 32)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_licence_scan": OP5_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_licence_scan": OP5_SQL, "op11_prefix_trie": OP11_SQL}
