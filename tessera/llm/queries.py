@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprint, language, licences, mixing, neighbours, packing, prefix_trie, quality, simhash, toxicity
+from tessera.llm import chat, codes, fingerprint, hypervectors, language, licences, mixing, neighbours, packing, prefix_trie, quality, simhash, toxicity
 from tessera.llm.common import id_hash, table
 
 
@@ -89,6 +89,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.spliced(prefix_trie.ordered(rows)))
 
 
+def op12_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows whose id hash mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = hypervectors.train(docs, where=id_hash() % 5 != 0)
+    found = hypervectors.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_hash() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in eight parts by codebooks of 16 entries, after six rounds."""
+    return codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_chain": op1_toxicity_chain,
@@ -102,6 +115,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest_vectors": op9_nearest_vectors,
         "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_language_profiles": op12_language_profiles,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -248,5 +263,37 @@ LEFT JOIN tree p ON t.depth > 0 AND p.path = left(t.path, length(t.path) - 32)
 """
 
 
+def _op13_sql() -> str:
+    """The rounds written out: books0, near0, books1, ... near6."""
+    near = """near{k} AS MATERIALIZED (
+  SELECT * FROM (SELECT r, d, part, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM cuts JOIN books{k} USING (d, part))
+  QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY distance, e) = 1
+)"""
+    means = """books{n} AS MATERIALIZED (
+  SELECT b.d, b.part, b.e, coalesce(m.c, b.c) AS c FROM books{k} b LEFT JOIN (
+    SELECT d, part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS c
+    FROM (SELECT d, part, e, place, sum(v) AS s, count(*) AS n FROM (SELECT d, part, e, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM near{k}) GROUP BY d, part, e, place)
+    GROUP BY d, part, e
+  ) m USING (d, part, e)
+)"""
+    rounds = ",\n".join(near.format(k=k) + ",\n" + means.format(k=k, n=k + 1) for k in range(codes.ROUNDS))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, len(embedding) AS d, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY d ORDER BY vec_id NULLS LAST, v) AS k FROM kept
+), cuts AS MATERIALIZED (
+  SELECT r, k, d, part, v[d * part // {codes.PARTS} + 1 : d * (part + 1) // {codes.PARTS}] AS x FROM numbered, range({codes.PARTS}) t(part)
+), books0 AS (SELECT d, part, k AS e, x AS c FROM cuts WHERE k <= {codes.ENTRIES}),
+{rounds},
+{near.format(k=codes.ROUNDS)},
+coded AS (SELECT r, string_agg(printf('%02x', e - 1), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error FROM near{codes.ROUNDS} GROUP BY r),
+digests AS (SELECT d, sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM books{codes.ROUNDS} GROUP BY d)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label
+FROM numbered JOIN coded USING (r) JOIN digests USING (d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_licence_scan": OP5_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_licence_scan": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op13_vector_codes": _op13_sql()}
