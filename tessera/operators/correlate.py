@@ -7,24 +7,13 @@ is a ranking per request, so the batch form is a join on session, target and tim
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class Timing:
-    """Window and score steps in seconds. The defaults are fixed values of the matcher."""
-
-    window: float = 2.0
-    near: float = 0.150
-    close: float = 0.500
-    late: float = 1.500
-
-    def scaled(self, window: float) -> Timing:
-        f = window / self.window
-        return Timing(window, self.near * f, self.close * f, self.late * f)
+from tessera.functions.matching import FIELDS, KEPT, Matcher, Timing
 
 
 def score(t: Timing) -> Column:
@@ -84,3 +73,39 @@ def correlate(actions: DataFrame, requests: DataFrame, timing: Timing | None = N
         F.round("raw", 4).alias("score"),
         F.round(delta, 3).alias("delta_ms"),
     )
+
+
+def correlate_sequenced(events: DataFrame, timing: Timing | None = None) -> DataFrame:
+    """Links as ``correlate`` gives them, for sessions of any kind: (session_id, action_event_id, network_event_id, status, score, delta_ms).
+
+    ``events``: session_id and FIELDS. Events are taken by sequence, as the online matcher takes them; those without
+    id, sequence or time are left out. Sessions in which the clock never runs back, sequences and ids do not repeat
+    and no window holds more than KEPT events of a kind are joined, however large they are. The others are
+    folded in the order of their sequence, a session in one task, which holds 2 * KEPT events.
+    """
+    t = timing or Timing()
+    e = events.select("session_id", *FIELDS).where("event_id <> '' AND sequence >= 0 AND time >= 0 AND time < double('infinity') AND session_id IS NOT NULL")
+    w = Window.partitionBy("session_id").orderBy("sequence", "event_id")
+    same_kind = Window.partitionBy("session_id", "is_action").orderBy("sequence", "event_id")
+    odd = F.coalesce((F.col("time") < F.lag("time").over(w)) | (F.col("sequence") == F.lag("sequence").over(w)) | (F.col("time") - F.lag("time", KEPT).over(same_kind) <= t.window), F.lit(False))
+    marked = e.select("session_id", "event_id", odd.alias("odd"))
+    repeated = marked.groupBy("session_id", "event_id").agg(F.max("odd").alias("odd"), F.count("*").alias("n"))
+    folded = repeated.groupBy("session_id").agg(F.max(F.col("odd") | (F.col("n") > 1)).alias("odd")).where("odd").select("session_id")
+    plain = e.join(folded, "session_id", "left_anti")
+    # An empty target, path or method links nothing; an empty frame is no frame.
+    known = plain.where("target <> ''").withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("frame", "path", "method")})
+    joined = correlate(known.where("is_action"), known.where("NOT is_action"), t)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, matcher = None, None
+        for batch in batches:
+            found = []
+            rows = batch.astype(object).where(batch.notna(), None)
+            for session_id, *values in rows[["session_id", *FIELDS]].itertuples(index=False, name=None):
+                if session_id != session:
+                    session, matcher = session_id, Matcher(t)
+                found += [(session, *link) for link in matcher.observe(dict(zip(FIELDS, values)))]
+            yield pd.DataFrame(found, columns=["session_id", "action_event_id", "network_event_id", "status", "score", "delta_ms"])
+
+    rest = e.join(folded, "session_id", "left_semi").repartition("session_id").sortWithinPartitions("session_id", "sequence", "event_id")
+    return joined.unionByName(rest.mapInPandas(fold, "session_id string, action_event_id string, network_event_id string, status string, score double, delta_ms double"))

@@ -46,15 +46,21 @@ def bundles(found: DataFrame, profile: str) -> DataFrame:
     ``found``: session_id, change_id, rule, kind, path, method. The id is a digest of the document
     without it, so the same findings give the same bundle. One of more than MOST_BYTES fails the job.
     """
+    return bundles_by_profile(found.withColumn("profile", F.lit(profile))).drop("profile")
+
+
+def bundles_by_profile(found: DataFrame) -> DataFrame:
+    """(profile, session_id, bundle_id, payload, payload_sha256): ``bundles`` of the sessions of each ``profile``."""
     one = F.to_json(F.struct("change_id", "kind", "method", "path", "rule"))
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    listed = found.select("session_id", "change_id", one.alias("doc")).distinct().groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("change_id", "doc"))).alias("f"))
+    key = ["profile", "session_id"]
+    listed = found.select(*key, "change_id", one.alias("doc")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("change_id", "doc"))).alias("f"))
     texts = F.array_join(F.transform("f", lambda x: x["doc"]), ",")
-    open_ = lambda id_: F.concat(F.lit("{"), id_, F.lit('"findings":['), texts, F.lit('],"profile":'), quoted(F.lit(profile)), F.lit(',"session_id":'), quoted(F.col("session_id")), F.lit("}"))
+    open_ = lambda id_: F.concat(F.lit("{"), id_, F.lit('"findings":['), texts, F.lit('],"profile":'), quoted(F.col("profile")), F.lit(',"session_id":'), quoted(F.col("session_id")), F.lit("}"))
     named = listed.withColumn("bundle_id", F.concat(F.lit("promotion."), F.sha2(open_(F.lit("")), 256)))
     payload = open_(F.concat(F.lit('"bundle_id":"'), "bundle_id", F.lit('",')))
     small = F.when(F.octet_length("payload") <= MOST_BYTES, F.lit(True)).otherwise(F.raise_error(F.lit("bundle is too large")).cast("boolean"))
-    return named.withColumn("payload", payload).where(small).select("session_id", "bundle_id", "payload", F.sha2("payload", 256).alias("payload_sha256"))
+    return named.withColumn("payload", payload).where(small).select(*key, "bundle_id", "payload", F.sha2("payload", 256).alias("payload_sha256"))
 
 
 def materialise(outbox: DataFrame, path: str) -> int:

@@ -447,7 +447,7 @@ def input_inventory(spark, d):
 # Streams
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events WHERE event_type <> 'error' GROUP BY 1")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events FROM events GROUP BY 1")
 def stream_append(spark, d):
     """Events that are appended to files by day, each once."""
     from tessera.streaming import ingest

@@ -815,29 +815,67 @@ def convergence(spark, d):
 
 
 def _event_stream(spark, d):
+    """The events as a stream, in the order in which they were numbered at the source: the sequence is the id."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("int")
     kind, text_ = F.col("event_type"), lambda c: c.cast("string")
-    return e.where("event_type <> 'error'").select(
-        text_(F.col("user_id")).alias("session_id"), text_(F.col("event_id")).alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"),
-        kind.isin("click", "signup").alias("is_action"), text_(F.col("user_id")).alias("target"), F.concat(F.lit("f"), text_(k % 3)).alias("frame"), F.concat(F.lit("/k/"), text_(k % 10)).alias("path"),
-        F.when(kind.isin("signup", "purchase"), "POST").otherwise("GET").alias("method"), F.when(kind == "signup", "submit").otherwise("click").alias("kind"),
-        (F.col("event_id") % 2 == 0).alias("trusted"), (F.col("event_id") % 3 == 0).alias("gesture"),
+    return e.select(
+        text_(F.col("user_id")).alias("session_id"), text_(F.col("event_id")).alias("event_id"), F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("at"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), kind.isin("click", "signup").alias("is_action"), text_(F.col("user_id")).alias("target"),
+        F.concat(F.lit("f"), text_(k % 3)).alias("frame"), F.concat(F.lit("/k/"), text_(k % 10)).alias("path"), F.when(kind.isin("signup", "purchase"), "POST").otherwise("GET").alias("method"),
+        F.when(kind == "signup", "submit").otherwise("click").alias("kind"), (F.col("event_id") % 2 == 0).alias("trusted"), (F.col("event_id") % 3 == 0).alias("gesture"),
+        kind.alias("raw_type"), k.alias("k"),
     )
 
 
 @query(f"WITH {_LINK} SELECT session_id, action_event_id, network_event_id, status, round(raw, 4) AS score, round(d * 1000, 3) AS delta_ms FROM link")
 def stream_correlation(spark, d):
+    """Actions and requests as a stream; failed requests are neither."""
     from tessera.streaming.matcher import match_stream
+    from tessera.streaming.state import keyed_state
 
     where = new_folder(spark, "stream")
-    found = match_stream(_event_stream(spark, d), TIMING)
+    found = match_stream(_event_stream(spark, d).where("raw_type <> 'error'"), TIMING, idle=2 * A.WINDOW)
     sink = found.writeStream.format("parquet").option("path", f"{where}/links").option("checkpointLocation", f"{where}/checkpoint").outputMode("append")
-    sink.trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(spark):
+        sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{where}/links")
 
 
+_SESSION_END = "CASE WHEN event_type = 'purchase' AND k >= 80 THEN 'completed' WHEN event_type = 'signup' AND k >= 90 THEN 'cancelled' END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS session_id, event_id, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%d') AS day, event_type, json_extract_string(props, '$.k')::INTEGER AS k FROM events),
+ends AS (SELECT session_id, min(event_id) AS at_end, arg_min(ended, event_id) AS status FROM (SELECT *, {_SESSION_END} AS ended FROM e) WHERE ended IS NOT NULL GROUP BY 1),
+kept AS (SELECT e.*, status FROM e LEFT JOIN ends USING (session_id) WHERE at_end IS NULL OR event_id <= at_end),
+refs AS (SELECT session_id, count(DISTINCT k % 7) AS artifact_count FROM kept WHERE event_type IN ('signup', 'purchase') GROUP BY 1),
+warned AS (SELECT session_id, list(message ORDER BY first) AS warnings FROM (SELECT session_id, 'failed: /k/' || (k % 10) AS message, min(event_id) AS first FROM kept WHERE event_type = 'error' GROUP BY 1, 2) GROUP BY 1)
+SELECT '1.0' AS schema_version, session_id, strftime(make_timestamp(min(ms) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS started_at, strftime(make_timestamp(max(ms) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS ended_at,
+  coalesce(any_value(status), 'failed') AS status, 'events/day=' || min(day) AS event_files, coalesce(any_value(artifact_count), 0) AS artifact_count, count(*) AS event_count,
+  coalesce(array_to_string(any_value(warnings), ','), '') AS warnings
+FROM kept LEFT JOIN refs USING (session_id) LEFT JOIN warned USING (session_id) GROUP BY session_id
+HAVING any_value(status) IS NOT NULL OR max(ms) + 7200000 < (SELECT max(ms) - 600000 FROM e)
+""")
+def session_manifests(spark, d):
+    """Manifests of users' days, closed by a purchase, a signup or two silent hours; the run is started again at its end and adds nothing."""
+    from tessera.streaming.manifests import MANIFEST, write_manifests
+
+    where = new_folder(spark, "stream")
+    e = _event_stream(spark, d)
+    day, post = F.date_format("at", "yyyy-MM-dd"), F.col("raw_type").isin("signup", "purchase")
+    rows = e.select(
+        F.concat_ws("/", "session_id", day).alias("session_id"), "sequence", "at", F.concat(F.lit("events/day="), day).alias("file"),
+        F.when(post, F.array(F.concat(F.lit("sha256:"), F.sha2((F.col("k") % 7).cast("string"), 256)))).alias("refs"),
+        F.when(F.col("raw_type") == "error", F.concat(F.lit("failed: "), "path")).alias("warning"),
+        F.when((F.col("raw_type") == "purchase") & (F.col("k") >= 80), "completed").when((F.col("raw_type") == "signup") & (F.col("k") >= 90), "cancelled").alias("ended"),
+    )
+    for _ in range(2):
+        write_manifests(rows, f"{where}/sessions", f"{where}/checkpoint", idle=7200.0).awaitTermination()
+    return spark.read.schema(MANIFEST).json(f"{where}/sessions").drop("day").withColumns({c: F.array_join(c, ",") for c in ("event_files", "warnings")})
+
+
 @query(f"""{_NOVEL}, {_STARTED}, f AS (SELECT DISTINCT change_id, session_id, started_at FROM nv JOIN s USING (session_id))
 SELECT change_id, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS occurrences FROM f GROUP BY 1""")
 def stream_checkpoint_rerun(spark, d):
@@ -846,7 +884,7 @@ def stream_checkpoint_rerun(spark, d):
 
     seen = _found(spark, d).select("change_id", "session_id", "started_at", F.sha2("session_id", 256).alias("evidence_sha256"))
     early = F.col("started_at") < "2024-01-01T06:00:00"
-    history = ChangeHistory(spark, new_folder(spark, "stream"))
+    history = ChangeHistory(spark, new_folder(spark, "stream"), buckets=8)
     history.apply(seen.where(early), 0)
     history.apply(seen.where(~early), 1)
     history.apply(seen.where(~early), 1)

@@ -2,78 +2,68 @@
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators.correlate import Timing
+from tessera.functions.matching import FIELDS, Matcher, Timing
+from tessera.streaming.state import rows_in_order
 
-_OUT = "session_id string, action_event_id string, network_event_id string, status string, score double, delta_ms double"
-_STATE = "actions string, requests string, last string, newest double"
-#: Actions and requests that a session keeps at most.
-KEPT = 4096
-_FIELDS = ["event_id", "time", "is_action", "target", "frame", "path", "method", "kind", "trusted", "gesture"]
+LINKS = "session_id string, action_event_id string, network_event_id string, status string, score double, delta_ms double"
+_EVENT = "sequence long, event_id string, time double, is_action boolean, target string, frame string, path string, method string, kind string, trusted boolean, gesture boolean"
+_NAMES = [c.split()[0] for c in LINKS.split(", ")]
 
 
-def _score(a: dict, r: dict, t: Timing) -> tuple[float, str | None, float]:
-    """Score, status and distance in seconds; the status is None for pairs that can't be linked."""
-    gap = abs(r["time"] - a["time"])
-    frames = a["frame"] is not None and r["frame"] is not None
-    if a["target"] != r["target"] or (frames and a["frame"] != r["frame"]) or gap > t.window or min(a["time"], r["time"]) < max(a["time"], r["time"]) - t.window:
-        return 0.0, None, gap
-    path = a["path"] is not None and a["path"] == r["path"]
-    method = (a["method"] or "").upper() == (r["method"] or "").upper() != ""
-    step = 0.30 if gap <= t.near else 0.22 if gap <= t.close else 0.10 if gap <= t.late else 0.0
-    total = (0.25 if frames and a["frame"] else 0.0) + step + (0.25 if path else 0.0) + (0.15 if method else 0.0) + (0.10 if r["gesture"] else 0.0)
-    total = min(1.0, total + (0.05 if a["trusted"] else 0.0) + (0.05 if a["kind"] == "submit" and path and method else 0.0))
-    if (path or r["gesture"]) and total >= 0.60:
-        return total, "strong" if total >= 0.80 else "probable", gap
-    return total, "temporal-only" if total >= 0.40 else None, gap
+class _Follow(StatefulProcessor):
+    """Queues of a session as list states, in the order in which their events came."""
 
+    def __init__(self, timing: Timing, idle_ms: int) -> None:
+        self.timing, self.idle_ms = timing, idle_ms
 
-def match_stream(events: DataFrame, timing: Timing | None = None) -> DataFrame:
-    """Links from a stream of events (session_id, event_id, time, is_action, target, frame, path, method, kind,
-    trusted, gesture).
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.actions = handle.getListState("actions", _EVENT)
+        self.waiting = handle.getListState("waiting", _EVENT)
+        self.place = handle.getValueState("place", "last long, newest double, timer long")
 
-    Events of a session are taken in the order of time and event_id; one that is not behind the last one
-    taken is a repetition or late and is left out. A request is linked to the best action before it, or
-    else to the first action after it that qualifies. What is older than the window leaves the state.
-    """
-    t = timing or Timing()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        queues = [[dict(zip(FIELDS, e)) for e in state.get()] if state.exists() else [] for state in (self.actions, self.waiting)]
+        last, newest, timer = self.place.get() if self.place.exists() else (-1, -math.inf, -1)
+        matcher = Matcher(self.timing, *queues, last=last, newest=newest)
+        found = [(key[0], *link) for e in rows_in_order(rows, FIELDS, ["sequence", "event_id"]) for link in matcher.observe(e)]
+        for state, queue in ((self.actions, matcher.actions), (self.waiting, matcher.waiting)):
+            if queue.all:
+                state.put([tuple(e[c] for c in FIELDS) for e in queue.all])
+            elif state.exists():
+                state.clear()
+        due = timerValues.getCurrentWatermarkInMs() + self.idle_ms
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+        self.place.update((matcher.last, matcher.newest, due))
+        yield pd.DataFrame(found, columns=_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A session without events for so long is over: its state goes."""
+        for state in (self.actions, self.waiting, self.place):
+            state.clear()
+        return iter(())
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ("[]", "[]", json.dumps([float("-inf"), ""]), float("-inf"))
-        actions, waiting, last, newest = json.loads(old[0]), json.loads(old[1]), json.loads(old[2]), old[3]
-        rows = pd.concat(list(batches))[_FIELDS].sort_values(["time", "event_id"])
-        out = []
+    def close(self) -> None:
+        pass
 
-        def emit(a: dict, r: dict, score: float, status: str, gap: float) -> None:
-            out.append((key[0], a["event_id"], r["event_id"], status, round(score, 4), round(gap * 1000, 3)))
 
-        for e in rows.to_dict("records"):
-            place = [e["time"], e["event_id"]]
-            if place <= last:
-                continue
-            last, newest = place, max(newest, e["time"])
-            actions = [a for a in actions if a["time"] >= newest - t.window]
-            waiting = [r for r in waiting if r["time"] >= newest - t.window]
-            if e["is_action"]:
-                left = []
-                for r in waiting:
-                    score, status, gap = _score(e, r, t)
-                    emit(e, r, score, status, gap) if status else left.append(r)
-                waiting, actions = left, [*actions, e][-KEPT:]
-                continue
-            found = [(score, -gap, a["event_id"], a, status) for a in actions for score, status, gap in [_score(a, e, t)] if status]
-            if found:
-                score, gap, _, a, status = max(found, key=lambda f: f[:3])
-                emit(a, e, score, status, -gap)
-            else:
-                waiting = [*waiting, e][-KEPT:]
-        state.update((json.dumps(actions), json.dumps(waiting), json.dumps(last), newest))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+def match_stream(events: DataFrame, timing: Timing | None = None, *, late: str = "10 minutes", idle: float = 86400.0) -> DataFrame:
+    """Links from a stream of events (session_id, at, and FIELDS: sequence, event_id, time, is_action, target, frame,
+    path, method, kind, trusted, gesture); at is the event time of the watermark.
 
-    return events.groupBy("session_id").applyInPandasWithState(advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    Events of a session are taken in the order of their sequence; one that is not above the last one
+    taken is a repetition or late and is left out. A session that has no events while the watermark moves by ``idle``
+    seconds leaves the state. Needs the RocksDB state store (``state.keyed_state`` sets it for a query).
+    """
+    timed = events.withWatermark("at", late).select("session_id", "at", *FIELDS)
+    follow = _Follow(timing or Timing(), int(idle * 1000))
+    return timed.groupBy("session_id").transformWithStateInPandas(follow, LINKS, "Append", "EventTime")
