@@ -32,9 +32,7 @@ from tessera.llm.common import cut
 from tessera.operators.census import number_rows
 
 #: Conversations of a shard (a multiple of 16), and positions of a block.
-SHARD, BLOCK = 4096, 64
-#: Sets of up to so many members are stored as two-byte numbers, larger ones as bitsets.
-SPARSE = SHARD // 16
+SHARD, BLOCK = 512, 64
 
 KEY = ["depth", "key1", "key2"]
 NODE = (
@@ -103,24 +101,35 @@ def spliced(turns: Turns, *, group: int = 100, shared: int = 6) -> Turns:
     return Turns(own.unionByName(begun), heads.select("conv_id", "length"))
 
 
-def _members(bits: int) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(SHARD // 8, "little"), np.uint8), bitorder="little"))
+@dataclass(frozen=True)
+class Layout:
+    """Conversations of a shard and positions of a block."""
 
+    shard: int = SHARD
+    block: int = BLOCK
 
-def _stored(bits: int, members: np.ndarray) -> bytes:
-    return members.astype("<u2").tobytes() if len(members) <= SPARSE else bits.to_bytes(SHARD // 8, "little")
+    @property
+    def sparse(self) -> int:
+        """Sets of up to so many members are stored as two-byte numbers, larger ones as bitsets."""
+        return self.shard // 16
+
+    def members(self, bits: int) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(self.shard // 8, "little"), np.uint8), bitorder="little"))
+
+    def stored(self, bits: int, members: np.ndarray) -> bytes:
+        return members.astype("<u2").tobytes() if len(members) <= self.sparse else bits.to_bytes(self.shard // 8, "little")
 
 
 class _Postings:
     """Postings of one shard at the positions of one block, with the conversations that reach it."""
 
-    def __init__(self, rows: pa.Table, heads: pa.Table, block: int) -> None:
-        self.block, self.start = block, block * BLOCK
+    def __init__(self, rows: pa.Table, heads: pa.Table, block: int, layout: Layout) -> None:
+        self.start = block * layout.block
         who = heads.column("ordinal").to_numpy()
         self.present = np.sort(who)
 
         def by_ordinal(name: str) -> np.ndarray:
-            out = np.zeros(SHARD, np.int64)
+            out = np.zeros(layout.shard, np.int64)
             out[who] = heads.column(name).to_numpy()
             return out
 
@@ -135,7 +144,7 @@ class _Postings:
         firsts = order[new]
         self.key1, self.key2, self.chars = key1[firsts], key2[firsts], rows.column("chars").to_numpy()[firsts]
         self.turn = rows.column("turn").combine_chunks().take(pa.array(firsts)).to_pylist() if len(firsts) else []
-        self.named = np.full((BLOCK, SHARD), -1, np.int64)  # the posting of each conversation at each position
+        self.named = np.full((layout.block, layout.shard), -1, np.int64)  # the posting of each conversation at each position
         self.named[at, of] = number
         self.sets = [0] * len(firsts)
         for posting, ordinal in zip(number.tolist(), of.tolist()):
@@ -154,17 +163,17 @@ class _Postings:
             yield members, int(self.head1[m]), int(self.head2[m]), int(self.above[m])
 
 
-def _nodes_of_shard(key: tuple, rows: pa.Table, heads: pa.Table) -> pa.Table:
+def _nodes_of_shard(key: tuple, rows: pa.Table, heads: pa.Table, layout: Layout) -> pa.Table:
     """The nodes of one shard at the positions of one block, found depth first."""
     shard, block = (int(k.as_py()) for k in key)
     if not heads.num_rows:
         return pa.Table.from_pylist([], schema=_NODE_ARROW)
-    p = _Postings(rows, heads, block)
+    p = _Postings(rows, heads, block, layout)
     out: list[list] = [[] for _ in range(12)]
 
     def emit(bits: int, members: np.ndarray, depth: int, key1: int, key2: int, parent: tuple[int, int], turn: bytes | None, chars: int, above: int) -> None:
         ends = p.ids[members[p.length[members] == depth]].tolist()
-        values = (depth, key1, key2, *parent, turn, int(p.ids[members[0]]), len(members), chars, above, ends, _stored(bits, members))
+        values = (depth, key1, key2, *parent, turn, int(p.ids[members[0]]), len(members), chars, above, ends, layout.stored(bits, members))
         for column, value in zip(out, values):
             column.append(value)
 
@@ -175,13 +184,13 @@ def _nodes_of_shard(key: tuple, rows: pa.Table, heads: pa.Table) -> pa.Table:
         stack = [(top, members, 0, key1, key2, above)]
         while stack:
             bits, members, level, key1, key2, above = stack.pop()
-            if level == BLOCK:
+            if level == layout.block:
                 continue
             named = p.named[level, members]
             # Only postings that a member names can meet the parent's set.
             for posting in np.unique(named[named >= 0]).tolist() if len(members) > 1 else named[named >= 0].tolist():
                 child = bits & p.sets[posting]
-                inside = _members(child) if len(members) > 1 else members
+                inside = layout.members(child) if len(members) > 1 else members
                 own = (key1 ^ int(p.key1[posting]), key2 ^ int(p.key2[posting]))
                 chars = int(p.chars[posting])
                 emit(child, inside, p.start + level + 1, *own, (key1, key2), p.turn[posting], chars, above)
@@ -197,20 +206,20 @@ _NODE_ARROW = pa.schema(
 _SUM_ARROW = pa.schema([("depth", _L), ("key1", _L), ("key2", _L), ("first_id", _L), ("first_kept", _L), ("kept", _L), ("leaves", _L)])
 
 
-def _sums_of_shard(key: tuple, nodes: pa.Table, heads: pa.Table) -> pa.Table:
+def _sums_of_shard(nodes: pa.Table, heads: pa.Table, layout: Layout) -> pa.Table:
     """For each node of one shard and block the sums of kept and leaf over its members."""
-    kept, leaf = np.zeros(SHARD, np.int64), np.zeros(SHARD, np.int64)
+    kept, leaf = np.zeros(layout.shard, np.int64), np.zeros(layout.shard, np.int64)
     who = heads.column("ordinal").to_numpy()
     kept[who], leaf[who] = heads.column("kept").to_numpy(), heads.column("leaf").to_numpy()
     n, stored = nodes.column("n").to_numpy(), nodes.column("members").to_pylist()
     totals = np.zeros((3, len(n)), np.int64)  # kept of the first, kept, leaves
-    few, many = np.flatnonzero(n <= SPARSE), np.flatnonzero(n > SPARSE)
+    few, many = np.flatnonzero(n <= layout.sparse), np.flatnonzero(n > layout.sparse)
     if len(few):
         members = np.frombuffer(b"".join([stored[k] for k in few]), "<u2")
         starts = np.concatenate([[0], np.cumsum(n[few])[:-1]])
         totals[:, few] = kept[members[starts]], np.add.reduceat(kept[members], starts), np.add.reduceat(leaf[members], starts)
     for k in many:
-        members = _members(int.from_bytes(stored[k], "little"))
+        members = layout.members(int.from_bytes(stored[k], "little"))
         totals[:, k] = kept[members[0]], kept[members].sum(), leaf[members].sum()
     columns = [nodes.column(c).combine_chunks() for c in ("depth", "key1", "key2", "first_id")] + [pa.array(t) for t in totals]
     return pa.Table.from_arrays(columns, schema=_SUM_ARROW)
@@ -240,7 +249,7 @@ def _digest_rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (_L, _L, _L, pa.string()))], names=[*KEY, "ends_sha256"])
 
 
-def nodes(turns: Turns) -> DataFrame:
+def nodes(turns: Turns, layout: Layout = Layout()) -> DataFrame:
     """One row a node of the trie of ``turns``, the root included.
 
     conv_id (least member), depth, parent_conv_id (null for the root), n_convs (members), n_children,
@@ -251,10 +260,10 @@ def nodes(turns: Turns) -> DataFrame:
     conversations there are no nodes. Equal conversations share all of their nodes.
     """
     ranked = number_rows(turns.heads, ["conv_id"])
-    ranked = cut(ranked.select("conv_id", "length", F.floor((F.col("row") - 1) / SHARD).alias("shard"), ((F.col("row") - 1) % SHARD).alias("ordinal")))
+    ranked = cut(ranked.select("conv_id", "length", F.floor((F.col("row") - 1) / layout.shard).alias("shard"), ((F.col("row") - 1) % layout.shard).alias("ordinal")))
     keys = [F.xxhash64(F.lit(k), "position", "turn").alias(f"key{k}") for k in (1, 2)]
     rows = turns.rows.join(ranked.select("conv_id", "shard", "ordinal"), "conv_id")
-    rows = cut(rows.select("conv_id", "shard", F.floor(F.col("position") / BLOCK).alias("block"), "ordinal", "position", "turn", "chars", *keys))
+    rows = cut(rows.select("conv_id", "shard", F.floor(F.col("position") / layout.block).alias("block"), "ordinal", "position", "turn", "chars", *keys))
 
     # What lies before each block of a conversation: one row for BLOCK turns.
     sums = rows.groupBy("conv_id", "block").agg(F.bit_xor("key1").alias("x1"), F.bit_xor("key2").alias("x2"), F.sum("chars").alias("c"))
@@ -266,7 +275,7 @@ def nodes(turns: Turns) -> DataFrame:
     blocks = cut(blocks.select("conv_id", "length", "shard", "ordinal", *zero))
 
     place = ["shard", "block"]
-    found = cut(rows.drop("conv_id").groupBy(*place).cogroup(blocks.groupBy(*place)).applyInArrow(_nodes_of_shard, NODE))
+    found = cut(rows.drop("conv_id").groupBy(*place).cogroup(blocks.groupBy(*place)).applyInArrow(lambda key, rows, heads: _nodes_of_shard(key, rows, heads, layout), NODE))
     merged = found.groupBy(*KEY).agg(
         F.min("first_id").alias("conv_id"), F.sum("n").alias("n_convs"), *[F.first(c).alias(c) for c in ("parent1", "parent2", "turn", "chars", "above")]
     )
@@ -279,7 +288,7 @@ def nodes(turns: Turns) -> DataFrame:
         *place, "ordinal", F.coalesce("kept", "total").alias("kept"), F.coalesce("leaf", F.lit(False)).cast("long").alias("leaf")
     )
     held = found.select(*place, *KEY, "first_id", "n", "members")
-    part = held.groupBy(*place).cogroup(scalars.groupBy(*place)).applyInArrow(_sums_of_shard, "depth long, key1 long, key2 long, first_id long, first_kept long, kept long, leaves long")
+    part = held.groupBy(*place).cogroup(scalars.groupBy(*place)).applyInArrow(lambda nodes, heads: _sums_of_shard(nodes, heads, layout), "depth long, key1 long, key2 long, first_id long, first_kept long, kept long, leaves long")
     totals = part.groupBy(*KEY).agg(F.min_by("first_kept", "first_id").alias("first_kept"), F.sum("kept").alias("kept"), F.sum("leaves").alias("n_leaves"))
 
     ends = found.where(F.size("ends") > 0).select(*KEY, "shard", "ends").repartition(*KEY).sortWithinPartitions(*KEY, "shard")
@@ -300,4 +309,4 @@ def texts(conversations: DataFrame) -> DataFrame:
     return conversations.select(digest.alias("turn"), role.alias("role"), text.alias("text")).groupBy("turn").agg(F.first("role").alias("role"), F.first("text").alias("text"))
 
 
-__all__ = ["BLOCK", "SHARD", "Turns", "nodes", "ordered", "spliced", "texts"]
+__all__ = ["Layout", "Turns", "nodes", "ordered", "spliced", "texts"]
