@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, utf8
+from tessera.llm.common import cut, slices, utf8
 from tessera.operators.census import number_rows
 
 #: (lowest bit, width) of the three segments.
@@ -263,7 +263,8 @@ def _near_classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     same = ["_id", "text_key"]
     of = wanted.select("node", F.col("node.id").alias("_id"), F.col("node.text_key").alias("text_key"))
     rows = _keyed(docs).withColumn("_id", F.coalesce("id", none)).drop("id")
-    texts = cut(rows.join(of, same).groupBy("node").agg(F.first("text").alias("text")))
+    # A row that repeats an id with the same text comes again here; all that is made of it is made distinct.
+    texts = cut(rows.join(of, same).select("node", "text"))
 
     # Kept, so that the joins with it have exchanges of their own and Spark can split a class with many copies.
     roots = _connected_in_buckets(members, classes.select("node", "sign"), texts, least)
@@ -271,44 +272,138 @@ def _near_classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return marked.select("id", "text_key", "set_key"), named
 
 
+def _could(a: Column, b: Column, least: float) -> Column:
+    """Whether classes of these sizes can be ``least`` similar: similarity can't exceed the ratio of the sizes."""
+    return F.least(a["n"], b["n"]) >= F.lit(least) * F.greatest(a["n"], b["n"]) - 1e-9
+
+
+#: Members that are compared with a copy of their lead's text, in one group.
+COMPANY = 512
+
+
+def _near_leads(tried: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``tried`` (a: lead, b: member, each member once) that are near; a text is moved once, a lead's once for COMPANY members."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, known = None, np.zeros(0, np.uint64)
+        for batch in (part for b in batches for part in slices(b, 4, 4 << 20)):
+            near = []
+            for k, (group, salt, member, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "member", "text")))):
+                hashes = shingles((text or "").encode())
+                if not member:
+                    lead, known = (group, salt), hashes
+                elif lead == (group, salt) and similarity(known, hashes) >= least:
+                    near.append(k)
+            yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(near, pa.int64())))
+
+    sizes = cut(tried.groupBy("a").agg(F.ceil(F.count("*") / COMPANY).alias("groups")))
+    members = tried.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
+    own = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(True).alias("member"), "b", "text")
+    first = sizes.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("b"), "text")
+    sorted_ = own.unionByName(first).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    node = tried.schema["a"].dataType.simpleString()
+    return sorted_.mapInArrow(compare, f"a {node}, b {node}")
+
+
+#: Documents whose shingles tell which are common, and common shingles that are told to every task at most. Both only
+#: decide the order in which shingles are looked at: any order gives the same pairs.
+SAMPLED, COMMON = 4096, 1 << 16
+
+
+def _prefixes(rows: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """(s, row, part, n, place, short) from (row, part, text): the shingles by which a text can meet its near copies.
+
+    Shingles are taken in one order for all texts, common ones last. Two sets of similarity ``least`` share one of
+    the first ``n - ceil(least * n) + 1`` of the longer set and of the first ``n - ceil(2 * least / (1 + least) * n) + 1`` of the
+    shorter one; ``short`` marks the latter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, 4 << 20):
+                found: list[tuple[np.ndarray, ...]] = []
+                for k, text in enumerate(utf8(part.column(2))):
+                    hashes = shingles(text)
+                    n = len(hashes)
+                    often = np.isin(hashes, common, assume_unique=True)
+                    order = np.concatenate([hashes[~often], hashes[often]])
+                    longer = n - int(np.ceil(least * n - 1e-9)) + 1
+                    shorter = n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+                    place = np.arange(min(n, longer))
+                    found.append((order[: len(place)], np.full(len(place), k), np.full(len(place), n), place, place < shorter))
+                if not found:
+                    continue
+                s, k, n, place, short = (np.concatenate(c) for c in zip(*found))
+                of = pa.array(k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(short)],
+                    names=["s", "row", "part", "n", "place", "short"],
+                )
+
+    return rows.select("row", "part", "text").mapInArrow(run, "s long, row long, part long, n int, place int, short boolean")
+
+
+def _common_shingles(texts: DataFrame, total: int) -> np.ndarray:
+    """Ascending hashes of shingles that several of SAMPLED texts have, at most COMMON of them."""
+
+    @F.arrow_udf("array<long>")
+    def hashes(t: pa.Array) -> pa.Array:
+        return pa.array([shingles(x).view(np.int64) for x in utf8(t)], pa.list_(pa.int64()))
+
+    part = max(1, total // SAMPLED)
+    each = texts.where(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select(F.explode(hashes("text")).alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON)
+    return np.sort(np.array([r.s for r in often.select("s").collect()], np.int64).view(np.uint64))
+
+
+def _meeting(prefixes: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (x, y) of rows of different parts whose prefixes meet and whose places leave enough to share.
+
+    Of each shingle only the texts outside its first part look for others, so a shingle that the near copies of
+    one component share makes no pairs.
+    """
+    parts = prefixes.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("s", "p")
+    kept = cut(prefixes.join(parts, "s"))
+    longer = [F.col(c).alias(f"x_{c}") for c in ("row", "part", "n", "place")]
+    shorter = [F.col(c).alias(f"y_{c}") for c in ("row", "part", "n", "place")]
+    size = (F.struct("y_n", "y_row") < F.struct("x_n", "x_row")) & (F.col("y_n") >= F.lit(least) * F.col("x_n") - 1e-9)
+    rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))  # this shingle and those after it
+    enough = rest >= F.lit(least / (1 + least)) * (F.col("x_n") + F.col("y_n")) - 1e-9
+    met = (F.col("x_part") != F.col("y_part")) & size & enough
+    outside, inside = F.col("part") != F.col("p"), F.col("part") == F.col("p")
+    one = kept.where(outside).select("s", *longer).join(kept.where("short").select("s", *shorter), "s").where(met)
+    other = kept.where(inside).select("s", *longer).join(kept.where(F.col("short") & outside).select("s", *shorter), "s").where(met)
+    return one.select("x_row", "y_row").union(other.select("x_row", "y_row")).distinct()
+
+
 def _connected_in_buckets(members: DataFrame, signs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, root) of the components that near pairs in buckets make; ``members``: bucket, lead (its least class), node.
 
-    Every class is compared with the least lead of its buckets first. Then only buckets that hold more than one
-    component have anything left to say, and only its pairs across components: they are compared with the
-    classes around them in the bucket, at growing distances, until the bucket is one component or all
-    of its pairs have been looked at. So a large group of near copies costs a few comparisons a class, and
-    no link between two components is lost. Members are numbered through all buckets, and pairs meet by
-    their numbers, so that a large bucket is no key of a join.
+    Every class is compared with the least lead of its buckets first, so a large group of near copies costs one
+    comparison a class. Then only buckets that hold more than one component have anything left to say. Their
+    classes meet by the first of their shingles, common ones last: texts that share a common passage and are not near
+    copies do not meet, and no pair of near copies in different components is lost.
     """
-    a, b = F.col("a.n"), F.col("b.n")
-    could = F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9  # similarity can't exceed the ratio of the sizes
-    tried = cut(members.groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")).select("a", "b").where(could))
-    near = cut(_near(tried, texts, least))
-    every = members.select("bucket", "node").union(members.select("bucket", F.col("lead").alias("node"))).distinct()
-    rows, low, high = None, 1, 2
-    while True:
-        roots = connected(near)
-        labelled = (every if rows is None else rows).join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        extent = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q").where(F.col("n") > low).select("bucket", "p")
-        left = cut(labelled.join(extent, "bucket"))
-        if left.isEmpty():
-            return roots
-        if rows is None:
-            numbered = number_rows(left.select("bucket", "node"), ["bucket", "node"])
-            rows = cut(numbered.join(numbered.groupBy("bucket").agg(F.min("row").alias("first"), F.max("row").alias("last")), "bucket").join(signs, "node"))
-            left = cut(rows.join(left.select("bucket", "node", "part", "p"), ["bucket", "node"]))
-        # Two members of the bucket's first component have nothing to say to each other: the others look both ways.
-        row, none = F.col("row"), F.array().cast("array<bigint>")
-        ahead = F.when(row + low <= F.col("last"), F.sequence(row + low, F.least(row + (high - 1), F.col("last")))).otherwise(none)
-        behind = F.when(row - low >= F.col("first"), F.sequence(F.greatest(row - (high - 1), F.col("first")), row - low)).otherwise(none)
-        x = left.where("part <> p").select(F.col("node").alias("x"), F.col("part").alias("x_part"), F.col("sign").alias("x_sign"), F.explode(F.concat(ahead, behind)).alias("row"))
-        y = left.select("row", F.col("node").alias("y"), F.col("part").alias("y_part"), F.col("sign").alias("y_sign"))
-        pairs = x.join(y, "row").where((F.col("x_part") != F.col("y_part")) & enough_alike(F.col("x_sign"), F.col("y_sign"), least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(could).distinct()
-        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(fresh)
-        near = near.union(cut(_near(fresh, texts, least)))
-        low, high = high, 3 * high
+    a, b = F.col("a"), F.col("b")
+    tried = cut(members.groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")).select("a", "b").where(_could(a, b, least)))
+    near = cut(_near_leads(tried, texts, least).distinct())
+    roots = connected(near)
+    every = members.select("bucket", "node").union(members.select("bucket", F.col("lead").alias("node")))
+    labelled = every.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    extent = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+    left = labelled.join(extent, "bucket", "left_semi").groupBy("node").agg(F.first("part").alias("part"))
+    numbered = number_rows(left, ["part", "node"])
+    rows = cut(numbered.join(numbered.groupBy("part").agg(F.min("row").alias("part_row")), "part").select("node", "row", F.col("part_row").alias("part")))
+    total = rows.count()
+    if total < 2:
+        return roots
+    found = cut(rows.join(texts, "node").select("node", "row", "part", "text"))
+    pairs = _meeting(_prefixes(found, _common_shingles(found, total), least), least)
+    known = rows.join(signs, "node").select("row", "node", "sign")
+    x, y = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns]) for side in "xy")
+    alike = pairs.join(x, "x_row").join(y, "y_row").where(enough_alike(F.col("x_sign"), F.col("y_sign"), least))
+    fresh = cut(alike.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")))
+    return connected(near.union(cut(_near(fresh, texts, least).distinct())))
 
 
 def near_copies(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
