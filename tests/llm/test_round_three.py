@@ -203,3 +203,36 @@ def test_vectors_of_a_batch():
     batch = pa.RecordBatch.from_arrays([lists], names=["v"]).slice(1)
     got = {tuple(rows.tolist()): x.tolist() for rows, x in codes._vectors(batch, 0)}
     assert got == {(3,): [[]], (2,): [[1024, -410]]}
+
+
+# Near copies that share a passage
+
+
+def test_shared_passages_make_no_pairs(spark):
+    from tessera.llm import simhash
+
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(70))
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, near = [], []
+    for k in range(400):  # different texts around one passage, each a near copy of the next one now and then
+        words = own(30)
+        rows.append((2 * k, " ".join([*words[:15], passage, *words[15:]])))
+        if k % 20 == 0:
+            words[3] = "edited"
+            rows.append((2 * k + 1, " ".join([*words[:15], passage, *words[15:]])))
+            near.append((2 * k, 2 * k + 1))
+    crowd = own(120)
+    for k in range(150):  # a large group of near copies that holds the passage too
+        words = list(crowd)
+        words[k % 100] = f"crowd{k}"
+        rows.append((5000 + k, " ".join([*words, passage])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: i for i, _ in rows} | {j: i for i, j in near} | {5000 + k: 5000 for k in range(150)}
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
+    parts = {i: min(want[i], 5000) for i in want}
+    found = spark.createDataFrame([(i, parts[i], t) for i, t in rows], "row long, part long, text string")
+    apart = found.withColumn("part", F.when(F.col("row") < 5000, F.col("row")).otherwise(F.col("part")))
+    common = simhash._common_shingles(apart, len(rows))
+    pairs = {tuple(r) for r in simhash._meeting(simhash._prefixes(apart, common, 0.8), 0.8).collect()}
+    assert len(pairs) <= 60 and {tuple(sorted(p)) for p in pairs} >= set(near)
