@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import canonical, cursor
 from tessera.functions.text import search_text
 from tessera.operators import consistency, current, detect, knowledge, search, sessions, snapshot
+from tessera.sources import atomic, ordered
+from tessera.sources.generations import Generations
 from tessera.sources.parts import publish
+from tessera.sources.postings import PostingIndex
 
 #: Most rows of a page. Fixed value.
 MOST = 1000
@@ -34,6 +37,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.generations = Generations(spark, self.root)
 
     def table(self, generation: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/generation={generation}/{name}")
@@ -41,13 +45,30 @@ class Workspace:
     # Current state
 
     def rebuild_current(self, generation: str, observations: DataFrame, roster: DataFrame, surfaces: DataFrame, *, keys: list[str], order: list[str], unit: str = "unit_id") -> None:
-        """Fold observations to the latest state, split it by the roster, and publish it with its fingerprint."""
+        """Fold observations to the latest state, split it by the roster, and publish it with its fingerprint.
+
+        The tables become a generation when all of them are there: it is sealed, and then it is the one that is shown.
+        """
         state = current.latest_state(observations, keys, order)
         verified, orphans = current.split_by_roster(state, roster, unit)
         tables = {"units": roster, "products": verified, "orphans": orphans, "surfaces": current.surface_coverage(roster, surfaces, unit)}
         publish(tables, self.root, generation)
         meta = self._fingerprint(generation).select("fingerprint", F.lit("ready").alias("status"), F.col("rows"))
         publish({"meta": meta}, self.root, generation)
+        self.generations.seal(generation, [*tables, "meta"])
+
+    def load_current(self, keys: list[str], *, unit: str = "unit_id") -> dict[str, DataFrame]:
+        """All tables of the generation that is shown, after a look at every row and at the rules between the tables.
+
+        Units stand once, products and orphans once by ``keys``; products are of known units, orphans of unknown
+        ones, surfaces of known ones. ValueError if a table is not that of the manifest, or a rule is broken.
+        """
+        t = self.generations.load()
+        found = [snapshot.repeated_keys(t["units"], "units", [unit]), *[snapshot.repeated_keys(t[n], n, keys) for n in ("products", "orphans")]]
+        found += [snapshot.dangling(t[n], n, keys if n != "surfaces" else [unit], unit, t["units"], unit, absent=n != "orphans") for n in ("products", "orphans", "surfaces")]
+        if bad := reduce(DataFrame.unionByName, found).limit(5).collect():
+            raise ValueError(f"the snapshot is not sound: {[tuple(r) for r in bad]}")
+        return t
 
     def _fingerprint(self, generation: str) -> DataFrame:
         """One row (rows, fingerprint) over every column of every row of the current state's tables."""
@@ -82,12 +103,29 @@ class Workspace:
 
     # Pages
 
-    def page(self, generation: str, name: str, keys: list[str], *, limit: int = 100, after: str | None = None, where: str | None = None) -> tuple[list, str | None]:
-        """Rows of a table in the order of ``keys`` and the cursor of the next page, null at the end."""
+    def _sorted(self, generation: str, name: str, keys: list[str]) -> str:
+        return f"{self.root}/generation={generation}/{name}.by.{'.'.join(keys)}"
+
+    def sort(self, generation: str, name: str, keys: list[str], *, per_file: int = ordered.ROWS) -> None:
+        """Keep a table of a generation in the order of ``keys`` too, so that its pages read two or three files."""
+        ordered.write_ordered(self.table(generation, name), self._sorted(generation, name, keys), keys, per_file=per_file)
+
+    def record(self, generation: str, name: str, keys: list[str], value: tuple) -> DataFrame:
+        """The row of a key of a table that is kept in the order of ``keys``, or none."""
+        return ordered.read_key(self.spark, self._sorted(generation, name, keys), keys, value)
+
+    def page(self, generation: str, name: str, keys: list[str], *, limit: int = 100, after: str | None = None, where: str | None = None, prefix: tuple = ()) -> tuple[list, str | None]:
+        """Rows of a table in the order of ``keys`` and the cursor of the next page, null at the end.
+
+        Only rows for which ``where`` holds and whose first keys are ``prefix``. Where the table is kept in this order
+        (``sort``) and there is no ``where``, only the files that hold the page are read.
+        """
         if not 1 <= limit <= MOST:
             raise ValueError(f"limit must be 1 to {MOST}")
-        scope = f"{name}|{where or ''}"
-        rows = self.table(generation, name)
+        scope = f"{name}|{where or ''}" + (f"|{list(prefix)}" if prefix else "")
+        at = self._sorted(generation, name, keys)
+        kept = not where and atomic.exists(self.spark, f"{at}/index")
+        rows = self.spark.read.parquet(f"{at}/rows") if kept else self.table(generation, name)
         kinds = dict(rows.dtypes)
         start = None
         if after:
@@ -95,7 +133,11 @@ class Workspace:
             if of != generation:
                 raise ValueError("cursor is of another generation")
             start = tuple(F.lit(k).cast(kinds[c]) for c, k in zip(keys, key))
-        page = sessions.keyset_page(rows.where(where) if where else rows, keys, limit=limit, after=start)
+        if kept:
+            page = ordered.read_page(self.spark, at, keys, limit=limit, after=start, prefix=prefix)
+        else:
+            own = reduce(lambda df, kv: df.where(F.col(kv[0]) == F.lit(kv[1])), zip(keys, prefix), rows.where(where) if where else rows)
+            page = sessions.keyset_page(own, keys, limit=limit, after=start)
         # Spark writes the keys as text and reads them again, so that any type comes back as it was.
         found = page.select(F.struct("*").alias("row"), F.array(*[F.col(c).cast("string") for c in keys]).alias("key")).collect()  # a page
         more = bool(found) and found[-1]["row"]["has_more"]
@@ -114,6 +156,14 @@ class Workspace:
         }
         publish(tables, self.root, generation)
 
+    def update_index(self, records: DataFrame) -> int:
+        """Bring the index in files to ``records`` (ref, text) and return its version; what did not change is left alone."""
+        return PostingIndex(self.spark, f"{self.root}/postings").update(records)
+
+    def search_index(self, queries: DataFrame, *, limit: int = 10) -> DataFrame:
+        """(query_id, rank, ref, score) from the index in files; only the buckets of the questions' terms are read."""
+        return PostingIndex(self.spark, f"{self.root}/postings").search(queries, limit=limit)
+
     def index_problems(self, generation: str) -> DataFrame:
         """Postings that are not those of the texts, and texts that are not those of the records; none in a sound index."""
         texts = self.table(generation, "texts")

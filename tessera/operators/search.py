@@ -11,6 +11,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import materialise
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Lower-case letters with diacritics and the letters they are written on, from Unicode's decompositions.
 _MARKED = {chr(c): base for c in range(0xC0, 0x2000) if len(base := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and base != chr(c)}
@@ -34,25 +36,44 @@ def lengths(records: DataFrame) -> DataFrame:
     return records.select("ref", F.greatest(F.size(terms(F.col("text"))), F.lit(0)).alias("length"))
 
 
+def asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of queries (query_id, text), each term of a query once."""
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+
+
 def bm25(queries: DataFrame, records: DataFrame, *, limit: int = 10) -> DataFrame:
-    """rank_postings over records (ref, text) that have no postings yet."""
-    return rank_postings(queries, postings(records), lengths(records), limit=limit)
+    """``rank`` over records (ref, text) that have no postings yet.
+
+    The texts are split once: of each record the words that some query has are kept, and one row with its length.
+    """
+    wanted = asked(queries)
+    words = records.select("ref", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    each = words.select("ref", F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(None).cast("string"))).alias("term"))
+    known = wanted.select("term").distinct().withColumn("_asked", F.lit(True))
+    kept = each.join(known, "term", "left").where("_asked OR term IS NULL")
+    held = materialise(kept.groupBy("ref", "term", "length").agg(F.count("*").alias("tf")))
+    stats = held.where("term IS NULL").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    return rank(wanted, held.where("term IS NOT NULL"), stats, limit=limit)
 
 
 def rank_postings(queries: DataFrame, known: DataFrame, sizes: DataFrame, *, limit: int = 10) -> DataFrame:
-    """(query_id, rank, ref, score): the best ``limit`` records that hold all terms of each query (query_id, text).
+    """``rank`` for queries (query_id, text) over all postings ``known``; ``sizes``: the lengths of all records."""
+    wanted = asked(queries)
+    stats = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    return rank(wanted, known.join(wanted.select("term").distinct(), "term", "left_semi"), stats, limit=limit)
+
 
-    ``known``: postings of the records; ``sizes``: their lengths.
+def rank(asked: DataFrame, held: DataFrame, stats: DataFrame, *, limit: int = 10) -> DataFrame:
+    """(query_id, rank, ref, score): the best ``limit`` records that hold all terms of each query.
 
-    Only postings of terms that some query has leave the scan of the corpus. A record that holds all terms
-    holds the query's rarest one, so the postings of that are the only candidates, and a common term meets
-    those instead of the whole corpus. A term that most records hold weighs LEAST_IDF.
+    ``asked``: (query_id, term); ``held``: the postings of these terms; ``stats``: one row (docs, mean), the number of
+    records and their mean length.
+
+    A record that holds all terms holds the query's rarest one, so the postings of that are the only
+    candidates, and a common term meets those instead of the whole corpus. A term that most records hold
+    weighs LEAST_IDF.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
-    stats = sizes.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    wanted = asked.select("term").distinct()
-    held = known.join(wanted, "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rated = asked.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = rated.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
@@ -62,8 +83,8 @@ def rank_postings(queries: DataFrame, known: DataFrame, sizes: DataFrame, *, lim
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.groupBy("query_id", "ref").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("got"))
     full = scored.join(needed, "query_id").where("got = needed")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref"))
-    return full.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "ref", "score")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref"))
+    return full.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "rank", "ref", "score")
 
 
 def exact_tiers(queries: DataFrame, refs: DataFrame, aliases: DataFrame, titles: DataFrame, *, limit: int = 10) -> DataFrame:

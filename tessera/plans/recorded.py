@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera import api
 from tessera.functions import normalise
 from tessera.functions.schema import compile_schema
-from tessera.operators import contexts, correlate
+from tessera.operators import contexts, correlate, current, detect
 from tessera.plans import adapters as A
 from tessera.plans import queries as Q
 from tessera.sources import evidence
+from tessera.sources.generations import Generations
+from tessera.sources.postings import PostingIndex
 from tessera.sources.shared import new_folder
 
 query = Q.query
@@ -154,3 +157,59 @@ def correlation_sequenced(spark, d):
     """Links of all users by the sequence of their events; tests compare disordered clocks and large sessions with the fold."""
     rows = A.events(spark, d).where("event_type <> 'http.failed'").withColumn("is_action", F.col("source") == "dom.action")
     return correlate.correlate_sequenced(rows, Q.TIMING)
+
+
+# Generations, pages and the index in files
+
+
+@query(f"WITH {A.UNIT_PRODUCTS} SELECT unit_id, product_id, observed_at, sales_volume, our_price FROM latest")
+def sealed_generation(spark, d):
+    """The state that is shown after three rebuilds, of which the last was not finished."""
+    rows = A.unit_products(spark, d)
+    g = Generations(spark, new_folder(spark, "generations"))
+    state = lambda r: current.latest_state(r, A.STATE_KEYS, A.STATE_ORDER)
+    g.publish("1", {"products": state(rows.where("o1 % 2 = 0")), "units": rows.select("unit_id").distinct()})
+    g.write("2", {"products": state(rows)})
+    g.seal("2", ["products"], taken={"units": "1"})
+    g.write("3", {"products": state(rows.where("o1 % 3 = 0"))})
+    return g.load()["products"].select("unit_id", "product_id", "observed_at", "sales_volume", "our_price")
+
+
+@query(f"SELECT change_id, first_seen, last_seen, occurrences FROM ({Q.SQL['change_rollup']}) WHERE occurrences % 3 = 1 ORDER BY change_id LIMIT 30")
+def change_pages(spark, d):
+    """Two pages of the changes of one profile, from files in the order of profile and id, and each change got by its key."""
+    w = api.Workspace(spark, new_folder(spark, "changes"))
+    found = detect.change_rollup(Q._found(spark, d)).withColumn("profile", F.concat(F.lit("p"), (F.col("occurrences") % 3).cast("string")))
+    w.generations.write("1", {"changes": found})
+    keys = ["profile", "change_id"]
+    w.sort("1", "changes", keys, per_file=20)
+    w.generations.seal("1", ["changes"])
+    first, after = w.page("1", "changes", keys, limit=15, prefix=("p1",))
+    second, _ = w.page("1", "changes", keys, limit=15, after=after, prefix=("p1",)) if after else ([], None)
+    page = spark.createDataFrame([(r["change_id"],) for r in [*first, *second]], "change_id string")  # two pages
+    return w.generations.table("changes").join(page, "change_id").where("profile = 'p1'").select("change_id", "first_seen", "last_seen", "occurrences")
+
+
+@query("SELECT o_orderpriority AS surface, o_custkey AS request_key, o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_custkey, o_orderkey LIMIT 200")
+def market_pages(spark, d):
+    """Two pages of one surface of the market log, in the order of its requests."""
+    w = api.Workspace(spark, new_folder(spark, "market"))
+    log = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("surface"), F.col("o_custkey").alias("request_key"), "o_orderkey", "o_totalprice")
+    w.generations.write("1", {"log": log})
+    keys = ["surface", "request_key", "o_orderkey"]
+    w.sort("1", "log", keys, per_file=500)
+    first, after = w.page("1", "log", keys, limit=100, prefix=("1-URGENT",))
+    second, _ = w.page("1", "log", keys, limit=100, after=after, prefix=("1-URGENT",)) if after else ([], None)
+    return spark.createDataFrame([tuple(r)[:4] for r in [*first, *second]], log.schema)  # two pages
+
+
+@query(Q.SQL["search_bm25"].replace("SELECT query_id, rank::INTEGER AS rank, ref, score", "SELECT query_id, rank::INTEGER AS rank, ref::VARCHAR AS ref, score").replace("score DESC, ref)", "score DESC, ref::VARCHAR)"))
+def postings_search(spark, d):
+    """Benchmark texts asked of an index in files that was brought to the documents in three updates."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("ref"), "text")
+    index = PostingIndex(spark, new_folder(spark, "postings"), buckets=16)
+    index.update(docs.withColumn("text", F.when(F.crc32("ref") % 4 == 0, F.concat(F.lit("old words "), F.substring("text", 1, 200))).otherwise(F.col("text"))).where("crc32(ref) % 5 > 0"))
+    index.update(docs.union(spark.createDataFrame([("gone", "the and of")], docs.schema)))
+    index.update(docs)
+    asked = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(asked)

@@ -1,25 +1,18 @@
 """Change history as a stream sink: checkpoint, changes and outbox become visible together.
 
-State lies in three tables, each in hash buckets: ``changes`` (by change), ``processed`` (by session), and ``outbox``
-(by bundle). A batch reads and writes the buckets that its rows fall into and no others, so its cost follows
-the batch. What it writes is new files; they become the state when one small file, the commit, names
-them, and that file appears in one step. A batch that is killed before leaves files that no
-commit names, and readers still see the version before. Every commit names the files of all buckets, so reading a version
-takes one commit, and older versions stay readable.
+State lies in three tables in hash buckets (``sources/buckets.py``): ``changes`` (by change), ``processed`` (by
+session), and ``outbox`` (by bundle). A batch reads and writes the buckets that its rows fall into and no others, so
+its cost follows the batch, and all it writes becomes the state with one commit.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators import knowledge
 from tessera.operators.detect import apply_session, evidence_conflicts, with_profile
-from tessera.sources import atomic
+from tessera.sources.buckets import Buckets
 from tessera.sources.shared import materialise
 
 SCHEMAS = {
@@ -30,7 +23,7 @@ SCHEMAS = {
 KEYS = {"changes": ["profile", "change_id"], "processed": ["session_id"], "outbox": ["bundle_id"]}
 
 
-class ChangeHistory:
+class ChangeHistory(Buckets):
     """State in commits under ``root``.
 
     ``apply`` is the function of foreachBatch: a batch has change_id, session_id, started_at and
@@ -43,58 +36,7 @@ class ChangeHistory:
     """
 
     def __init__(self, spark: SparkSession, root: str, *, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    # Commits
-
-    def _commit_path(self, version: int) -> str:
-        return f"{self.root}/_commits/{version:020d}.json"
-
-    def commit(self, version: int) -> dict | None:
-        text = atomic.read_text(self.spark, self._commit_path(version))
-        return None if text is None else json.loads(text)
-
-    def version(self) -> int:
-        """The last version that is committed, -1 before the first."""
-        known = [n for n in atomic.names(self.spark, f"{self.root}/_commits") if n.endswith(".json") and not n.startswith(".")]
-        return int(known[-1][:-5]) if known else -1
-
-    def _base(self, version: int) -> dict:
-        """The commit that ``version`` is built on: the last one before it."""
-        last = self.version()
-        if last < 0:
-            return {"buckets": self.buckets, "files": {name: {} for name in SCHEMAS}}
-        if last >= version:
-            raise ValueError(f"version {version} is not after {last}")
-        return self.commit(last)
-
-    def _bucket(self, name: str, of: int) -> Column:
-        return F.pmod(F.xxhash64(*KEYS[name]), F.lit(of)).cast("int")
-
-    def _read(self, commit: dict, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """Rows of a table at a commit, only of ``buckets`` if they are named."""
-        files = commit["files"][name]
-        paths = [f"{self.root}/{p}" for b, p in files.items() if buckets is None or int(b) in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
-
-    def _touched(self, rows: DataFrame, name: str, of: int) -> list[int]:
-        return [r[0] for r in rows.select(self._bucket(name, of)).distinct().collect()]  # at most one a bucket
-
-    def _write(self, rows: DataFrame, name: str, commit: dict, draft: str) -> dict[str, str]:
-        """Write the rows of some buckets; the files of the table's buckets after that."""
-        where = f"{name}/{draft}"
-        columns = [f.name for f in T.StructType.fromDDL(SCHEMAS[name])]
-        dealt = rows.select(*columns).withColumn("bucket", self._bucket(name, commit["buckets"])).repartition("bucket")
-        dealt.write.partitionBy("bucket").parquet(f"{self.root}/{where}")
-        found = [n for n in atomic.names(self.spark, f"{self.root}/{where}") if n.startswith("bucket=")]
-        return {**commit["files"][name], **{n[7:]: f"{where}/{n}" for n in found}}
-
-    def _publish(self, version: int, base: dict, tables: dict[str, DataFrame]) -> None:
-        draft = f"v={version}-{uuid.uuid4().hex}"
-        files = {name: self._write(tables[name], name, base, draft) if name in tables else base["files"][name] for name in SCHEMAS}
-        atomic.write_new(self.spark, self._commit_path(version), json.dumps({"version": version, "buckets": base["buckets"], "files": files}, sort_keys=True))
+        super().__init__(spark, root, SCHEMAS, KEYS, buckets)
 
     # Batches
 
@@ -109,19 +51,21 @@ class ChangeHistory:
             batch.unpersist()
 
     def _apply(self, batch: DataFrame, batch_id: int) -> None:
-        base = self._base(batch_id)
-        of = base["buckets"]
+        base = self.base(batch_id)
         sessions = batch.select("profile", "session_id", "evidence_sha256").distinct()
-        done = self._read(base, "processed", self._touched(sessions, "processed", of))
+        in_processed = self.touched(sessions, "processed", base)
+        done = self.read(base, "processed", in_processed)
         if conflicts := evidence_conflicts(done.join(sessions.select("session_id").distinct(), "session_id", "left_semi"), sessions).limit(5).collect():
             raise ValueError(f"evidence of sessions differs from what was processed: {[r.session_id for r in conflicts]}")
-        state = self._read(base, "changes", self._touched(batch, "changes", of))
+        in_changes = self.touched(batch, "changes", base)
+        state = self.read(base, "changes", in_changes)
         changed, processed = apply_session(state, done, batch, sessions)
         new = batch.join(done, ["profile", "session_id"], "left_anti").join(state.select("profile", "change_id"), ["profile", "change_id"], "left_anti")
         bundles = materialise(self._bundles(new))
-        kept = self._read(base, "outbox", self._touched(bundles, "outbox", of))
+        in_outbox = self.touched(bundles, "outbox", base)
+        kept = self.read(base, "outbox", in_outbox)
         outbox = kept.unionByName(bundles.join(kept.select("bundle_id"), "bundle_id", "left_anti"))
-        self._publish(batch_id, base, {"changes": changed, "processed": processed, "outbox": outbox})
+        self.publish(batch_id, base, {"changes": (changed, in_changes), "processed": (processed, in_processed), "outbox": (outbox, in_outbox)})
 
     def _bundles(self, new: DataFrame) -> DataFrame:
         """A pending bundle for each session and profile with findings that are new."""
@@ -141,53 +85,44 @@ class ChangeHistory:
         """
         if self.commit(version) is not None:
             return 0
-        base = self._base(version)
-        outbox = self._read(base, "outbox")
-        n = knowledge.materialise(outbox.where("state = 'pending'"), path)
-        touched = self._touched(outbox.where("state = 'pending'"), "outbox", base["buckets"])
-        rows = self._read(base, "outbox", touched) if touched else outbox.limit(0)
-        self._publish(version, base, {"outbox": rows.withColumn("state", F.lit("materialised"))})
+        base = self.base(version)
+        pending = self.read(base, "outbox").where("state = 'pending'")
+        n = knowledge.materialise(pending, path)
+        touched = self.touched(pending, "outbox", base)
+        rows = self.read(base, "outbox", touched if touched else [-1])
+        self.publish(version, base, {"outbox": (rows.withColumn("state", F.lit("materialised")), touched)})
         return n
 
     # Readers
 
-    def _at(self, version: int | None) -> dict:
-        version = self.version() if version is None else version
-        commit = self.commit(version)
-        if commit is None:
-            if version < 0:
-                return {"buckets": self.buckets, "files": {name: {} for name in SCHEMAS}}
-            raise ValueError(f"version {version} is not committed")
-        return commit
-
     def latest(self, version: int | None = None, profile: str | None = None) -> DataFrame:
         """The changes of a version (the last one) in the order of their ids, of one profile if it is named."""
-        rows = self._read(self._at(version), "changes")
+        rows = self.read(self.at(version), "changes")
         return (rows if profile is None else rows.where(F.col("profile") == profile)).orderBy("profile", "change_id")
 
     def get(self, change_id: str, profile: str = "default", version: int | None = None) -> DataFrame:
         """One change; only the files of its bucket are read."""
-        commit = self._at(version)
+        commit = self.at(version)
         key = self.spark.createDataFrame([(profile, change_id)], "profile string, change_id string")
-        rows = self._read(commit, "changes", self._touched(key, "changes", commit["buckets"]))
+        rows = self.read(commit, "changes", self.touched(key, "changes", commit))
         return rows.where((F.col("profile") == profile) & (F.col("change_id") == change_id))
 
     def outbox(self, version: int | None = None) -> DataFrame:
         """The bundles of a version in the order in which they were made."""
-        return self._read(self._at(version), "outbox").orderBy("created_at", "bundle_id")
+        return self.read(self.at(version), "outbox").orderBy("created_at", "bundle_id")
 
     def processed(self, version: int | None = None) -> DataFrame:
-        return self._read(self._at(version), "processed")
+        return self.read(self.at(version), "processed")
 
     def problems(self, version: int | None = None) -> DataFrame:
         """(table, key, problem) of rows that no sequence of batches can leave: last before first, no occurrences, repeated keys."""
-        commit = self._at(version)
-        changes = self._read(commit, "changes")
+        commit = self.at(version)
+        changes = self.read(commit, "changes")
         order = changes.where("last_seen < first_seen").select(F.lit("changes").alias("table"), F.col("change_id").alias("key"), F.lit("last_seen is before first_seen").alias("problem"))
         none = changes.where("occurrences < 1").select(F.lit("changes").alias("table"), F.col("change_id").alias("key"), F.lit("no occurrence").alias("problem"))
         keys = {"changes": ["profile", "change_id"], "processed": ["profile", "session_id"], "outbox": ["bundle_id"]}
         found = order.unionByName(none)
         for name, columns in keys.items():
-            twice = self._read(commit, name).groupBy(*columns).count().where("count > 1")
+            twice = self.read(commit, name).groupBy(*columns).count().where("count > 1")
             found = found.unionByName(twice.select(F.lit(name).alias("table"), F.col(columns[-1]).alias("key"), F.lit("repeated key").alias("problem")))
         return found

@@ -190,7 +190,7 @@ def test_batches_are_transactions(spark, tmp_path, monkeypatch):
     assert h.outbox().where("state = 'pending'").count() == 6
     assert h.deliver(out, 3) == 0 and h.outbox().where("state = 'pending'").count() == 0 and spark.read.parquet(out).count() == 6
     with pytest.raises(ValueError, match="not after"):
-        h._base(3)
+        h.base(3)
     with pytest.raises(ValueError, match="not committed"):
         h.latest(77)
 
@@ -212,3 +212,105 @@ def test_files_that_change_later_fail_the_job(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("{}")
     with pytest.raises(ValueError, match="not those expected"):
         evidence.verified_lines(spark, str(at), str(tmp_path / "b.jsonl"), expected=known)
+
+
+# Pages and the index in files
+
+
+def test_pages_read_few_files(spark, tmp_path):
+    from tessera.sources import ordered
+
+    rng = random.Random(9)
+    keys = ["a", "b"]
+    rows = sorted({(rng.choice("xyz"), rng.randrange(3000)) for _ in range(2500)})
+    at = str(tmp_path / "t")
+    ordered.write_ordered(spark.createDataFrame([(*r, f"v{r[1]}") for r in rows], "a string, b long, v string").repartition(6), at, keys, per_file=200)
+    assert spark.read.parquet(f"{at}/index").count() >= 10
+    for prefix in ((), ("y",), ("none",)):
+        want, seen, after = [r for r in rows if r[: len(prefix)] == prefix], [], None
+        while True:
+            assert len(ordered.page_files(spark, at, keys, limit=150, after=after, prefix=prefix)) <= 3
+            page = ordered.read_page(spark, at, keys, limit=150, after=after, prefix=prefix).orderBy(*keys).collect()
+            seen += [(r.a, r.b) for r in page]
+            if not page or not page[-1].has_more:
+                break
+            after = seen[-1]
+        assert seen == want
+    assert [r.v for r in ordered.read_key(spark, at, keys, rows[700]).collect()] == [f"v{rows[700][1]}"] and ordered.read_key(spark, at, keys, ("x", -1)).count() == 0
+    ordered.write_ordered(spark.createDataFrame([], "a string, b long, v string"), at, keys)
+    assert ordered.read_page(spark, at, keys, limit=5).count() == 0
+
+
+def test_index_follows_what_changed(spark, tmp_path):
+    from tessera.operators import search
+    from tessera.sources.postings import PostingIndex
+
+    index = PostingIndex(spark, str(tmp_path / "i"), buckets=32)
+    table = lambda rows: spark.createDataFrame(list(rows.items()), "ref string, text string")
+    rows = {f"r{k:02d}": " ".join(f"w{j}" for j in range(k % 7, k % 7 + 5)) + f" own{k}" for k in range(40)} | {"empty": "", "null": None}
+    asked = spark.createDataFrame([(1, "w3"), (2, "w1 w2"), (3, "own7 w4"), (4, "fresh"), (5, "nothing")], "query_id long, text string")
+    same = lambda: sorted(map(tuple, index.search(asked, limit=50).collect())) == sorted(map(tuple, search.bm25(asked, table(rows), limit=50).collect()))
+    assert index.update(table(rows)) == 0 and same()
+    before = index.files(index.at(), "postings")
+    assert index.update(table(rows)) == 0 and index.version() == 0  # nothing changed, nothing is written
+    rows |= {"r07": "fresh words w3", "new": "fresh w4"}
+    del rows["r08"]
+    assert index.update(table(rows)) == 1 and same()
+    after = index.files(index.at(), "postings")
+    assert set(before) < set(after) and len(after) - len(before) <= 4  # the buckets of the new words, none of the old files
+    one = spark.createDataFrame([("fresh",)], "term string")
+    read = index.postings(one).inputFiles()
+    assert 0 < len([f for f in read if "/postings/" in f]) <= 4 < len(after)
+    assert index.compact() == 2 and same() and index.at()["facts"]["superseded"] == 0 and index.compact() == 2
+    assert sorted(r.ref for r in index.search(asked, version=0, limit=50).where("query_id = 3").collect()) == ["r07"]
+    with pytest.raises(ValueError, match="more than once"):
+        index.update(table(rows).union(table(rows)))
+
+
+def test_current_state_is_loaded_whole(spark, tmp_path):
+    from tessera import api
+
+    w = api.Workspace(spark, str(tmp_path))
+    units = spark.createDataFrame([(1,), (2,)], "unit_id long")
+    rows = spark.createDataFrame([(1, 10, 1, 5), (1, 10, 2, 6), (2, 11, 1, 7), (9, 12, 1, 8)], "unit_id long, product_id long, observed_at long, stock long")
+    surfaces = spark.createDataFrame([(1, 1, "ready")], "unit_id long, observed_at long, status string")
+    w.rebuild_current("1", rows, units, surfaces, keys=["unit_id", "product_id"], order=["observed_at"])
+    t = w.load_current(["unit_id", "product_id"])
+    assert w.generations.current() == "1" and sorted((r.unit_id, r.stock) for r in t["products"].collect()) == [(1, 6), (2, 7)] and t["orphans"].count() == 1
+    broken = {n: df for n, df in t.items() if n != "units"} | {"units": units.where("unit_id = 1")}
+    w.generations.publish("2", broken)
+    with pytest.raises(ValueError, match="not sound"):
+        w.load_current(["unit_id", "product_id"])
+    w.generations.show("1")
+    assert w.load_current(["unit_id", "product_id"])["units"].count() == 2
+
+
+def test_session_manifests_close_once(spark, tmp_path):
+    from tessera.sources import evidence as E
+    from tessera.streaming.manifests import MANIFEST, write_manifests
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "session_id string, sequence long, at timestamp, file string, refs array<string>, warning string, ended string"
+
+    def write(name, rows):
+        (folder / name).write_text("".join(json.dumps(dict(zip(("session_id", "sequence", "at", "file", "refs", "warning", "ended"), r))) + "\n" for r in rows))
+
+    def run():
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+        write_manifests(events, str(tmp_path / "out"), str(tmp_path / "c"), late="1 minute", idle=600.0).awaitTermination()
+        return {r.session_id: r for r in spark.read.schema(MANIFEST).json(str(tmp_path / "out")).collect()}
+
+    write("1.json", [("s", 1, "2024-01-01T00:00:01Z", "a", ["sha256:x", "sha256:x", "other"], "w", None), ("s", 0, "2024-01-01T00:00:00Z", "a", None, None, None), ("t", 0, "2024-01-01T00:00:05Z", "a", None, None, None)])
+    assert run() == {}  # both are open
+    write("2.json", [("s", 2, "2024-01-01T00:05:00Z", "b", ["sha256:y", "sha256:x"], "w", "cancelled"), ("s", 3, "2024-01-01T00:05:01Z", "c", ["sha256:z"], "late", None), ("t", 0, "2024-01-01T00:05:02Z", "z", None, None, None)])
+    found = run()
+    s = found["s"]
+    assert set(found) == {"s"} and (s.status, s.event_files, s.artifact_count, s.event_count, s.warnings) == ("cancelled", ["a", "b"], 2, 3, ["w"]) and (s.started_at, s.ended_at) == ("2024-01-01T00:00:00.000Z", "2024-01-01T00:05:00.000Z")
+    write("3.json", [("u", 0, "2024-01-01T03:00:00Z", "a", None, None, None)])
+    found = run()
+    assert set(found) == {"s", "t"} and (found["t"].status, found["t"].event_count) == ("failed", 1)
+    assert run() == found
+    manifests = spark.createDataFrame([(r.session_id, r.event_files, r.event_count, r.status) for r in found.values()], "session_id string, event_files array<string>, event_count long, status string")
+    events = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("t", "a"), ("v", "a")], "session_id string, file string")
+    assert [tuple(r) for r in E.manifest_problems(manifests, events).collect()] == [("v", "no manifest")]
