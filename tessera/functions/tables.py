@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SKIP = {"script", "style", "template", "noscript", "svg", "iframe", "select"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _TEXTS = T.ArrayType(T.StringType())
 _CELL = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("hrefs", _TEXTS), T.StructField("titles", _TEXTS)]
@@ -24,9 +25,19 @@ class _Tables(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows, self.open, self.tables, self.skip = [], [], 0, []
         self.heading = self.marked = None
+        self.unclear = []  # open elements, from the outermost one whose attributes are ambiguous
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
+        # Which of two attributes of one name holds is not known: such an element, and all in it, says nothing by attributes.
+        twice = len({k for k, _ in attrs}) < len(attrs)
+        attrs = {} if twice or self.unclear else dict(attrs)
+        if (twice or self.unclear) and tag not in _VOID:
+            self.unclear.append(tag)
         if tag in _SKIP:
             self.skip.append(tag)
         if self.skip:
@@ -64,6 +75,9 @@ class _Tables(HTMLParser):
             cell["values"][attrs["id"]] = ""
 
     def handle_endtag(self, tag):
+        if tag in self.unclear:
+            while self.unclear.pop() != tag:
+                pass
         if self.skip:
             if tag == self.skip[-1]:
                 self.skip.pop()

@@ -28,6 +28,29 @@ def actions_without_operation(actions: DataFrame, operations: DataFrame) -> Data
     return joined.where(~F.coalesce(held, F.lit(False))).select("action_id", "path", "method")
 
 
+def action_problems(actions: DataFrame, operations: DataFrame) -> DataFrame:
+    """(action_id, problem) of actions that the operations of their request don't bear out; none for a sound contract.
+
+    ``actions``: action_id, path, method, fields, query_sets (array of key sets), statuses, observed_count, status_counts
+    (one number a status). ``operations``: path, method, query_keys, body_keys, statuses. An action needs an operation of its path and
+    method; each of its query sets is one of theirs, its fields and its statuses are among all of theirs, and its status
+    counts add up to what was observed.
+    """
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    ops = operations.groupBy("path", "method").agg(
+        F.collect_set(F.array_sort(F.array_distinct("query_keys"))).alias("_queries"), all_of(F.col("body_keys")).alias("_fields"), all_of(F.col("statuses")).alias("_statuses"), F.lit(True).alias("_known")
+    )  # as large as a contract's operations of one path
+    rows = actions.join(ops, ["path", "method"], "left")
+    shapes = F.transform("query_sets", lambda q: F.array_sort(F.array_distinct(q)))
+    known = F.coalesce("_known", F.lit(False))
+    tests = [
+        (~known, "no operation"), (known & (F.size(F.array_except(shapes, F.col("_queries"))) > 0), "query shape of no operation"), (known & (F.size(F.array_except("fields", "_fields")) > 0), "field of no operation"),
+        (known & (F.size(F.array_except("statuses", "_statuses")) > 0), "status of no operation"), (F.aggregate("status_counts", F.lit(0).cast("long"), lambda x, y: x + y) != F.col("observed_count"), "counts do not add up"),
+    ]
+    told = F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), F.lit(text)) for when, text in tests]))
+    return rows.select("action_id", F.explode(told).alias("problem"))
+
+
 def nearest_rank(rows: DataFrame, group: list[str], value: str, percentiles: dict[str, float]) -> DataFrame:
     """Upper nearest-rank percentiles of each group: the value at rank ceil((n - 1) * p) + 1, never interpolated.
 

@@ -149,12 +149,14 @@ def relation_facts(relations: DataFrame, families: DataFrame) -> DataFrame:
 def linked_requests(links: DataFrame, actions: DataFrame, requests: DataFrame) -> DataFrame:
     """(session_id, event_id, status, path, method, action_path, problem) of links (session_id, action_event_id, network_event_id, status).
 
-    ``actions`` and ``requests``: event_id, path and (requests) method. A link that names an event which is
+    ``actions`` and ``requests``: session_id, event_id, path and (requests) method. Both ends of a link are events of
+    its own session; event ids alone only count where a side has no session_id. A link that names an event which is
     not there stays, and problem says which one.
     """
-    a = actions.select(F.col("event_id").alias("action_event_id"), F.col("path").alias("action_path"), F.lit(True).alias("_action"))
-    r = requests.select(F.col("event_id").alias("network_event_id"), "path", "method", F.lit(True).alias("_request"))
-    joined = links.join(r, "network_event_id", "left").join(a, "action_event_id", "left")
+    own = lambda df: ["session_id"] if "session_id" in df.columns else []
+    a = actions.select(*own(actions), F.col("event_id").alias("action_event_id"), F.col("path").alias("action_path"), F.lit(True).alias("_action"))
+    r = requests.select(*own(requests), F.col("event_id").alias("network_event_id"), "path", "method", F.lit(True).alias("_request"))
+    joined = links.join(r, [*own(requests), "network_event_id"], "left").join(a, [*own(actions), "action_event_id"], "left")
     problem = F.when(F.col("_request").isNull(), F.lit("unknown request")).when(F.col("_action").isNull(), F.lit("unknown action"))
     return joined.select("session_id", F.col("network_event_id").alias("event_id"), "status", "path", "method", "action_path", problem.alias("problem"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.canonical import versioned_ref
+from tessera.operators.integrity import require
 
 _SHAPE = ["ref", "kind", "title", "body", "aliases", "evidence"]
 
@@ -53,6 +54,35 @@ def product_records(products: DataFrame, attributes: DataFrame) -> DataFrame:
     return _record(rows, F.concat(F.lit("product:"), "key"), "product", F.col("name"), [F.array_join("categories", " "), F.array_join("terms", " ")], F.col("names"), F.col("evidence"))
 
 
+#: Fields of a product's attributes whose texts are terms, in their order. Fixed values.
+_ATTRIBUTES = ("weight_text", "volume_text", "storage", "retail_group", "enterprise", "department")
+_MATERIAL = ("slug", "name", "quantity_text", "quality_share")
+_ITEM = (
+    ", ".join(f"{c} string" for c in ("product_id", "confidence", *_ATTRIBUTES))
+    + ", evidence array<string>, awards array<struct<label: string, value: string>>, recipe struct<output_name: string, energy_text: string, materials: array<struct<"
+    + ", ".join(f"{c}: string" for c in _MATERIAL)
+    + ">>>"
+)
+
+
+def attribute_documents(items: DataFrame) -> DataFrame:
+    """(key, terms, evidence) of documents (text): the texts of a product's attributes, awards and recipe, each once, in the order of the document.
+
+    An item that is no JSON object, isn't documented, has no product_id or no evidence, or holds an empty text or an award
+    without label or value fails the job, as does a product that stands twice.
+    """
+    d = F.from_json("text", _ITEM, {"mode": "FAILFAST"})
+    rows = items.select(d.alias("d"))
+    awards = F.flatten(F.transform("d.awards", lambda a: F.array(F.coalesce(a["label"], F.lit("")), F.coalesce(a["value"], F.lit("")))))
+    materials = F.flatten(F.transform("d.recipe.materials", lambda m: F.array(*[m[c] for c in _MATERIAL])))
+    none = F.array().cast("array<string>")
+    parts = [F.array(*[F.col(f"d.{c}") for c in _ATTRIBUTES]), F.coalesce(awards, none), F.array(F.col("d.recipe.output_name"), F.col("d.recipe.energy_text")), F.coalesce(materials, none)]
+    read = rows.select(F.col("d.product_id").alias("key"), F.col("d.confidence").alias("confidence"), F.array_compact(F.concat(*parts)).alias("terms"), F.array_distinct("d.evidence").alias("evidence"))
+    sound = require(read, "key <> '' AND confidence = 'documented' AND size(evidence) > 0 AND NOT exists(terms, t -> trim(t) = '')", "attributes are not sound")
+    one = sound.groupBy("key").agg(F.first("terms").alias("terms"), F.first("evidence").alias("evidence"), F.count("*").alias("n"))
+    return require(one, "n = 1", "attributes are not unique").select("key", F.array_distinct("terms").alias("terms"), "evidence")
+
+
 def action_records(rows: DataFrame) -> DataFrame:
     """Of actions (action_id, title, method, path, fields, evidence)."""
     return _record(rows, F.concat(F.lit("action:"), "action_id"), "action", F.col("title"), [F.concat_ws(" ", "method", "path"), F.array_join("fields", " ")], F.array("action_id"), F.col("evidence"))

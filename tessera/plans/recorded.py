@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import api
-from tessera.functions import normalise
+from tessera.functions import normalise, pages
 from tessera.functions.schema import compile_schema
-from tessera.operators import contexts, correlate, current, detect
+from tessera.operators import census, consistency, contexts, correlate, current, detect, projectors
 from tessera.plans import adapters as A
 from tessera.plans import queries as Q
 from tessera.sources import evidence
@@ -213,3 +213,73 @@ def postings_search(spark, d):
     index.update(docs)
     asked = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return index.search(asked)
+
+
+# Contracts, attributes and forms
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, '/o/' || (o_orderkey % 50) AS path, CASE WHEN o_orderstatus = 'F' THEN 'POST' ELSE 'GET' END AS method, o_custkey AS c FROM orders),
+l AS (SELECT '/o/' || (l_partkey % 40) AS path, CASE WHEN l_linestatus = 'F' THEN 'POST' ELSE 'GET' END AS method, ['q' || (l_linenumber % 5), 'z'] AS qs, ['f' || (l_suppkey % 4), 'id'] AS fs, [200 + l_linenumber % 3] AS ss FROM lineitem),
+ops AS (SELECT path, method, list(DISTINCT qs) AS qs, list_distinct(flatten(list(fs))) AS fs, list_distinct(flatten(list(ss))) AS ss FROM l GROUP BY ALL),
+a AS (SELECT o.*, ops.path IS NOT NULL AS known, ops.qs, ops.fs, ops.ss FROM o LEFT JOIN ops USING (path, method))
+SELECT k AS action_id, 'no operation' AS problem FROM a WHERE NOT known UNION ALL
+SELECT k, 'query shape of no operation' FROM a WHERE known AND NOT list_contains(qs, ['q' || (c % 6), 'z']) UNION ALL
+SELECT k, 'field of no operation' FROM a WHERE known AND NOT list_contains(fs, 'f' || (c % 5)) UNION ALL
+SELECT k, 'status of no operation' FROM a WHERE known AND NOT list_contains(ss, 200 + c % 4) UNION ALL
+SELECT k, 'counts do not add up' FROM a WHERE c % 7 = 0
+""")
+def action_problems(spark, d):
+    """Orders as action families against the operations that line items make."""
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    post = lambda c: F.when(F.col(c) == "F", "POST").otherwise("GET")
+    c = F.col("o_custkey")
+    actions = A.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("action_id"), text("/o/", F.col("o_orderkey") % 50).alias("path"), post("o_orderstatus").alias("method"), F.array(text("f", c % 5), F.lit("id")).alias("fields"),
+        F.array(F.array(F.lit("z"), text("q", c % 6))).alias("query_sets"), F.array((F.lit(200) + c % 4).cast("int")).alias("statuses"), F.lit(3).alias("observed_count"),
+        F.array(F.when(c % 7 == 0, 2).otherwise(1), F.lit(2)).alias("status_counts"),
+    )
+    operations = A.table(spark, d, "lineitem").select(
+        text("/o/", F.col("l_partkey") % 40).alias("path"), post("l_linestatus").alias("method"), F.array(text("q", F.col("l_linenumber") % 5), F.lit("z")).alias("query_keys"),
+        F.array(text("f", F.col("l_suppkey") % 4), F.lit("id")).alias("body_keys"), F.array((F.lit(200) + F.col("l_linenumber") % 3).cast("int")).alias("statuses"),
+    ).distinct()
+    return consistency.action_problems(actions, operations)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_name AS n, p_brand AS b, p_type AS t, p_size AS s FROM part)
+SELECT 'product:' || k AS key, array_to_string(list_filter(list_distinct_in_order, x -> x IS NOT NULL), '|') AS terms, 'p#' || k AS evidence FROM (
+  SELECT k, [x FOR x, i IN every IF x IS NOT NULL AND list_position(every, x) = i] AS list_distinct_in_order FROM (
+    SELECT k, flatten([[s || ' kg', CASE WHEN s % 2 = 0 THEN b END, t], CASE WHEN s % 3 = 0 THEN ['award', n] ELSE [] END, [n, CASE WHEN s % 5 = 0 THEN 'energy ' || s END],
+      flatten(list_transform(range(1, s % 4 + 1), lambda i: ['s' || i, 'm' || i, i || ' pc']))]) AS every FROM p))
+""".replace("x -> x IS NOT NULL", "lambda x: x IS NOT NULL"))
+def attribute_documents(spark, d):
+    """Parts as documents of attributes, awards and recipes of several materials, flattened to terms."""
+    s, n = F.col("p_size"), F.col("p_name")
+    piece = lambda i: F.struct(F.concat(F.lit("s"), i.cast("string")).alias("slug"), F.concat(F.lit("m"), i.cast("string")).alias("name"), F.concat(i.cast("string"), F.lit(" pc")).alias("quantity_text"))
+    materials = F.when(s % 4 > 0, F.transform(F.sequence(F.lit(1), s % 4), piece)).otherwise(F.array().cast("array<struct<slug:string,name:string,quantity_text:string>>"))
+    item = F.struct(
+        F.concat(F.lit("product:"), F.col("p_partkey").cast("string")).alias("product_id"), F.lit("documented").alias("confidence"), F.concat(s.cast("string"), F.lit(" kg")).alias("weight_text"),
+        F.when(s % 2 == 0, F.col("p_brand")).alias("storage"), F.col("p_type").alias("department"), F.array(F.concat(F.lit("p#"), F.col("p_partkey").cast("string"))).alias("evidence"),
+        F.when(s % 3 == 0, F.array(F.struct(F.lit("award").alias("label"), n.alias("value")))).alias("awards"),
+        F.struct(n.alias("output_name"), F.when(s % 5 == 0, F.concat(F.lit("energy "), s.cast("string"))).alias("energy_text"), materials.alias("materials")).alias("recipe"),
+    )
+    found = projectors.attribute_documents(A.table(spark, d, "part").select(F.to_json(item).alias("text")))
+    return found.select("key", F.array_join("terms", "|").alias("terms"), F.array_join("evidence", "|").alias("evidence"))
+
+
+@query("""
+WITH f AS (SELECT page_id AS page, CASE WHEN page_id % 4 = 0 THEN 'GET' ELSE 'POST' END AS method, '/f/' || (page_id % 5) AS action,
+  CASE WHEN page_id % 3 = 0 THEN '[{"name":"q","type":"text","value":"' || (page_id % 2) || '"}]' ELSE '[{"name":"q","type":"text","value":"' || (page_id % 2) || '"},{"name":"t","type":"textarea","value":null}]' END AS fields FROM pages)
+SELECT substr(sha256('["' || method || '","' || action || '",' || fields || ']'), 1, 16) AS form_id, method, action, replace(fields, ',"value":null', '') AS fields, count(*) AS observed, min(page) AS first_seen FROM f GROUP BY ALL
+""")
+def form_census(spark, d):
+    """Every page with a form put at its end: the distinct forms, how many pages have them and which first."""
+    n = F.col("page_id")
+    text = lambda c: c.cast("string")
+    form = F.concat(
+        F.lit('<form action="/f/'), text(n % 5), F.lit('"'), F.when(n % 4 == 0, F.lit("")).otherwise(F.lit(' method="post"')), F.lit('><input type="text" name="q" value="'), text(n % 2), F.lit('"><input type="submit">'),
+        F.when(n % 3 == 0, F.lit("")).otherwise(F.lit('<textarea name="t"></textarea>')), F.lit("</form>"),
+    )
+    p = A.table(spark, d, "pages").select(n.alias("page"), F.explode(pages.page_forms(F.concat("html", form))).alias("f"))
+    return census.form_dedup(p.select("page", "f.form_id", "f.method", "f.action", F.to_json("f.fields").alias("fields")))

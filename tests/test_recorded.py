@@ -314,3 +314,41 @@ def test_session_manifests_close_once(spark, tmp_path):
     manifests = spark.createDataFrame([(r.session_id, r.event_files, r.event_count, r.status) for r in found.values()], "session_id string, event_files array<string>, event_count long, status string")
     events = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("t", "a"), ("v", "a")], "session_id string, file string")
     assert [tuple(r) for r in E.manifest_problems(manifests, events).collect()] == [("v", "no manifest")]
+
+
+# Relations, attributes, markup
+
+
+def test_links_stay_in_their_session(spark):
+    from tessera.operators import detect
+
+    links = spark.createDataFrame([("s", "a", "r", "strong"), ("t", "a", "r", "strong")], "session_id string, action_event_id string, network_event_id string, status string")
+    a = spark.createDataFrame([("s", "a", "/p"), ("u", "a", "/other")], "session_id string, event_id string, path string")
+    r = spark.createDataFrame([("s", "r", "/q", "POST"), ("t", "r", "/q", "POST")], "session_id string, event_id string, path string, method string")
+    assert sorted((x.session_id, x.action_path, x.problem) for x in detect.linked_requests(links, a, r).collect()) == [("s", "/p", None), ("t", None, "unknown action")]
+
+
+def test_attributes_that_are_not_sound_fail(spark):
+    from tessera.operators import projectors
+
+    good = {"product_id": "p", "confidence": "documented", "storage": "dry", "evidence": ["e", "e"], "awards": [{"label": "l", "value": "v"}], "recipe": {"output_name": "o", "materials": [{"slug": "s", "name": "v"}]}}
+    read = lambda *docs: projectors.attribute_documents(spark.createDataFrame([(json.dumps(d),) for d in docs], "text string")).collect()
+    assert [tuple(r) for r in read(good)] == [("p", ["dry", "l", "v", "o", "s"], ["e"])]
+    bad = [{"confidence": "guessed"}, {"product_id": None}, {"evidence": []}, {"storage": " "}, {"awards": [{"label": "l"}]}, {"recipe": "text"}]
+    for change in bad:
+        with pytest.raises(Exception):
+            read(good | change)
+    with pytest.raises(Exception, match="not unique"):
+        read(good, good | {"storage": "cold"})
+
+
+def test_ambiguous_attributes_say_nothing(spark):
+    from tessera.functions.tables import table_rows
+
+    html = (
+        '<table><tr><td><a href="/1" title="t">one</a><input name="n" value="1"></td><td><a href="/2" HREF="/3">two<b title="in">x</b></a><a href="/4">after</a></td></tr></table>'
+        '<table id="a" ID="b"><tr><td colspan="2"><a href="/5">five</a></td></tr></table><table><tr><td><img src="a" src="b"><a href="/6">six</a></td></tr></table>'
+    )
+    rows = spark.createDataFrame([(html,)], "h string").select(table_rows("h").alias("r")).first().r
+    got = [[(c.text, c.colspan, c.hrefs, c.titles) for c in r.cells] for r in rows]
+    assert got == [[("one", 1, ["/1"], ["t"]), ("twoxafter", 1, ["/4"], [])], [("five", 1, [], [])], [("six", 1, ["/6"], [])]] and rows[0].cells[0]["values"] == {"n": "1"}
