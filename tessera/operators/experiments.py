@@ -48,6 +48,23 @@ def outcome(expected: Column, changed: Column, delta: Column, control_changed: C
     )
 
 
+def evaluate(rows: DataFrame, hypotheses: DataFrame, controls: DataFrame, keys: list[str]) -> DataFrame:
+    """(experiment_id, outcome, changed, delta, control_unchanged) of every hypothesis.
+
+    ``rows``: deltas of (keys, field). ``hypotheses``: experiment_id, keys, field, changed_field (what the experiment set), expected.
+    ``controls``: experiment_id, changed_field, before_value, after_value; a control whose values differ fails the job. One
+    that changed the hypothesis's own field makes it inconclusive; control_unchanged is null without a control.
+    A hypothesis about a row that is not there fails the job.
+    """
+    same = F.col("before_value").eqNullSafe(F.col("after_value"))
+    sound = controls.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("values of a control differ")).cast("boolean")))
+    fields = sound.groupBy("experiment_id").agg(F.collect_set("changed_field").alias("_controls"))  # as many as fields
+    told = hypotheses.join(rows.select(*keys, "field", "changed", "delta"), [*keys, "field"], "left").join(fields, "experiment_id", "left")
+    found = told.where(F.when(F.col("changed").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a hypothesis has no row")).cast("boolean")))
+    disturbed = F.coalesce(F.array_contains("_controls", F.col("changed_field")), F.lit(False))
+    return found.select("experiment_id", outcome(F.col("expected"), F.col("changed"), F.col("delta"), disturbed).alias("outcome"), "changed", "delta", F.when(F.col("_controls").isNotNull(), F.lit(True)).alias("control_unchanged"))
+
+
 def converged(reads: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(keys, reads, converged): whether all consecutive reads agree; null for fewer than three reads."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))

@@ -20,15 +20,21 @@ def templates(patterns: DataFrame) -> DataFrame:
 def match(paths: DataFrame, known: DataFrame) -> DataFrame:
     """(path, pattern, status) of each distinct path: exact, template, ambiguous, or unknown.
 
-    A pattern equal to the path wins; else the templates with as many segments and the same first
-    literal segment that match, the one with most literals. Two of those are ambiguous. Templates meet
-    paths on equal keys, never all with all, and each distinct path is matched once.
+    A pattern equal to the path wins; else the templates with as many segments that match, the one with most
+    literals. Two of those are ambiguous. A template is found by its number of segments and its first literal: a path
+    is looked up once for each position in which templates of its length have theirs, so it meets templates that agree
+    with it there and no others. Templates of placeholders alone meet the paths of their length.
     """
+    parts = F.split("pattern", "/")
+    # Segment 1 of a path that begins with a slash is empty; the literal that tells templates apart comes after it.
+    literals = F.filter(F.sequence(F.lit(2), F.size(parts)), lambda k: ~F.element_at(parts, k).rlike(PLACEHOLDER))
+    place = F.when(F.size(parts) > 1, F.try_element_at(literals, F.lit(1)))
+    keyed = templates(known).withColumn("place", F.coalesce(place, F.lit(0)))
+    keyed = keyed.withColumn("head", F.when(F.col("place") > 0, F.try_element_at(F.split("pattern", "/"), F.col("place"))).otherwise(F.lit("")))
+    places = keyed.select("segments", "place").distinct()  # at most one for each two numbers of segments
     distinct = paths.select("path").distinct().withColumn("segments", F.size(F.split("path", "/")))
-    first = lambda c: F.element_at(F.split(c, "/"), 2)
-    keyed = templates(known).withColumn("head", F.when(F.size(F.split("pattern", "/")) > 1, F.when(~first("pattern").rlike(PLACEHOLDER), first("pattern"))))
-    own = distinct.withColumn("head", F.explode(F.array(F.when(F.size(F.split("path", "/")) > 1, first("path")), F.lit(None).cast("string"))))
-    met = own.join(keyed, (own.segments == keyed.segments) & own["head"].eqNullSafe(keyed["head"]))
+    own = distinct.join(places, "segments").withColumn("head", F.when(F.col("place") > 0, F.try_element_at(F.split("path", "/"), F.col("place"))).otherwise(F.lit("")))
+    met = own.join(keyed, ["segments", "place", "head"])
     hits = met.where((F.col("path") == F.col("pattern")) | F.expr("path RLIKE regex")).select("path", "pattern", (F.col("path") == F.col("pattern")).alias("exact"), "literals").distinct()
     rank = F.rank().over(Window.partitionBy("path").orderBy(F.desc("exact"), F.desc("literals")))
     best = hits.withColumn("_r", rank).where("_r = 1").groupBy("path").agg(F.min("pattern").alias("pattern"), F.count("*").alias("n"), F.bool_or("exact").alias("exact"))

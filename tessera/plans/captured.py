@@ -454,7 +454,7 @@ def stream_append(spark, d):
 
     where = new_folder(spark, "appended")
     e = _event_stream(spark, d).select("session_id", "event_id", F.date_format(F.timestamp_micros((F.col("time") * 1e6).cast("long")), "yyyy-MM-dd HH:mm:ss").alias("observed_at"))
-    ingest.append_events(e, f"{where}/events", f"{where}/checkpoint", late="400 days").awaitTermination()
+    ingest.append_events(e, f"{where}/events", f"{where}/checkpoint", late="2 days").awaitTermination()
     return spark.read.schema("event_id string, day string").json(f"{where}/events").groupBy("day").agg(F.count("*").alias("events"))
 
 

@@ -221,12 +221,15 @@ def snapshot_problems(spark, d):
     })
 
 
-@query("SELECT 'meta' AS \"table\", '' AS key, unnest(['session_count', 'last_sequence']) AS problem")
+@query("""
+WITH m AS (SELECT count(DISTINCT o_custkey) AS sessions, max(o_orderkey) AS last, max(o_custkey) AS sequence FROM orders),
+l AS (SELECT count(*) AS n, arg_max(o_orderkey, (o_orderdate, o_orderkey, o_custkey)) AS last, arg_max(o_custkey, (o_orderdate, o_orderkey, o_custkey)) AS sequence FROM orders)
+SELECT 'meta' AS "table", '' AS key, unnest(list_filter([CASE WHEN m.sessions <> n THEN 'session_count' END, CASE WHEN m.last <> l.last THEN 'last_session_id' END, CASE WHEN m.sequence <> l.sequence THEN 'last_sequence' END], lambda x: x IS NOT NULL)) AS problem FROM m, l
+""")
 def ledger_problems(spark, d):
-    """Orders as sessions that are replayed, and metadata that was written before the last of them."""
+    """Orders as sessions that are replayed, and metadata that takes customers for sessions and the greatest id for the last."""
     o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("started_at"), F.col("o_custkey").alias("last_sequence"))
-    last = F.max(F.struct("started_at", "session_id", "last_sequence"))
-    meta = o.agg((F.count("*") - 1).alias("session_count"), last["session_id"].alias("last_session_id"), (last["last_sequence"] + 1).alias("last_sequence"))
+    meta = o.agg(F.countDistinct("last_sequence").alias("session_count"), F.max("session_id").alias("last_session_id"), F.max("last_sequence").alias("last_sequence"))
     return snapshot.ledger_problems(meta, o)
 
 

@@ -111,8 +111,10 @@ def _links(spark, d):
     return correlate.correlate(*A.correlation_inputs(spark, d), TIMING)
 
 
-def _summaries(spark, d):
-    e = materialise(A.events(spark, d))  # read by the counts, the links and the actions without one
+def _summaries(spark, d, only=None):
+    """The counters of all sessions, or of those for which ``only`` holds: nothing else is then read on."""
+    rows = A.events(spark, d)
+    e = materialise(rows if only is None else rows.where(only))  # read by the counts, the links and the actions without one
     links = materialise(correlate.correlate(e.where("source = 'dom.action'"), e.where("event_type = 'http.request'"), TIMING))
     warnings = e.groupBy("session_id").agg(F.count_if((F.col("raw_type") == "error") & (F.col("k") < 10)).alias("warning_count"))
     return sessions.summaries(e, links, warnings)
@@ -136,12 +138,12 @@ def uncorrelated_actions(spark, d):
 @query(f"WITH {_SUMMARY}, b AS (SELECT * FROM summary WHERE session_id = '1'), a AS (SELECT * FROM summary WHERE session_id = '2') SELECT true AS before_found, true AS after_found, "
     + ", ".join(f"a.{c} - b.{c} AS {c}_delta" for c in sessions.COUNTERS) + " FROM a, b")
 def session_compare(spark, d):
-    return sessions.compare(_summaries(spark, d), "1", "2")
+    return sessions.compare(_summaries(spark, d, F.col("session_id").isin("1", "2")), "1", "2")
 
 
 @query(f"WITH {_SUMMARY} SELECT session_id, event_count, anomaly_count, warning_count, uncorrelated_count, count(*) OVER () > 20 AS has_more FROM (SELECT * FROM summary WHERE (warning_count > 0 OR anomaly_count > 0 OR uncorrelated_count > 0) AND session_id > '1' ORDER BY session_id LIMIT 21) QUALIFY row_number() OVER (ORDER BY session_id) <= 20")
 def session_signal_page(spark, d):
-    rows = _summaries(spark, d).where(sessions.has_signal())
+    rows = _summaries(spark, d, F.col("session_id") > "1").where(sessions.has_signal())
     page = sessions.keyset_page(rows, ["session_id"], limit=20, after=("1",))
     return page.select("session_id", "event_count", "anomaly_count", "warning_count", "uncorrelated_count", "has_more")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera import api
 from tessera.functions import normalise, pages
 from tessera.functions.schema import compile_schema
-from tessera.operators import census, consistency, contexts, correlate, current, detect, projectors
+from tessera.operators import census, consistency, contexts, correlate, current, detect, experiments, projectors
 from tessera.plans import adapters as A
 from tessera.plans import queries as Q
 from tessera.sources import evidence
@@ -283,3 +283,49 @@ def form_census(spark, d):
     )
     p = A.table(spark, d, "pages").select(n.alias("page"), F.explode(pages.page_forms(F.concat("html", form))).alias("f"))
     return census.form_dedup(p.select("page", "f.form_id", "f.method", "f.action", F.to_json("f.fields").alias("fields")))
+
+
+# Experiments and open requests
+
+
+@query(f"""WITH {Q._SLICES}, e AS (SELECT *, ['increase', 'decrease', 'change', 'unchanged'][(product_id % 4 + 1)::INTEGER] AS expected, product_id % 10 = 0 AND product_id % 3 = 0 AS disturbed FROM r WHERE field = 'volume')
+SELECT product_id AS experiment_id, CASE WHEN disturbed THEN 'inconclusive' WHEN before = after THEN 'refuted' WHEN expected = 'change' THEN 'confirmed' WHEN expected = CASE WHEN after > before THEN 'increase' ELSE 'decrease' END THEN 'confirmed' ELSE 'refuted' END AS outcome,
+  before <> after AS changed, CASE WHEN product_id % 10 = 0 THEN true END AS control_unchanged FROM e""")
+def experiment_evaluation(spark, d):
+    """A hypothesis about the volume of every part, every tenth with a control, every third of which changed the same field."""
+    rows, n = Q._deltas(spark, d), F.col("product_id")
+    expected = F.element_at(F.array(*map(F.lit, ("increase", "decrease", "change", "unchanged"))), (n % 4 + 1).cast("int"))
+    asked = rows.where("field = 'volume'").select("product_id", n.alias("experiment_id"), "field", F.lit("price").alias("changed_field"), expected.alias("expected"))
+    controls = asked.where(n % 10 == 0).select("experiment_id", F.when(n % 3 == 0, "price").otherwise("supply").alias("changed_field"), F.lit(1.0).alias("before_value"), F.lit(1.0).alias("after_value"))
+    return experiments.evaluate(rows, asked, controls, ["product_id"]).select("experiment_id", "outcome", "changed", "control_unchanged")
+
+
+@query("""
+WITH e AS (SELECT event_id // 4 AS request, event_id % 4 AS step, event_type, json_extract_string(props, '$.k')::INTEGER AS k FROM events),
+f AS (SELECT request, max(step) AS last, bool_or(step = 1 AND k % 5 = 0) AS again, bool_or(step = 3 AND k % 7 = 0) AS silent, bool_or(step = 3 AND event_type = 'error') AS failed, arg_max(k, step) FILTER (step < 2 AND (step = 0 OR k % 5 = 0)) AS path,
+  max(CASE WHEN step = 2 THEN 200 + k % 3 END) AS status FROM e GROUP BY request)
+SELECT 's' || (request % 10) AS session_id, request::VARCHAR AS request_id, '/k/' || path AS url_path, status::INTEGER AS status_code, CASE WHEN again THEN 1 ELSE 0 END AS hops,
+  CASE WHEN last = 3 AND NOT silent THEN CASE WHEN failed THEN 'failed' ELSE 'finished' END ELSE 'open' END AS outcome
+FROM f
+""")
+def stream_requests(spark, d):
+    """Every four events as the frames of a request: asked for, redirected or not, answered, and finished, failed, or silent."""
+    from tessera.streaming.ingest import finished_requests
+    from tessera.streaming.state import keyed_state
+
+    e = Q._event_stream(spark, d)
+    step, n = F.col("sequence") % 4, F.floor(F.col("sequence") / 4)
+    kind = (
+        F.when(step == 0, "http.request").when((step == 1) & (F.col("k") % 5 == 0), "http.request").when(step == 1, "http.data").when(step == 2, "http.response")
+        .when(F.col("k") % 7 == 0, "http.data").when(F.col("raw_type") == "error", "http.failed").otherwise("http.finished")
+    )
+    frames = e.select(
+        F.concat(F.lit("s"), (n % 10).cast("string")).alias("session_id"), n.cast("string").alias("request_id"), "sequence", "at", kind.alias("event_type"), F.lit("GET").alias("method"),
+        F.concat(F.lit("/k/"), F.col("k").cast("string")).alias("url_path"), F.when(step == 2, (F.lit(200) + F.col("k") % 3).cast("int")).alias("status_code"), F.col("time").alias("monotonic_time"),
+    )
+    where = new_folder(spark, "stream")
+    found = finished_requests(frames, idle=7200.0)
+    sink = found.writeStream.format("parquet").option("path", f"{where}/requests").option("checkpointLocation", f"{where}/checkpoint").outputMode("append")
+    with keyed_state(spark):
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{where}/requests").select("session_id", "request_id", "url_path", "status_code", "hops", "outcome")

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tessera.streaming.state import rows_in_order
 
 
 def read_event_files(spark: SparkSession, path: str, schema: str, *, files: int = 64, kind: str = "json") -> DataFrame:
@@ -25,34 +27,65 @@ def append_events(events: DataFrame, path: str, checkpoint: str, *, late: str =
 
 
 _OUT = "session_id string, request_id string, method string, url_path string, status_code int, hops int, outcome string, seconds double"
-_STATE = "method string, url_path string, status_code int, hops int, started double"
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+_FIELDS = ["sequence", "event_type", "method", "url_path", "status_code", "monotonic_time"]
 
 
-def finished_requests(events: DataFrame) -> DataFrame:
-    """A row for each request of a stream of network events when it finishes or fails.
+class _Follow(StatefulProcessor):
+    """An open request: what it asks for, its status so far, its hops and its start."""
 
-    ``events``: session_id, request_id, sequence, event_type, method, url_path, status_code, monotonic_time.
-    A request is remembered from its first frame to its last; a redirect is a further hop of it.
-    """
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "method string, url_path string, status_code int, hops int, started double, last double, timer long")
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = dict(zip(("method", "url_path", "status_code", "hops", "started"), state.get)) if state.exists else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ("method", "url_path", "status_code", "hops", "started", "last", "timer")
+        request = dict(zip(names, self.open.get())) if self.open.exists() else None
+        timer = request["timer"] if request else -1
         done = []
-        for e in pd.concat(list(batches)).sort_values("sequence").to_dict("records"):
-            if e["event_type"] == "http.request":
-                first = open_ or {"hops": -1, "started": e["monotonic_time"]}
-                open_ = {"method": e["method"], "url_path": e["url_path"], "status_code": -1, "hops": first["hops"] + 1, "started": first["started"]}
-            elif open_ and e["event_type"] == "http.response":
-                open_["status_code"] = int(e["status_code"])
-            elif open_ and e["event_type"] in ("http.finished", "http.failed"):
-                status = open_["status_code"] if open_["status_code"] >= 0 else None
-                done.append((*key, open_["method"], open_["url_path"], status, open_["hops"], e["event_type"][5:], e["monotonic_time"] - open_["started"]))
-                open_ = None
-        if open_:
-            state.update(tuple(open_[c] for c in ("method", "url_path", "status_code", "hops", "started")))
-        elif state.exists:
-            state.remove()
-        out = pd.DataFrame(done, columns=[c.split()[0] for c in _OUT.split(", ")])
-        yield out.astype({"status_code": "Int32", "hops": "int32"}) if done else out
-
-    return events.groupBy("session_id", "request_id").applyInPandasWithState(follow, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+        for e in rows_in_order(rows, _FIELDS, ["sequence"]):
+            now, kind = e["monotonic_time"], e["event_type"]
+            if kind == "http.request":
+                hops, started = (request["hops"] + 1, request["started"]) if request else (0, now)
+                request = {"method": e["method"], "url_path": e["url_path"], "status_code": None, "hops": hops, "started": started, "last": now}
+            elif request and kind == "http.response":
+                request |= {"status_code": None if e["status_code"] is None else int(e["status_code"]), "last": now}
+            elif request and kind in ("http.finished", "http.failed"):
+                done.append((*key, request["method"], request["url_path"], request["status_code"], request["hops"], kind[5:], now - request["started"]))
+                request = None
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        if request:
+            request["timer"] = timerValues.getCurrentWatermarkInMs() + self.idle_ms
+            self.handle.registerTimer(request["timer"])
+            self.open.update(tuple(request[c] for c in names))
+        elif self.open.exists():
+            self.open.clear()
+        yield _finished(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        method, path, status, hops, started, last, _ = self.open.get()
+        self.open.clear()
+        yield _finished([(*key, method, path, status, hops, "open", last - started)])
+
+    def close(self) -> None:
+        pass
+
+
+def _finished(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES).astype({"status_code": "Int32", "hops": "int32"}) if rows else pd.DataFrame([], columns=_NAMES)
+
+
+def finished_requests(events: DataFrame, *, late: str = "10 minutes", idle: float = 3600.0) -> DataFrame:
+    """A row for each request of a stream of network events when it finishes, fails, or is given up.
+
+    ``events``: session_id, request_id, sequence, at (timestamp), event_type, method, url_path, status_code, monotonic_time.
+    A request is remembered from its first frame to its last; a redirect is a further hop of it. One without
+    a frame while the watermark moves by ``idle`` seconds is given up, with outcome "open". Frames of a request that isn't open say
+    nothing. Needs the RocksDB state store (``state.keyed_state``).
+    """
+    timed = events.withWatermark("at", late).select("session_id", "request_id", "at", *_FIELDS)
+    return timed.groupBy("session_id", "request_id").transformWithStateInPandas(_Follow(int(idle * 1000)), _OUT, "Append", "EventTime")
