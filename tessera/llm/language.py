@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 
 from tessera.llm import trie
-from tessera.llm.common import new_shared_path, split_words
+from tessera.llm.common import new_shared_path, slices, split_words
 
 #: Stands for the end of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -100,7 +100,7 @@ class Model:
             at = trie.find_successors(a["ids"], first[back], np.where(known, end[back], first[back]), word[own])
             hit = at >= 0
             node[own[hit]] = ranges.node[shard] + at[hit]
-            p[own[hit]] = 10.0 ** (a["code"][at[hit]] / -trie.STEP)
+            p[own[hit]] = 10.0 ** (a["code"][at[hit]].astype(float) / -trie.STEP)
         return node, p, left
 
 
@@ -161,8 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[
         return pc.fill_null(pa.concat_arrays([b.column(column) for b in held]), "")
 
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            some = batch.slice(k, 500)
+        for some in slices(batch, column, RUN_TOKENS):
             held.append(some)
             size += pc.sum(pc.binary_length(some.column(column))).as_py() or 0
             if size > 6 * RUN_TOKENS:
@@ -231,8 +230,9 @@ def _boundaries(reports: list, first: np.ndarray, words: int, shards: int, extra
 def train(docs: DataFrame, *, order: int = 3, least: int = LEAST, shard_tokens: int = SHARD_TOKENS) -> Model:
     """Learn from the texts of ``docs`` (a null text is empty). Without documents the model knows no word.
 
-    A key is a context times the number of words plus a word, so the nodes of a level times the words
-    have to stay below 2**63. The driver keeps a few hundred numbers for each shard.
+    Repeated rows count each time; a text of any length is read whole, RUN_TOKENS tokens or one text at a time; other columns
+    than text are not looked at. A key is a context times the number of words plus a word; an OverflowError says that a
+    corpus has too many of them for 63 bits. The driver keeps a few hundred numbers for each shard.
     """
     spark = docs.sparkSession
     texts = docs.select(docs.text.cast("string").alias("text"))
@@ -259,7 +259,7 @@ def train(docs: DataFrame, *, order: int = 3, least: int = LEAST, shard_tokens:
         hashes, counts = trie.merge_counts(rows.column("blob").to_pylist())
         folder()
         shard = key[0].as_py()
-        trie.write_arrays(f"{uri}/level1-{shard}", {"hash": hashes, "count": counts.astype(np.uint32)})
+        trie.write_arrays(f"{uri}/level1-{shard}", {"hash": hashes, "count": trie.narrow(counts, "<u4", "<u8")})
         return _report(shard, counts, max(1000, int(counts.sum()) // 50))
 
     counted = texts.mapInArrow(count_words, "shard int, blob binary")
@@ -287,6 +287,8 @@ def train(docs: DataFrame, *, order: int = 3, least: int = LEAST, shard_tokens:
 def _build_level(texts: DataFrame, model: Model, level: int, start: np.ndarray, least: int) -> list:
     words = model.words
     last = words if level == 2 else int(model.levels[-1].node[-1]) - 1  # the last context there is
+    if (last + 1) * words >= 1 << 63:
+        raise OverflowError(f"{last + 1} contexts of {words} words are too many for a key of 63 bits")
 
     def range_of(shard: int) -> tuple[int, int]:
         """First and last context of a shard."""

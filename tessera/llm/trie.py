@@ -3,8 +3,8 @@
 A level holds the n-grams of one length, ordered by context (the node of their first words on the level
 below) and then by word id, cut into shards by ranges of that order. A shard maps arrays of one file:
 pointers from each of its contexts to its first successor, a monotone sequence in Elias-Fano form; the
-successors' word ids; a byte for each discounted probability; two bytes for each context's share of
-probability that goes to its successors here.
+successors' word ids; a byte for each discounted probability, two in a shard that holds one below 10 ** -8; two bytes for each
+context's share of probability that goes to its successors here; counts in four bytes, or in eight where one needs them.
 """
 
 from __future__ import annotations
@@ -18,10 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 
-#: A probability byte b stands for 10 ** (-b / STEP); shares of contexts are in units of 1 / WHOLE.
+#: A probability code b stands for 10 ** (-b / STEP); shares of contexts are in units of 1 / WHOLE.
 STEP, WHOLE = 32.0, 65535
 
 
+def narrow(values: np.ndarray, *kinds: str) -> np.ndarray:
+    """``values`` (not negative) in the first of the unsigned ``kinds`` that holds them all; OverflowError if none does."""
+    top = int(values.max()) if len(values) else 0
+    for kind in kinds:
+        if top <= np.iinfo(kind).max:
+            return values.astype(kind)
+    raise OverflowError(f"{top} does not fit into {kinds[-1]}")
+
+
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """One file with all ``arrays``, aligned for mapping. It appears at once, so a repeated task is harmless."""
     head, at = {}, 0
@@ -129,18 +138,21 @@ def find_successors(ids: np.ndarray, first: np.ndarray, end: np.ndarray, words:
     return out
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys as differences in byte planes, and their counts, compressed."""
-    planes = np.diff(keys.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    raw = np.ascontiguousarray(planes).tobytes() + counts.astype("<u4").tobytes()
+    """Ascending keys as differences, and their counts, all 64 bits in byte planes, compressed."""
+    raw = _planes(np.diff(keys.astype(np.uint64), prepend=np.uint64(0))) + _planes(counts)
     return len(keys).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    raw = pa.decompress(blob[8:], 12 * n, codec="zstd", asbytes=True)
-    planes = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
+    raw = pa.decompress(blob[8:], 16 * n, codec="zstd", asbytes=True)
+    keys, counts = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel() for at in (0, 8 * n))
+    return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
 
 
 def merge_counts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,26 +166,29 @@ def merge_counts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+#: What is taken off every count of an n-gram for the shorter context (absolute discounting). The same for all
+#: shards and levels, so scores do not depend on how the corpus is cut.
+DISCOUNT = 0.75
+
+
 def build_shard(keys: np.ndarray, counts: np.ndarray, context_counts: np.ndarray, first: int, words: int, least: int) -> dict[str, np.ndarray]:
     """Arrays of a shard of the n-grams ``keys`` = context * words + word with their counts.
 
     ``context_counts``: how often each context from ``first`` on stands in the corpus. N-grams rarer
     than ``least`` are left out; what they and the discount leave over goes to the shorter context.
     """
-    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
     keep = counts >= least
     keys, counts = keys[keep].astype(np.int64), counts[keep]
     context = keys // words - first
-    p = (counts - discount) / context_counts[context]
-    code = np.clip(np.ceil(-np.log10(p) * STEP), 0, 255).astype(np.uint8)  # rounded down, so shares stay below 1
+    p = (counts - DISCOUNT) / context_counts[context]
+    code = np.maximum(np.ceil(-np.log10(p) * STEP), 0)  # rounded down, so a context's shares stay below 1
     n = len(context_counts)
     share = np.bincount(context, 10.0 ** (code / -STEP), n)
     pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=n))])
     return {
-        "ids": (keys % words).astype(np.uint32),
-        "code": code,
-        "count": counts.astype(np.uint32),
+        "ids": narrow(keys % words, "<u4", "<u8"),
+        "code": narrow(code, "<u1", "<u2"),
+        "count": narrow(counts, "<u4", "<u8"),
         "share": np.minimum(np.round(share * WHOLE), WHOLE).astype(np.uint16),
         **ef_encode(pointers),
     }

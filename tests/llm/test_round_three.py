@@ -236,3 +236,77 @@ def test_shared_passages_make_no_pairs(spark):
     common = simhash._common_shingles(apart, len(rows))
     pairs = {tuple(r) for r in simhash._meeting(simhash._prefixes(apart, common, 0.8), 0.8).collect()}
     assert len(pairs) <= 60 and {tuple(sorted(p)) for p in pairs} >= set(near)
+
+
+# Language model: the score recomputed from plain counts
+
+
+def slow_scores(train, texts, least=2):
+    """log10 probability of each text, from dictionaries, with the model's discount and roundings."""
+    from tessera.llm import trie
+
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]  # noqa: E731  None ends a text
+    code = lambda c, total: 10.0 ** (-max(0.0, np.ceil(-np.log10((c - trie.DISCOUNT) / total) * trie.STEP)) / trie.STEP)
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        w = tokens(t)
+        one.update(w)
+        two.update(zip(["start", *w], w))
+    two = {k: c for k, c in two.items() if c >= least}
+    for t in train:
+        w = tokens(t)
+        before = ["start", *w]
+        three.update((before[i - 1], before[i], w[i]) for i in range(1, len(w)) if (before[i - 1], before[i]) in two and (before[i], w[i]) in two)
+    three = {k: c for k, c in three.items() if c >= least}
+    of_one = lambda p: len(train) if p == "start" else one[p]
+    p2 = {k: code(c, of_one(k[0])) for k, c in two.items()}
+    p3 = {k: code(c, two[k[:2]]) for k, c in three.items()}
+    share2, share3 = collections.Counter(), collections.Counter()
+    for k, p in p2.items():
+        share2[k[0]] += p
+    for k, p in p3.items():
+        share3[k[:2]] += p
+    rounded = lambda x: round(x * trie.WHOLE) / trie.WHOLE
+    n, v = sum(one.values()), len(one)
+    found = []
+    for t in texts:
+        w = tokens(t)
+        before = ["start", *w]
+        total = 0.0
+        for i, word in enumerate(w):
+            p = (one[word] + 1) / (n + v + 1)
+            known = before[i] == "start" or before[i] in one
+            p = p2.get((before[i], word), 0.0) + (1 - rounded(share2[before[i]]) if known else 1) * p
+            if i and (before[i - 1], before[i]) in two:
+                p = p3.get((before[i - 1], before[i], word), 0.0) + (1 - rounded(share3[before[i - 1], before[i]])) * p
+            total += np.log10(p)
+        found.append(total)
+    return found
+
+
+@pytest.mark.parametrize("shard_tokens", [3_000_000, 700])
+def test_scores_equal_brute_force(spark, shard_tokens):
+    from tessera.llm import language
+
+    rng = random.Random(12)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 60}"
+    docs = [" ".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(120)] + [None, "", docs_twice := "A b c a B c", docs_twice]
+    asked = [*docs[:40], "unseen words w1 w2 only", None, "w1 w2 w3 w1 w2 w3"]
+    model = language.train(spark.createDataFrame([(k % 60, t, "x") for k, t in enumerate(docs)], "doc_id long, text string, score string").repartition(3), shard_tokens=shard_tokens)
+    got = language.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], slow_scores(docs, asked), atol=1e-6)
+
+
+def test_counts_and_codes_are_wide():
+    from tessera.llm import trie
+
+    keys, counts = np.array([3, 5, 70, 1 << 62], np.uint64), np.array([1, 5_000_000_000, 2, 1 << 40])
+    assert [x.tolist() for x in trie.unpack_counts(trie.pack_counts(keys, counts))] == [keys.tolist(), counts.tolist()]
+    merged = trie.merge_counts([trie.pack_counts(keys, counts)] * 3)
+    assert merged[1].tolist() == (3 * counts).tolist()
+    shard = trie.build_shard(np.array([0, 1, 2, 10, 11]), np.array([5_000_000_000, 2, 3, 2, 7]), np.array([90_000_000_000.0, 10]), 0, 10, 2)
+    p = 10.0 ** (shard["code"].astype(float) / -trie.STEP)
+    true = (np.array([5_000_000_000, 2, 3, 2, 7]) - trie.DISCOUNT) / np.array([9e10] * 3 + [10] * 2)
+    assert (p <= true * (1 + 1e-12)).all() and (p > true * 10 ** (-1.01 / trie.STEP)).all() and shard["count"][0] == 5_000_000_000
+    with pytest.raises(OverflowError):
+        trie.narrow(np.array([300]), "<u1")
