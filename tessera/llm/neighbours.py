@@ -25,7 +25,7 @@ from pyspark.sql import Window
 from tessera.llm.common import cut
 
 #: Bounds of the sample that lists are fitted on, in rows (or so many a list) and bytes; of the lists; of the
-#: rows that give each query its first threshold; of the queries whose true neighbours are found.
+#: rows that give each query its first threshold, an eighth of the sample at most; of the queries whose true neighbours are found.
 SAMPLE_ROWS, ROWS_A_LIST, SAMPLE_BYTES, LISTS, FIRST_ROWS, MEASURED = 20_000, 4, 128 << 20, 65_536, 4096, 64
 #: Numbers of a matrix of distances that is held at once.
 HELD = 8 << 20
@@ -84,7 +84,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def build(rows: DataFrame, d: int, count: int, longest: float, *, seed: int = 0) -> Index:
+def build(rows: DataFrame, d: int, count: int, longest: float, k: int, *, seed: int = 0) -> Index:
     """Fit about as many lists as the root of ``count``, on a sample of the rows (id, v), the first by a hash of their id.
 
     The sample has SAMPLE_ROWS rows, more only if there are so many lists, and SAMPLE_BYTES bytes at most.
@@ -95,7 +95,8 @@ def build(rows: DataFrame, d: int, count: int, longest: float, *, seed: int = 0)
     x = _matrix(sample.column("v").combine_chunks(), d)
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d + 1, d + 1)))[0]
     ids = sample.column("id").to_numpy()
-    one = np.sort(np.unique(ids, return_index=True)[1])[:FIRST_ROWS]  # one row an id, or the k-th best would not be k ids
+    one = np.sort(np.unique(ids, return_index=True)[1])  # one row an id, or the k-th best would not be k ids
+    one = one[: max(4 * k, min(FIRST_ROWS, len(one) // 8))]
     index = Index(longest, rotation, np.zeros((0, d + 1)), ids[one], x[one])
     index.centres = _kmeans(index.rotated(x), min(wanted, len(x)), 8, seed)
     return index
@@ -183,7 +184,7 @@ def _probing(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
 
 
 def _of_first(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
-    """The best of the rows that gave the thresholds, so that no query ends with fewer than ``k``."""
+    """The best of the rows that gave the thresholds, for queries whose lists hold fewer than ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +237,7 @@ def _measure(rows: DataFrame, queries: DataFrame, index: Index, d: int, k: int,
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 20, recall: float = 0.97, seed: int = 0) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, k: int = 20, recall: float = 0.98, seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``vectors`` in ``queries``.
 
     ``vectors`` has vec_id, embedding and any other columns. Candidates are all rows but those with the
@@ -263,7 +264,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 20, recall: float =
 def _search_one_length(good: DataFrame, d: int, count: int, longest: float, k: int, recall: float, seed: int) -> DataFrame:
     """(query_id, vec_id, score) of what is found among ``good`` (id, v, _query), ``count`` vectors of ``d`` components."""
     asked = good.where(F.col("_query"))
-    index = build(good, d, count, longest, seed=seed)
+    index = build(good, d, count, longest, k, seed=seed)
     listed = cut(_assign(good, index, d))
     index.probes = _measure(listed, asked, index, d, k, recall)
     probing = cut(_probing(asked, index, d, k))
@@ -292,5 +293,6 @@ def _search_one_length(good: DataFrame, d: int, count: int, longest: float, k: i
         return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=names)
 
     keys = ["list", "rows", "queries"]
-    found = rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    return found.union(_of_first(asked, index, d, k))
+    found = cut(rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double"))
+    enough = found.groupBy(F.col("query_id").alias("id")).agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
+    return found.union(_of_first(asked.join(enough, "id", "left_anti"), index, d, k))

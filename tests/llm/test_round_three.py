@@ -310,3 +310,29 @@ def test_counts_and_codes_are_wide():
     assert (p <= true * (1 + 1e-12)).all() and (p > true * 10 ** (-1.01 / trie.STEP)).all() and shard["count"][0] == 5_000_000_000
     with pytest.raises(OverflowError):
         trie.narrow(np.array([300]), "<u1")
+
+
+# Neighbours at the default setting, found by probing and scanning alone
+
+
+@pytest.mark.parametrize("n", [600, 12_000])
+def test_neighbours_are_found_by_the_scan(spark, monkeypatch, n):
+    from tessera.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "_of_first", lambda queries, *_: queries.where("false").selectExpr("id AS query_id", "id AS vec_id", "0.0 AS score"))
+    rng = np.random.default_rng(13)
+    centres = rng.standard_normal((40, 32))
+    x = (centres[rng.integers(40, size=n)] + 0.6 * rng.standard_normal((n, 32))).astype(np.float32)
+    x[7::50] = x[7]  # ties at every rank, over parts of one list
+    got = collections.defaultdict(list)
+    for r in neighbours.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4), F.col("vec_id") % 20 == 0, k=20).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    y, hits = x.astype(float), 0
+    for q in range(0, n, 20):
+        score = y @ y[q]
+        score[q] = -np.inf
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == list(range(1, 21)) and np.allclose([s for _, _, s in own], score[[v for _, v, _ in own]])
+        assert all(a[2] > b[2] or a[2] == b[2] and a[1] < b[1] for a, b in zip(own, own[1:]))
+        hits += len({v for _, v, _ in own} & set(np.lexsort((np.arange(n), -np.round(score, 9)))[:20].tolist()))
+    assert hits / (20 * len(got)) >= 0.93 and len(got) == -(-n // 20)
