@@ -7,6 +7,7 @@ the whole ensemble lies in three flat arrays and numpy walks all rows down all t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_of, utf8
+from tessera.llm.common import free_of, slices, utf8
 from tessera.llm.labels import MAX_LABELLED, labelled_sample
 
 STATISTICS = (
@@ -121,12 +122,21 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, bins:
     return Trees(start, depth, np.array(features), np.array(thresholds), np.array(leaves))
 
 
+def _texts(texts: pa.Array) -> Iterator[bytes]:
+    """The texts one after the other, a few megabytes of them as Python bytes at a time."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0, 4 << 20):
+        yield from utf8(part.column(0))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, where: Column | None = None, limit: int = MAX_LABELLED, **options) -> Trees:
-    """Fit on at most ``limit`` labelled documents; only their statistics reach the driver."""
+    """Fit on at most ``limit`` labelled documents; only their statistics reach the driver.
+
+    Without labels or without documents every score is 0.5. Null texts count as empty, texts are read whole.
+    """
 
     @F.arrow_udf("array<double>")
     def stats(texts: pa.Array) -> pa.Array:
-        return pa.array([statistics(t) for t in utf8(texts)], pa.list_(pa.float64()))
+        return pa.array([statistics(t) for t in _texts(texts)], pa.list_(pa.float64()))
 
     sample = labelled_sample(docs, labels, ["quality"], where=where, limit=limit)
     rows = sample.select("doc_id", "quality", stats("text").alias("x")).toPandas().sort_values("doc_id")
@@ -139,7 +149,7 @@ def good(text: Column, model: Trees) -> Column:
 
     @F.arrow_udf("double")
     def predict(texts: pa.Array) -> pa.Array:
-        x = np.array([statistics(t) for t in utf8(texts)], float).reshape(-1, len(STATISTICS))
+        x = np.array([statistics(t) for t in _texts(texts)], float).reshape(-1, len(STATISTICS))
         return pa.array(model.predict(x), pa.float64())
 
     return predict(text.cast("string"))

@@ -19,6 +19,7 @@ more alike ones more often.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,25 +35,50 @@ from tessera.operators.census import number_rows
 #: (lowest bit, width) of the three segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 KEY_BITS = 22
+#: Shingles that are looked at at once, and bytes of texts that are held as Python bytes at once.
+STEP, SLICE = 4096, 4 << 20
 
 
-def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text, as a signed 64-bit integer; 0 if it has no words."""
-    words = text.lower().split()  # on bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
-    n = len(words) - shingle + 1
-    joined = b" ".join(words)
-    if n < 2:
-        return _signed(xxhash.xxh64_intdigest(joined, seed))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
+#: Bytes of a text whose words are held at once.
+BLOCK = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _hashes(text: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, block by block; a shorter text is one shingle, one without words none.
+
+    Words are split on bytes: A-Z only are lowered, ASCII white space only parts them.
+    """
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    majority = bits.sum(axis=0, dtype=np.int32) * 2 > n
-    return int(np.packbits(majority).view(">i8")[0])
+    carry: list[bytes] = []
+    at, some = 0, False
+    while at < len(text):
+        # A block ends where a word does.
+        cut_ = _SPACE.search(text, at + BLOCK) if at + BLOCK < len(text) else None
+        end = cut_.start() if cut_ else len(text)
+        words = carry + text[at:end].lower().split()
+        at = end
+        n = len(words) - shingle + 1
+        if n < 1:
+            carry = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        yield np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n)
+        some, carry = True, words[n:]
+    if carry and not some:
+        yield np.array([digest(b" ".join(carry), seed)], np.uint64)
+
+
+def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of one text, as a signed 64-bit integer; 0 if it has no words. Holds a block of a long text."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in _hashes(text, shingle, seed):
+        for k in range(0, len(hashes), STEP):
+            ones += np.unpackbits(hashes[k : k + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return _signed(int.from_bytes(np.packbits(ones * 2 > n).tobytes())) if n else 0
 
 
 def _signed(value: int) -> int:
@@ -64,7 +90,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFr
 
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
-        return pa.array([simhash(t, shingle, seed) for t in utf8(texts)], pa.int64())
+        parts = slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0, SLICE)
+        return pa.array([simhash(t, shingle, seed) for part in parts for t in utf8(part.column(0))], pa.int64())
 
     return docs.select("doc_id", fp(F.col("text").cast("string")).alias("fp"))
 
@@ -162,8 +189,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = 4, see
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS_OF_MINIMA, SYMBOLS = 7, 6
-#: Shingles whose minima are taken at once.
-STEP = 4096
 _rng = np.random.default_rng(42)
 _FLIP, _TIMES, _MARK = (_rng.integers(0, 1 << 64, SEGMENTS_OF_MINIMA * SYMBOLS, dtype=np.uint64) for _ in range(3))
 _TIMES |= np.uint64(1)
@@ -171,16 +196,7 @@ _TIMES |= np.uint64(1)
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle, one without words none."""
-    words = text.lower().split()  # on bytes: A-Z only, ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = ends[min(shingle, len(words)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[i:j]) for i, j in zip(starts[:n].tolist(), last.tolist())], np.uint64))
+    return np.unique(np.concatenate([*_hashes(text, shingle, 0), np.zeros(0, np.uint64)]))
 
 
 def variants(hashes: np.ndarray) -> tuple[list[int], list[int]]:
@@ -217,7 +233,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     """(id, text_key, set_key, n, keys, sign) of every row: digests of its text and of its set of shingles, the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 2, SLICE)):
             sets, sizes, found, signs = [], [], [], []
             for text in utf8(b.column(2)):
                 hashes = shingles(text)

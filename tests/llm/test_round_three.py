@@ -336,3 +336,24 @@ def test_neighbours_are_found_by_the_scan(spark, monkeypatch, n):
         assert all(a[2] > b[2] or a[2] == b[2] and a[1] < b[1] for a, b in zip(own, own[1:]))
         hits += len({v for _, v, _ in own} & set(np.lexsort((np.arange(n), -np.round(score, 9)))[:20].tolist()))
     assert hits / (20 * len(got)) >= 0.93 and len(got) == -(-n // 20)
+
+
+# Long texts, block by block
+
+
+def test_blocks_change_no_fingerprint(monkeypatch):
+    import xxhash
+
+    from tessera.llm import simhash
+
+    rng = random.Random(14)
+    texts = [b"", b" \t ", b"one two", b"A b C d", b"x" * 500, b" ".join(b"w%d" % rng.randrange(50) for _ in range(300)), b"a  b\n" * 100 + b"y" * 90 + b" end\x0b"]
+    for block in (1 << 20, 64, 7, 1):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        for text in texts:
+            w = text.lower().split()
+            each = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+            want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each))
+            assert simhash.simhash(text) % (1 << 64) == want
+            five = {xxhash.xxh64_intdigest(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))} if w else set()
+            assert simhash.shingles(text).tolist() == sorted(five)
