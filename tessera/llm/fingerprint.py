@@ -175,6 +175,7 @@ def fingerprints(docs: DataFrame, *, stretches: int | None = None) -> DataFrame:
 
     The edited text has its last quarter replaced by the first characters of the next document. Null
     texts are empty: an empty text has the fingerprint "" and its likeness to another is 1 if that is
-    empty too, else 0. Repeated rows each give a row. An empty table gives no rows.
+    empty too, else 0. Repeated rows each give a row. An empty table gives no rows. Other columns are not
+    looked at, whatever their names. A text of any length is read whole; a task holds one text and its successor.
     """
     return with_next(docs, stretches=stretches).mapInArrow(_pairs, SCHEMA)

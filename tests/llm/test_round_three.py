@@ -357,3 +357,47 @@ def test_blocks_change_no_fingerprint(monkeypatch):
             assert simhash.simhash(text) % (1 << 64) == want
             five = {xxhash.xxh64_intdigest(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))} if w else set()
             assert simhash.shingles(text).tolist() == sorted(five)
+
+
+# Fingerprints, byte by byte
+
+
+def slow_print(text):
+    """(fingerprint, {chunk code: length}) of a text, one byte after the other."""
+    import xxhash
+
+    from tessera.llm import fingerprint as fp
+
+    data, chunks, s, h = text.encode(), [], 0, 0
+    for at, b in enumerate(data):
+        h = ((h << 1) + (xxhash.xxh64_intdigest(bytes([b]), 2) & 0xFFFFFFFF)) & 0xFFFFFFFF
+        size = at + 1 - s
+        if len(data) - s <= fp.LEAST:
+            break
+        if size >= fp.LEAST and h < 1 << (32 - (fp.STRICT if size < fp.NORMAL else fp.LOOSE)) or size == fp.LONGEST:
+            chunks.append(data[s : at + 1])
+            s = at + 1
+    if s < len(data):
+        chunks.append(data[s:])
+    codes = {(xxhash.xxh3_64_intdigest(c) & 0xFFFFFFFFFF) << 8 | len(c): len(c) for c in chunks}
+    assert b"".join(chunks) == data
+    return "".join(f"{c:012x}" for c in sorted(codes)), codes
+
+
+def test_fingerprints_equal_brute_force(spark):
+    from tessera.llm import fingerprint
+
+    rng = random.Random(15)
+    word = lambda: rng.choice(["alpha", "é", "b☃", "gamma", "of", "the", "x" * rng.randrange(1, 90)])
+    base = " ".join(word() for _ in range(300))
+    texts = ["", "short", base, base[:900] + "changed" + base[905:], base, *(" ".join(word() for _ in range(rng.randrange(1, 120))) for _ in range(30)), "y" * 1000]
+    docs = spark.createDataFrame([(k, t, f"f{k}") for k, t in enumerate(texts)], "doc_id long, text string, fingerprint string").repartition(3)
+    inside = lambda a, b: sum(n for c, n in a.items() if c in b) / sum(a.values()) if a else float(not b)
+    got = fingerprint.fingerprints(docs).orderBy("doc_id").collect()
+    for k, r in enumerate(got):
+        following = texts[(k + 1) % len(texts)]
+        edited = texts[k][: len(texts[k]) - len(texts[k]) // 4] + following[: len(texts[k]) // 4]
+        (own, a), (changed, b), (_, c) = map(slow_print, (texts[k], edited, following))
+        assert (r.doc_id, r.fingerprint, r.edited_fingerprint) == (k, own, changed)
+        assert abs(r.near_edited - inside(a, b)) < 1e-12 and abs(r.near_next - inside(a, c)) < 1e-12
+    assert len(got) == len(texts) and got[2].fingerprint == got[4].fingerprint and got[2].near_next > 0.8
