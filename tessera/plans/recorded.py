@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tessera import api
 from tessera.functions import normalise, pages
 from tessera.functions.schema import compile_schema
-from tessera.operators import census, consistency, contexts, correlate, current, detect, experiments, projectors
+from tessera.operators import census, consistency, contexts, correlate, current, datasets, detect, experiments, knowledge, market, projectors
 from tessera.plans import adapters as A
+from tessera.plans import captured
 from tessera.plans import queries as Q
 from tessera.sources import evidence
 from tessera.sources.generations import Generations
@@ -329,3 +330,68 @@ def stream_requests(spark, d):
     with keyed_state(spark):
         sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{where}/requests").select("session_id", "request_id", "url_path", "status_code", "hops", "outcome")
+
+
+# Outbox, orders and digests of parsed pages
+
+_FIRST = f"""{Q._NOVEL}, {Q._STARTED}, one AS (SELECT DISTINCT n.session_id, started_at, change_id, kind, method, path, rule FROM nv n JOIN s USING (session_id)),
+first AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY started_at, session_id) = 1),
+b AS (SELECT session_id, min(started_at) AS created_at, '"findings":[' || string_agg('{{"change_id":"' || change_id || '","kind":"' || kind || '","method":"' || method || '","path":"' || path || '","rule":"' || rule || '"}}', ',' ORDER BY change_id) || '],"profile":"default","session_id":"' || session_id || '"}}' AS t FROM first GROUP BY 1),
+o AS (SELECT session_id, created_at, 'promotion.' || sha256('{{' || t) AS bundle_id, sha256('{{"bundle_id":"promotion.' || sha256('{{' || t) || '",' || t) AS payload_sha256 FROM b)"""
+
+
+def _history(spark, d):
+    from tessera.streaming.changes import ChangeHistory
+
+    seen = Q._found(spark, d).select("change_id", "session_id", "started_at", F.sha2("session_id", 256).alias("evidence_sha256"), "rule", "kind", "path", "method")
+    history = ChangeHistory(spark, new_folder(spark, "history"), buckets=8)
+    history.apply(seen.where("started_at < '2024-01-01T06:00:00'"), 0)
+    history.apply(seen.where("started_at >= '2024-01-01T06:00:00'"), 1)
+    return history
+
+
+@query(f"{_FIRST} SELECT session_id, bundle_id, payload_sha256, created_at, 'pending' AS state FROM o")
+def change_outbox(spark, d):
+    """The outbox after two batches: each session with the findings that it was the first to have."""
+    return _history(spark, d).outbox().select("session_id", "bundle_id", "payload_sha256", "created_at", "state")
+
+
+@query(f"{_FIRST} SELECT (SELECT count(*) FROM o) AS written, 0 AS again, session_id, 'materialised' AS state FROM o")
+def outbox_delivered(spark, d):
+    """Bundles written and marked in one version; a second delivery finds nothing to do."""
+    history = _history(spark, d)
+    where = new_folder(spark, "bundles")
+    n, again = history.deliver(where, 2), history.deliver(where, 3)
+    written = spark.read.parquet(where).select("bundle_id")
+    return history.outbox().join(written, "bundle_id").select(F.lit(n).cast("long").alias("written"), F.lit(again).alias("again"), "session_id", "state")
+
+
+@query(f"{_FIRST} SELECT bundle_id, row_number() OVER (ORDER BY created_at, bundle_id) AS place FROM o WHERE session_id NOT LIKE '%1'")
+def outbox_pending(spark, d):
+    """Bundles that are not written yet, in the order in which they were made."""
+    from tessera.operators.census import number_rows
+
+    outbox = _history(spark, d).outbox()
+    left = knowledge.pending(outbox, outbox.where("session_id LIKE '%1'"))
+    return number_rows(left, ["created_at", "bundle_id"]).select("bundle_id", F.col("row").alias("place"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey AS entry, o_orderpriority AS capture FROM orders)
+SELECT capture, entry, row_number() OVER (ORDER BY CASE capture WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, capture, entry) AS place FROM e
+""")
+def capture_order(spark, d):
+    """Entries of captures in replay order: two captures that are named, then the others by name."""
+    from tessera.operators.census import number_rows
+
+    rows = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("capture"), F.col("o_orderkey").alias("entry"))
+    placed = rows.select("*", *[c.alias(f"_o{k}") for k, c in enumerate(datasets.in_capture_order(("3-MEDIUM", "1-URGENT")))])
+    return number_rows(placed, ["_o0", "_o1", "_o2"]).select("capture", "entry", F.col("row").alias("place"))
+
+
+@query(f"""WITH v AS ({Q.SQL["vendor_products"]})
+SELECT page_id, count(*) AS rows, sha256('[' || string_agg('{{"group_name":' || to_json(group_name)::VARCHAR || ',"product_id":' || product_id || '}}', ',' ORDER BY product_id) || ']') AS fingerprint FROM v GROUP BY 1""")
+def parsed_page_fingerprints(spark, d):
+    """Digests of what the vendor pages say, as they are parsed."""
+    rows = captured.vendor_products(spark, d)
+    return market.page_fingerprints(rows.withColumn("at", F.col("product_id")), ["page_id"], "at")
