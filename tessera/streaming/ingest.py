@@ -28,7 +28,7 @@ def append_events(events: DataFrame, path: str, checkpoint: str, *, late: str =
 
 _OUT = "session_id string, request_id string, method string, url_path string, status_code int, hops int, outcome string, seconds double"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
-_FIELDS = ["sequence", "event_type", "method", "url_path", "status_code", "monotonic_time"]
+_FIELDS = ["sequence", "at_ms", "event_type", "method", "url_path", "status_code", "monotonic_time"]
 
 
 class _Follow(StatefulProcessor):
@@ -45,9 +45,10 @@ class _Follow(StatefulProcessor):
         names = ("method", "url_path", "status_code", "hops", "started", "last", "timer")
         request = dict(zip(names, self.open.get())) if self.open.exists() else None
         timer = request["timer"] if request else -1
-        done = []
+        done, seen = [], timer - self.idle_ms
         for e in rows_in_order(rows, _FIELDS, ["sequence"]):
             now, kind = e["monotonic_time"], e["event_type"]
+            seen = max(seen, e["at_ms"])
             if kind == "http.request":
                 hops, started = (request["hops"] + 1, request["started"]) if request else (0, now)
                 request = {"method": e["method"], "url_path": e["url_path"], "status_code": None, "hops": hops, "started": started, "last": now}
@@ -59,7 +60,7 @@ class _Follow(StatefulProcessor):
         if timer >= 0:
             self.handle.deleteTimer(timer)
         if request:
-            request["timer"] = timerValues.getCurrentWatermarkInMs() + self.idle_ms
+            request["timer"] = max(seen + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(request["timer"])
             self.open.update(tuple(request[c] for c in names))
         elif self.open.exists():
@@ -83,9 +84,10 @@ def finished_requests(events: DataFrame, *, late: str = "10 minutes", idle: floa
     """A row for each request of a stream of network events when it finishes, fails, or is given up.
 
     ``events``: session_id, request_id, sequence, at (timestamp), event_type, method, url_path, status_code, monotonic_time.
-    A request is remembered from its first frame to its last; a redirect is a further hop of it. One without
-    a frame while the watermark moves by ``idle`` seconds is given up, with outcome "open". Frames of a request that isn't open say
+    A request is remembered from its first frame to its last; a redirect is a further hop of it. One whose last frame
+    is ``idle`` seconds behind the watermark is given up, with outcome "open". Frames of a request that isn't open say
     nothing. Needs the RocksDB state store (``state.keyed_state``).
     """
-    timed = events.withWatermark("at", late).select("session_id", "request_id", "at", *_FIELDS)
+    ms = F.floor(F.unix_micros("at") / 1000).alias("at_ms")
+    timed = events.withWatermark("at", late).select("session_id", "request_id", "at", ms, *[c for c in _FIELDS if c != "at_ms"])
     return timed.groupBy("session_id", "request_id").transformWithStateInPandas(_Follow(int(idle * 1000)), _OUT, "Append", "EventTime")

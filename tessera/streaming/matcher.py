@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.functions.matching import FIELDS, Matcher, Timing
@@ -33,13 +34,16 @@ class _Follow(StatefulProcessor):
         queues = [[dict(zip(FIELDS, e)) for e in state.get()] if state.exists() else [] for state in (self.actions, self.waiting)]
         last, newest, timer = self.place.get() if self.place.exists() else (-1, -math.inf, -1)
         matcher = Matcher(self.timing, *queues, last=last, newest=newest)
-        found = [(key[0], *link) for e in rows_in_order(rows, FIELDS, ["sequence", "event_id"]) for link in matcher.observe(e)]
+        found, seen = [], timer - self.idle_ms
+        for e in rows_in_order(rows, [*FIELDS, "at_ms"], ["sequence", "event_id"]):
+            seen = max(seen, e.pop("at_ms"))
+            found += [(key[0], *link) for link in matcher.observe(e)]
         for state, queue in ((self.actions, matcher.actions), (self.waiting, matcher.waiting)):
             if queue.all:
                 state.put([tuple(e[c] for c in FIELDS) for e in queue.all])
             elif state.exists():
                 state.clear()
-        due = timerValues.getCurrentWatermarkInMs() + self.idle_ms
+        due = max(seen + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
         if timer >= 0:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(due)
@@ -61,9 +65,10 @@ def match_stream(events: DataFrame, timing: Timing | None = None, *, late: str =
     path, method, kind, trusted, gesture); at is the event time of the watermark.
 
     Events of a session are taken in the order of their sequence; one that is not above the last one
-    taken is a repetition or late and is left out. A session that has no events while the watermark moves by ``idle``
-    seconds leaves the state. Needs the RocksDB state store (``state.keyed_state`` sets it for a query).
+    taken is a repetition or late and is left out. A session whose last event is ``idle`` seconds behind the watermark
+    leaves the state. Needs the RocksDB state store (``state.keyed_state`` sets it for a query).
     """
-    timed = events.withWatermark("at", late).select("session_id", "at", *FIELDS)
+    ms = F.floor(F.unix_micros("at") / 1000).alias("at_ms")
+    timed = events.withWatermark("at", late).select("session_id", "at", ms, *FIELDS)
     follow = _Follow(timing or Timing(), int(idle * 1000))
     return timed.groupBy("session_id").transformWithStateInPandas(follow, LINKS, "Append", "EventTime")

@@ -1,6 +1,7 @@
 """Recorded evidence: schemas, contexts, the matcher by sequence, generations, transactions, verified files, manifests."""
 
 import json
+import os
 import random
 
 import pytest
@@ -352,3 +353,77 @@ def test_ambiguous_attributes_say_nothing(spark):
     rows = spark.createDataFrame([(html,)], "h string").select(table_rows("h").alias("r")).first().r
     got = [[(c.text, c.colspan, c.hrefs, c.titles) for c in r.cells] for r in rows]
     assert got == [[("one", 1, ["/1"], ["t"]), ("twoxafter", 1, ["/4"], [])], [("five", 1, [], [])], [("six", 1, ["/6"], [])]] and rows[0].cells[0]["values"] == {"n": "1"}
+
+
+# Paths and experiments
+
+
+def test_templates_meet_by_their_first_literal(spark):
+    from tessera.operators import paths
+
+    known = ["/a/{x}", "/{x}/b", "/{x}/{y}/c", "/{x}/{y}/{z}", "/a", "/{x}/{y}/{z}/d", "/a/{y}/c", "a/{x}", "/"]
+    asked = {"/a/1": ("/a/{x}", "template"), "/1/b": ("/{x}/b", "template"), "/a/b": (None, "ambiguous"), "/1/2/c": ("/{x}/{y}/c", "template"), "/a/2/c": ("/a/{y}/c", "template"), "/1/2/3": ("/{x}/{y}/{z}", "template"), "/1/2/3/d": ("/{x}/{y}/{z}/d", "template"), "/1/2/3/4": (None, "unknown"), "/a": ("/a", "exact"), "a/1": ("a/{x}", "template"), "/": ("/", "exact"), "": (None, "unknown"), "/a/{x}": ("/a/{x}", "exact")}
+    got = paths.match(spark.createDataFrame([(p,) for p in asked], "path string"), spark.createDataFrame([(p,) for p in known], "pattern string"))
+    assert {r.path: (r.pattern, r.status) for r in got.collect()} == asked
+
+
+def test_experiments_need_their_rows_and_sound_controls(spark):
+    from tessera.operators import experiments
+
+    side = lambda a, b: spark.createDataFrame([(1, a), (2, b)], "product long, price long")
+    rows = experiments.deltas(side(1, 5), side(2, 5), ["product"], ["price"])
+    asked = lambda *r: spark.createDataFrame(list(r), "experiment_id string, product long, field string, changed_field string, expected string")
+    control = lambda *r: spark.createDataFrame(list(r), "experiment_id string, changed_field string, before_value double, after_value double")
+    found = experiments.evaluate(rows, asked(("up", 1, "price", "ad", "increase"), ("same", 2, "price", "ad", "change"), ("both", 1, "price", "ad", "increase")), control(("both", "ad", 1.0, 1.0), ("up", "other", 1.0, 1.0)), ["product"])
+    assert sorted((r.experiment_id, r.outcome, r.control_unchanged) for r in found.collect()) == [("both", "inconclusive", True), ("same", "refuted", None), ("up", "confirmed", True)]
+    with pytest.raises(Exception, match="no row"):
+        experiments.evaluate(rows, asked(("x", 9, "price", "ad", "change")), control(), ["product"]).collect()
+    with pytest.raises(Exception, match="control differ"):
+        experiments.evaluate(rows, asked(("x", 1, "price", "ad", "change")), control(("x", "ad", 1.0, 2.0)), ["product"]).collect()
+
+
+def test_requests_that_end_and_that_do_not(spark, tmp_path):
+    from tessera.streaming.ingest import finished_requests
+    from tessera.streaming.state import keyed_state
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = ("session_id", "request_id", "sequence", "at", "event_type", "method", "url_path", "status_code", "monotonic_time")
+    schema = "session_id string, request_id string, sequence long, at timestamp, event_type string, method string, url_path string, status_code int, monotonic_time double"
+
+    def write(name, rows):
+        (folder / name).write_text("".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows))
+        os.utime(folder / name, (int(name[0]) * 100, int(name[0]) * 100))  # the order in which the stream takes them
+
+    write("1.json", [("s", "a", 2, "2024-01-01T00:00:02Z", "http.response", None, None, 302, 2.0), ("s", "a", 1, "2024-01-01T00:00:01Z", "http.request", "GET", "/a", None, 1.0), ("s", "b", 3, "2024-01-01T00:00:03Z", "http.request", "POST", "/b", None, 3.0), ("s", "c", 4, "2024-01-01T00:00:04Z", "http.finished", None, None, None, 4.0)])
+    write("2.json", [("s", "a", 5, "2024-01-01T00:01:00Z", "http.request", "GET", "/a2", None, 5.0), ("s", "a", 6, "2024-01-01T00:01:01Z", "http.response", None, None, 200, 6.0), ("s", "a", 7, "2024-01-01T00:01:02Z", "http.failed", None, None, None, 8.0)])
+    write("3.json", [("s", "d", 8, "2024-01-01T09:00:00Z", "http.request", "GET", "/d", None, 9.0)])
+    found = finished_requests(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)), late="1 minute", idle=600.0)
+    with keyed_state(spark):
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r)[1:] for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "GET", "/a2", 200, 1, "failed", 7.0), ("b", "POST", "/b", None, 0, "open", 0.0)]
+
+
+def test_matcher_over_batches(spark, tmp_path):
+    """Events that come in many batches give the links of the whole, whatever the clocks say."""
+    from tessera.streaming.matcher import match_stream
+    from tessera.streaming.state import keyed_state
+
+    rng, t = random.Random(6), matching.Timing()
+    data = [r for k in range(6) for r in session(rng, f"s{k}-", 60, disorder=k % 2 == 1)]
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    folder, whole = tmp_path / "in", {}
+    folder.mkdir()
+    for part in range(4):
+        rows = [dict(zip(names, r)) for r in data if r[1] // 15 == part]
+        for r in sorted(rows, key=lambda r: (r["session_id"], r["sequence"], r["event_id"])):
+            whole.setdefault(r["session_id"], []).append(r)
+        (folder / f"{part}.json").write_text("".join(json.dumps(r | {"at": f"2024-01-01T00:0{part}:00Z"}) + "\n" for r in rows))
+        os.utime(folder / f"{part}.json", (part * 100 + 100, part * 100 + 100))
+    events = spark.readStream.schema(EVENT + ", at timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
+    found = match_stream(events, t, idle=600.0)
+    with keyed_state(spark):
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    want = sorted((s, *link) for s, rows in whole.items() for link in plain_links(rows, t))
+    assert sorted(tuple(r) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()) == want and len(want) > 30
