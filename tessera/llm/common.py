@@ -25,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is missing (a local session, as in tests) a temporary folder stands in.
+    Only where the setting is missing in a local session, as in tests, a temporary folder stands in; a cluster has
+    to name one, as a folder of the driver's machine would be no use to its executors.
     """
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if where:
         return where
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     where = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(where)
     return where
