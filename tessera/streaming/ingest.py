@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.streaming.state import rows_in_order
+from tessera.streaming.state import rows_in_order, use_keyed_state
 
 
 def read_event_files(spark: SparkSession, path: str, schema: str, *, files: int = 64, kind: str = "json") -> DataFrame:
@@ -83,11 +83,14 @@ def _finished(rows: list[tuple]) -> pd.DataFrame:
 def finished_requests(events: DataFrame, *, late: str = "10 minutes", idle: float = 3600.0) -> DataFrame:
     """A row for each request of a stream of network events when it finishes, fails, or is given up.
 
-    ``events``: session_id, request_id, sequence, at (timestamp), event_type, method, url_path, status_code, monotonic_time.
+    ``events``: session_id, request_id, sequence, at (timestamp; without it the monotonic time is taken), event_type, method, url_path,
+    status_code, monotonic_time.
     A request is remembered from its first frame to its last; a redirect is a further hop of it. One whose last frame
     is ``idle`` seconds behind the watermark is given up, with outcome "open". Frames of a request that isn't open say
-    nothing. Needs the RocksDB state store (``state.keyed_state``).
+    nothing. The session's queries keep their state in RocksDB from here on.
     """
+    use_keyed_state(events.sparkSession)
+    events = events if "at" in events.columns else events.withColumn("at", F.timestamp_seconds("monotonic_time"))
     ms = F.floor(F.unix_micros("at") / 1000).alias("at_ms")
     timed = events.withWatermark("at", late).select("session_id", "request_id", "at", ms, *[c for c in _FIELDS if c != "at_ms"])
     return timed.groupBy("session_id", "request_id").transformWithStateInPandas(_Follow(int(idle * 1000)), _OUT, "Append", "EventTime")

@@ -29,9 +29,14 @@ def _plain(v):
     return v.item() if isinstance(v, np.generic) else v
 
 
+def use_keyed_state(spark: SparkSession) -> None:
+    """Have queries that this session starts from now on keep their state in RocksDB; those that run or are restarted keep theirs."""
+    spark.conf.set(_PROVIDER, _ROCKS)
+
+
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """While this is open, queries that are started keep their state in RocksDB, as transformWithState needs."""
+    """While this is open, queries that are started keep their state in RocksDB, as transformWithState needs; then as before."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
