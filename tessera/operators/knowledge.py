@@ -66,7 +66,8 @@ def bundles_by_profile(found: DataFrame) -> DataFrame:
 def materialise(outbox: DataFrame, path: str) -> int:
     """Append the bundles of ``outbox`` (session_id, bundle_id, payload, payload_sha256) that ``path`` lacks; their number.
 
-    A bundle that is there with other bytes fails the call before anything is written.
+    A bundle that is there with other bytes fails the call before anything is written. After the call ``path`` can be
+    read, also if no bundle was ever written to it.
     """
     spark = outbox.sparkSession
     schema = "session_id string, bundle_id string, payload string, payload_sha256 string"
@@ -78,7 +79,7 @@ def materialise(outbox: DataFrame, path: str) -> int:
         raise ValueError("a bundle is written already with other bytes")
     fresh = outbox.select("session_id", "bundle_id", "payload", "payload_sha256").dropDuplicates(["bundle_id"]).join(written.select("bundle_id"), "bundle_id", "left_anti")
     n = fresh.count()
-    if n:
+    if n or not known:
         fresh.select("session_id", "bundle_id", "payload", "payload_sha256").write.mode("append").parquet(path)
     return n
 

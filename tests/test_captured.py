@@ -108,3 +108,12 @@ def test_records_and_cases_that_are_not_sound_fail(spark):
             search.evaluation_cases(doc(bad)).collect()
     paths = spark.createDataFrame([('{"a":{"Cookie":1,"b_value":[2]},"t":"x\\u0000"}',), ("{",), ("{}",)], "t string").select(snapshot.forbidden_paths("t"))
     assert [r[0] for r in paths.collect()] == [["$.a.Cookie", "$.a.b_value", "$.t"], ["not JSON"], []]
+
+
+def test_an_outbox_without_bundles_can_be_read(spark, tmp_path):
+    from tessera.operators import knowledge
+
+    none = spark.createDataFrame([], "session_id string, bundle_id string, payload string, payload_sha256 string")
+    where = str(tmp_path / "none")
+    assert knowledge.materialise(none, where) == 0 and knowledge.materialise(none, where) == 0
+    assert spark.read.parquet(where).select("bundle_id").count() == 0
