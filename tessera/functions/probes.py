@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.normalise import route
 from tessera.functions.pages import page_links
-from tessera.functions.tables import table_rows
+from tessera.functions.tables import page_rows
 
 
 def link_inventory(pages: DataFrame, *, limit: int | None = None) -> DataFrame:
@@ -24,8 +24,9 @@ def link_inventory(pages: DataFrame, *, limit: int | None = None) -> DataFrame:
 
 def input_inventory(pages: DataFrame) -> DataFrame:
     """(page_id, name, n) of the inputs in table cells, indexes in names left open."""
-    values = F.explode(F.flatten(F.transform(F.flatten(F.transform(table_rows("html"), lambda r: r["cells"])), lambda c: F.map_keys(c["values"]))))
-    return pages.select("page_id", values.alias("name")).groupBy("page_id", F.regexp_replace("name", r"\[[0-9]+\]", "[n]").alias("name")).agg(F.count("*").alias("n"))
+    values = F.explode(F.flatten(F.transform("cells", lambda c: F.map_keys(c["values"]))))
+    found = page_rows(pages.select("page_id", "html")).select("page_id", values.alias("name"))
+    return found.groupBy("page_id", F.regexp_replace("name", r"\[[0-9]+\]", "[n]").alias("name")).agg(F.count("*").alias("n"))
 
 
 def identity_candidates(links: Column, pattern: str) -> Column:

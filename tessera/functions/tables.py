@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +20,12 @@ _CELL = T.StructType(
 )
 ROWS = T.ArrayType(T.StructType([T.StructField("table", T.IntegerType()), T.StructField("row", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("cells", T.ArrayType(_CELL))]))
 
+_LISTED = pa.list_(pa.string())
+_ARROW_CELL = pa.struct([("text", pa.string()), ("colspan", pa.int32()), ("hrefs", _LISTED), ("titles", _LISTED), ("values", pa.map_(pa.string(), pa.string()))])
+_ARROW = {"table": pa.int32(), "row": pa.int32(), "heading": pa.string(), "cells": pa.list_(_ARROW_CELL)}
+#: Characters of a page that are parsed, and cells that are handed on, at a time.
+PIECE, CELLS = 1 << 18, 20_000
+
 
 class _Tables(HTMLParser):
     """Innermost open row takes what comes; values are inputs by name and marked elements by id."""
@@ -71,7 +80,7 @@ class _Tables(HTMLParser):
         if tag == "input" and attrs.get("name"):
             cell["values"][attrs["name"]] = attrs.get("value") or ""
         elif attrs.get("id") and tag in ("div", "span"):
-            self.marked = (cell, attrs["id"], tag)
+            self.marked = (cell, attrs["id"], tag, row)
             cell["values"][attrs["id"]] = ""
 
     def handle_endtag(self, tag):
@@ -100,11 +109,29 @@ class _Tables(HTMLParser):
         if not row["cells"]:
             return
         if self.marked:
-            cell, name, _ = self.marked
+            cell, name, _, _ = self.marked
             cell["values"][name] += data
         else:
             row["cells"][-1]["text"] += data
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines are not counted: nobody asks for them."""
+        return j
+
+    def take(self) -> list[dict]:
+        """The rows that nothing can be added to any more, cleaned; each is handed out once."""
+        waiting = {id(t["current"]) for t in self.open} | ({id(self.marked[3])} if self.marked else set())
+        done, self.rows = [r for r in self.rows if id(r) not in waiting], [r for r in self.rows if id(r) in waiting]
+        return [_clean(r) for r in done]
+
+
+def _clean(row: dict) -> dict:
+    row["heading"] = None if row["heading"] is None else " ".join(row["heading"].split())
+    for c in row["cells"]:
+        c["text"] = " ".join(c["text"].split())
+        c["values"] = {k: " ".join(v.split()) for k, v in c["values"].items()}
+    return row
+
 
 @F.pandas_udf(ROWS)
 def table_rows(html: pd.Series) -> pd.Series:
@@ -114,11 +141,53 @@ def table_rows(html: pd.Series) -> pd.Series:
         reader = _Tables()
         reader.feed(text or "")
         reader.close()
-        for r in reader.rows:
-            r["heading"] = None if r["heading"] is None else " ".join(r["heading"].split())
-            for c in r["cells"]:
-                c["text"] = " ".join(c["text"].split())
-                c["values"] = {k: " ".join(v.split()) for k, v in c["values"].items()}
-        return reader.rows
+        return [_clean(r) for r in reader.rows]
 
     return pd.Series([read(h) for h in html])
+
+
+def _in_pieces(text: str) -> Iterator[dict]:
+    """The rows of a page as they end. It is cut before tags only, so no text is split."""
+    reader, at = _Tables(), 0
+    while at < len(text):
+        end = text.find("<", at + PIECE)
+        end = end if end > 0 else len(text)
+        reader.feed(text[at:end])
+        at = end
+        yield from reader.take()
+    reader.close()
+    yield from map(_clean, reader.rows)
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """A row for each table row of ``pages`` (html and other columns): those columns with table, row, heading and cells.
+
+    As ``table_rows``, in any order; but a task holds the text of a batch of pages and no more of what it parsed than a
+    piece of one page and the cells of one batch of rows, however large and many the pages are.
+    """
+    keep = [c for c in pages.columns if c != "html"]
+    schema = T.StructType([pages.schema[c] for c in keep] + ROWS.elementType.fields)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows, cells = [], [], 0
+            given, html = [batch.column(c) for c in keep], batch.column("html")
+            for k in range(batch.num_rows):
+                for r in _in_pieces(html[k].as_py() or ""):
+                    of.append(k)
+                    rows.append(r)
+                    cells += len(r["cells"]) + 1
+                    if cells >= CELLS:
+                        yield _batch(keep, given, of, rows)
+                        of, rows, cells = [], [], 0
+            yield _batch(keep, given, of, rows)
+
+    return pages.select(*keep, "html").mapInArrow(read, schema)
+
+
+def _batch(keep: list[str], given: list[pa.Array], of: list[int], rows: list[dict]) -> pa.RecordBatch:
+    for r in rows:
+        for c in r["cells"]:
+            c["values"] = list(c["values"].items())
+    at = pa.array(of, pa.int64())
+    return pa.RecordBatch.from_arrays([*[g.take(at) for g in given], *[pa.array([r[c] for r in rows], t) for c, t in _ARROW.items()]], names=[*keep, *_ARROW])

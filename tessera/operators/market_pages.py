@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.normalise import canonical_id, money, percent
-from tessera.functions.tables import table_rows
+from tessera.functions.tables import page_rows
 
 #: Links of the pages. Fixed values.
 GROUP_LINK = r"^/analitics/retailmarket/\?city=([0-9]+)&retailgroup=([0-9]+)$"
@@ -19,11 +19,6 @@ VENDOR_LINK = r"^/analitics/vendors/\?product=([0-9]+)$"
 LEVEL = "Уровень цен:"
 
 
-def _rows(pages: DataFrame) -> DataFrame:
-    keep = [c for c in pages.columns if c != "html"]
-    return pages.select(*keep, F.explode(table_rows("html")).alias("r")).select(*keep, "r.*")
-
-
 def _cell(k: int) -> Column:
     return F.try_element_at("cells", F.lit(k + 1))
 
@@ -45,7 +40,7 @@ def _sound(rows: DataFrame, good: Column, unique: list[str]) -> tuple[DataFrame,
 
 def city_groups(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retail groups of a city: nine cells, two links to the same group, money and percentages. ``pages`` has city_id."""
-    data = _rows(pages).where((F.size("cells") == 9) & ~F.exists("cells", lambda c: c["colspan"] > 1))
+    data = page_rows(pages).where((F.size("cells") == 9) & ~F.exists("cells", lambda c: c["colspan"] > 1))
     level = F.element_at(F.filter(_cell(8)["titles"], lambda t: t.startswith(LEVEL)), 1)
     typed = data.select(
         "page_id", "city_id", _link(0, GROUP_LINK, 1).alias("_city"), _link(0, GROUP_LINK, 2).alias("group_id"), _link(1, GROUP_LINK, 2).alias("_again_id"), _cell(1)["text"].alias("group_name"),
@@ -63,7 +58,7 @@ def city_groups(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def group_cities(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cities of a retail group: five cells, the first with the city's link, basket price and quality."""
-    data = _rows(pages).where((F.size("cells") == 5) & (F.size(_cell(0)["hrefs"]) > 0))
+    data = page_rows(pages).where((F.size("cells") == 5) & (F.size(_cell(0)["hrefs"]) > 0))
     value = lambda name: F.element_at(F.map_values(F.map_filter(_cell(0)["values"], lambda k, v: k.startswith(name))), 1)
     number = lambda c: F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?$"), c.try_cast("double"))
     typed = data.select("page_id", "group_id", _link(0, CITY_LINK).alias("city_id"), _cell(0)["text"].alias("city_name"), number(value("basketPrice")).alias("price"), number(value("basketQuality")).alias("quality"))
@@ -79,7 +74,7 @@ def carry_forward(rows: DataFrame, group: list[str], order: list[str], heading:
 
 def vendor_products(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Products of the vendors page under the heading before them, which is carried forward over rows."""
-    rows = _rows(pages)
+    rows = page_rows(pages)
     grouped = carry_forward(rows, ["page_id", "table"], ["row"], "heading", "group_name")
     links = F.filter(F.flatten(F.transform("cells", lambda c: c["hrefs"])), lambda h: h.startswith("/analitics/vendors/"))
     typed = grouped.where(F.col("heading").isNull()).select("page_id", "group_name", F.explode(links).alias("href")).select("page_id", "group_name", canonical_id(F.regexp_extract("href", VENDOR_LINK, 1)).alias("product_id"))
@@ -88,7 +83,7 @@ def vendor_products(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def goods(pages: DataFrame, link: str = r"[?&]product=([0-9]+)") -> tuple[DataFrame, DataFrame]:
     """Unit economics of a goods page: fifteen cells a row, two links that name the same product."""
-    data = _rows(pages).where(F.size("cells") >= 15)
+    data = page_rows(pages).where(F.size("cells") >= 15)
     text = lambda k: _cell(k)["text"]
     leading = lambda k: F.replace(F.regexp_extract(text(k), "^[0-9]+(?: [0-9]{3})*", 0), F.lit(" "), F.lit("")).try_cast("long")
     quality = lambda k: F.regexp_extract(text(k), r"^[0-9]+(\.[0-9]+)?", 0).try_cast("double")
