@@ -302,15 +302,19 @@ def experiment_evaluation(spark, d):
 
 
 @query("""
-WITH e AS (SELECT event_id // 4 AS request, event_id % 4 AS step, event_type, json_extract_string(props, '$.k')::INTEGER AS k FROM events),
-f AS (SELECT request, max(step) AS last, bool_or(step = 1 AND k % 5 = 0) AS again, bool_or(step = 3 AND k % 7 = 0) AS silent, bool_or(step = 3 AND event_type = 'error') AS failed, arg_max(k, step) FILTER (step < 2 AND (step = 0 OR k % 5 = 0)) AS path,
-  max(CASE WHEN step = 2 THEN 200 + k % 3 END) AS status FROM e GROUP BY request)
-SELECT 's' || (request % 10) AS session_id, request::VARCHAR AS request_id, '/k/' || path AS url_path, status::INTEGER AS status_code, CASE WHEN again THEN 1 ELSE 0 END AS hops,
-  CASE WHEN last = 3 AND NOT silent THEN CASE WHEN failed THEN 'failed' ELSE 'finished' END ELSE 'open' END AS outcome
-FROM f
+WITH e AS (SELECT event_id // 4 AS request, event_id % 4 AS step, event_type, json_extract_string(props, '$.k')::INTEGER AS k, epoch_us(ts) // 1000 AS ms FROM events),
+f AS (SELECT request, max(ms) AS seen, bool_or(step = 0) AS asked, bool_or(step = 1 AND k % 5 = 0) AS again, bool_or(step = 3 AND k % 7 <> 0) AS ended, bool_or(step = 3 AND event_type = 'error') AS failed,
+  arg_max(k, step) FILTER (step < 2 AND (step = 0 OR k % 5 = 0)) AS path, max(CASE WHEN step = 2 THEN 200 + k % 3 END) AS status FROM e GROUP BY request)
+SELECT 's' || (request % 10) AS session_id, request::VARCHAR AS request_id, '/k/' || path AS url_path, status::INTEGER AS status_code, CASE WHEN asked AND again THEN 1 ELSE 0 END AS hops,
+  CASE WHEN ended THEN CASE WHEN failed THEN 'failed' ELSE 'finished' END ELSE 'open' END AS outcome
+FROM f WHERE (asked OR again) AND (ended OR seen + 7200000 <= (SELECT max(ms) - 600000 FROM e))
 """)
 def stream_requests(spark, d):
-    """Every four events as the frames of a request: asked for, redirected or not, answered, and finished, failed, or silent."""
+    """Every four events as the frames of a request: asked for, redirected or not, answered, and finished, failed, or silent.
+
+    One that is silent is given up when its last frame is two hours behind the watermark, which is ten minutes behind the
+    last event; the few that are not at the end of the stream are still waited for and have no row yet.
+    """
     from tessera.streaming.ingest import finished_requests
     from tessera.streaming.state import keyed_state
 

@@ -25,3 +25,20 @@ def test_rows_of_pages_leave_in_pieces(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
     whole = pages.select("page_id", F.explode(tables.table_rows("html")).alias("r")).select("page_id", "r.*")
     assert sorted(map(str, tables.page_rows(pages).collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_requests_still_waited_for_have_no_row(spark, sf):
+    """At this size a request is still open at the end of the stream."""
+    from tessera.plans.catalogue import QUERIES, SQL
+
+    d = f"/root/testdata/{sf}"
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    df = QUERIES["stream_requests"](spark, d)
+    cursor = db.execute(SQL["stream_requests"])
+    names = [c[0] for c in cursor.description]
+    want = sorted(map(str, cursor.fetchall()))
+    assert sorted(str(tuple(r[n] for n in names)) for r in df.collect()) == want
+    assert len(want) == 2499
