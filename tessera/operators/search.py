@@ -71,8 +71,17 @@ def rank(asked: DataFrame, held: DataFrame, stats: DataFrame, *, limit: int = 10
 
     A record that holds all terms holds the query's rarest one, so the postings of that are the only
     candidates, and a common term meets those instead of the whole corpus. A term that most records hold
-    weighs LEAST_IDF.
+    weighs LEAST_IDF. Queries of the same terms have the same answer: it is found once and given to all of them.
     """
+    sets = asked.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    firsts = sets.groupBy("_terms").agg(F.min("query_id").alias("_first"))
+    found = _rank(firsts.select(F.col("_first").alias("query_id"), F.explode("_terms").alias("term")), held, stats, limit)
+    of = sets.join(firsts, "_terms").select("query_id", "_first")
+    return of.join(found.withColumnRenamed("query_id", "_first"), "_first").select("query_id", "rank", "ref", "score")
+
+
+def _rank(asked: DataFrame, held: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
+    """``rank`` of queries no two of which have the same terms."""
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rated = asked.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))

@@ -42,3 +42,22 @@ def test_requests_still_waited_for_have_no_row(spark, sf):
     want = sorted(map(str, cursor.fetchall()))
     assert sorted(str(tuple(r[n] for n in names)) for r in df.collect()) == want
     assert len(want) == 2499
+
+
+def test_queries_of_the_same_terms_are_ranked_once(spark, monkeypatch):
+    """Many queries of one common name, which many records have: the candidates do not multiply."""
+    from tessera.operators import search
+
+    records = spark.createDataFrame([(f"r{k:03d}", "blue lamp" if k % 2 else "blue lamp small") for k in range(200)], "ref string, text string")
+    texts = ["blue lamp", "Lamp blue", "small lamp blue", "none such", ""]
+    asked = spark.createDataFrame([(k, texts[k % 5]) for k in range(300)], "query_id long, text string")
+    got = search.rank_postings(asked, search.postings(records), search.lengths(records), limit=3)
+    hits = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        hits.setdefault(r.query_id, []).append((r["rank"], r.ref, r.score))
+    alone = {t: [(r["rank"], r.ref, r.score) for r in search.rank_postings(asked.where(F.col("query_id") == k), search.postings(records), search.lengths(records), limit=3).orderBy("rank").collect()] for k, t in enumerate(texts)}
+    assert hits == {k: alone[texts[k % 5]] for k in range(300) if alone[texts[k % 5]]} and len(alone["blue lamp"]) == 3
+    inner, ranked = search._rank, []
+    monkeypatch.setattr(search, "_rank", lambda one, *rest: ranked.append(one) or inner(one, *rest))
+    search.rank_postings(asked, search.postings(records), search.lengths(records), limit=3)
+    assert ranked[0].select("query_id").distinct().count() == 3
