@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.streaming.state import keyed_state, rows_in_order
+from tessera.streaming.state import keyed_state
 
 #: Most warnings of a session. Fixed value.
 WARNINGS = 1000
@@ -19,38 +19,34 @@ ENDED = ("completed", "cancelled", "failed")
 MANIFEST = """schema_version string, session_id string, started_at string, ended_at string, status string, event_files array<string>,
   artifact_count bigint, event_count bigint, warnings array<string>"""
 _NAMES = ["schema_version", "session_id", "started_at", "ended_at", "status", "event_files", "artifact_count", "event_count", "warnings"]
-_FIELDS = ["sequence", "at_ms", "file", "refs", "warning", "ended"]
+_ROW = Row(*_NAMES)
+#: Artifacts of a session that are kept in its value.
+INLINE = 256
 
 
 class _Close(StatefulProcessor):
-    """Keeps of an open session its first and last event, its files, artifacts and warnings; of a closed one that it is closed."""
+    """Keeps of an open session its first and last event, its files, artifacts and warnings; of a closed one that it is closed.
+
+    A session is one value, which is read and written once a batch; only artifacts beyond INLINE lie beside it, key by key.
+    """
 
     def __init__(self, idle_ms: int, silent: str) -> None:
         self.idle_ms, self.silent = idle_ms, silent
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "first long, last long, last_sequence long, events long, artifacts long, timer long, closed boolean")
-        self.files = handle.getMapState("files", "file string", "sequence long")
-        self.artifacts = handle.getMapState("artifacts", "ref string", "sequence long")
-        self.warnings = handle.getListState("warnings", "message string")
-
-    def _manifest(self, key: tuple, status: str, first: int, last: int, events: int, artifacts: int) -> tuple:
-        files = sorted(k[0] for k in self.files.keys()) if self.files.exists() else []
-        warnings = [w[0] for w in self.warnings.get()] if self.warnings.exists() else []
-        shown = [pd.Timestamp(ms, unit="ms").strftime("%Y-%m-%dT%H:%M:%S.") + f"{ms % 1000:03d}Z" for ms in (first, last)]
-        return ("1.0", key[0], *shown, status, files, artifacts, events, warnings)
-
-    def _forget(self) -> None:
-        for state in (self.files, self.artifacts, self.warnings):
-            if state.exists():
-                state.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, last, last_sequence, events, artifacts, timer, closed = self.place.get() if self.place.exists() else (-1, -1, -1, 0, 0, -1, False)
-        known = {w[0] for w in self.warnings.get()} if self.warnings.exists() else set()
-        files, refs, made = set(), {}, []
-        for e in rows_in_order(rows, _FIELDS, ["sequence"]):
+        self.place = handle.getValueState("place", "first long, last long, last_sequence long, events long, artifacts long, timer long, closed boolean, files array<string>, refs array<string>, warnings array<string>")
+        self.more = handle.getMapState("more", "ref string", "sequence long")
+
+    def _manifest(self, session: str, status: str, first: int, last: int, events: int, artifacts: int, files: list, warnings: list) -> Row:
+        shown = [(datetime.fromtimestamp(ms // 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + f"{ms % 1000:03d}Z") for ms in (first, last)]
+        return _ROW("1.0", session, *shown, status, sorted(files), artifacts, events, list(warnings))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, last, last_sequence, events, artifacts, timer, closed, files, refs, warnings = self.place.get() or (-1, -1, -1, 0, 0, -1, False, [], [], [])
+        files, refs, warnings = list(files), list(refs), list(warnings)
+        seen = set(refs)
+        for e in sorted((r for r in rows if r["sequence"] is not None), key=lambda r: r["sequence"]):
             if closed:  # a closed session takes no more events
                 break
             if e["sequence"] <= last_sequence:
@@ -59,34 +55,41 @@ class _Close(StatefulProcessor):
             first = e["at_ms"] if first < 0 else min(first, e["at_ms"])
             last = max(last, e["at_ms"])
             if e["file"] is not None and e["file"] not in files:
-                files.add(e["file"])
-                self.files.updateValue((e["file"],), (last_sequence,))
-            for ref in e["refs"] if e["refs"] is not None else ():
-                if ref is not None and ref.startswith("sha256:") and ref not in refs:
-                    refs[ref] = self.artifacts.containsKey((ref,))
-                    if not refs[ref]:
-                        self.artifacts.updateValue((ref,), (last_sequence,))
-                        artifacts += 1
-            if e["warning"] is not None and e["warning"] not in known and len(known) < WARNINGS:
-                known.add(e["warning"])
-                self.warnings.appendValue((e["warning"],))
+                files.append(e["file"])
+            for ref in e["refs"] or ():
+                if ref is None or not ref.startswith("sha256:") or ref in seen:
+                    continue
+                seen.add(ref)
+                if len(refs) < INLINE:
+                    refs.append(ref)
+                elif self.more.containsKey((ref,)):
+                    continue
+                else:
+                    self.more.updateValue((ref,), (last_sequence,))
+                artifacts += 1
+            if e["warning"] is not None and len(warnings) < WARNINGS and e["warning"] not in warnings:
+                warnings.append(e["warning"])
             if e["ended"] in ENDED:
                 closed = True
-                made.append(self._manifest(key, e["ended"], first, last, events, artifacts))
-                self._forget()
+                yield self._manifest(key[0], e["ended"], first, last, events, artifacts, files, warnings)
+                self._forget(artifacts)
+                files, refs, warnings, artifacts = [], [], [], 0
         due = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
         if due != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        self.place.update((first, last, last_sequence, events, artifacts, due, closed))
-        yield pd.DataFrame(made, columns=_NAMES)
+        self.place.update((first, last, last_sequence, events, artifacts, due, closed, files, refs, warnings))
+
+    def _forget(self, artifacts: int) -> None:
+        if artifacts > INLINE:
+            self.more.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last, _, events, artifacts, _, closed = self.place.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        first, last, _, events, artifacts, _, closed, files, _, warnings = self.place.get()
         if not closed:
-            yield pd.DataFrame([self._manifest(key, self.silent, first, last, events, artifacts)], columns=_NAMES)
-        self._forget()
+            yield self._manifest(key[0], self.silent, first, last, events, artifacts, files, warnings)
+        self._forget(artifacts)
         self.place.clear()
 
     def close(self) -> None:
@@ -108,7 +111,7 @@ def session_manifests(events: DataFrame, *, late: str = "10 minutes", idle: floa
     ms = F.floor(F.unix_micros("at") / 1000).alias("at_ms")
     timed = events.withWatermark("at", late).select("session_id", "at", "sequence", ms, "file", "refs", "warning", "ended")
     close = _Close(int(idle * 1000), silent)
-    return timed.groupBy("session_id").transformWithStateInPandas(close, MANIFEST, "Append", "EventTime")
+    return timed.groupBy("session_id").transformWithState(close, MANIFEST, "Append", "EventTime")
 
 
 def write_manifests(events: DataFrame, path: str, checkpoint: str, *, available_now: bool = True, **options) -> StreamingQuery:

@@ -61,3 +61,44 @@ def test_queries_of_the_same_terms_are_ranked_once(spark, monkeypatch):
     monkeypatch.setattr(search, "_rank", lambda one, *rest: ranked.append(one) or inner(one, *rest))
     search.rank_postings(asked, search.postings(records), search.lengths(records), limit=3)
     assert ranked[0].select("query_id").distinct().count() == 3
+
+
+def test_a_session_is_one_value_of_state():
+    """Three calls of the state a batch of a session; artifacts beyond the value are counted once each, too."""
+    from tessera.streaming import manifests
+
+    calls, values, refs, timers = [], [], set(), set()
+
+    class Place:
+        def get(self):
+            calls.append("get")
+            return values[-1] if values else None
+
+        def update(self, v):
+            calls.append("update")
+            values.append(v)
+
+        def clear(self):
+            values.clear()
+
+    class More:
+        containsKey, clear = staticmethod(lambda k: k[0] in refs), staticmethod(refs.clear)
+        updateValue = staticmethod(lambda k, v: refs.add(k[0]))
+
+    class Handle:
+        getValueState, getMapState = staticmethod(lambda *a: Place()), staticmethod(lambda *a: More())
+        registerTimer = staticmethod(lambda t: (calls.append("timer"), timers.add(t)))
+        deleteTimer = staticmethod(timers.discard)
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    close = manifests._Close(1000, "failed")
+    close.init(Handle())
+    event = lambda n, ref: {"sequence": n, "at_ms": 1000 * n, "file": "f", "refs": [ref], "warning": "w", "ended": None}
+    assert list(close.handleInputRows(("s",), iter([event(k, f"sha256:{k % 300}") for k in range(600)]), Times())) == []
+    assert calls == ["get", "timer", "update"] and len(refs) == 300 - manifests.INLINE
+    assert list(close.handleInputRows(("s",), iter([event(599, "sha256:x"), event(600, "sha256:299"), event(601, "sha256:y")]), Times())) == []
+    (made,) = close.handleExpiredTimer(("s",), Times(), None)
+    assert (made.status, made.event_count, made.artifact_count, made.event_files, made.warnings, made.ended_at) == ("failed", 602, 301, ["f"], ["w"], "1970-01-01T00:10:01.000Z")
+    assert not values and not refs and timers == {602_000}
