@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import once
+
 #: Fields of a row of unit economics, whole numbers but the two qualities. Fixed values.
 NUMBERS = ("city_price", "our_price", "product_numeric_id", "profit", "revenue", "sales_volume", "stock_qty", "supply_cost", "supply_qty")
 _ROW = "city_price: bigint, city_quality: double, our_price: bigint, product_numeric_id: bigint, profit: bigint, revenue: bigint, sales_volume: bigint, stock_qty: bigint, stock_quality: double, supply_cost: bigint, supply_qty: bigint"
@@ -27,7 +29,10 @@ def unit_economics(text: Column, schema: str = SCHEMA) -> Column:
     repeated and missing names at once. "incompatible" is an artifact of the same family with another
     schema or contract, whatever else it holds.
     """
-    page = F.from_json(text, GOODS, {"mode": "PERMISSIVE"})
+    return once(text, lambda t: once(F.from_json(t, GOODS, {"mode": "PERMISSIVE"}), lambda page: _judged(t, page, schema)))
+
+
+def _judged(text: Column, page: Column, schema: str) -> Column:
     told, contract = F.get_json_object(text, "$.schema"), F.get_json_object(text, "$.contract_version")
     other = told.startswith(FAMILY) & ((told != schema) | ~F.coalesce(contract == str(CONTRACT), F.lit(False)))
     ids = F.transform(page["rows"], lambda r: r["product_numeric_id"])
@@ -39,7 +44,7 @@ def unit_economics(text: Column, schema: str = SCHEMA) -> Column:
         .when(F.size(F.array_distinct(ids)) != F.size(ids), F.lit("repeated product"))
         .when(~F.coalesce(fine, F.lit(False)), F.lit("out of range"))
     )
-    return F.struct(F.when(problem.isNull(), page).alias("page"), problem.alias("problem"))
+    return once(problem, lambda p: F.struct(F.when(p.isNull(), page).alias("page"), p.alias("problem")))
 
 
 def unit_economics_text(unit_id: Column, rows: Column, schema: str = SCHEMA) -> Column:
@@ -51,7 +56,10 @@ def unit_economics_text(unit_id: Column, rows: Column, schema: str = SCHEMA) ->
 
 def company_page(text: Column) -> Column:
     """struct(title, text, problem) of a company page's artifact: its title and text, or why it is none."""
-    page = F.from_json(text, PAGE, {"mode": "PERMISSIVE"})
+    return once(text, lambda t: once(F.from_json(t, PAGE, {"mode": "PERMISSIVE"}), lambda page: _judged_company(t, page)))
+
+
+def _judged_company(text: Column, page: Column) -> Column:
     problem = (
         F.when(page.isNull() | ~F.coalesce(_written(page) == text, F.lit(False)), F.lit("not canonical"))
         .when((page["schema_version"] != PAGE_SCHEMA) | (page["sanitizer_version"] != SANITIZER), F.lit("incompatible"))

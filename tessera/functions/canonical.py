@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` computed once a row however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def canonical_json(**fields: Column) -> Column:
     """JSON object with its names in order and nulls written out. Use for text and whole numbers."""
     return F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields.items())]), {"ignoreNullFields": "false"})

@@ -72,7 +72,7 @@ def attribute_documents(items: DataFrame) -> DataFrame:
     without label or value fails the job, as does a product that stands twice.
     """
     d = F.from_json("text", _ITEM, {"mode": "FAILFAST"})
-    rows = items.select(d.alias("d"))
+    rows = items.select(F.explode(F.array(d)).alias("d"))  # conditions are not pushed below a generator, so each text is parsed once
     awards = F.flatten(F.transform("d.awards", lambda a: F.array(F.coalesce(a["label"], F.lit("")), F.coalesce(a["value"], F.lit("")))))
     materials = F.flatten(F.transform("d.recipe.materials", lambda m: F.array(*[m[c] for c in _MATERIAL])))
     none = F.array().cast("array<string>")

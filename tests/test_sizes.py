@@ -111,3 +111,14 @@ def test_parts_share_files(spark, tmp_path):
     assert len(list((tmp_path / "p" / "records").glob("*/*.json"))) == 1
     back = parts.read_parts(spark, str(tmp_path / "p"), "k long")
     assert back.columns == ["k", "row", "part"] and back.where("part = floor(k / 10) AND row = k + 1").count() == 1000
+
+
+def test_texts_are_parsed_once(spark):
+    from tessera.functions import artifacts
+    from tessera.operators import projectors
+
+    parsed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json(")
+    texts = spark.createDataFrame([("{}",)], "text string")
+    assert parsed(texts.select(artifacts.unit_economics(F.col("text")).alias("a")).select("a.problem", "a.page.rows")) == 1
+    plan = projectors.attribute_documents(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_json(") + plan.count("jsontostructs(") == 1
