@@ -26,13 +26,18 @@ def origin_path(value: Column) -> Column:
     return F.when(text.rlike("^/(?!/)"), F.substring(F.regexp_replace(text, "[?#].*$", ""), 1, 1024))
 
 
+def _of_size() -> Column:
+    """The payload, null if it is too large: such texts are not handed to Python."""
+    return F.when(F.octet_length("payload") <= LARGEST, F.col("payload"))
+
+
 def rejected_actions(payloads: DataFrame) -> DataFrame:
     """(session_id, sequence, problem) of the payloads that give no action event: none goes without a trace."""
     p = F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE"})
     problem = (
         F.when(F.col("payload").isNull(), F.lit("no payload"))
         .when(F.octet_length("payload") > LARGEST, F.lit("too large"))
-        .when(~is_json(F.col("payload")), F.lit("no JSON"))
+        .when(~is_json(_of_size()), F.lit("no JSON"))
         .when(~F.coalesce(p["schema"] == 1, F.lit(False)), F.lit("other schema"))
         .when(~F.coalesce(p["kind"].isin(*KINDS), F.lit(False)), F.lit("other kind"))
     )
@@ -41,7 +46,7 @@ def rejected_actions(payloads: DataFrame) -> DataFrame:
 
 def action_events(payloads: DataFrame) -> DataFrame:
     """Action events of payloads (session_id, sequence, payload); what is no action of schema 1 is left to rejected_actions."""
-    read = payloads.where((F.octet_length("payload") <= LARGEST) & is_json(F.col("payload"))).withColumn("p", F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE"}))
+    read = payloads.where((F.octet_length("payload") <= LARGEST) & is_json(_of_size())).withColumn("p", F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE"}))
     known = read.where((F.col("p.schema") == 1) & F.col("p.kind").isin(*KINDS))
     name = bounded(F.col("p.element.name"), 128)
     method = F.upper(bounded(F.col("p.form.method"), 16))

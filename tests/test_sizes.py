@@ -122,3 +122,11 @@ def test_texts_are_parsed_once(spark):
     assert parsed(texts.select(artifacts.unit_economics(F.col("text")).alias("a")).select("a.problem", "a.page.rows")) == 1
     plan = projectors.attribute_documents(texts)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("from_json(") + plan.count("jsontostructs(") == 1
+
+
+def test_texts_that_are_too_large_stay_out_of_python(spark):
+    from tessera.functions import actions
+
+    rows = spark.createDataFrame([("a", 0, "x" * 40_000), ("b", 0, "{"), ("c", 0, '{"schema":1,"kind":"click"}'), ("d", 0, None)], "session_id string, sequence long, payload string")
+    assert [r[0] is None for r in rows.orderBy("session_id").select(actions._of_size()).collect()] == [True, False, False, True]
+    assert sorted((r.session_id, r.problem) for r in actions.rejected_actions(rows).collect()) == [("a", "too large"), ("b", "no JSON"), ("d", "no payload")]
