@@ -18,8 +18,8 @@ ROWS = 100_000
 def write_ordered(rows: DataFrame, path: str, keys: list[str], *, per_file: int = ROWS) -> None:
     """Write ``rows`` under ``path`` in the order of ``keys``, which name each row and are not null, and the index of its files."""
     spark = rows.sparkSession
-    files = max(1, -(-rows.count() // per_file))
-    rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/rows")
+    # A task writes its range in files of ``per_file`` rows, so what is sampled for the ranges grows with tasks, not with files.
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", per_file).mode("overwrite").parquet(f"{path}/rows")
     key = F.struct(*keys)
     written = spark.read.parquet(f"{path}/rows").select(F.col("_metadata.file_path").alias("file"), key.alias("key"))
     written.groupBy("file").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")

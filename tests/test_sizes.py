@@ -130,3 +130,14 @@ def test_texts_that_are_too_large_stay_out_of_python(spark):
     rows = spark.createDataFrame([("a", 0, "x" * 40_000), ("b", 0, "{"), ("c", 0, '{"schema":1,"kind":"click"}'), ("d", 0, None)], "session_id string, sequence long, payload string")
     assert [r[0] is None for r in rows.orderBy("session_id").select(actions._of_size()).collect()] == [True, False, False, True]
     assert sorted((r.session_id, r.problem) for r in actions.rejected_actions(rows).collect()) == [("a", "too large"), ("b", "no JSON"), ("d", "no payload")]
+
+
+def test_pages_of_small_files_need_few_tasks(spark, tmp_path):
+    from tessera.sources import ordered
+
+    rows = spark.range(2000).select((F.col("id") * 7 % 2000).alias("k"))
+    ordered.write_ordered(rows, str(tmp_path / "o"), ["k"], per_file=10)
+    files = [f.name for f in (tmp_path / "o" / "rows").glob("*.parquet")]
+    index = spark.read.parquet(str(tmp_path / "o" / "index"))
+    assert len({f[:10] for f in files}) <= 4 < 200 <= len(files) and index.agg(F.max("rows"), F.sum("rows")).first() == (10, 2000)
+    assert [r.k for r in ordered.read_page(spark, str(tmp_path / "o"), ["k"], limit=25, after=(994,)).collect()] == list(range(995, 1020))
