@@ -136,8 +136,10 @@ def finalised_sessions(spark, d):
     where = new_folder(spark, "manifests")
     kind = F.element_at(F.array(*map(F.lit, ("completed", "cancelled", "failed"))), (F.count("*") % 3 + 1).cast("int"))
     m = A.events(spark, d).groupBy("session_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), kind.alias("status"), F.count("*").alias("artifact_count"))
-    one = m.withColumn("of", F.col("session_id"))
-    one.select("of", F.to_json(F.struct("session_id", "started_at", "status", "artifact_count")).alias("value")).write.partitionBy("of").text(where)
+    one = materialise(m.select("session_id", F.to_json(F.struct("session_id", "started_at", "status", "artifact_count")).alias("t")))
+    # A file is a JSON list of some hundred manifests: a file for each session would cost more than what it says.
+    listed = one.groupBy(F.pmod(F.xxhash64("session_id"), F.lit(one.count() // 500 + 1)).alias("of")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("t"), ","), F.lit("]")).alias("value"))
+    listed.write.partitionBy("of").text(where)
     return evidence.read_manifests(spark, f"{where}/*/*.txt", finalised=True).select("session_id", "started_at", "status", "artifact_count")
 
 
