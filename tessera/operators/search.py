@@ -11,6 +11,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import once
 from tessera.sources.shared import materialise
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -24,6 +25,14 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
+def term_counts(words: Column) -> Column:
+    """Array of (term, tf) of an array of words, in the order of terms; counted in the row, so no table of words is grouped."""
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    pairs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("long").alias("tf")))
+    counts = once(F.array_sort(words), lambda s: once(starts(s), lambda at: pairs(s, at)))
+    return F.when(F.size(words) > 0, counts).otherwise(F.array().cast("array<struct<term: string, tf: bigint>>"))
+
+
 def postings(records: DataFrame) -> DataFrame:
     """(ref, term, tf, length) of records (ref, text)."""
     words = records.select("ref", terms(F.col("text")).alias("w"))

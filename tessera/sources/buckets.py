@@ -76,7 +76,10 @@ class Buckets:
     def _write(self, rows: DataFrame, name: str, commit: dict, draft: str) -> dict[str, str]:
         where = f"{name}/{draft}"
         columns = [f.name for f in T.StructType.fromDDL(self.schemas[name])]
-        dealt = rows.select(*columns).withColumn("_bucket", self.bucket(name, commit)).repartition("_bucket").sortWithinPartitions("_bucket", *self.keys[name])
+        # Ranges of buckets, keys and a hash of the rest: a task's share does not hang on the number of buckets or on a frequent key.
+        rest = [c for c in columns if c not in self.keys[name]]
+        marked = rows.select(*columns).withColumn("_bucket", self.bucket(name, commit)).withColumn("_tie", F.xxhash64(*rest))
+        dealt = marked.repartitionByRange("_bucket", *self.keys[name], "_tie").drop("_tie").sortWithinPartitions("_bucket", *self.keys[name])
         dealt.write.partitionBy("_bucket").parquet(f"{self.root}/{where}")
         return {n[8:]: f"{where}/{n}" for n in atomic.names(self.spark, f"{self.root}/{where}") if n.startswith("_bucket=")}
 

@@ -46,12 +46,14 @@ class PostingIndex(Buckets):
         if moved.isEmpty():
             return base["version"]
         fresh = moved.where("sha256 IS NOT NULL").select("ref")
-        words = given.join(fresh, "ref", "left_semi").select("ref", "sha256", search.terms(F.col("text")).alias("w"))
+        # Words are split and counted once, in the row of their record.
+        counted = given.join(fresh, "ref", "left_semi").select("ref", search.terms(F.col("text")).alias("w")).select("ref", F.explode(F.array("w")).alias("w"))
         # A record's own row has no term: it carries the length of records without words too.
-        each = words.select("ref", "sha256", F.size("w").cast("long").alias("length"), F.explode(F.array_append("w", F.lit(None).cast("string"))).alias("term"))
-        counted = materialise(each.groupBy("ref", "sha256", "length", "term").agg(F.count("*").alias("tf")))
-        new = counted.where("term IS NULL").select("ref", "sha256", "length", F.lit(version).cast("long").alias("version"))
-        added = counted.where("term IS NOT NULL").select("term", "ref", "tf", "length", F.lit(version).cast("long").alias("version"))
+        own = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))
+        each = counted.select("ref", F.size("w").cast("long").alias("length"), F.explode(F.array_append(search.term_counts(F.col("w")), own)).alias("c"))
+        each = materialise(each.select("ref", "length", "c.term", "c.tf"))
+        new = each.where("term IS NULL").join(moved.select("ref", "sha256"), "ref").select("ref", "sha256", "length", F.lit(version).cast("long").alias("version"))
+        added = each.where("term IS NOT NULL").select("term", "ref", "tf", "length", F.lit(version).cast("long").alias("version"))
         gone = moved.where("was IS NOT NULL").select("ref", F.col("was_version").alias("version"))
         touched = self.touched(moved, "records", base)
         rest = self.read(base, "records", touched).join(moved.select("ref"), "ref", "left_anti")

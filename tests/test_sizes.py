@@ -141,3 +141,26 @@ def test_pages_of_small_files_need_few_tasks(spark, tmp_path):
     index = spark.read.parquet(str(tmp_path / "o" / "index"))
     assert len({f[:10] for f in files}) <= 4 < 200 <= len(files) and index.agg(F.max("rows"), F.sum("rows")).first() == (10, 2000)
     assert [r.k for r in ordered.read_page(spark, str(tmp_path / "o"), ["k"], limit=25, after=(994,)).collect()] == list(range(995, 1020))
+
+
+def test_a_bucket_is_no_task_of_its_own(spark, tmp_path):
+    """Few buckets, or one frequent term: postings are still written by all tasks, and words are counted in their row."""
+    from collections import Counter
+
+    from tessera.operators import search
+    from tessera.sources.postings import PostingIndex
+
+    texts = ["b a b", "", "one", "z z z", "b a c a b a", None]
+    got = [[tuple(c) for c in r[0]] for r in spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1).select(search.term_counts(F.split(F.coalesce("t", F.lit("")), " "))).collect()]
+    assert got == [sorted(Counter((t or "").split(" ")).items()) for t in texts]
+    assert spark.sql("SELECT cast(array() AS array<string>) AS w").select(search.term_counts(F.col("w"))).first()[0] == []
+    index = PostingIndex(spark, str(tmp_path / "i"), buckets=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.update(spark.range(400).select(F.concat(F.lit("r"), "id").alias("ref"), F.lit("common common").alias("text")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (folder,) = index.files(index.at(), "postings")
+    rows = [spark.read.parquet(str(f)).count() for f in tmp_path.joinpath("i", *folder.rsplit("/", 3)[1:]).glob("*.parquet")]
+    assert len(rows) >= 3 and sum(rows) == 400 and max(rows) <= 200
+    assert index.postings(spark.createDataFrame([("common",)], "term string")).where("tf = 2 AND length = 2").count() == 400
