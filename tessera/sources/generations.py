@@ -21,10 +21,7 @@ from tessera.sources import atomic
 
 def table_digests(tables: dict[str, DataFrame]) -> dict[str, dict]:
     """rows and fingerprint of each table over all values of all columns, in any order of rows; one job for all."""
-    parts = []
-    for name, df in tables.items():
-        flat = df.select([F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")).alias(c) for c in sorted(df.columns)])
-        parts.append(canonical.rows_fingerprint(flat, *flat.columns).select(F.lit(name).alias("name"), "rows", "fingerprint"))
+    parts = [canonical.values_fingerprint(df).select(F.lit(name).alias("name"), "rows", "fingerprint") for name, df in tables.items()]
     rows = reduce(DataFrame.unionByName, parts).collect() if parts else []  # a row a table
     return {r["name"]: {"rows": r["rows"], "fingerprint": r["fingerprint"], "columns": tables[r["name"]].columns} for r in rows}
 

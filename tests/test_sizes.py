@@ -164,3 +164,22 @@ def test_a_bucket_is_no_task_of_its_own(spark, tmp_path):
     rows = [spark.read.parquet(str(f)).count() for f in tmp_path.joinpath("i", *folder.rsplit("/", 3)[1:]).glob("*.parquet")]
     assert len(rows) >= 3 and sum(rows) == 400 and max(rows) <= 200
     assert index.postings(spark.createDataFrame([("common",)], "term string")).where("tf = 2 AND length = 2").count() == 400
+
+
+def test_tables_are_digested_without_texts(spark):
+    """No JSON is made of plain values, and any change of a value, a null or a number of rows shows."""
+    from tessera.functions import canonical
+    from tessera.sources import generations
+
+    schema = "a string, b double, c array<int>, d map<string,int>, e struct<x: int, y: string>, f long"
+    rows = [("x", 1.0, [1], {"k": 1}, (1, "y"), 1), ("", None, [], {}, None, None), (None, 0.0, None, None, (None, ""), 42)]
+    digest = lambda rows: generations.table_digests({"t": spark.createDataFrame(rows, schema)})["t"]
+    was = digest(rows)
+    assert was == digest(rows[::-1]) and was["rows"] == 3 and was["columns"] == ["a", "b", "c", "d", "e", "f"]
+    changed = [(0, 0, "null"), (0, 0, None), (0, 0, ""), (0, 1, 0.0), (0, 1, None), (2, 1, -0.0), (0, 2, None), (0, 2, [1, None]), (0, 2, [None, 1]), (0, 3, {"k": None}), (0, 4, (None, "y")), (1, 4, (None, None)), (1, 5, 42), (2, 5, None), (1, 2, None)]
+    others = [[*rows[:r], (*rows[r][:c], v, *rows[r][c + 1 :]), *rows[r + 1 :]] for r, c, v in changed]
+    assert len({was["fingerprint"], digest([*rows, rows[0]])["fingerprint"], *(digest(other)["fingerprint"] for other in others)}) == 2 + len(changed)
+    assert generations.table_digests({"t": spark.createDataFrame([], schema)})["t"]["rows"] == 0
+    plain = spark.createDataFrame(rows, schema).select("a", "b", "f", F.col("b").alias("o.d"))
+    plan = canonical.values_fingerprint(plain)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "json" not in plan and "xxhash64(" in plan
