@@ -147,14 +147,15 @@ class Workspace:
 
     def rebuild_index(self, generation: str, records: DataFrame, aliases: DataFrame, evidence: DataFrame) -> None:
         """Publish records (ref, kind, title, body), their aliases, evidence and postings."""
-        named = knowledge.aliases(aliases)
-        words = named.groupBy("ref").agg(F.array_join(F.collect_list("alias"), " ").alias("words"))
-        full = records.join(words, "ref", "left").select("ref", F.concat_ws(" ", "title", "words", "body").alias("text"))
-        tables = {
-            "records": records.withColumn("norm", search_text("title")), "aliases": named, "evidence": knowledge.evidence(evidence), "texts": full,
-            "postings": search.postings(full), "lengths": search.lengths(full),
-        }
-        publish(tables, self.root, generation)
+        publish({"records": records.withColumn("norm", search_text("title")), "aliases": knowledge.aliases(aliases), "evidence": knowledge.evidence(evidence)}, self.root, generation)
+        publish({"texts": self._texts(generation)}, self.root, generation)
+        texts = self.table(generation, "texts")  # what is written is read again, so that records are made once
+        publish({"postings": search.postings(texts), "lengths": search.lengths(texts)}, self.root, generation)
+
+    def _texts(self, generation: str) -> DataFrame:
+        """(ref, text) of the records and their aliases, as they are written; both sides grow, so neither is sent to every task."""
+        words = self.table(generation, "aliases").groupBy("ref").agg(F.array_join(F.collect_list("alias"), " ").alias("words"))
+        return self.table(generation, "records").join(words.hint("merge"), "ref", "left").select("ref", F.concat_ws(" ", "title", "words", "body").alias("text"))
 
     def update_index(self, records: DataFrame) -> int:
         """Bring the index in files to ``records`` (ref, text) and return its version; what did not change is left alone."""
@@ -167,8 +168,7 @@ class Workspace:
     def index_problems(self, generation: str) -> DataFrame:
         """Postings that are not those of the texts, and texts that are not those of the records; none in a sound index."""
         texts = self.table(generation, "texts")
-        words = self.table(generation, "aliases").groupBy("ref").agg(F.array_join(F.collect_list("alias"), " ").alias("words"))
-        again = self.table(generation, "records").join(words, "ref", "left").select("ref", F.concat_ws(" ", "title", "words", "body").alias("text"))
+        again = self._texts(generation)
         of_words = lambda df: df.select("ref", F.array_sort(F.split("text", " ")).alias("words"))  # noqa: E731  aliases in any order
         one = snapshot.mirror_problems(search.postings(texts), self.table(generation, "postings")).select("ref", "side", F.lit("postings").alias("table"))
         return one.unionByName(snapshot.mirror_problems(of_words(again), of_words(texts)).select("ref", "side", F.lit("texts").alias("table")))

@@ -50,7 +50,7 @@ def product_records(products: DataFrame, attributes: DataFrame) -> DataFrame:
     """
     one = attributes.groupBy("key").agg(F.first("terms").alias("terms"), F.count("*").alias("n"))
     checked = one.where(F.when(F.col("n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("attributes are not unique")).cast("boolean"))).drop("n")
-    rows = products.join(checked, "key", "left")
+    rows = products.join(checked.hint("merge"), "key", "left")  # as many as products: nothing to send to every task
     return _record(rows, F.concat(F.lit("product:"), "key"), "product", F.col("name"), [F.array_join("categories", " "), F.array_join("terms", " ")], F.col("names"), F.col("evidence"))
 
 
@@ -122,5 +122,5 @@ def union_records(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p.select(*_SHAPE))
     n = every.groupBy("ref").agg(F.count("*").alias("n"))
-    joined = every.join(n, "ref")
+    joined = every.join(n.hint("merge"), "ref")  # a row a record: nothing to send to every task
     return joined.where(F.when(F.col("n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("ref is not unique")).cast("boolean"))).drop("n")

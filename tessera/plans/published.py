@@ -11,7 +11,7 @@ from tessera.operators import consistency, contract, detect, knowledge, projecto
 from tessera.plans import adapters as A
 from tessera.plans.queries import _NOVEL, _STARTED, SQL, _endpoint_facts, _found, query
 from tessera.sources.parts import publish
-from tessera.sources.shared import new_folder
+from tessera.sources.shared import materialise, new_folder
 
 S = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
@@ -150,7 +150,7 @@ def knowledge_records(spark, d):
 
 def _indexed(spark, d) -> api.Workspace:
     w = api.Workspace(spark, new_folder(spark, "index"))
-    rows = _records(spark, d).where("kind IN ('product', 'entity', 'wiki')")
+    rows = materialise(_records(spark, d).where("kind IN ('product', 'entity', 'wiki')"))  # made once for all tables of the index
     each = lambda c, name: rows.select("ref", F.posexplode(c).alias("position", name))
     w.rebuild_index("1", rows.select("ref", "kind", "title", "body"), each("aliases", "alias"), each("evidence", "evidence_ref"))
     return w

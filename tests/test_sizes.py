@@ -183,3 +183,27 @@ def test_tables_are_digested_without_texts(spark):
     plain = spark.createDataFrame(rows, schema).select("a", "b", "f", F.col("b").alias("o.d"))
     plan = canonical.values_fingerprint(plain)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "json" not in plan and "xxhash64(" in plan
+
+
+def test_records_are_not_sent_to_every_task(spark, tmp_path):
+    """Tables with a row a record meet by their keys, also where their files are small; records are made once."""
+    from tessera import api
+    from tessera.operators import projectors
+
+    products = spark.createDataFrame([("1", "a lamp", ["A LAMP", "Light"], ["c"], ["e1", "e2"]), ("2", "b", None, None, None)], "key string, name string, names array<string>, categories array<string>, evidence array<string>")
+    attributes = spark.createDataFrame([("1", ["heavy"])], "key string, terms array<string>")
+    made = projectors.union_records(projectors.product_records(products, attributes), projectors.wiki_records(spark.createDataFrame([("t", "text", ["z"], ["e3"])], "topic string, text string, related_topics array<string>, evidence array<string>")))
+    plans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plans(made) and "SortMergeJoin" in plans(made)
+    evaluated = spark.sparkContext.accumulator(0)
+    counted = made.rdd.map(lambda r: evaluated.add(1) or r)
+    rows = spark.createDataFrame(counted, made.schema)
+    w = api.Workspace(spark, str(tmp_path))
+    each = lambda c, name: made.select("ref", F.posexplode(c).alias("position", name))
+    w.rebuild_index("1", rows.select("ref", "kind", "title", "body"), each("aliases", "alias"), each("evidence", "evidence_ref"))
+    assert evaluated.value == 3  # once a record
+    assert "Broadcast" not in plans(w._texts("1")) and w.index_problems("1").isEmpty()
+    texts = {r.ref: set(r.text.split()) for r in w.table("1", "texts").collect()}
+    assert texts == {"product:1": {"a", "lamp", "A", "LAMP", "Light", "c", "heavy"}, "product:2": {"b"}, "wiki:t": {"t", "z", "text"}}
+    got = w.get("1", "product:1").select("aliases", "evidence").first()
+    assert sorted(got.aliases) == ["A LAMP", "Light"] and list(got.evidence) == ["e1", "e2"]
