@@ -423,14 +423,18 @@ def _of_nation():
 
 
 def _goods_pages(spark, d):
-    """Suppliers as units: a page with a row for each part that they have delivered."""
+    """Suppliers as units: a page with a row for each part that they have delivered. Numbers are gathered, rows written in their page."""
     li = A.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
-    id_ = S(F.col("l_partkey") + 1)
-    link = F.concat(F.lit('<a href="?product='), id_, F.lit('">i</a>'))
-    given = lambda name, value: F.concat(F.lit(f'<input name="{name}['), id_, F.lit(']" value="'), value, F.lit('">'))
-    last = F.concat(given("purchaseQuantity", F.lit("3")), given("vendorPrice", F.lit("")))
-    tr = _cells(link, link, "", "1 200 / 300", "", "15 pcs", "1.25 q", "", "", given("price", F.lit("40")), "2.5", "50", S("q"), "", last)
-    return _pages(li.withColumn("tr", tr), "l_suppkey", "l_partkey").withColumn("unit_id", F.col("page_id") + 1)
+
+    def tr(x):
+        id_ = S(x["l_partkey"] + 1)
+        link = F.concat(F.lit('<a href="?product='), id_, F.lit('">i</a>'))
+        given = lambda name, value: F.concat(F.lit(f'<input name="{name}['), id_, F.lit(']" value="'), value, F.lit('">'))
+        last = F.concat(given("purchaseQuantity", F.lit("3")), given("vendorPrice", F.lit("")))
+        return _cells(link, link, "", "1 200 / 300", "", "15 pcs", "1.25 q", "", "", given("price", F.lit("40")), "2.5", "50", S(x["q"]), "", last)
+
+    listed = li.groupBy(F.col("l_suppkey").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("l_partkey", "q"))).alias("r"))
+    return listed.select("page_id", F.concat(F.lit("<table>"), F.array_join(F.transform("r", tr), ""), F.lit("</table>")).alias("html"), (F.col("page_id") + 1).alias("unit_id"))
 
 
 @query("""
