@@ -1,5 +1,8 @@
 """Steps that have to hold for large inputs, on small ones that show the same fault."""
 
+import json
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +82,61 @@ def test_requests_still_waited_for_have_no_row(spark, sf):
     assert len(want) == 2499
 
 
+def test_requests_of_a_bucket_are_one_value_of_state():
+    """Two calls of the state and one timer a batch for 500 requests; all of them are given up by one timer."""
+    from types import SimpleNamespace
+
+    from tessera.streaming import ingest
+
+    calls, values, timers = [], [], set()
+
+    class Open:
+        def get(self):
+            calls.append("get")
+            return values[-1] if values else None
+
+        def update(self, v):
+            calls.append("update")
+            values.append(v)
+
+        def clear(self):
+            values.clear()
+
+    follow = ingest._Follow(600_000)
+    follow.init(SimpleNamespace(getValueState=lambda *a: Open(), registerTimer=timers.add, deleteTimer=timers.remove))
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    row = lambda k, n, kind: {"session_id": "s", "request_id": str(k), "sequence": n, "at_ms": 1000 + k, "event_type": kind, "method": "GET", "url_path": f"/{k}", "status_code": None, "monotonic_time": float(n or 0)}
+    assert list(follow.handleInputRows((0,), iter([row(k, k, "http.request") for k in range(500)]), clock(0))) == []
+    assert calls == ["get", "update"] and timers == {601_000}
+    ended = list(follow.handleInputRows((0,), iter([row(k, 500 + k, "http.finished") for k in range(100)] + [row(200, 900, "http.request"), row(999, None, "http.request")]), clock(0)))
+    assert sorted(int(r.request_id) for r in ended) == list(range(100)) and {r.seconds for r in ended} == {500.0} and calls == ["get", "update"] * 2 and timers == {601_100}
+    timers.remove(601_100)  # Spark removes the timer that it calls for
+    over = list(follow.handleExpiredTimer((0,), clock(601_300), None))
+    assert sorted(int(r.request_id) for r in over) == list(range(100, 301)) and {r.hops for r in over if r.request_id == "200"} == {1} and {r.outcome for r in over} == {"open"}
+    assert timers == {601_301} and len(values[-1][0]) == 199
+
+
+def test_requests_that_share_a_bucket_keep_their_own_time(spark, tmp_path, monkeypatch):
+    """One bucket for all: each request is given up when its own last frame is so far behind, to the millisecond."""
+    from tessera.streaming import ingest
+    from tessera.streaming.state import keyed_state
+
+    monkeypatch.setattr(ingest, "BUCKETS", 1)
+    folder, names = tmp_path / "in", ("session_id", "request_id", "sequence", "at", "event_type", "method", "url_path", "status_code", "monotonic_time")
+    folder.mkdir()
+    schema = "session_id string, request_id string, sequence long, at timestamp, event_type string, method string, url_path string, status_code int, monotonic_time double"
+    of = lambda r, n, at, kind="http.request": ("s", r, n, f"2024-01-01T00:{at}Z", kind, "GET", f"/{r}", None, float(n))
+    batches = [[of("a", 1, "00:00.000"), of("b", 2, "00:30.000"), of("d", 3, "00:30.001")], [of("z", 4, "11:30.000")], [of("a", 5, "11:35.000", "http.response"), of("z", 6, "11:40.000", "http.finished")], [of("d", 7, "11:41.000", "http.finished"), of("y", 8, "59:00.000")]]
+    for k, rows in enumerate(batches):
+        (folder / f"{k}.json").write_text("".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows))
+        os.utime(folder / f"{k}.json", (100 * k + 100,) * 2)
+    found = ingest.finished_requests(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)), late="1 minute", idle=600.0)
+    with keyed_state(spark):
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.request_id, r.outcome, r.seconds) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "open", 4.0), ("b", "open", 0.0), ("d", "finished", 4.0), ("z", "finished", 2.0)]
+
+
 def test_queries_of_the_same_terms_are_ranked_once(spark, monkeypatch):
     """Many queries of one common name, which many records have: the candidates do not multiply."""
     from tessera.operators import search
