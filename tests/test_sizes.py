@@ -65,6 +65,25 @@ def test_goods_pages_are_shuffled_once(spark):
     assert sorted(tuple(r) for r in bad.collect()) == [(2, 2), (3, 2), (5, 1)]
 
 
+def test_inputs_of_many_rows_are_counted(spark, small):
+    """Goods pages are gathered as numbers, not as texts of rows; names are counted alike in rows of a shape and in odd ones."""
+    import re
+    from collections import Counter
+
+    from tessera.functions import probes, tables
+    from tessera.plans import captured
+
+    plan = captured._goods_pages(spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    gathered = [k for k, line in enumerate(plan) if "collect_list" in line]
+    assert len(gathered) == 1 and "<td>" not in "".join(plan[gathered[0] + 1 :])
+    row = '<tr><td><input name="price[{0}]" value="4"></td><td><input name="a[{0}][{1}]" value=""><input name="b[{1}]"></td></tr>'
+    odd = '<tr><td><input name="price[1]"><input name="price[1]"><input name="price[2]" NAME="x"></td><td><input name=bare[3]><div id="d[4]">5</div><input name="">'
+    html = ["<table>" + "".join(row.format(k, k % 7) for k in range(500)) + odd + row.format(1, 1) + "</table>", "<table>" + odd * 3 + row.format(2, 2) * 9, None, row.format(1, 2)]
+    want = Counter((k, re.sub(r"\[[0-9]+\]", "[n]", name)) for k, h in enumerate(html) for r in tables.table_rows.func(tables.pd.Series([h]))[0] for c in r["cells"] for name in c["values"])
+    got = probes.input_inventory(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).collect()
+    assert {(r.page_id, r.name): r.n for r in got} == dict(want) and want[0, "a[n][n]"] == 501
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_requests_still_waited_for_have_no_row(spark, sf):
     """At this size a request is still open at the end of the stream."""
